@@ -61,11 +61,13 @@ def daily_sales_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     return densify_daily(daily_sales(spark, sf_dir), keys=["store", "item"], date_col="date")
 
 
-DAILY_SALES_DENSE_SQL = """daily_sales_dense AS (
-  SELECT s.store, s.item, CAST(g.d AS DATE) AS date, ds.sales
-  FROM (SELECT store, item, MIN(date) AS lo, MAX(date) AS hi FROM daily_sales GROUP BY 1, 2) s,
-       LATERAL (SELECT unnest(generate_series(s.lo, s.hi, INTERVAL 1 DAY)) AS d) g
-  LEFT JOIN daily_sales ds ON ds.store = s.store AND ds.item = s.item AND ds.date = CAST(g.d AS DATE))"""
+DAILY_SALES_DENSE_SQL = """spine AS (
+  SELECT store, item, CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS date
+  FROM (SELECT store, item, MIN(date) AS lo, MAX(date) AS hi FROM daily_sales GROUP BY 1, 2)),
+daily_sales_dense AS (
+  SELECT sp.store, sp.item, sp.date, ds.sales
+  FROM spine sp LEFT JOIN daily_sales ds
+    ON ds.store = sp.store AND ds.item = sp.item AND ds.date = sp.date)"""
 
 
 def with_sql(*ctes: str) -> str:
