@@ -4,7 +4,10 @@ Global row numbering without a single-partition sort: ``orderBy`` range-
 partitions the rows into sorted partitions; ``monotonically_increasing_id``
 carries (partition, position); per-partition counts (one row per partition)
 give the offsets, which are broadcast back.  This is the distributed form of
-"sort by date, then take contiguous index ranges".
+"sort by date, then take contiguous index ranges".  The sorted, tagged rows
+are checkpointed once (reliable checkpoint in ``spark.checkpoint.dir``):
+the counts and the join must see the same physical partitioning, which a
+second evaluation of the sort does not guarantee.
 """
 
 from __future__ import annotations
@@ -19,9 +22,13 @@ POS_BITS = 33
 def global_row_index(df: DataFrame, order_cols, out: str = "row_index") -> DataFrame:
     """0-based index of every row in ``order_cols`` order (ties broken by the
     later columns; pass a unique combination for a deterministic index)."""
+    from panelcast.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(df.sparkSession)
     s = df.orderBy(*order_cols).select(
         "*", F.spark_partition_id().alias("__pid"),
         (F.monotonically_increasing_id().bitwiseAND(F.lit((1 << POS_BITS) - 1))).alias("__pos"))
+    s = s.checkpoint(eager=True)
     counts = s.groupBy("__pid").agg(F.count(F.lit(1)).alias("__c"))
     offs = counts.select("__pid", F.coalesce(F.sum("__c").over(
         Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__off"))
