@@ -109,18 +109,19 @@ def shapiro_wilk(df: DataFrame, value: str, order_col: str, keys=(), max_n: int
     const = const.withColumn("__an", F.col("__mn") / F.sqrt("__summ") + _poly(SW_C1, u)) \
         .withColumn("__an1", F.col("__mn1") / F.sqrt("__summ") + _poly(SW_C2, u))
     an, an1, mn, mn1 = F.col("__an"), F.col("__an1"), F.col("__mn"), F.col("__mn1")
-    phi = F.when(n > 5, (F.col("__summ") - 2 * mn * mn - 2 * mn1 * mn1) / (1 - 2 * an * an - 2 * an1 * an1)) \
-        .otherwise((F.col("__summ") - 2 * mn * mn) / (1 - 2 * an * an))
+    phi = F.when(n > 5, F.try_divide(F.col("__summ") - 2 * mn * mn - 2 * mn1 * mn1, 1 - 2 * an * an - 2 * an1 * an1)) \
+        .otherwise(F.try_divide(F.col("__summ") - 2 * mn * mn, 1 - 2 * an * an))
     const = const.withColumn("__phi", phi).select(*keys, "__an", "__an1", "__phi")
     nn = nn.join(const, on=keys, how="inner") if keys else nn.crossJoin(F.broadcast(const))
     ii = F.col("__i")
     a = (F.when(ii == F.col("__n"), an).when(ii == 1, -an)
          .when((n > 5) & (ii == F.col("__n") - 1), an1).when((n > 5) & (ii == 2), -an1)
-         .otherwise(F.col("__m") / F.sqrt("__phi")))
+         .otherwise(F.try_divide(F.col("__m"), F.sqrt("__phi"))))
     agg = [F.first("__n").alias("n"), F.sum(a * F.col("__x")).alias("__ax"),
            (F.var_pop("__x") * F.count("__x")).alias("__ss")]
     res = nn.groupBy(*keys).agg(*agg) if keys else nn.agg(*agg)
-    W = F.least(F.col("__ax") * F.col("__ax") / F.nullif(F.col("__ss"), F.lit(0.0)), F.lit(1.0))
+    # zero range (constant values) -> null, like the reference's failure branch
+    W = F.when(F.col("__ss") > 0, F.least(F.col("__ax") * F.col("__ax") / F.col("__ss"), F.lit(1.0)))
     res = res.withColumn("w", F.when(F.col("n") >= 4, W))
     nd = F.col("n").cast("double")
     w1 = F.log(1 - F.col("w"))
@@ -190,7 +191,8 @@ def kpss(df: DataFrame, value: str, order_col: str, keys=(), nlags: int | None =
             q = F.when(F.lit(i) <= F.floor(F.pow(nn, 2.0 / 9.0)), F.col(f"__c{i}") / (nn / 2.0)).otherwise(0.0)
             s0e = s0e + q
             s1e = s1e + i * q
-        gamma_hat = 1.1447 * F.pow((s1e / s0e) * (s1e / s0e), 1.0 / 3.0)
+        ratio = F.try_divide(s1e, s0e)
+        gamma_hat = 1.1447 * F.pow(ratio * ratio, 1.0 / 3.0)
         lag_expr = F.least(F.floor(gamma_hat * F.pow(nn, 1.0 / 3.0)), nn - 1).cast("long")
         lags = cov.select(*keys, lag_expr.alias("__L"))
         d = d.join(lags, on=keys, how="inner") if keys else d.crossJoin(F.broadcast(lags))
@@ -214,6 +216,6 @@ def kpss(df: DataFrame, value: str, order_col: str, keys=(), nlags: int | None =
     r = j.groupBy(*keys).agg(*aggs) if keys else j.agg(*aggs)
     nd = F.col("n").cast("double")
     s2 = (F.col("__see") + 2 * F.col("__bart")) / nd
-    stat = F.col("__eta") / (nd * nd) / s2
+    stat = F.try_divide(F.col("__eta") / (nd * nd), s2)
     return r.select(*keys, F.col("n").cast("bigint").alias("n"), F.col("lags").cast("bigint").alias("kpss_lags"),
                     stat.alias("kpss_stat"), _kpss_p(stat).alias("kpss_p"), (_kpss_p(stat) > 0.05).alias("kpss_stationary"))

@@ -222,8 +222,8 @@ def kde_grid(df: DataFrame, col: str, keys=(), points: int = 100) -> DataFrame:
     g = j.select(*keys, "__x", "__c", "__lo", "__hi", "__h", "__n",
                  F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"))
     gx = F.col("__lo") + (F.col("__hi") - F.col("__lo")) * F.col("point") / (points - 1)
-    z = (gx - F.col("__x")) / F.col("__h")
-    contrib = F.col("__c") * F.exp(-0.5 * z * z) / (F.col("__n") * F.col("__h") * math.sqrt(2 * math.pi))
+    z = F.try_divide(gx - F.col("__x"), F.col("__h"))
+    contrib = F.try_divide(F.col("__c") * F.exp(-0.5 * z * z), F.col("__n") * F.col("__h") * math.sqrt(2 * math.pi))
     return g.groupBy(*keys, "point").agg(F.first(gx).alias("x"), F.sum(contrib).alias("density"))
 
 
