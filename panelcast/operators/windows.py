@@ -9,9 +9,10 @@ for calendar offsets.
 Rolling frames.  Spark re-aggregates a sliding ROWS frame for every row, so a
 frame of ``n`` rows costs O(n) per row.  The default ``method="prefix"``
 computes sum/count/mean/var/std from differences of running (centred) sums
-and min/max with the block prefix/suffix method: O(1) per row whatever the
-window length.  ``method="frame"`` uses plain frames (median, skew, kurt
-always do).
+(O(1) per row whatever the window length) and min/max from a power-of-two
+doubling table built with lags on the same sort order (O(log w) per row, no
+extra sort or shuffle).  ``method="frame"`` uses plain frames (median, skew,
+kurt always do).
 """
 
 from __future__ import annotations
@@ -197,18 +198,16 @@ def frame_stats(df: DataFrame, keys, order_col: str, value: str, specs: list[Fra
         tmp += ["__c", "__rn", "__s1", "__s2", "__n"]
 
     if blk:
-        lengths = sorted({s.length for s in blk})
-        for L in lengths:
-            out = out.withColumn(f"__b{L}", F.floor((F.col("__rn") - 1) / L))
-            fwd = wspec(keys, order_col, extra_keys=[f"__b{L}"]).rowsBetween(UNB, 0)
-            bwd = wspec(keys, order_col, desc=True, extra_keys=[f"__b{L}"]).rowsBetween(UNB, 0)
-            cols = []
-            for agg in sorted({s.agg for s in blk if s.length == L}):
-                fn = F.max if agg == "max" else F.min
-                cols += [fn(x).over(fwd).alias(f"__p{agg}{L}"), fn(x).over(bwd).alias(f"__q{agg}{L}")]
-                tmp += [f"__p{agg}{L}", f"__q{agg}{L}"]
-            out = out.select("*", *cols)
-            tmp.append(f"__b{L}")
+        # power-of-two doubling table on the existing order: M_k(i) = extreme
+        # over rows [i - 2^k + 1, i]; one lag per level, no re-sort
+        top = max(s.length for s in blk).bit_length() - 1
+        for agg in sorted({s.agg for s in blk}):
+            pick = F.greatest if agg == "max" else F.least
+            out = out.withColumn(f"__m{agg}0", x)
+            for k in range(1, top + 1):
+                prev = F.col(f"__m{agg}{k - 1}")
+                out = out.withColumn(f"__m{agg}{k}", pick(prev, F.lag(prev, 1 << (k - 1)).over(w)))
+            tmp += [f"__m{agg}{k}" for k in range(top + 1)]
 
     for s in plain:
         fw = w.rowsBetween(s.start, s.end)
@@ -242,9 +241,11 @@ def frame_stats(df: DataFrame, keys, order_col: str, value: str, specs: list[Fra
 
     for s in blk:
         L = s.length
-        p = _lagged(F.col(f"__p{s.agg}{L}"), -s.end, w)
-        q = _lagged(F.col(f"__q{s.agg}{L}"), -s.start, w)
-        val = F.greatest(p, q) if s.agg == "max" else F.least(p, q)
+        k = L.bit_length() - 1
+        pick = F.greatest if s.agg == "max" else F.least
+        m = F.col(f"__m{s.agg}{k}")
+        # frame [t+start, t+end] = M_k(t+end) combined with M_k(t+start+2^k-1)
+        val = pick(_lagged(m, -s.end, w), _lagged(m, -(s.start + (1 << k) - 1), w))
         n = (_lagged(F.col("__n"), -s.end, w, 0) - _lagged(F.col("__n"), 1 - s.start, w, 0))
         named.append((s.name, F.when(n >= F.greatest(F.lit(s.minp), F.lit(1)), val)))
 

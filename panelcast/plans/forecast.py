@@ -11,16 +11,42 @@ from panelcast.plans.features import build_features
 from panelcast.spec import FeatureConfig, SeriesSpec
 
 
+def extend_with_future(history: DataFrame, spec: SeriesSpec, horizon: int = 90) -> DataFrame:
+    """History plus ``horizon`` future days per series (target null), in one
+    pass: the last row of each series (found with ``lead`` on the same
+    window order the features use) explodes into itself and the future
+    dates.  No second scan of the history and no join; ``__last`` keeps the
+    series' last history date for the final filter."""
+    if not 1 <= horizon <= 365:
+        raise ValueError("horizon must be between 1 and 365 days")
+    keys, d, t = list(spec.keys), spec.order_col, spec.value_col
+    w = win.wspec(keys, d)
+    h = history.select(*keys, d, t, F.lead(F.col(d)).over(w).isNull().alias("__is_last"))
+    dates = F.when(F.col("__is_last"), F.concat(F.array(F.col(d)),
+                                                F.sequence(F.date_add(F.col(d), 1), F.date_add(F.col(d), horizon))))
+    dates = dates.otherwise(F.array(F.col(d)))
+    g = h.select(*keys, t, F.col(d).alias("__last0"), F.col("__is_last"), F.explode(dates).alias(d))
+    return g.select(*keys, d, F.when(F.col(d) > F.col("__last0"), F.lit(None)).otherwise(F.col(t))
+                    .cast(history.schema[t].dataType).alias(t),
+                    F.when(F.col("__is_last"), F.col("__last0")).alias("__lastmark"))
+
+
 def prediction_features(history: DataFrame, spec: SeriesSpec, cfg: FeatureConfig, horizon: int = 90,
                         spine: DataFrame | None = None) -> DataFrame:
     """History + future rows (target null) -> full feature build -> future
-    rows only (K2), for every series at once."""
+    rows only (K2), for every series at once.  With an explicit ``spine``
+    the future rows are those (keys, date) pairs (semi join, B13); otherwise
+    the single-pass extension above is used and future rows are kept by a
+    filter on the series' last history date."""
     keys, d, t = list(spec.keys), spec.order_col, spec.value_col
-    spine = spine if spine is not None else rel.future_spine(history, keys, d, horizon)
-    fut = spine.select(*keys, d).withColumn(t, F.lit(None).cast(history.schema[t].dataType))
-    both = rel.union_history_future(history, fut, keys + [d, t])
+    if spine is not None:
+        fut = spine.select(*keys, d).withColumn(t, F.lit(None).cast(history.schema[t].dataType))
+        both = rel.union_history_future(history, fut, keys + [d, t])
+        return rel.semi_join_keys_dates(build_features(both, spec, cfg), spine, keys, d)
+    both = extend_with_future(history, spec, horizon)
     feats = build_features(both, spec, cfg)
-    return rel.semi_join_keys_dates(feats, spine, keys, d)
+    last = F.max("__lastmark").over(win._pspec(keys))
+    return feats.withColumn("__last", last).filter(F.col(d) > F.col("__last")).drop("__last", "__lastmark")
 
 
 def carry_forward(df: DataFrame, spec: SeriesSpec, cols) -> DataFrame:
@@ -53,14 +79,12 @@ def forecast(model, history: DataFrame, spec: SeriesSpec, cfg: FeatureConfig, ho
 
 def _future_features(history, spec, cfg, horizon, input_cols):
     keys, d, t = list(spec.keys), spec.order_col, spec.value_col
-    spine = rel.future_spine(history, keys, d, horizon)
-    fut = spine.select(*keys, d).withColumn(t, F.lit(None).cast(history.schema[t].dataType))
-    both = rel.union_history_future(history, fut, keys + [d, t])
-    feats = build_features(both, spec, cfg)
+    feats = build_features(extend_with_future(history, spec, horizon), spec, cfg)
     fill = [c for c in (input_cols or []) if c.startswith(f"{t}_")]
     if fill:
         feats = win.fill_columns(feats, keys, d, fill, "ffill")
-    return rel.semi_join_keys_dates(feats, spine, keys, d)
+    last = F.max("__lastmark").over(win._pspec(keys))
+    return feats.withColumn("__last", last).filter(F.col(d) > F.col("__last")).drop("__last", "__lastmark")
 
 
 def history_and_forecast(history: DataFrame, fc: DataFrame, spec: SeriesSpec, tail: int = 365) -> DataFrame:
