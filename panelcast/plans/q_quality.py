@@ -154,3 +154,20 @@ def outlier_rows(spark, sf):
 
 
 __all__ = ["F"]
+
+
+@register("outliers_isolation_forest")
+def outliers_isolation_forest(spark, sf):
+    """1-D isolation forest per series (100 trees of <= 256 values, seed
+    42, contamination 0.1, mean-filled); rows only (seeded own sampling)."""
+    from panelcast.operators.isoforest import isolation_forest_outliers
+
+    return _r(isolation_forest_outliers(daily_sales(spark, sf), "sales", KEYS))
+
+
+@register("outlier_comparison_all")
+def outlier_comparison_all(spark, sf):
+    """J5 with all four methods including the isolation forest; rows only."""
+    methods = METHODS + ["isolation_forest"]
+    flagged = out.flag_all(daily_sales(spark, sf), "sales", KEYS, methods)
+    return out.method_comparison(flagged, methods, KEYS)
