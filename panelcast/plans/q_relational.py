@@ -172,3 +172,32 @@ def forecast_format(spark, sf):
 
 
 __all__ = ["round_cols"]
+
+
+@register("stream_ingest", DS + "SELECT date, store, item, sales FROM daily_sales")
+def stream_ingest(spark, sf):
+    """A3 as Structured Streaming: the panel is dropped as CSV upload files,
+    a file-source stream validates every micro-batch and appends valid rows
+    to the training table (rejects to their own table)."""
+    from panelcast.streaming.ingest import ingest_available
+
+    drop = io.scratch_table_path(spark, "uploads")
+    daily_sales(spark, sf).select(*[F.col(c).cast("string") for c in ["date", "store", "item", "sales"]]) \
+        .repartition(4).write.option("header", True).csv(drop)
+    return ingest_available(spark, drop, io.scratch_table_path(spark, "train_table"),
+                            io.scratch_table_path(spark, "rejects"))
+
+
+@register("forecast_csv_export", with_sql(DAILY_SALES_SQL, FUTURE_SQL) + """
+SELECT store, item, COUNT(*) AS n_rows, MIN(date) AS first_date, MAX(date) AS last_date FROM future GROUP BY store, item""")
+def forecast_csv_export(spark, sf):
+    """Future rows exported as CSV partitioned by (store, item), read back
+    and summarised per file partition (first and last date carry the range)."""
+    ds = daily_sales(spark, sf)
+    fut = rel.future_spine(ds, KEYS, "date", 90).withColumn("forecast", F.lit(0).cast("bigint"))
+    path = io.scratch_table_path(spark, "forecast_export")
+    io.write_csv(fut, path, partition_by=["store", "item"])
+    back = spark.read.option("header", True).csv(path)
+    return back.groupBy(F.col("store").cast("int").alias("store"), F.col("item")).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.min(F.to_date("date")).alias("first_date"),
+        F.max(F.to_date("date")).alias("last_date"))
