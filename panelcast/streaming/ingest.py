@@ -14,8 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from panelcast.session import scratch_path
-from panelcast.sources.io import REQUIRED_TRAIN_COLS, TRAIN_SCHEMA, ingest_gate
+from panelcast.sources.io import REQUIRED_TRAIN_COLS, TRAIN_SCHEMA, ingest_gate, scratch_table_path
 
 RAW_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in REQUIRED_TRAIN_COLS])
 
@@ -23,7 +22,8 @@ RAW_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in REQUIRED_TR
 def start_ingest(spark: SparkSession, source_dir: str, table_path: str, rejects_path: str,
                  checkpoint: str | None = None, trigger: str = "available_now", interval: str = "30 seconds"):
     """Start the ingest stream; returns the ``StreamingQuery``."""
-    checkpoint = checkpoint or scratch_path(spark, "ingest-checkpoint")
+    # a stream's checkpoint belongs to one source; pass the same path to resume
+    checkpoint = checkpoint or scratch_table_path(spark, "ingest-checkpoint")
     raw = (spark.readStream.schema(RAW_SCHEMA).option("header", True).option("mode", "PERMISSIVE")
            .option("maxFilesPerTrigger", 64).csv(source_dir))
 
