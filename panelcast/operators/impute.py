@@ -43,8 +43,17 @@ def mean_fill(df: DataFrame, cols, keys=()) -> DataFrame:
 
 
 def median_fill(df: DataFrame, cols, keys=()) -> DataFrame:
-    """Fill nulls with the exact median."""
-    return _fill_with(df, cols, keys, lambda x: F.percentile(x, 0.5))
+    """Fill nulls with the exact median (I3); a global median is rank-based
+    (bounded memory)."""
+    if keys:
+        return _fill_with(df, cols, keys, lambda x: F.percentile(x, 0.5))
+    from panelcast.operators.quantiles import attach_quantiles
+
+    out = df
+    for c in [c for c in cols if _is_numeric(df, c)]:
+        out = attach_quantiles(out, c, [0.5], [], out="__medq")
+        out = out.withColumn(c, F.coalesce(F.col(c).cast("double"), F.col("__medq")[0])).drop("__medq")
+    return out
 
 
 def mode_fill(df: DataFrame, cols, keys=()) -> DataFrame:

@@ -129,5 +129,8 @@ def isolation_forest_outliers(df: DataFrame, col: str, keys=(), contamination: f
     score quantile (exact)."""
     keys = list(keys)
     scored = isolation_forest_scores(df, col, keys, **kw)
-    q = with_group_stat(scored, keys, F.percentile("anomaly_score", 1.0 - contamination).alias("__thr"))
-    return q.withColumn(out, F.coalesce(F.col("anomaly_score") > F.col("__thr"), F.lit(False))).drop("__thr")
+    from panelcast.operators.quantiles import attach_quantiles
+
+    q = attach_quantiles(scored, "anomaly_score", [1.0 - contamination], keys, out="__thr")
+    flag = F.coalesce(F.col("anomaly_score") > F.col("__thr")[0], F.lit(False))
+    return q.withColumn(out, flag).drop("__thr")

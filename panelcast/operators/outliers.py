@@ -10,13 +10,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelcast.operators.quantiles import attach_quantiles
 from panelcast.operators.relational import with_group_stat
 
 
 def iqr_outliers(df: DataFrame, col: str, keys=(), k: float = 1.5, out: str = "is_outlier") -> DataFrame:
     """IQR rule (J1): x < Q1 - k*IQR or x > Q3 + k*IQR (strict)."""
     x = F.col(col).cast("double")
-    j = with_group_stat(df, list(keys), F.percentile(x, [0.25, 0.75]).alias("__q"))
+    j = attach_quantiles(df, x, [0.25, 0.75], list(keys))
     q1, q3 = F.col("__q")[0], F.col("__q")[1]
     lo, hi = q1 - k * (q3 - q1), q3 + k * (q3 - q1)
     j = j.withColumn("lower_bound", lo).withColumn("upper_bound", hi)
@@ -42,8 +43,9 @@ def modified_zscore_outliers(df: DataFrame, col: str, keys=(), threshold: float
         raise ValueError("threshold must be within [2.0, 4.0]")
     keys = list(keys)
     x = F.col(col).cast("double")
-    j = with_group_stat(df, keys, F.percentile(x, 0.5).alias("__med"))
-    j = with_group_stat(j, keys, F.percentile(F.abs(x - F.col("__med")), 0.5).alias("__mad"))
+    j = attach_quantiles(df, x, [0.5], keys, out="__medq").withColumn("__med", F.col("__medq")[0]).drop("__medq")
+    j = attach_quantiles(j, F.abs(x - F.col("__med")), [0.5], keys, out="__madq") \
+        .withColumn("__mad", F.col("__madq")[0]).drop("__madq")
     dev = F.abs(F.lit(0.6745) * (x - F.col("__med")))
     flagged = F.when(F.col("__mad") == 0, x != F.col("__med")).otherwise(dev / F.col("__mad") > threshold)
     score = F.when(F.col("__mad") != 0, dev / F.col("__mad"))

@@ -37,6 +37,19 @@ def quantiles(x: Column, probs, approx: bool = False, accuracy: int = 100_000) -
     return F.percentile(x, list(probs))
 
 
+def _with_quantiles(wide: DataFrame, df: DataFrame, cols_probs, keys, approx: bool) -> DataFrame:
+    """Attach quantile arrays ``name -> (column expr, probs)`` to the
+    aggregated ``wide`` frame: inline for keyed groups, rank-based (bounded
+    memory, exact) for a global group."""
+    if keys or approx:
+        return wide
+    from panelcast.operators.quantiles import quantile_table
+
+    for name, (x, probs) in cols_probs.items():
+        wide = wide.crossJoin(F.broadcast(quantile_table(df, x, probs, [], out=name)))
+    return wide
+
+
 # ---------------------------------------------------------------- D1, D2, D7, D8, D16
 
 def overview(df: DataFrame, date_col: str | None = "date", keys=()) -> DataFrame:
@@ -100,13 +113,15 @@ def stage_counts(stages: dict[str, DataFrame]) -> DataFrame:
 def describe(df: DataFrame, cols, keys=(), approx: bool = False) -> DataFrame:
     """Describe (D3/D4): count, mean, std (n-1), min, 25/50/75 %, max, one row
     per (keys, feature)."""
-    aggs = []
+    aggs, qs = [], {}
     for i, c in enumerate(cols):
         x = F.col(c).cast("double")
         aggs += [F.count(x).alias(f"c{i}"), F.avg(x).alias(f"m{i}"), F.stddev_samp(x).alias(f"s{i}"),
-                 F.min(x).alias(f"lo{i}"), quantiles(x, [0.25, 0.5, 0.75], approx).alias(f"q{i}"),
-                 F.max(x).alias(f"hi{i}")]
-    wide = _grouped(df, list(keys), *aggs)
+                 F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
+        if keys or approx:
+            aggs.append(quantiles(x, [0.25, 0.5, 0.75], approx).alias(f"q{i}"))
+        qs[f"q{i}"] = (x, [0.25, 0.5, 0.75])
+    wide = _with_quantiles(_grouped(df, list(keys), *aggs), df, qs, list(keys), approx)
     structs = [F.struct(F.lit(c).alias("feature"), F.col(f"c{i}").cast("bigint").alias("count"),
                         F.col(f"m{i}").alias("mean"), F.col(f"s{i}").alias("std"),
                         F.col(f"lo{i}").alias("min"), F.col(f"q{i}")[0].alias("p25"),
@@ -119,10 +134,13 @@ def moments(df: DataFrame, col: str, keys=(), approx: bool = False) -> DataFrame
     """Extended moments (D5): mean, median, std, variance, skewness and
     excess kurtosis (biased, as SciPy's defaults)."""
     x = F.col(col).cast("double")
-    return _grouped(df, list(keys),
-                    F.avg(x).alias("mean"), quantiles(x, [0.5], approx)[0].alias("median"),
-                    F.stddev_samp(x).alias("std"), F.var_samp(x).alias("variance"),
-                    F.skewness(x).alias("skewness"), F.kurtosis(x).alias("kurtosis"))
+    keyed = bool(keys) or approx
+    aggs = [F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.var_samp(x).alias("variance"),
+            F.skewness(x).alias("skewness"), F.kurtosis(x).alias("kurtosis")]
+    if keyed:
+        aggs.append(quantiles(x, [0.5], approx).alias("__med"))
+    out = _with_quantiles(_grouped(df, list(keys), *aggs), df, {"__med": (x, [0.5])}, list(keys), approx)
+    return out.select(*keys, "mean", F.col("__med")[0].alias("median"), "std", "variance", "skewness", "kurtosis")
 
 
 PCTS = [5, 10, 25, 50, 75, 90, 95]
@@ -131,7 +149,12 @@ PCTS = [5, 10, 25, 50, 75, 90, 95]
 def percentile_set(df: DataFrame, col: str, keys=(), approx: bool = False) -> DataFrame:
     """Percentiles 5, 10, 25, 50, 75, 90, 95 (D6), linear interpolation."""
     x = F.col(col).cast("double")
-    out = _grouped(df, list(keys), quantiles(x, [p / 100 for p in PCTS], approx).alias("__q"))
+    probs = [p / 100 for p in PCTS]
+    if keys or approx:
+        out = _grouped(df, list(keys), quantiles(x, probs, approx).alias("__q"))
+    else:
+        from panelcast.operators.quantiles import quantile_table
+        out = quantile_table(df, x, probs, [])
     return out.select(*keys, *[F.col("__q")[i].alias(f"p{p}") for i, p in enumerate(PCTS)])
 
 
@@ -194,7 +217,11 @@ def box_summary(df: DataFrame, col: str, keys=(), approx: bool = False) -> DataF
     extreme values inside the fences, number of points outside."""
     keys = list(keys)
     x = F.col(col).cast("double")
-    q = _grouped(df, keys, quantiles(x, [0.25, 0.5, 0.75], approx).alias("__q"))
+    if keys or approx:
+        q = _grouped(df, keys, quantiles(x, [0.25, 0.5, 0.75], approx).alias("__q"))
+    else:
+        from panelcast.operators.quantiles import quantile_table
+        q = quantile_table(df, x, [0.25, 0.5, 0.75], [])
     q = q.select(*keys, F.col("__q")[0].alias("q1"), F.col("__q")[1].alias("median"), F.col("__q")[2].alias("q3"))
     q = q.withColumn("iqr", F.col("q3") - F.col("q1")) \
         .withColumn("lower_fence", F.col("q1") - 1.5 * F.col("iqr")) \
