@@ -112,22 +112,30 @@ def stage_counts(stages: dict[str, DataFrame]) -> DataFrame:
 
 def describe(df: DataFrame, cols, keys=(), approx: bool = False) -> DataFrame:
     """Describe (D3/D4): count, mean, std (n-1), min, 25/50/75 %, max, one row
-    per (keys, feature)."""
-    aggs, qs = [], {}
+    per (keys, feature).  A global describe takes its quartiles from one
+    rank pass over all columns (bounded memory, exact)."""
+    keys = list(keys)
+    keyed = bool(keys) or approx
+    aggs = []
     for i, c in enumerate(cols):
         x = F.col(c).cast("double")
         aggs += [F.count(x).alias(f"c{i}"), F.avg(x).alias(f"m{i}"), F.stddev_samp(x).alias(f"s{i}"),
                  F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
-        if keys or approx:
+        if keyed:
             aggs.append(quantiles(x, [0.25, 0.5, 0.75], approx).alias(f"q{i}"))
-        qs[f"q{i}"] = (x, [0.25, 0.5, 0.75])
-    wide = _with_quantiles(_grouped(df, list(keys), *aggs), df, qs, list(keys), approx)
+    wide = _grouped(df, keys, *aggs)
+    qcol = (lambda i: F.col(f"q{i}")) if keyed else (lambda i: F.lit(None).cast("array<double>"))
     structs = [F.struct(F.lit(c).alias("feature"), F.col(f"c{i}").cast("bigint").alias("count"),
                         F.col(f"m{i}").alias("mean"), F.col(f"s{i}").alias("std"),
-                        F.col(f"lo{i}").alias("min"), F.col(f"q{i}")[0].alias("p25"),
-                        F.col(f"q{i}")[1].alias("p50"), F.col(f"q{i}")[2].alias("p75"),
+                        F.col(f"lo{i}").alias("min"), qcol(i).alias("__q"),
                         F.col(f"hi{i}").alias("max")) for i, c in enumerate(cols)]
-    return wide.select(*keys, F.explode(F.array(*structs)).alias("s")).select(*keys, "s.*")
+    long = wide.select(*keys, F.explode(F.array(*structs)).alias("s")).select(*keys, "s.*")
+    if not keyed:
+        from panelcast.operators.quantiles import multi_column_quantiles
+
+        long = long.drop("__q").join(multi_column_quantiles(df, cols, [0.25, 0.5, 0.75]), "feature", "left")
+    return long.select(*keys, "feature", "count", "mean", "std", "min", F.col("__q")[0].alias("p25"),
+                       F.col("__q")[1].alias("p50"), F.col("__q")[2].alias("p75"), "max")
 
 
 def moments(df: DataFrame, col: str, keys=(), approx: bool = False) -> DataFrame:

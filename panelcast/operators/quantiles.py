@@ -39,6 +39,38 @@ def _sorted_quantiles(df: DataFrame, x: Column, probs) -> DataFrame:
         .select(F.transform("__s", lambda s: s["__v"]).alias("__q"))
 
 
+def multi_column_quantiles(df: DataFrame, cols, probs) -> DataFrame:
+    """Exact global quantiles of several columns with one rank pass: the
+    columns are unpivoted to (feature, value), sorted once by (feature,
+    value); the rank inside a feature is the global rank minus the number of
+    values of the earlier features.  Returns (feature, __q)."""
+    from panelcast.plans.validation import global_row_index
+
+    probs = [float(p) for p in probs]
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("__f"), F.col(c).cast("double").alias("__x"))
+                                         for i, c in enumerate(cols)])).alias("__s")).select("__s.*")
+    long = long.filter(F.col("__x").isNotNull())
+    idx = global_row_index(long, ["__f", "__x"], out="__g")
+    counts = idx.groupBy("__f").agg(F.count(F.lit(1)).alias("__n"))
+    from pyspark.sql import Window
+    counts = counts.withColumn("__off", F.coalesce(F.sum("__n").over(
+        Window.orderBy("__f").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    targets = counts.select("__f", "__n", "__off",
+                            F.posexplode(F.array(*[F.lit(p) for p in probs])).alias("__i", "__p"))
+    targets = targets.withColumn("__pos", F.col("__p") * (F.col("__n") - 1))
+    ends = targets.select(F.col("__f").alias("__ef"), "__i", "__pos", F.explode(F.array(
+        F.floor("__pos") + F.col("__off"), F.ceil("__pos") + F.col("__off"))).alias("__at"))
+    # at most 2 x len(probs) x len(cols) rows: a proven-small broadcast
+    picked = idx.join(F.broadcast(ends), (F.col("__g") == F.col("__at")) & (F.col("__f") == F.col("__ef")))
+    per = picked.groupBy("__f", "__i").agg(F.first("__pos").alias("__pos"), F.min_by("__x", "__at").alias("__lo"),
+                                           F.max_by("__x", "__at").alias("__hi"))
+    per = per.select("__f", "__i", (F.col("__lo") + (F.col("__hi") - F.col("__lo")) *
+                                    (F.col("__pos") - F.floor("__pos"))).alias("__v"))
+    names = F.create_map(*[x for i, c in enumerate(cols) for x in (F.lit(i), F.lit(c))])
+    arr = per.groupBy("__f").agg(F.array_sort(F.collect_list(F.struct("__i", "__v"))).alias("__s"))
+    return arr.select(names[F.col("__f")].alias("feature"), F.transform("__s", lambda s: s["__v"]).alias("__q"))
+
+
 def quantile_table(df: DataFrame, x, probs, keys=(), method: str = "auto", out: str = "__q") -> DataFrame:
     """One row per key (or one row) with ``out`` = array of quantiles."""
     keys = list(keys)
