@@ -94,7 +94,11 @@ def shapiro_wilk(df: DataFrame, value: str, order_col: str, keys=(), max_n: int
     keys = list(keys)
     x = F.col(value).cast("double")
     nn = df.filter(x.isNotNull()).select(*keys, order_col, x.alias("__x"))
-    nn = nn.withColumn("__o", F.row_number().over(_w(keys, order_col))).filter(F.col("__o") <= max_n)
+    if keys:
+        nn = nn.withColumn("__o", F.row_number().over(_w(keys, order_col))).filter(F.col("__o") <= max_n)
+    else:
+        # one series: an ordered top-k (bounded per partition), not a whole-table window
+        nn = nn.orderBy(order_col).limit(max_n)
     nn = nn.withColumn("__i", F.row_number().over(_w(keys, "__x")))
     nn = with_group_stat(nn, keys, F.count(F.lit(1)).alias("__n"))
     n = F.col("__n").cast("double")

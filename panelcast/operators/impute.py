@@ -57,8 +57,19 @@ def median_fill(df: DataFrame, cols, keys=()) -> DataFrame:
 
 
 def mode_fill(df: DataFrame, cols, keys=()) -> DataFrame:
-    """Fill nulls with the most frequent value, smallest on ties (I4)."""
-    return _fill_with(df, cols, keys, lambda x: F.mode(x, deterministic=True))
+    """Fill nulls with the most frequent value, smallest on ties (I4).  A
+    global mode is a distributed count per value and an ordered top-1 (no
+    single value->count map)."""
+    if keys:
+        return _fill_with(df, cols, keys, lambda x: F.mode(x, deterministic=True))
+    out = df
+    for c in [c for c in cols if _is_numeric(df, c)]:
+        x = F.col(c).cast("double")
+        counts = df.filter(x.isNotNull()).groupBy(x.alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
+        top = counts.orderBy(F.col("__c").desc(), F.col("__v").asc()).limit(1).select(F.col("__v").alias("__mode"))
+        one = df.sparkSession.range(1).join(top, F.lit(True), "left").drop("id")   # exactly one row
+        out = out.crossJoin(F.broadcast(one)).withColumn(c, F.coalesce(x, F.col("__mode"))).drop("__mode")
+    return out
 
 
 def impute(df: DataFrame, col: str, method: str, keys=(), order_col: str = "date") -> DataFrame:

@@ -62,7 +62,7 @@ def _grow(values: np.ndarray, rng: np.random.Generator, limit: int):
 
 
 def isolation_forest_scores(df: DataFrame, col: str, keys=(), n_trees: int = 100, sample_size: int = 256,
-                            seed: int = 42, out: str = "anomaly_score") -> DataFrame:
+                            seed: int = 42, out: str = "anomaly_score", global_scoring: str = "lookup") -> DataFrame:
     keys = list(keys)
     x = F.col(col).cast("double")
     base = with_group_stat(df, keys, F.avg(x).alias("__mu"), F.count(F.lit(1)).alias("__n"))
@@ -107,6 +107,8 @@ def isolation_forest_scores(df: DataFrame, col: str, keys=(), n_trees: int = 100
     jumps = steps.filter(F.col("__b") > float("-inf")).select(*keys, F.col("__b").alias("__v"),
                                                               (F.col("__delta") / n_trees).alias("__d"),
                                                               F.lit(1).alias("__kind"))
+    if not keys and global_scoring == "lookup":
+        return _score_global(base, steps, bases, n_trees, out, df.columns)
     row_type = T.StructType(list(df.schema.fields))
     jumps = jumps.withColumn("__row", F.lit(None).cast(row_type))
     pts = base.select(*keys, F.col("__xf").alias("__v"), F.lit(0.0).alias("__d"), F.lit(0).alias("__kind"),
@@ -123,6 +125,36 @@ def isolation_forest_scores(df: DataFrame, col: str, keys=(), n_trees: int = 100
     return scored.select("__row.*", score.alias(out))
 
 
+def _score_global(base: DataFrame, steps: DataFrame, bases: DataFrame, n_trees: int, out: str,
+                  cols) -> DataFrame:
+    """One global forest: its step function has at most n_trees x
+    (sample_size - 1) breakpoints (a model-sized table), so it is collected,
+    turned into Bucketizer splits and a small broadcast lookup; rows are
+    scored by a JVM binary search, no whole-table sort."""
+    from pyspark.ml.feature import Bucketizer
+
+    spark = base.sparkSession
+    jumps = steps.filter(F.col("__b") > float("-inf")).groupBy("__b") \
+        .agg((F.sum("__delta") / n_trees).alias("__d")).orderBy("__b").collect()
+    head = bases.first()
+    h0, psi = float(head["__h0"] or 0.0), int(head["__psi"] or 1)
+    b = [float(r["__b"]) for r in jumps]
+    cum = [0.0]
+    for r in jumps:
+        cum.append(cum[-1] + float(r["__d"]))
+    m = len(b)
+    # bucket k of -x  <->  exactly m - k split points lie strictly below x
+    splits = [float("-inf")] + [-v for v in reversed(b)] + [float("inf")]
+    lookup = spark.createDataFrame([(k, h0 + cum[m - k]) for k in range(m + 1)], "__k INT, __eh DOUBLE")
+    neg = base.withColumn("__negx", -F.col("__xf"))
+    bucket = Bucketizer(splits=splits, inputCol="__negx", outputCol="__kb", handleInvalid="keep").transform(neg)
+    bucket = bucket.withColumn("__k", F.col("__kb").cast("int"))
+    scored = bucket.join(F.broadcast(lookup), "__k", "left")
+    cpsi = 1.0 if psi <= 2 else c_factor(psi)
+    score = F.pow(F.lit(2.0), -F.col("__eh") / cpsi)
+    return scored.select(*cols, score.alias(out))
+
+
 def isolation_forest_outliers(df: DataFrame, col: str, keys=(), contamination: float = 0.1,
                               out: str = "is_outlier", **kw) -> DataFrame:
     """Flag rows whose anomaly score exceeds the series' (1 - contamination)

@@ -271,12 +271,20 @@ def qq_points(df: DataFrame, col: str, keys=()) -> DataFrame:
 
     keys = list(keys)
     x = F.col(col).cast("double")
-    vals = df.filter(x.isNotNull()).groupBy(*keys, x.alias("value")).agg(F.count(F.lit(1)).alias("__c"))
-    w = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy("value")
-    vals = vals.withColumn("__end", F.sum("__c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    vals = vals.withColumn("__n", F.sum("__c").over(Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))))
-    ranks = vals.select(*keys, "value", "__n",
-                        F.explode(F.sequence(F.col("__end") - F.col("__c") + 1, F.col("__end"))).alias("rank"))
+    if not keys:
+        # one global ranking: range-partitioned sort + partition offsets
+        from panelcast.plans.validation import global_row_index
+
+        idx = global_row_index(df.filter(x.isNotNull()).select(x.alias("value")), ["value"], out="__r")
+        ranks = idx.crossJoin(F.broadcast(idx.agg(F.count(F.lit(1)).alias("__n")))) \
+            .select("value", "__n", (F.col("__r") + 1).alias("rank"))
+    else:
+        vals = df.filter(x.isNotNull()).groupBy(*keys, x.alias("value")).agg(F.count(F.lit(1)).alias("__c"))
+        w = Window.partitionBy(*keys).orderBy("value")
+        vals = vals.withColumn("__end", F.sum("__c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        vals = vals.withColumn("__n", F.sum("__c").over(Window.partitionBy(*keys)))
+        ranks = vals.select(*keys, "value", "__n",
+                            F.explode(F.sequence(F.col("__end") - F.col("__c") + 1, F.col("__end"))).alias("rank"))
     n = F.col("__n").cast("double")
     i = F.col("rank").cast("double")
     pos = (F.when(F.col("rank") == 1, 1 - F.pow(F.lit(0.5), 1 / n))

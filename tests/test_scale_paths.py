@@ -65,3 +65,40 @@ def test_streaming_ingest_gate(spark):
     time.sleep(1)
     out2 = ingest_available(spark, src, table, rejects, checkpoint=ckpt)
     assert out2.count() == 2
+
+
+def test_isolation_forest_global_lookup_equals_window(spark):
+    from panelcast.operators.isoforest import isolation_forest_scores
+
+    rng = np.random.default_rng(3)
+    v = rng.normal(0, 1, 3000)
+    v[:10] = 7.0
+    df = spark.createDataFrame([(i, float(x)) for i, x in enumerate(v)], "t INT, v DOUBLE")
+    a = isolation_forest_scores(df, "v", [], global_scoring="lookup").toPandas().sort_values("t")
+    b = isolation_forest_scores(df, "v", [], global_scoring="window").toPandas().sort_values("t")
+    assert np.allclose(a.anomaly_score.to_numpy(), b.anomaly_score.to_numpy(), rtol=1e-12)
+
+
+def test_global_paths_match_keyed_single_series(spark):
+    """keys=[] paths (ordered top-k, global rank, distributed mode) give the
+    same answer as the keyed paths on a single series."""
+    from pyspark.sql import functions as F
+
+    from panelcast.operators.diagnostics import shapiro_wilk
+    from panelcast.operators.impute import mode_fill
+    from panelcast.operators.profile import qq_points
+
+    rng = np.random.default_rng(4)
+    rows = [(0, i, float(v) if i % 17 else None) for i, v in enumerate(rng.integers(0, 9, 600))]
+    df = spark.createDataFrame(rows, "k INT, t INT, v DOUBLE")
+    g = shapiro_wilk(df, "v", "t", [], max_n=300).first()
+    k = shapiro_wilk(df, "v", "t", ["k"], max_n=300).first()
+    assert g["n"] == k["n"] == 300 and abs(g["shapiro_stat"] - k["shapiro_stat"]) < 1e-12
+    qg = qq_points(df, "v", []).orderBy("rank").toPandas()
+    qk = qq_points(df, "v", ["k"]).orderBy("rank").toPandas()
+    assert np.allclose(qg.theoretical, qk.theoretical) and (qg.value.to_numpy() == qk.value.to_numpy()).all()
+    mg = mode_fill(df, ["v"]).filter(F.col("t") == 0).first()["v"]
+    mk = mode_fill(df, ["v"], ["k"]).filter(F.col("t") == 0).first()["v"]
+    assert mg == mk
+    empty = mode_fill(df.filter("v > 100"), ["v"])
+    assert empty.count() == 0 and "v" in empty.columns
