@@ -209,3 +209,16 @@ def kde_density(spark, sf):
 def qq_points(spark, sf):
     """Normal Q-Q points per series (no DuckDB inverse normal: rows only)."""
     return _r(prof.qq_points(daily_sales(spark, sf), "sales", KEYS))
+
+
+@register("stage_counts", DS + """SELECT 'lineitem' AS stage, CAST(COUNT(*) AS BIGINT) AS rows FROM lineitem
+UNION ALL SELECT 'daily_panel', CAST(COUNT(*) AS BIGINT) FROM daily_sales
+UNION ALL SELECT 'features_complete', CAST(COUNT(*) AS BIGINT) FROM (
+  SELECT lag(sales, 28) OVER (PARTITION BY store, item ORDER BY date) AS l28 FROM daily_sales) WHERE l28 IS NOT NULL""")
+def stage_counts(spark, sf):
+    """Row counts by stage (fact rows, daily panel, complete feature rows)."""
+    from panelcast.operators import windows as win
+
+    ds = daily_sales(spark, sf)
+    feats = win.lag_features(ds, KEYS, "date", "sales", [28]).na.drop(subset=["sales_lag_28"])
+    return prof.stage_counts({"lineitem": table(spark, sf, "lineitem"), "daily_panel": ds, "features_complete": feats})

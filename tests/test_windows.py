@@ -106,3 +106,34 @@ def test_zero_base_ratio_is_null(spark):
     assert out[1]["v_ratio_1"] is None          # 1 / 0 -> null, not inf
     assert out[5]["v_ratio_1"] is None          # 0 / 0 -> null
     assert out[4]["v_ratio_1"] == 0.0
+
+
+def test_keyed_equals_union_of_single_series_and_partition_invariance(spark):
+    from panelcast.operators.ewm import ewm_features
+
+    pdf = _panel(n=200, keys=4)
+    df = _spark(spark, pdf)
+
+    def build(d, keys):
+        f = win.shifted_rolling(d, keys, "t", "v", [5, 30], ["mean", "std", "min", "max"])
+        f = win.lag_features(f, keys, "t", "v", [3])
+        return ewm_features(f, keys, "t", "v", [7])
+
+    full = build(df, ["k"]).toPandas().sort_values(["k", "t"]).reset_index(drop=True)
+    parts = [build(df.filter(f"k = {k}"), []).toPandas() for k in range(4)]
+    union = pd.concat(parts).sort_values(["k", "t"]).reset_index(drop=True)
+    for c in full.columns:
+        _close(full[c].astype(float), union[c].astype(float), 1e-9)
+    shuffled = build(df.repartition(7, "t"), ["k"]).toPandas().sort_values(["k", "t"]).reset_index(drop=True)
+    one = build(df.coalesce(1), ["k"]).toPandas().sort_values(["k", "t"]).reset_index(drop=True)
+    for c in full.columns:
+        _close(full[c].astype(float), shuffled[c].astype(float), 1e-9)
+        _close(full[c].astype(float), one[c].astype(float), 1e-9)
+
+
+def test_forecast_alignment_raises(spark):
+    from panelcast.plans.forecast import align_columns
+
+    df = spark.createDataFrame([(1, 2.0)], "a INT, b DOUBLE")
+    with pytest.raises(ValueError, match="c"):
+        align_columns(df, ["a", "c"])
