@@ -185,7 +185,9 @@ def frame_stats(df: DataFrame, keys, order_col: str, value: str, specs: list[Fra
     # rows-in-frame counts are needed for the ``count`` aggregate's validity
     if pref or blk:
         run = w.rowsBetween(UNB, 0)
-        centre = F.avg(x).over(_pspec(keys))
+        # a rounded centre keeps every partial sum exact for integer data
+        # (counts, quantities): constant windows then give exactly 0 variance
+        centre = F.round(F.avg(x).over(_pspec(keys)))
         out = out.select("*", centre.alias("__c"))
         y = x - F.col("__c")
         out = out.select(

@@ -20,10 +20,28 @@ def build_features(df: DataFrame, spec: SeriesSpec, cfg: FeatureConfig) -> DataF
     if cfg.date_features:
         out = cal.date_features(out, order, cyclical_features=cfg.cyclical, holidays=cfg.holidays,
                                 business=cfg.business)
-    if cfg.create_lags and cfg.lags:
-        out = win.lag_features(out, keys, order, t, cfg.lags, fill=cfg.lag_fill)
-    if cfg.create_rolling and cfg.rolling_windows:
-        out = win.shifted_rolling(out, keys, order, t, cfg.rolling_windows, cfg.rolling_aggs, fill=cfg.rolling_fill)
+    lags = cfg.lags if cfg.create_lags else []
+    windows = cfg.rolling_windows if cfg.create_rolling else []
+
+    def bounded(d, k, o):
+        if lags:
+            d = win.lag_features(d, k, o, t, lags)
+        if windows:
+            d = win.shifted_rolling(d, k, o, t, windows, cfg.rolling_aggs)
+        return d
+
+    if cfg.split_rows and (lags or windows):
+        from panelcast.operators.longseries import chunked, lookback_of
+
+        out = chunked(out, keys, order, bounded, lookback_of(lags, windows), 0, cfg.split_rows)
+    else:
+        out = bounded(out, keys, order)
+    # fills look back without bound: run on whole series
+    if lags and cfg.lag_fill:
+        out = win.fill_columns(out, keys, order, [f"{t}_lag_{k}" for k in lags], cfg.lag_fill)
+    if windows and cfg.rolling_fill:
+        names = [f"{t}_roll_{a}_{n}d" for n in windows for a in cfg.rolling_aggs if a in win.KNOWN_AGGS]
+        out = win.fill_columns(out, keys, order, names, cfg.rolling_fill)
     if cfg.create_ewm and cfg.ewm_spans:
         from panelcast.operators.ewm import ewm_features
 

@@ -200,6 +200,14 @@ def feature_build_default(spark, sf):
     return _r(f)
 
 
+@register("feature_build_split", _build_sql())
+def feature_build_split(spark, sf):
+    """E16 with long-series splitting: lag/rolling windows on chunks of
+    10,000 rows with look-back halos (same result as the default build)."""
+    cfg = FeatureConfig(split_rows=10_000)
+    return _r(build_features(daily_sales(spark, sf), SeriesSpec(), cfg))
+
+
 def _time_sql():
     d = "date"
     cols = [

@@ -137,3 +137,24 @@ def test_forecast_alignment_raises(spark):
     df = spark.createDataFrame([(1, 2.0)], "a INT, b DOUBLE")
     with pytest.raises(ValueError, match="c"):
         align_columns(df, ["a", "c"])
+
+
+def test_chunked_long_series_equals_plain(spark):
+    from panelcast.operators.longseries import chunked, lookback_of
+
+    pdf = _panel(n=300, keys=3)
+    df = _spark(spark, pdf)
+
+    def build(d, keys, order):
+        f = win.lag_features(d, keys, order, "v", [1, 9])
+        f = win.shifted_rolling(f, keys, order, "v", [4, 20], ["mean", "std", "min", "max", "count"])
+        f = win.trailing_rolling(f, keys, order, "v", [7], ["mean", "max"])
+        return win.centered_mean(f, keys, order, "v", 7, "trend")
+
+    plain = build(df, ["k"], "t").toPandas().sort_values(["k", "t"]).reset_index(drop=True)
+    lb = lookback_of([1, 9], [4, 20])
+    split = chunked(df, ["k"], "t", build, lookback=lb, lookahead=3, chunk_rows=64)
+    split = split.toPandas().sort_values(["k", "t"]).reset_index(drop=True)
+    assert len(split) == len(plain)
+    for c in plain.columns:
+        _close(plain[c].astype(float), split[c].astype(float), 1e-9)
