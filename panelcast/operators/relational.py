@@ -130,3 +130,10 @@ def future_spine(df: DataFrame, keys: list[str], date_col: str = "date", horizon
         *keys,
         F.explode(F.sequence(F.date_add("__last", 1), F.date_add("__last", horizon))).alias(date_col),
     )
+
+
+def grain_violations(df: DataFrame, keys, date_col: str = "date") -> DataFrame:
+    """Panel grain check: (keys, date) pairs that occur more than once, with
+    their count.  A daily panel has one row per key and day, which is what
+    bounds every per-series window partition by the calendar."""
+    return df.groupBy(*keys, date_col).agg(F.count(F.lit(1)).alias("n_rows")).filter(F.col("n_rows") > 1)

@@ -201,3 +201,35 @@ def forecast_csv_export(spark, sf):
     return back.groupBy(F.col("store").cast("int").alias("store"), F.col("item")).agg(
         F.count(F.lit(1)).alias("n_rows"), F.min(F.to_date("date")).alias("first_date"),
         F.max(F.to_date("date")).alias("last_date"))
+
+
+@register("grain_check", with_sql(DAILY_SALES_SQL) + """SELECT store, item, date, COUNT(*) AS n_rows FROM (
+  SELECT store, item, date FROM daily_sales UNION ALL
+  SELECT CAST(n_regionkey AS INTEGER), p_type, CAST(l_shipdate AS DATE)
+  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey
+  JOIN part ON l_partkey = p_partkey WHERE l_linenumber = 1)
+GROUP BY store, item, date HAVING COUNT(*) > 1""")
+def grain_check(spark, sf):
+    """Panel grain rule: (store, item, date) pairs seen more than once when
+    the daily panel is stacked with the first order lines of the same keys
+    (the panel alone has none)."""
+    from panelcast.sources.tables import table
+
+    ds = daily_sales(spark, sf).select("store", "item", "date")
+    li = table(spark, sf, "lineitem").filter(F.col("l_linenumber") == 1)
+    sup, nat, part = table(spark, sf, "supplier"), table(spark, sf, "nation"), table(spark, sf, "part")
+    first = li.join(sup, li.l_suppkey == sup.s_suppkey).join(F.broadcast(nat), F.col("s_nationkey") == nat.n_nationkey) \
+        .join(part, li.l_partkey == part.p_partkey) \
+        .select(F.col("n_regionkey").cast("int").alias("store"), F.col("p_type").alias("item"),
+                F.to_date("l_shipdate").alias("date"))
+    return rel.grain_violations(ds.unionByName(first), KEYS, "date")
+
+
+@register("partitioned_panel_pruning", DS + "SELECT store, item, date, sales FROM daily_sales WHERE store = 2")
+def partitioned_panel_pruning(spark, sf):
+    """A7 / partition pruning: the panel written as parquet partitioned by
+    store; a store filter reads only that partition directory."""
+    path = io.scratch_table_path(spark, "panel_by_store")
+    io.write_table(daily_sales(spark, sf), path, partition_by=["store"])
+    panel = io.load_panel_parquet(spark, path)
+    return panel.filter(F.col("store") == 2).select("store", "item", "date", "sales")
