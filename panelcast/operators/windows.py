@@ -203,13 +203,17 @@ def frame_stats(df: DataFrame, keys, order_col: str, value: str, specs: list[Fra
         # power-of-two doubling table on the existing order: M_k(i) = extreme
         # over rows [i - 2^k + 1, i]; one lag per level, no re-sort
         top = max(s.length for s in blk).bit_length() - 1
-        for agg in sorted({s.agg for s in blk}):
-            pick = F.greatest if agg == "max" else F.least
-            out = out.withColumn(f"__m{agg}0", x)
-            for k in range(1, top + 1):
+        aggs_needed = sorted({s.agg for s in blk})
+        out = out.select("*", *[x.alias(f"__m{agg}0") for agg in aggs_needed])
+        for k in range(1, top + 1):
+            # one window operator per level for all aggregates
+            level = []
+            for agg in aggs_needed:
+                pick = F.greatest if agg == "max" else F.least
                 prev = F.col(f"__m{agg}{k - 1}")
-                out = out.withColumn(f"__m{agg}{k}", pick(prev, F.lag(prev, 1 << (k - 1)).over(w)))
-            tmp += [f"__m{agg}{k}" for k in range(top + 1)]
+                level.append(pick(prev, F.lag(prev, 1 << (k - 1)).over(w)).alias(f"__m{agg}{k}"))
+            out = out.select("*", *level)
+        tmp += [f"__m{agg}{k}" for agg in aggs_needed for k in range(top + 1)]
 
     for s in plain:
         fw = w.rowsBetween(s.start, s.end)
