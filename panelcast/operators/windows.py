@@ -9,7 +9,7 @@ for calendar offsets.
 Rolling frames.  Spark re-aggregates a sliding ROWS frame for every row, so a
 frame of ``n`` rows costs O(n) per row.  The default ``method="prefix"``
 computes sum/count/mean/var/std from differences of running (centred) sums
-(O(1) per row whatever the window length) and min/max from a power-of-two
+(O(1) per row whatever the window length) and min/max from a base-4
 doubling table built with lags on the same sort order (O(log w) per row, no
 extra sort or shuffle).  ``method="frame"`` uses plain frames (median, skew,
 kurt always do).
@@ -202,16 +202,20 @@ def frame_stats(df: DataFrame, keys, order_col: str, value: str, specs: list[Fra
     if blk:
         # power-of-two doubling table on the existing order: M_k(i) = extreme
         # over rows [i - 2^k + 1, i]; one lag per level, no re-sort
-        top = max(s.length for s in blk).bit_length() - 1
+        # base-4 table: M_k(i) = extreme over rows [i - 4^k + 1, i]; level k
+        # combines four level-(k-1) values, one window operator per level
+        top = 0
+        while 4 ** (top + 1) <= max(s.length for s in blk):
+            top += 1
         aggs_needed = sorted({s.agg for s in blk})
         out = out.select("*", *[x.alias(f"__m{agg}0") for agg in aggs_needed])
         for k in range(1, top + 1):
-            # one window operator per level for all aggregates
             level = []
+            step = 4 ** (k - 1)
             for agg in aggs_needed:
                 pick = F.greatest if agg == "max" else F.least
                 prev = F.col(f"__m{agg}{k - 1}")
-                level.append(pick(prev, F.lag(prev, 1 << (k - 1)).over(w)).alias(f"__m{agg}{k}"))
+                level.append(pick(prev, *[F.lag(prev, j * step).over(w) for j in (1, 2, 3)]).alias(f"__m{agg}{k}"))
             out = out.select("*", *level)
         tmp += [f"__m{agg}{k}" for agg in aggs_needed for k in range(top + 1)]
 
@@ -247,11 +251,17 @@ def frame_stats(df: DataFrame, keys, order_col: str, value: str, specs: list[Fra
 
     for s in blk:
         L = s.length
-        k = L.bit_length() - 1
+        k = 0
+        while 4 ** (k + 1) <= L:
+            k += 1
+        size = 4 ** k
         pick = F.greatest if s.agg == "max" else F.least
         m = F.col(f"__m{s.agg}{k}")
-        # frame [t+start, t+end] = M_k(t+end) combined with M_k(t+start+2^k-1)
-        val = pick(_lagged(m, -s.end, w), _lagged(m, -(s.start + (1 << k) - 1), w))
+        # frame [t+start, t+end] covered by <= 4 blocks of ``size`` rows: blocks
+        # ending at t+end, t+end-size, ... and the block starting at t+start
+        ends = [-s.end + j * size for j in range(4) if -s.end + j * size < -s.start - size + 1]
+        ends.append(-(s.start + size - 1))
+        val = pick(*[_lagged(m, off, w) for off in ends]) if len(ends) > 1 else _lagged(m, ends[0], w)
         n = (_lagged(F.col("__n"), -s.end, w, 0) - _lagged(F.col("__n"), 1 - s.start, w, 0))
         named.append((s.name, F.when(n >= F.greatest(F.lit(s.minp), F.lit(1)), val)))
 
