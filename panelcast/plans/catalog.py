@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from panelcast.functions import calendar as cal
 from panelcast.operators import windows as win
-from panelcast.plans.sqlgen import date_features_sql, r6, shifted_roll_sql
+from panelcast.plans.sqlgen import date_features_sql, shifted_roll_sql
 from panelcast.sources.tables import DAILY_SALES_SQL, daily_sales, with_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}

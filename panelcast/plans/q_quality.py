@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from panelcast.operators import impute as imp
 from panelcast.operators import outliers as out
 from panelcast.operators import windows as win
@@ -153,8 +151,6 @@ def outlier_rows(spark, sf):
     return out.outlier_rows(flagged, "sales", METHODS, KEYS)
 
 
-__all__ = ["F"]
-
 
 @register("outliers_isolation_forest")
 def outliers_isolation_forest(spark, sf):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from panelcast.operators import relational as rel
 from panelcast.operators import windows as win
-from panelcast.plans.catalog import KEYS, PART, register, round_cols
+from panelcast.plans.catalog import KEYS, PART, register
 from panelcast.sources import io
 from panelcast.sources.tables import (DAILY_SALES_DENSE_SQL, DAILY_SALES_SQL, daily_sales,
                                       daily_sales_dense, with_sql)
@@ -171,8 +171,6 @@ def forecast_format(spark, sf):
     return f.filter(p.isNotNull()).select("store", "item", "date", rel.format_forecast(p).alias("forecast"))
 
 
-__all__ = ["round_cols"]
-
 
 @register("stream_ingest", DS + "SELECT date, store, item, sales FROM daily_sales")
 def stream_ingest(spark, sf):

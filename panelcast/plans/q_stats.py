@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from panelcast.operators import diagnostics as diag
 from panelcast.operators.ewm import ewm_features
 from panelcast.plans.catalog import KEYS, PART, float_cols, register, round_cols
@@ -132,8 +130,6 @@ def shapiro_wilk(spark, sf):
     return _r(diag.shapiro_wilk(daily_sales(spark, sf), "sales", "date", KEYS))
 
 
-__all__ = ["F"]
-
 
 @register("adf_test")
 def adf_test(spark, sf):
