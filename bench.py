@@ -48,9 +48,12 @@ def main():
     times = {}
     for q in HEADLINE:
         times[q] = round(run(q, spark, sf), 3)
-    total = round(sum(times.values()), 3)
+    times["all_headline_queries_total"] = round(sum(times.values()), 3)
     label = os.path.basename(sf.rstrip("/"))
-    print(json.dumps({"metric": "headline_queries_total", "value": total, "unit": "sec",
+    # headline = BASELINE's "full processing" bench: the full config-driven
+    # feature pipeline over the daily panel (target < 30 s); the 90-day
+    # prediction features (target < 5 s) and the other queries are listed too
+    print(json.dumps({"metric": "full_feature_pipeline", "value": times["feature_build_default"], "unit": "sec",
                       "queries": times, "sf": label.replace("sf", "")}))
     spark.stop()
 

@@ -41,6 +41,7 @@ class TrainConfig:
     seed: int = 42
     validation_tol: float = 0.01
     retrain_on_full: bool = True
+    parallelism: int = 5
     categorical: list[str] = field(default_factory=lambda: list(FeatureConfig().categorical))
 
 
@@ -115,16 +116,20 @@ def train_pipeline(spark: SparkSession, df: DataFrame, spec: SeriesSpec = Series
     folded = materialize(spark, val.time_series_folds(table, [d] + keys, tcfg.n_splits), "cv_features")
     cats = [c for c in tcfg.categorical if c in names]
     bins = _max_bins(folded, cats)
-    fold_rows, oofs, models = [], [], []
-    for i in range(1, tcfg.n_splits + 1):
+    def run_fold(i):
         train, valid = val.fold_split(folded, i)
         fit_df = train.withColumn("__is_val", F.lit(False)).unionByName(valid.withColumn("__is_val", F.lit(True)))
         model = make_pipeline(names, cats, _gbt(tcfg, t, bins, True)).fit(fit_df)
         pred = model.transform(valid).select(*keys, d, "row_index", F.lit(i).alias("fold"), t, "prediction")
         m = val.metrics(pred, t, "prediction").first()
-        fold_rows.append((i, float(m["mae"]), float(m["rmse"]), float(m["smape"]), int(m["n"])))
-        oofs.append(pred)
-        models.append(model)
+        return (i, float(m["mae"]), float(m["rmse"]), float(m["smape"]), int(m["n"])), pred, model
+
+    # folds are independent: submit their jobs concurrently from a small pool
+    with ThreadPoolExecutor(max_workers=max(1, min(tcfg.parallelism, tcfg.n_splits))) as pool:
+        done = list(pool.map(run_fold, range(1, tcfg.n_splits + 1)))
+    fold_rows = [r for r, _, _ in done]
+    oofs = [p for _, p, _ in done]
+    models = [m for _, _, m in done]
     avg = {k: sum(r[j] for r in fold_rows) / len(fold_rows) for j, k in ((1, "mae"), (2, "rmse"), (3, "smape"))}
     cv = spark.createDataFrame(fold_rows + [(0, avg["mae"], avg["rmse"], avg["smape"], sum(r[4] for r in fold_rows))],
                                "fold INT, mae DOUBLE, rmse DOUBLE, smape DOUBLE, n BIGINT")
