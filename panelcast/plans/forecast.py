@@ -82,7 +82,7 @@ def _future_features(history, spec, cfg, horizon, input_cols):
     feats = build_features(extend_with_future(history, spec, horizon), spec, cfg)
     fill = [c for c in (input_cols or []) if c.startswith(f"{t}_")]
     if fill:
-        feats = win.fill_columns(feats, keys, d, fill, "ffill")
+        feats = carry_forward(feats, spec, fill)
     last = F.max("__lastmark").over(win._pspec(keys))
     return feats.withColumn("__last", last).filter(F.col(d) > F.col("__last")).drop("__last", "__lastmark")
 

@@ -24,14 +24,15 @@ FOLD_SQL = DS + f""", idx AS (SELECT store, item, date, sales,
   CAST(row_number() OVER (ORDER BY date, store, item) - 1 AS BIGINT) AS row_index,
   COUNT(*) OVER () AS n FROM daily_sales),
 f AS (SELECT *, n // {K + 1} AS t, n - {K} * (n // {K + 1}) AS first FROM idx)
-SELECT store, item, date, sales, row_index,
+SELECT store, item, date, sales, row_index, row_index AS split_index,
   CAST(CASE WHEN t > 0 AND row_index >= first THEN (row_index - first) // t + 1 END AS INTEGER) AS val_fold,
   CAST(t AS BIGINT) AS fold_size, CAST(first AS BIGINT) AS first_val_index FROM f"""
 
 
 @register("time_series_folds", FOLD_SQL)
 def time_series_folds(spark, sf):
-    """L2: global date order index and 5-fold expanding-window validation blocks."""
+    """L2: global date order index and 5-fold expanding-window validation
+    blocks (row borders; ``boundary="date"`` snaps them to whole dates)."""
     return val.time_series_folds(daily_sales(spark, sf), ["date", "store", "item"], K)
 
 

@@ -37,17 +37,26 @@ def global_row_index(df: DataFrame, order_cols, out: str = "row_index") -> DataF
     return j.withColumn(out, (F.col("__off") + F.col("__pos")).cast("long")).drop("__pid", "__pos", "__off")
 
 
-def time_series_folds(df: DataFrame, order_cols, n_splits: int = 5) -> DataFrame:
+def time_series_folds(df: DataFrame, order_cols, n_splits: int = 5, boundary: str = "row") -> DataFrame:
     """TimeSeriesSplit (L2): adds ``row_index`` and ``val_fold`` (1-based fold
     whose validation block holds the row; null for rows only ever trained on).
-    Fold i trains on ``row_index < fold_start(i)``."""
+    Fold i trains on ``row_index < fold_start(i)``.
+
+    ``boundary="date"`` snaps fold borders to whole values of the first order
+    column: every row takes the index of the first row of its date, so one
+    date never straddles train and validation."""
     idx = global_row_index(df, order_cols)
+    if boundary == "date":
+        first = idx.groupBy(order_cols[0]).agg(F.min("row_index").alias("split_index"))
+        idx = idx.join(first, order_cols[0])
+    else:
+        idx = idx.withColumn("split_index", F.col("row_index"))
     total = idx.agg(F.count(F.lit(1)).alias("__n"))
     j = idx.crossJoin(F.broadcast(total))
     t = F.floor(F.col("__n") / (n_splits + 1))
     first = F.col("__n") - n_splits * t
-    fold = F.when((t > 0) & (F.col("row_index") >= first),
-                  F.floor((F.col("row_index") - first) / t) + 1)
+    fold = F.when((t > 0) & (F.col("split_index") >= first),
+                  F.floor((F.col("split_index") - first) / t) + 1)
     return j.withColumn("val_fold", fold.cast("int")).withColumn(
         "fold_size", t.cast("long")).withColumn("first_val_index", first.cast("long")).drop("__n")
 
@@ -55,7 +64,7 @@ def time_series_folds(df: DataFrame, order_cols, n_splits: int = 5) -> DataFrame
 def fold_split(folded: DataFrame, fold: int):
     """(train, validation) frames of fold ``fold`` (1-based)."""
     start = F.col("first_val_index") + (fold - 1) * F.col("fold_size")
-    train = folded.filter(F.col("row_index") < start)
+    train = folded.filter(F.col("split_index") < start)
     val = folded.filter(F.col("val_fold") == fold)
     return train, val
 

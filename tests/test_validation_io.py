@@ -62,3 +62,21 @@ def test_csv_roundtrip(spark):
     io.write_csv(df, path)
     back = io.load_panel_csv(spark, path)
     assert back.dtypes == df.dtypes and back.collect() == df.collect()
+
+
+def test_folds_snap_to_dates(spark):
+    rows = [(k, dt.date(2020, 1, 1) + dt.timedelta(days=d), 1.0) for k in range(3) for d in range(20)]
+    df = spark.createDataFrame(rows, "k INT, date DATE, v DOUBLE")
+    f = val.time_series_folds(df, ["date", "k"], 4, boundary="date").toPandas()
+    assert sorted(f.row_index) == list(range(60))
+    folded = spark.createDataFrame(f)
+    sizes = [sum(x.count() for x in val.fold_split(folded, i)) for i in range(1, 5)]
+    assert all(s == sizes[0] or s >= 1 for s in sizes)
+    per_date = f.groupby("date").val_fold.nunique(dropna=False)
+    assert (per_date == 1).all()
+    for i in range(1, 5):
+        tr, va = val.fold_split(folded, i)
+        if va.count():
+            assert tr.agg(F.max("date")).first()[0] < va.agg(F.min("date")).first()[0]
+            # every row before the validation block is trained on
+            assert tr.count() == f[f.split_index < va.agg(F.min("split_index")).first()[0]].shape[0]
