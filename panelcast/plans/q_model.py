@@ -123,3 +123,19 @@ def prediction_features_q(spark, sf):
     rows kept by a semi join on (keys, date)."""
     f = prediction_features(daily_sales(spark, sf), SeriesSpec(), FeatureConfig(), horizon=90)
     return _r(f)
+
+
+FOLD_DATE_SQL = DS + f""", idx AS (SELECT store, item, date, sales,
+  CAST(row_number() OVER (ORDER BY date, store, item) - 1 AS BIGINT) AS row_index,
+  COUNT(*) OVER () AS n FROM daily_sales),
+s AS (SELECT *, MIN(row_index) OVER (PARTITION BY date) AS split_index FROM idx),
+f AS (SELECT *, n // {K + 1} AS t, n - {K} * (n // {K + 1}) AS first FROM s)
+SELECT store, item, date, sales, row_index, split_index,
+  CAST(CASE WHEN t > 0 AND split_index >= first THEN (split_index - first) // t + 1 END AS INTEGER) AS val_fold,
+  CAST(t AS BIGINT) AS fold_size, CAST(first AS BIGINT) AS first_val_index FROM f"""
+
+
+@register("time_series_folds_by_date", FOLD_DATE_SQL)
+def time_series_folds_by_date(spark, sf):
+    """L2 with fold borders snapped to whole dates (no date in two folds)."""
+    return val.time_series_folds(daily_sales(spark, sf), ["date", "store", "item"], K, boundary="date")
