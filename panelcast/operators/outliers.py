@@ -56,18 +56,48 @@ def modified_zscore_outliers(df: DataFrame, col: str, keys=(), threshold: float
 METHODS = {"iqr": iqr_outliers, "zscore": zscore_outliers, "modified_zscore": modified_zscore_outliers}
 
 
+def _flag_keyed_fused(df: DataFrame, col: str, keys, methods) -> DataFrame:
+    """IQR, z-score and modified z-score masks from two keyed aggregate
+    passes (quartiles + median + mean + population std, then MAD) instead of
+    one pass per method; same formulas as the single-method operators."""
+    x = F.col(col).cast("double")
+    j = with_group_stat(df, keys, F.percentile(x, [0.25, 0.5, 0.75]).alias("__q"), F.avg(x).alias("__m"),
+                        F.stddev_pop(x).alias("__s"))
+    j = j.withColumn("__med", F.col("__q")[1])
+    if "modified_zscore" in methods:
+        j = with_group_stat(j, keys, F.percentile(F.abs(x - F.col("__med")), 0.5).alias("__mad"))
+    masks = []
+    if "iqr" in methods:
+        q1, q3 = F.col("__q")[0], F.col("__q")[2]
+        cond = (x < q1 - 1.5 * (q3 - q1)) | (x > q3 + 1.5 * (q3 - q1))
+        masks.append(F.coalesce(cond, F.lit(False)).alias("is_outlier_iqr"))
+    if "zscore" in methods:
+        z = F.abs(x - F.col("__m")) / F.nullif(F.col("__s"), F.lit(0.0))
+        masks.append(F.coalesce(z > 3.0, F.lit(False)).alias("is_outlier_zscore"))
+    if "modified_zscore" in methods:
+        dev = F.abs(F.lit(0.6745) * (x - F.col("__med")))
+        flagged = F.when(F.col("__mad") == 0, x != F.col("__med")).otherwise(dev / F.col("__mad") > 3.5)
+        masks.append(F.coalesce(flagged, F.lit(False)).alias("is_outlier_modified_zscore"))
+    return j.select(*[F.col(c) for c in df.columns], *masks)
+
+
 def flag_all(df: DataFrame, col: str, keys=(), methods=("iqr", "zscore", "modified_zscore")) -> DataFrame:
-    """All selected masks side by side: ``is_outlier_<method>``."""
+    """All selected masks side by side: ``is_outlier_<method>`` (default
+    thresholds).  Keyed classical methods share their aggregate passes; the
+    isolation forest always sees the input rows as given."""
+    keys = list(keys)
     out = df
-    base_cols = df.columns
-    for m in methods:
-        if m == "isolation_forest":
-            from panelcast.operators.isoforest import isolation_forest_outliers
-            out = isolation_forest_outliers(out, col, keys, out="is_outlier_isolation_forest")
-        else:
-            out = METHODS[m](out, col, keys, out=f"is_outlier_{m}")
-        out = out.select(*base_cols, *[c for c in out.columns if c.startswith("is_outlier_")])
-        base_cols = [c for c in out.columns if not c.startswith("is_outlier_")]
+    if "isolation_forest" in methods:
+        from panelcast.operators.isoforest import isolation_forest_outliers
+
+        out = isolation_forest_outliers(df, col, keys, out="is_outlier_isolation_forest").drop("anomaly_score")
+    classical = [m for m in methods if m in METHODS]
+    if keys and classical:
+        return _flag_keyed_fused(out, col, keys, classical)
+    for m in classical:
+        base_cols = out.columns
+        out = METHODS[m](out, col, keys, out=f"is_outlier_{m}")
+        out = out.select(*base_cols, f"is_outlier_{m}")
     return out
 
 

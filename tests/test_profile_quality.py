@@ -95,3 +95,13 @@ def test_imputation_methods(spark):
     assert get(imp.impute(df, "v", "Backward Fill", ["k"], order_col="t"))[6] == 7.0
     sc = imp.standard_scale(df, ["v"], ["k"]).filter("k = 1").collect()
     assert sc[1]["v_scaled"] == 0.0      # single value: std 0 -> divide by 1
+
+
+def test_flag_all_fused_equals_single_methods(spark):
+    pdf, df = _vals(spark, seed=3)
+    methods = ["iqr", "zscore", "modified_zscore"]
+    for keys in (["k"], []):
+        fused = out.flag_all(df, "v", keys, methods).toPandas().sort_values(["k", "t"]).reset_index(drop=True)
+        for m in methods:
+            single = out.METHODS[m](df, "v", keys).toPandas().sort_values(["k", "t"]).reset_index(drop=True)
+            assert fused[f"is_outlier_{m}"].tolist() == single.is_outlier.tolist()
