@@ -9,13 +9,13 @@ the first value starts it (``a = 0, b = x``).
 Scan: rows are cut into blocks of ``B`` rows per series.  Inside a block,
 with ``La_t`` = running sum of ``log a``, the scan from a zero start is
 ``exp(La_t) * sum_{s<=t} b_s exp(-La_s)`` (two running-sum windows).  ``B`` is
-chosen so the exponent range inside a block stays far from overflow; a
-``log a`` below ``-CLAMP`` is clamped (the carried value's weight is then
-below 1e-17, beneath double precision).  The carry into each block is the
-same scan applied recursively to the table of block summaries (one row per
-block, so the table is ``B`` times smaller), and is joined back on
-(keys, block).  Windows are partitioned by (keys, block), which also spreads
-one long series over many tasks.
+chosen so that ``|La|`` stays below ``EXP_BUDGET`` (30), which bounds the
+relative error of the exponentials near 1e-14; a ``log a`` below ``-CLAMP`` is
+clamped (the carried value's weight is then below 1e-17).  The carry into
+each block comes from composing the blocks' affine maps exactly (products,
+no logs) in bounded groups of ``GROUP`` blocks, recursively on the group
+maps, and is joined back on (keys, block).  Windows are partitioned by
+(keys, block), which also spreads one long series over many tasks.
 """
 
 from __future__ import annotations
@@ -28,16 +28,52 @@ from pyspark.sql import functions as F
 from panelcast.operators.windows import UNB, _add, wspec
 
 CLAMP = 40.0
-EXP_BUDGET = 500.0
+EXP_BUDGET = 30.0   # |running log a| inside a level-1 block; bounds exp() error to ~1e-14
 MAX_BLOCK = 4096
-
-
-def _scan(df: DataFrame, keys, idx: str, pairs, block: int, max_len: int, level: int = 0) -> DataFrame:
+GROUP = 64          # block maps composed per group at the upper levels (bounded lists)
+
+
+def _compose_level(tbl: DataFrame, keys, idx: str, a_col: str, c_col: str, n_rows: int, level: int):
+    """Carry-in of every row of an affine-map table: y_idx = A_idx y_(idx-1) +
+    C_idx from y_0 = 0, returns (keys, idx, Yin).  Rows are composed exactly
+    (products, no logs) in groups of at most GROUP consecutive rows with
+    ``aggregate`` over a sorted ``collect_list``; the groups' own maps are
+    composed the same way one level up, so every list is bounded."""
+    p = f"__g{level}_"
+    grp = f"{p}grp"
+    t = tbl.withColumn(grp, F.floor((F.col(idx) - 1) / GROUP).cast("long"))
+    lists = t.groupBy(*keys, grp).agg(F.array_sort(F.collect_list(F.struct(
+        F.col(idx).alias("i"), F.col(a_col).alias("a"), F.col(c_col).alias("c")))).alias(f"{p}l"))
+    init = F.struct(F.lit(1.0).alias("A"), F.lit(0.0).alias("C"),
+                    F.array().cast("array<struct<i:long,pa:double,pc:double>>").alias("out"))
+    step = lambda acc, e: F.struct(
+        (acc["A"] * e["a"]).alias("A"), (e["a"] * acc["C"] + e["c"]).alias("C"),
+        F.array_append(acc["out"], F.struct(e["i"].cast("long").alias("i"), acc["A"].alias("pa"),
+                                            acc["C"].alias("pc"))).alias("out"))
+    comp = lists.select(*keys, grp, F.aggregate(f"{p}l", init, step).alias(f"{p}r"))
+    comp = comp.select(*keys, grp, F.col(f"{p}r.A").alias(f"{p}A"), F.col(f"{p}r.C").alias(f"{p}C"),
+                       F.col(f"{p}r.out").alias(f"{p}out"))
+    if n_rows <= GROUP:
+        carry = comp.select(*keys, grp, F.lit(0.0).alias(f"{p}Y"), f"{p}out")
+    else:
+        up = comp.select(*keys, grp, (F.col(grp) + 1).alias(f"{p}idx"), f"{p}A", f"{p}C")
+        ups = _compose_level(up, keys, f"{p}idx", f"{p}A", f"{p}C", math.ceil(n_rows / GROUP), level + 1)
+        ups = ups.select(*keys, (F.col(f"{p}idx") - 1).alias(grp), F.col("Yin").alias(f"{p}Y"))
+        carry = comp.join(ups, on=list(keys) + [grp], how="left").select(
+            *keys, grp, F.coalesce(F.col(f"{p}Y"), F.lit(0.0)).alias(f"{p}Y"), f"{p}out")
+    rows = carry.select(*keys, f"{p}Y", F.explode(f"{p}out").alias("__e"))
+    return rows.select(*keys, F.col("__e.i").alias(idx),
+                       (F.col("__e.pa") * F.col(f"{p}Y") + F.col("__e.pc")).alias("Yin"))
+
+
+def _scan(df: DataFrame, keys, idx: str, pairs, block: int, max_len: int) -> DataFrame:
     """Inclusive affine scan per series over ``idx`` (1-based, dense).
 
     ``pairs`` = [(loga_col, b_col, out_col)]; ``out = a*prev + b`` from 0.
+    Level 1: log-space running sums inside blocks of ``block`` rows.  Upper
+    levels: exact composition of the block maps (``_compose_level``).
     """
-    p = f"__l{level}_"
+    p = "__l0_"
     blk = f"{p}blk"
     out = df.withColumn(blk, F.floor((F.col(idx) - 1) / block).cast("long"))
     wb = Window.partitionBy(*keys, blk).orderBy(idx).rowsBetween(UNB, 0)
@@ -49,20 +85,17 @@ def _scan(df: DataFrame, keys, idx: str, pairs, block: int, max_len: int, level:
     if max_len <= block:
         res = _add(out, [(o, F.col(f"{p}loc{i}")) for i, (_, _, o) in enumerate(pairs)])
         return res.drop(*tmp)
-
     ends = out.groupBy(*keys, blk).agg(
         *[F.max_by(F.col(f"{p}La{i}"), F.col(idx)).alias(f"{p}A{i}") for i in range(len(pairs))],
         *[F.max_by(F.col(f"{p}loc{i}"), F.col(idx)).alias(f"{p}C{i}") for i in range(len(pairs))])
-    nxt = f"__n{level + 1}_"
-    ends = ends.select(*keys, blk, (F.col(blk) + 1).alias(f"{nxt}idx"),
-                       *[F.greatest(F.col(f"{p}A{i}"), F.lit(-CLAMP)).alias(f"{nxt}la{i}") for i in range(len(pairs))],
-                       *[F.col(f"{p}C{i}").alias(f"{nxt}b{i}") for i in range(len(pairs))])
-    sub_pairs = [(f"{nxt}la{i}", f"{nxt}b{i}", f"{nxt}Y{i}") for i in range(len(pairs))]
-    sub_block = max(2, int(EXP_BUDGET // CLAMP))
-    scanned = _scan(ends, keys, f"{nxt}idx", sub_pairs, sub_block, math.ceil(max_len / block), level + 1)
-    carry = scanned.select(*keys, (F.col(blk) + 1).alias(blk),
-                           *[F.col(f"{nxt}Y{i}").alias(f"{p}Yin{i}") for i in range(len(pairs))])
-    joined = out.join(carry, on=list(keys) + [blk], how="left")
+    n_blocks = math.ceil(max_len / block)
+    joined = out
+    for i in range(len(pairs)):
+        maps = ends.select(*keys, (F.col(blk) + 1).alias("__bidx"), F.exp(F.col(f"{p}A{i}")).alias("__A"),
+                           F.col(f"{p}C{i}").alias("__C"))
+        yin = _compose_level(maps, keys, "__bidx", "__A", "__C", n_blocks, 1)
+        yin = yin.select(*keys, (F.col("__bidx") - 1).alias(blk), F.col("Yin").alias(f"{p}Yin{i}"))
+        joined = joined.join(yin, on=list(keys) + [blk], how="left")
     res = _add(joined, [(o, F.exp(F.col(f"{p}La{i}")) * F.coalesce(F.col(f"{p}Yin{i}"), F.lit(0.0))
                          + F.col(f"{p}loc{i}")) for i, (_, _, o) in enumerate(pairs)])
     return res.drop(*tmp, *[f"{p}Yin{i}" for i in range(len(pairs))])

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
+from panelcast.functions.numeric import round_dec
 from panelcast.operators.relational import with_group_stat
 
 
@@ -62,7 +63,7 @@ def overview(df: DataFrame, date_col: str | None = "date", keys=()) -> DataFrame
     if date_col:
         aggs.append(F.datediff(F.max(date_col), F.min(date_col)).alias("date_range_days"))
     out = _grouped(df, list(keys), *aggs)
-    pct = F.round(F.col("null_cells") * 100.0 / (F.col("total_records") * len(cols)), 2)
+    pct = round_dec(F.col("null_cells") * 100.0 / (F.col("total_records") * len(cols)), 2)
     return out.withColumn("missing_pct", pct)
 
 
@@ -81,7 +82,7 @@ def column_profile(df: DataFrame, cols=None, approx_distinct: bool = False) -> D
                         F.col(f"z{i}").cast("bigint").alias("nulls"),
                         F.col(f"d{i}").cast("bigint").alias("distinct")) for i, c in enumerate(cols)]
     long = wide.select("__rows", F.explode(F.array(*structs)).alias("s")).select("__rows", "s.*")
-    return long.withColumn("null_pct", F.round(F.col("nulls") * 100.0 / F.col("__rows"), 2)).drop("__rows")
+    return long.withColumn("null_pct", round_dec(F.col("nulls") * 100.0 / F.col("__rows"), 2)).drop("__rows")
 
 
 def missing_summary(df: DataFrame, col: str, keys=()) -> DataFrame:
@@ -89,7 +90,7 @@ def missing_summary(df: DataFrame, col: str, keys=()) -> DataFrame:
     out = _grouped(df, list(keys), F.count(F.lit(1)).alias("__n"),
                    F.count_if(F.col(col).isNull()).cast("bigint").alias("missing_count"))
     return out.select(*keys, "missing_count",
-                      F.round(F.col("missing_count") * 100.0 / F.col("__n"), 2).alias("missing_pct"),
+                      round_dec(F.col("missing_count") * 100.0 / F.col("__n"), 2).alias("missing_pct"),
                       (F.col("__n") - F.col("missing_count")).cast("bigint").alias("complete_cases"))
 
 

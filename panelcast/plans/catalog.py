@@ -35,8 +35,10 @@ def register(name: str, sql: str | None = None):
 
 
 def rnd(c) -> Column:
+    from panelcast.functions.numeric import round_dec
+
     c = F.col(c) if isinstance(c, str) else c
-    return F.round(c.cast("double"), 6) + F.lit(0.0)
+    return round_dec(c, 6)
 
 
 def round_cols(df: DataFrame, cols) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from panelcast.operators import profile as prof
 from panelcast.plans.catalog import KEYS, PART, float_cols, register, round_cols
-from panelcast.plans.sqlgen import r6
+from panelcast.plans.sqlgen import r2, r6
 from panelcast.sources.tables import (DAILY_SALES_DENSE_SQL, DAILY_SALES_SQL, daily_sales,
                                       daily_sales_dense, table, with_sql)
 
@@ -24,7 +24,7 @@ def _r(df):
   CAST(COUNT(*) FILTER (WHERE store IS NULL) + COUNT(*) FILTER (WHERE item IS NULL)
      + COUNT(*) FILTER (WHERE date IS NULL) + COUNT(*) FILTER (WHERE sales IS NULL) AS BIGINT) AS null_cells,
   CAST(date_diff('day', MIN(date), MAX(date)) AS INTEGER) AS date_range_days,
-  ROUND((COUNT(*) FILTER (WHERE sales IS NULL)) * 100.0 / (COUNT(*) * 4), 2) AS missing_pct
+  {r2('(COUNT(*) FILTER (WHERE sales IS NULL)) * 100.0 / (COUNT(*) * 4)')} AS missing_pct
 FROM daily_sales_dense GROUP BY {PART}""")
 def overview(spark, sf):
     """D1 per series of the densified panel."""
@@ -36,7 +36,7 @@ def _profile_sql():
     for c, t in [("store", "int"), ("item", "string"), ("date", "date"), ("sales", "bigint")]:
         parts.append(f"""SELECT '{c}' AS "column", '{t}' AS dtype, CAST(COUNT({c}) AS BIGINT) AS non_null,
   CAST(COUNT(*) - COUNT({c}) AS BIGINT) AS nulls, CAST(COUNT(DISTINCT {c}) AS BIGINT) AS "distinct",
-  ROUND((COUNT(*) - COUNT({c})) * 100.0 / COUNT(*), 2) AS null_pct FROM daily_sales_dense""")
+  {r2(f'(COUNT(*) - COUNT({c})) * 100.0 / COUNT(*)')} AS null_pct FROM daily_sales_dense""")
     return DSD + "\nUNION ALL\n".join(parts)
 
 
@@ -92,7 +92,7 @@ def percentile_set(spark, sf):
 
 
 @register("missing_summary", DSD + f"""SELECT {PART}, CAST(COUNT(*) - COUNT(sales) AS BIGINT) AS missing_count,
-  ROUND((COUNT(*) - COUNT(sales)) * 100.0 / COUNT(*), 2) AS missing_pct,
+  {r2('(COUNT(*) - COUNT(sales)) * 100.0 / COUNT(*)')} AS missing_pct,
   CAST(COUNT(sales) AS BIGINT) AS complete_cases FROM daily_sales_dense GROUP BY {PART}""")
 def missing_summary(spark, sf):
     """D7 per series of the densified panel."""

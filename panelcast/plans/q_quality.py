@@ -6,7 +6,7 @@ from panelcast.operators import impute as imp
 from panelcast.operators import outliers as out
 from panelcast.operators import windows as win
 from panelcast.plans.catalog import KEYS, PART, float_cols, register, round_cols
-from panelcast.plans.sqlgen import r6
+from panelcast.plans.sqlgen import r2, r6
 from panelcast.sources.tables import (DAILY_SALES_DENSE_SQL, DAILY_SALES_SQL, daily_sales,
                                       daily_sales_dense, table, with_sql)
 
@@ -132,7 +132,7 @@ flags AS (SELECT i.store, i.item, i.date, i.sales,
 
 
 @register("outlier_comparison", FLAGS_SQL + f"""SELECT {PART}, method, CAST(n AS BIGINT) AS outliers_found,
-  ROUND(n * 100.0 / total, 2) AS percentage FROM (
+  {r2('n * 100.0 / total')} AS percentage FROM (
   SELECT {PART}, COUNT(*) AS total, COUNT(*) FILTER (WHERE f_iqr) AS c_iqr, COUNT(*) FILTER (WHERE f_z) AS c_z,
          COUNT(*) FILTER (WHERE f_mz) AS c_mz FROM flags GROUP BY {PART})
   UNPIVOT (n FOR method IN (c_iqr AS 'iqr', c_z AS 'zscore', c_mz AS 'modified_zscore'))""")

@@ -9,8 +9,21 @@ from __future__ import annotations
 from panelcast.functions.calendar import FIXED_HOLIDAYS, JUNETEENTH, WEEKDAY_HOLIDAYS
 
 
+def rnd(expr: str, digits: int) -> str:
+    """Two-step decimal rounding, the same as ``functions.numeric.round_dec``:
+    first to 9 decimals (absorbs last-bit differences from summation order),
+    then HALF_UP to ``digits`` on the decimal value, so exact halves such as
+    0.0399315 round the same way in both engines."""
+    return (f"(CAST(ROUND(ROUND(CAST(CAST({expr} AS DOUBLE) AS DECIMAL(38, 17)), 9), {digits}) AS DOUBLE)"
+            f" + 0.0)")
+
+
 def r6(expr: str) -> str:
-    return f"(ROUND(CAST({expr} AS DOUBLE), 6) + 0.0)"
+    return rnd(expr, 6)
+
+
+def r2(expr: str) -> str:
+    return rnd(expr, 2)
 
 
 def _fixed_on(d: str) -> str:
