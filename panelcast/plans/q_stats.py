@@ -40,10 +40,31 @@ def ewm(spark, sf):
     return _r(ewm_features(daily_sales(spark, sf), KEYS, "date", "sales", DEFAULT_EWM_SPANS))
 
 
-@register("ewm_gaps")
+def _ewm_gaps_sql(spans):
+    alphas = [2.0 / (s + 1.0) for s in spans]
+    init = ", ".join(f"CAST(sales AS DOUBLE) AS y{i}, 1.0::DOUBLE AS w{i}" for i in range(len(spans)))
+    steps = []
+    for i, a in enumerate(alphas):
+        w = f"(r.w{i} * {1 - a!r})"
+        steps.append(f"""CASE WHEN r.y{i} IS NULL THEN CAST(n.sales AS DOUBLE)
+      WHEN n.sales IS NULL THEN r.y{i}
+      ELSE ({w} * r.y{i} + {a!r} * n.sales) / ({w} + {a!r}) END AS y{i},
+    CASE WHEN r.y{i} IS NULL OR n.sales IS NOT NULL THEN 1.0::DOUBLE ELSE {w} END AS w{i}""")
+    outs = ", ".join(f"{r6(f'y{i}')} AS sales_ewm_{s}" for i, s in enumerate(spans))
+    return "WITH RECURSIVE " + DAILY_SALES_SQL + ",\n" + DAILY_SALES_DENSE_SQL + f""",
+numbered AS (SELECT store, item, date, sales, row_number() OVER (PARTITION BY {PART} ORDER BY date) AS rn
+             FROM daily_sales_dense),
+r AS (SELECT store, item, date, sales, rn, {init} FROM numbered WHERE rn = 1
+      UNION ALL
+      SELECT n.store, n.item, n.date, n.sales, n.rn, {", ".join(steps)}
+      FROM r JOIN numbered n ON n.store = r.store AND n.item = r.item AND n.rn = r.rn + 1)
+SELECT store, item, date, sales, {outs} FROM r"""
+
+
+@register("ewm_gaps", _ewm_gaps_sql(DEFAULT_EWM_SPANS))
 def ewm_gaps(spark, sf):
     """E6 on the densified panel (nulls on missing days): gap weighting of
-    pandas' ignore_na=False; checked against pandas in the unit tests."""
+    pandas' ignore_na=False (oracle: recursion over (value, weight) state)."""
     return _r(ewm_features(daily_sales_dense(spark, sf), KEYS, "date", "sales", DEFAULT_EWM_SPANS))
 
 
@@ -117,9 +138,43 @@ def kpss_fixed_lag(spark, sf):
     return _r(diag.kpss(daily_sales(spark, sf), "sales", "date", KEYS, nlags=KPSS_L))
 
 
-@register("kpss_auto")
+def _kpss_auto_sql(cmax=10):
+    crit = [(0.347, 0.10), (0.463, 0.05), (0.574, 0.025), (0.739, 0.01)]
+    p = f"CASE WHEN stat <= {crit[0][0]} THEN {crit[0][1]} "
+    for (c0, p0), (c1, p1) in zip(crit, crit[1:]):
+        p += f"WHEN stat <= {c1} THEN {p0} + (stat - {c0}) * ({p1 - p0!r}) / ({c1 - c0!r}) "
+    p += f"ELSE {crit[-1][1]} END"
+    lags = ", ".join(f"COALESCE(lag(e, {i}) OVER w, 0) AS e{i}" for i in range(1, cmax + 1))
+    gam = ", ".join(f"SUM(e * e{i}) AS g{i}" for i in range(1, cmax + 1))
+    s0 = " + ".join(f"CASE WHEN {i} <= FLOOR(POWER(n, 2.0 / 9.0)) THEN g{i} / (n / 2.0) ELSE 0 END"
+                    for i in range(1, cmax + 1))
+    s1 = " + ".join(f"CASE WHEN {i} <= FLOOR(POWER(n, 2.0 / 9.0)) THEN {i} * g{i} / (n / 2.0) ELSE 0 END"
+                    for i in range(1, cmax + 1))
+    return DS + f""", c AS (SELECT store, item, date,
+    CAST(sales AS DOUBLE) - AVG(CAST(sales AS DOUBLE)) OVER (PARTITION BY {PART}) AS e,
+    row_number() OVER (PARTITION BY {PART} ORDER BY date) AS t,
+    COUNT(*) OVER (PARTITION BY {PART}) AS n FROM daily_sales),
+l AS (SELECT *, {lags}, SUM(e) OVER (PARTITION BY {PART} ORDER BY date ROWS UNBOUNDED PRECEDING) AS s
+      FROM c WINDOW w AS (PARTITION BY {PART} ORDER BY date)),
+a AS (SELECT store, item, MIN(n) AS n, SUM(e * e) AS see, SUM(s * s) AS eta, {gam} FROM l GROUP BY store, item
+      HAVING MIN(n) >= 10),
+lg AS (SELECT store, item, n, see, eta,
+    CAST(LEAST(FLOOR(1.1447 * POWER(POWER(({s1}) / (see / n + {s0}), 2), 1.0 / 3.0) * POWER(n, 1.0 / 3.0)), n - 1)
+         AS BIGINT) AS L FROM a),
+b AS (SELECT x.store, x.item, SUM(x.e * y.e * (1 - (x.t - y.t) / (g.L + 1.0))) AS bart
+      FROM c x JOIN lg g ON x.store = g.store AND x.item = g.item
+      JOIN c y ON y.store = x.store AND y.item = x.item AND y.t < x.t AND y.t >= x.t - g.L
+      GROUP BY x.store, x.item),
+k AS (SELECT lg.store, lg.item, lg.n, lg.L, (lg.eta / (lg.n * lg.n)) / ((lg.see + 2 * COALESCE(b.bart, 0)) / lg.n) AS stat
+      FROM lg LEFT JOIN b ON b.store = lg.store AND b.item = lg.item)
+SELECT store, item, CAST(n AS BIGINT) AS n, L AS kpss_lags, {r6('stat')} AS kpss_stat,
+  {r6(p)} AS kpss_p, ({p}) > 0.05 AS kpss_stationary FROM k"""
+
+
+@register("kpss_auto", _kpss_auto_sql())
 def kpss_auto(spark, sf):
-    """H3 with the per-series automatic lag (Hobijn et al.); rows only."""
+    """H3 with the per-series automatic lag (Hobijn et al.); the oracle
+    spells the Bartlett sum as a bounded self-join."""
     return _r(diag.kpss(daily_sales(spark, sf), "sales", "date", KEYS))
 
 
