@@ -205,9 +205,22 @@ def kde_density(spark, sf):
     return _r(out.withColumn("point", F.col("point").cast("int")))
 
 
-@register("qq_points")
+def _qq_sql():
+    from panelcast.plans.sqlgen import norm_ppf_sql
+
+    return DS + f""", v AS (SELECT store, item, CAST(sales AS DOUBLE) AS value,
+    row_number() OVER (PARTITION BY {PART} ORDER BY sales) AS rank,
+    COUNT(*) OVER (PARTITION BY {PART}) AS n FROM daily_sales),
+pp AS (SELECT *, CASE WHEN rank = 1 THEN 1 - POWER(0.5, 1.0 / n) WHEN rank = n THEN POWER(0.5, 1.0 / n)
+                      ELSE (rank - 0.3175) / (n + 0.365) END AS pos FROM v)
+SELECT store, item, CAST(rank AS BIGINT) AS rank, {r6('value')} AS value, {r6(norm_ppf_sql('pos'))} AS theoretical
+FROM pp"""
+
+
+@register("qq_points", _qq_sql())
 def qq_points(spark, sf):
-    """Normal Q-Q points per series (no DuckDB inverse normal: rows only)."""
+    """Normal Q-Q points per series (Filliben positions, AS 241 inverse
+    normal; the oracle spells the same published formula in SQL)."""
     return _r(prof.qq_points(daily_sales(spark, sf), "sales", KEYS))
 
 

@@ -89,3 +89,36 @@ def trailing_roll_sql(value: str, n: int, agg: str, part: str, order: str) -> st
         fn = {"mean": "avg", "std": "stddev_samp", "min": "min", "max": "max", "sum": "sum"}[agg]
         inner = f"{fn}({value}) OVER {frame}"
     return f"CASE WHEN count({value}) OVER {frame} >= {n} THEN {r6(inner)} END"
+
+
+def _poly_sql(coefs, r: str) -> str:
+    acc = repr(float(coefs[-1]))
+    for c in reversed(coefs[:-1]):
+        acc = f"({acc} * {r} + {float(c)!r})"
+    return acc
+
+
+def norm_ppf_sql(p: str) -> str:
+    """Inverse standard normal CDF (AS 241, same coefficients as
+    ``functions.normal``) spelled in SQL; ``p`` must be a column/alias."""
+    from panelcast.functions.normal import A, B, C, D, E, Fc
+
+    q = f"({p} - 0.5)"
+    r1 = f"(0.180625 - {q} * {q})"
+    central = f"({q} * {_poly_sql(A, r1)} / {_poly_sql(B, r1)})"
+    rt = f"SQRT(-LN(CASE WHEN {q} < 0 THEN {p} ELSE 1 - {p} END))"
+    tail = (f"(CASE WHEN {rt} <= 5 THEN {_poly_sql(C, f'({rt} - 1.6)')} / {_poly_sql(D, f'({rt} - 1.6)')} "
+            f"ELSE {_poly_sql(E, f'({rt} - 5)')} / {_poly_sql(Fc, f'({rt} - 5)')} END)")
+    return (f"(CASE WHEN {p} IS NULL OR {p} <= 0 OR {p} >= 1 THEN NULL "
+            f"WHEN ABS({q}) <= 0.425 THEN {central} "
+            f"WHEN {q} < 0 THEN -{tail} ELSE {tail} END)")
+
+
+def norm_sf_sql(z: str) -> str:
+    """Upper normal tail 0.5 * erfc(z / sqrt 2) with the same erfc fit."""
+    from panelcast.functions.normal import ERFC
+
+    x = f"(({z}) / SQRT(2.0))"
+    t = f"(1.0 / (1.0 + 0.5 * ABS({x})))"
+    ans = f"({t} * EXP(-ABS({x}) * ABS({x}) + {_poly_sql(ERFC, t)}))"
+    return f"(0.5 * CASE WHEN {x} >= 0 THEN {ans} ELSE 2.0 - {ans} END)"
