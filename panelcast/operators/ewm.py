@@ -33,37 +33,50 @@ MAX_BLOCK = 4096
 GROUP = 64          # block maps composed per group at the upper levels (bounded lists)
 
 
-def _compose_level(tbl: DataFrame, keys, idx: str, a_col: str, c_col: str, n_rows: int, level: int):
-    """Carry-in of every row of an affine-map table: y_idx = A_idx y_(idx-1) +
-    C_idx from y_0 = 0, returns (keys, idx, Yin).  Rows are composed exactly
-    (products, no logs) in groups of at most GROUP consecutive rows with
-    ``aggregate`` over a sorted ``collect_list``; the groups' own maps are
-    composed the same way one level up, so every list is bounded."""
+def _compose_level(tbl: DataFrame, keys, idx: str, maps, n_rows: int, level: int):
+    """Carry-in of every row of affine-map tables: for each (A, C) column pair
+    in ``maps``, y_idx = A_idx y_(idx-1) + C_idx from y_0 = 0.  Returns
+    (keys, idx, Yin0, Yin1, ...).  Rows are composed exactly (products, no
+    logs) in groups of at most GROUP consecutive rows with ``aggregate`` over
+    a sorted ``collect_list``; the groups' own maps are composed the same way
+    one level up, so every list is bounded."""
     p = f"__g{level}_"
     grp = f"{p}grp"
+    k = len(maps)
     t = tbl.withColumn(grp, F.floor((F.col(idx) - 1) / GROUP).cast("long"))
-    lists = t.groupBy(*keys, grp).agg(F.array_sort(F.collect_list(F.struct(
-        F.col(idx).alias("i"), F.col(a_col).alias("a"), F.col(c_col).alias("c")))).alias(f"{p}l"))
-    init = F.struct(F.lit(1.0).alias("A"), F.lit(0.0).alias("C"),
-                    F.array().cast("array<struct<i:long,pa:double,pc:double>>").alias("out"))
-    step = lambda acc, e: F.struct(
-        (acc["A"] * e["a"]).alias("A"), (e["a"] * acc["C"] + e["c"]).alias("C"),
-        F.array_append(acc["out"], F.struct(e["i"].cast("long").alias("i"), acc["A"].alias("pa"),
-                                            acc["C"].alias("pc"))).alias("out"))
+    elem = [F.col(idx).alias("i")] + [F.col(a).alias(f"a{j}") for j, (a, _) in enumerate(maps)] + \
+        [F.col(c).alias(f"c{j}") for j, (_, c) in enumerate(maps)]
+    lists = t.groupBy(*keys, grp).agg(F.array_sort(F.collect_list(F.struct(*elem))).alias(f"{p}l"))
+    out_type = "array<struct<i:long," + ",".join(f"pa{j}:double,pc{j}:double" for j in range(k)) + ">>"
+    init = F.struct(*[F.lit(1.0).alias(f"A{j}") for j in range(k)], *[F.lit(0.0).alias(f"C{j}") for j in range(k)],
+                    F.array().cast(out_type).alias("out"))
+
+    def step(acc, e):
+        rec = [e["i"].cast("long").alias("i")]
+        for j in range(k):
+            rec += [acc[f"A{j}"].alias(f"pa{j}"), acc[f"C{j}"].alias(f"pc{j}")]
+        return F.struct(*[(acc[f"A{j}"] * e[f"a{j}"]).alias(f"A{j}") for j in range(k)],
+                        *[(e[f"a{j}"] * acc[f"C{j}"] + e[f"c{j}"]).alias(f"C{j}") for j in range(k)],
+                        F.array_append(acc["out"], F.struct(*rec)).alias("out"))
+
     comp = lists.select(*keys, grp, F.aggregate(f"{p}l", init, step).alias(f"{p}r"))
-    comp = comp.select(*keys, grp, F.col(f"{p}r.A").alias(f"{p}A"), F.col(f"{p}r.C").alias(f"{p}C"),
-                       F.col(f"{p}r.out").alias(f"{p}out"))
+    comp = comp.select(*keys, grp, *[F.col(f"{p}r.A{j}").alias(f"{p}A{j}") for j in range(k)],
+                       *[F.col(f"{p}r.C{j}").alias(f"{p}C{j}") for j in range(k)], F.col(f"{p}r.out").alias(f"{p}out"))
     if n_rows <= GROUP:
-        carry = comp.select(*keys, grp, F.lit(0.0).alias(f"{p}Y"), f"{p}out")
+        carry = comp.select(*keys, grp, *[F.lit(0.0).alias(f"{p}Y{j}") for j in range(k)], f"{p}out")
     else:
-        up = comp.select(*keys, grp, (F.col(grp) + 1).alias(f"{p}idx"), f"{p}A", f"{p}C")
-        ups = _compose_level(up, keys, f"{p}idx", f"{p}A", f"{p}C", math.ceil(n_rows / GROUP), level + 1)
-        ups = ups.select(*keys, (F.col(f"{p}idx") - 1).alias(grp), F.col("Yin").alias(f"{p}Y"))
+        up = comp.select(*keys, grp, (F.col(grp) + 1).alias(f"{p}idx"), *[f"{p}A{j}" for j in range(k)],
+                         *[f"{p}C{j}" for j in range(k)])
+        ups = _compose_level(up, keys, f"{p}idx", [(f"{p}A{j}", f"{p}C{j}") for j in range(k)],
+                             math.ceil(n_rows / GROUP), level + 1)
+        ups = ups.select(*keys, (F.col(f"{p}idx") - 1).alias(grp),
+                         *[F.col(f"Yin{j}").alias(f"{p}Y{j}") for j in range(k)])
         carry = comp.join(ups, on=list(keys) + [grp], how="left").select(
-            *keys, grp, F.coalesce(F.col(f"{p}Y"), F.lit(0.0)).alias(f"{p}Y"), f"{p}out")
-    rows = carry.select(*keys, f"{p}Y", F.explode(f"{p}out").alias("__e"))
+            *keys, grp, *[F.coalesce(F.col(f"{p}Y{j}"), F.lit(0.0)).alias(f"{p}Y{j}") for j in range(k)], f"{p}out")
+    rows = carry.select(*keys, *[f"{p}Y{j}" for j in range(k)], F.explode(f"{p}out").alias("__e"))
     return rows.select(*keys, F.col("__e.i").alias(idx),
-                       (F.col("__e.pa") * F.col(f"{p}Y") + F.col("__e.pc")).alias("Yin"))
+                       *[(F.col(f"__e.pa{j}") * F.col(f"{p}Y{j}") + F.col(f"__e.pc{j}")).alias(f"Yin{j}")
+                         for j in range(k)])
 
 
 def _scan(df: DataFrame, keys, idx: str, pairs, block: int, max_len: int) -> DataFrame:
@@ -89,13 +102,13 @@ def _scan(df: DataFrame, keys, idx: str, pairs, block: int, max_len: int) -> Dat
         *[F.max_by(F.col(f"{p}La{i}"), F.col(idx)).alias(f"{p}A{i}") for i in range(len(pairs))],
         *[F.max_by(F.col(f"{p}loc{i}"), F.col(idx)).alias(f"{p}C{i}") for i in range(len(pairs))])
     n_blocks = math.ceil(max_len / block)
-    joined = out
-    for i in range(len(pairs)):
-        maps = ends.select(*keys, (F.col(blk) + 1).alias("__bidx"), F.exp(F.col(f"{p}A{i}")).alias("__A"),
-                           F.col(f"{p}C{i}").alias("__C"))
-        yin = _compose_level(maps, keys, "__bidx", "__A", "__C", n_blocks, 1)
-        yin = yin.select(*keys, (F.col("__bidx") - 1).alias(blk), F.col("Yin").alias(f"{p}Yin{i}"))
-        joined = joined.join(yin, on=list(keys) + [blk], how="left")
+    maps = ends.select(*keys, (F.col(blk) + 1).alias("__bidx"),
+                       *[F.exp(F.col(f"{p}A{i}")).alias(f"__A{i}") for i in range(len(pairs))],
+                       *[F.col(f"{p}C{i}").alias(f"__C{i}") for i in range(len(pairs))])
+    yin = _compose_level(maps, keys, "__bidx", [(f"__A{i}", f"__C{i}") for i in range(len(pairs))], n_blocks, 1)
+    yin = yin.select(*keys, (F.col("__bidx") - 1).alias(blk),
+                     *[F.col(f"Yin{i}").alias(f"{p}Yin{i}") for i in range(len(pairs))])
+    joined = out.join(yin, on=list(keys) + [blk], how="left")
     res = _add(joined, [(o, F.exp(F.col(f"{p}La{i}")) * F.coalesce(F.col(f"{p}Yin{i}"), F.lit(0.0))
                          + F.col(f"{p}loc{i}")) for i, (_, _, o) in enumerate(pairs)])
     return res.drop(*tmp, *[f"{p}Yin{i}" for i in range(len(pairs))])
