@@ -155,7 +155,7 @@ def ols_trend(spark, sf):
     """OLS line sales ~ days since the series start."""
     from panelcast.operators.relational import with_group_stat
 
-    ds = with_group_stat(daily_sales(spark, sf), KEYS, F.min("date").alias("__s"))
+    ds = with_group_stat(daily_sales(spark, sf, shared=True), KEYS, F.min("date").alias("__s"))
     ds = ds.withColumn("t", F.datediff("date", "__s"))
     return _r(prof.ols_trend(ds, "sales", "t", KEYS))
 
@@ -170,7 +170,7 @@ def ols_trend(spark, sf):
 GROUP BY {PART}, bin, lo, w""")
 def histogram(spark, sf):
     """30 equal-width bins per series."""
-    return _r(prof.histogram(daily_sales(spark, sf), "sales", KEYS, 30))
+    return _r(prof.histogram(daily_sales(spark, sf, shared=True), "sales", KEYS, 30))
 
 
 @register("box_summary", DS + f""", q AS (
@@ -186,7 +186,7 @@ FROM f JOIN daily_sales d ON d.store = f.store AND d.item = f.item
 GROUP BY f.store, f.item, q1, median, q3, iqr, lf, uf""")
 def box_summary(spark, sf):
     """Quartiles, fences, whiskers, points outside, per series."""
-    return _r(prof.box_summary(daily_sales(spark, sf), "sales", KEYS))
+    return _r(prof.box_summary(daily_sales(spark, sf, shared=True), "sales", KEYS))
 
 
 @register("kde_density", DS + f""", vals AS (
@@ -201,7 +201,7 @@ FROM g JOIN vals v ON v.store = g.store AND v.item = g.item
 GROUP BY g.store, g.item, g.point, g.gx""")
 def kde_density(spark, sf):
     """Gaussian KDE on 100 grid points per series."""
-    out = prof.kde_grid(daily_sales(spark, sf), "sales", KEYS, 100)
+    out = prof.kde_grid(daily_sales(spark, sf, shared=True), "sales", KEYS, 100)
     return _r(out.withColumn("point", F.col("point").cast("int")))
 
 
@@ -221,7 +221,7 @@ FROM pp"""
 def qq_points(spark, sf):
     """Normal Q-Q points per series (Filliben positions, AS 241 inverse
     normal; the oracle spells the same published formula in SQL)."""
-    return _r(prof.qq_points(daily_sales(spark, sf), "sales", KEYS))
+    return _r(prof.qq_points(daily_sales(spark, sf, shared=True), "sales", KEYS))
 
 
 @register("stage_counts", DS + """SELECT 'lineitem' AS stage, CAST(COUNT(*) AS BIGINT) AS rows FROM lineitem
@@ -232,6 +232,6 @@ def stage_counts(spark, sf):
     """Row counts by stage (fact rows, daily panel, complete feature rows)."""
     from panelcast.operators import windows as win
 
-    ds = daily_sales(spark, sf)
+    ds = daily_sales(spark, sf, shared=True)
     feats = win.lag_features(ds, KEYS, "date", "sales", [28]).na.drop(subset=["sales_lag_28"])
     return prof.stage_counts({"lineitem": table(spark, sf, "lineitem"), "daily_panel": ds, "features_complete": feats})

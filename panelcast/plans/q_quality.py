@@ -59,7 +59,7 @@ FROM (SELECT store, item, date, lag(sales, 7) OVER (PARTITION BY {PART} ORDER BY
              lag(sales, 28) OVER (PARTITION BY {PART} ORDER BY date) AS l28 FROM daily_sales)""")
 def impute_feature_means(spark, sf):
     """I8: mean fill of several feature columns at once."""
-    f = win.lag_features(daily_sales(spark, sf), KEYS, "date", "sales", [7, 28])
+    f = win.lag_features(daily_sales(spark, sf, shared=True), KEYS, "date", "sales", [7, 28])
     f = f.select("store", "item", "date", "sales_lag_7", "sales_lag_28")
     return _r(imp.mean_fill(f, ["sales_lag_7", "sales_lag_28"], KEYS))
 
@@ -69,7 +69,7 @@ def impute_feature_means(spark, sf):
 FROM daily_sales""")
 def standard_scale(spark, sf):
     """Per-series standard scaling with the population std."""
-    return _r(imp.standard_scale(daily_sales(spark, sf), ["sales"], KEYS))
+    return _r(imp.standard_scale(daily_sales(spark, sf, shared=True), ["sales"], KEYS))
 
 
 IQR_SQL = f""", q AS (SELECT {PART}, QUANTILE_CONT(CAST(sales AS DOUBLE), 0.25) AS q1,
@@ -83,7 +83,7 @@ SELECT store, item, date, sales, {r6('lower_bound')} AS lower_bound, {r6('upper_
   COALESCE(sales < lower_bound OR sales > upper_bound, FALSE) AS is_outlier FROM iqr""")
 def outliers_iqr(spark, sf):
     """IQR rule per series."""
-    return _r(out.iqr_outliers(daily_sales(spark, sf), "sales", KEYS))
+    return _r(out.iqr_outliers(daily_sales(spark, sf, shared=True), "sales", KEYS))
 
 
 @register("outliers_events_iqr", """SELECT event_id, value,
@@ -103,7 +103,7 @@ ZS_SQL = f""", z AS (SELECT *, ABS(sales - AVG(CAST(sales AS DOUBLE)) OVER {GRP}
 SELECT store, item, date, sales, {r6('zscore')} AS zscore, COALESCE(zscore > 3.0, FALSE) AS is_outlier FROM z""")
 def outliers_zscore(spark, sf):
     """Z-score rule per series (threshold 3.0)."""
-    return _r(out.zscore_outliers(daily_sales(spark, sf), "sales", KEYS, 3.0))
+    return _r(out.zscore_outliers(daily_sales(spark, sf, shared=True), "sales", KEYS, 3.0))
 
 
 MZ_SQL = f""", med AS (SELECT {PART}, QUANTILE_CONT(CAST(sales AS DOUBLE), 0.5) AS med FROM daily_sales GROUP BY {PART}),
@@ -117,7 +117,7 @@ SELECT store, item, date, sales, {r6('CASE WHEN mad <> 0 THEN dv / mad END')} AS
   COALESCE(CASE WHEN mad = 0 THEN sales <> med ELSE dv / mad > 3.5 END, FALSE) AS is_outlier FROM mz""")
 def outliers_modified_zscore(spark, sf):
     """Modified z-score per series (threshold 3.5)."""
-    return _r(out.modified_zscore_outliers(daily_sales(spark, sf), "sales", KEYS, 3.5))
+    return _r(out.modified_zscore_outliers(daily_sales(spark, sf, shared=True), "sales", KEYS, 3.5))
 
 
 METHODS = ["iqr", "zscore", "modified_zscore"]
@@ -138,7 +138,7 @@ flags AS (SELECT i.store, i.item, i.date, i.sales,
   UNPIVOT (n FOR method IN (c_iqr AS 'iqr', c_z AS 'zscore', c_mz AS 'modified_zscore'))""")
 def outlier_comparison(spark, sf):
     """Count and % of rows flagged by each method, per series."""
-    flagged = out.flag_all(daily_sales(spark, sf), "sales", KEYS, METHODS)
+    flagged = out.flag_all(daily_sales(spark, sf, shared=True), "sales", KEYS, METHODS)
     return out.method_comparison(flagged, METHODS, KEYS)
 
 
@@ -147,7 +147,7 @@ UNION ALL SELECT store, item, date, CAST(sales AS DOUBLE), 'zscore' FROM flags W
 UNION ALL SELECT store, item, date, CAST(sales AS DOUBLE), 'modified_zscore' FROM flags WHERE f_mz""")
 def outlier_rows(spark, sf):
     """(keys, date, value, method) for every flagged row."""
-    flagged = out.flag_all(daily_sales(spark, sf), "sales", KEYS, METHODS)
+    flagged = out.flag_all(daily_sales(spark, sf, shared=True), "sales", KEYS, METHODS)
     return out.outlier_rows(flagged, "sales", METHODS, KEYS)
 
 
@@ -158,12 +158,12 @@ def outliers_isolation_forest(spark, sf):
     42, contamination 0.1, mean-filled); rows only (seeded own sampling)."""
     from panelcast.operators.isoforest import isolation_forest_outliers
 
-    return _r(isolation_forest_outliers(daily_sales(spark, sf), "sales", KEYS))
+    return _r(isolation_forest_outliers(daily_sales(spark, sf, shared=True), "sales", KEYS))
 
 
 @register("outlier_comparison_all")
 def outlier_comparison_all(spark, sf):
     """J5 with all four methods including the isolation forest; rows only."""
     methods = METHODS + ["isolation_forest"]
-    flagged = out.flag_all(daily_sales(spark, sf), "sales", KEYS, methods)
+    flagged = out.flag_all(daily_sales(spark, sf, shared=True), "sales", KEYS, methods)
     return out.method_comparison(flagged, methods, KEYS)

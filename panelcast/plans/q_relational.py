@@ -29,7 +29,7 @@ def csv_roundtrip(spark, sf):
 def ingest_gate_counts(spark, sf):
     """A3: validate an upload-shaped (all-string) copy of the panel; valid
     and rejected row counts."""
-    raw = daily_sales(spark, sf).select(*[F.col(c).cast("string").alias(c) for c in ["date", "store", "item", "sales"]])
+    raw = daily_sales(spark, sf, shared=True).select(*[F.col(c).cast("string").alias(c) for c in ["date", "store", "item", "sales"]])
     valid, rejected = io.ingest_gate(raw)
     return valid.agg(F.count(F.lit(1)).cast("bigint").alias("valid_rows")).crossJoin(
         rejected.agg(F.count(F.lit(1)).cast("bigint").alias("rejected_rows")))
@@ -116,7 +116,7 @@ SELECT store, item, date, sales FROM daily_sales
 UNION ALL SELECT store, item, date, CAST(NULL AS BIGINT) AS sales FROM future""")
 def history_future_union(spark, sf):
     """G1: history rows plus future rows with a null target."""
-    ds = daily_sales(spark, sf)
+    ds = daily_sales(spark, sf, shared=True)
     fut = rel.future_spine(ds, KEYS, "date", 90).withColumn("sales", F.lit(None).cast("bigint"))
     return rel.union_history_future(ds, fut, ["store", "item", "date", "sales"])
 
@@ -130,7 +130,7 @@ WHERE EXISTS (SELECT 1 FROM future f WHERE f.store = c.store AND f.item = c.item
 def future_semi_join(spark, sf):
     """Features computed on history + future, keep the future
     (keys, date) pairs by a left-semi join."""
-    ds = daily_sales(spark, sf)
+    ds = daily_sales(spark, sf, shared=True)
     fut = rel.future_spine(ds, KEYS, "date", 90)
     both = rel.union_history_future(ds, fut.withColumn("sales", F.lit(None).cast("bigint")),
                                     ["store", "item", "date", "sales"])
@@ -151,7 +151,7 @@ FROM daily_sales""")
 def days_since_start(spark, sf):
     """Distance to the first date of the series and of the frame
     (keyed aggregate joined back; global one-row aggregate broadcast)."""
-    ds = daily_sales(spark, sf).select("store", "item", "date")
+    ds = daily_sales(spark, sf, shared=True).select("store", "item", "date")
     a = rel.with_group_stat(ds, KEYS, F.min("date").alias("__s"))
     a = rel.with_group_stat(a, [], F.min("date").alias("__g"))
     return a.select("store", "item", "date",

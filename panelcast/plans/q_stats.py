@@ -37,7 +37,7 @@ SELECT store, item, date, sales, {outs} FROM r"""
 def ewm(spark, sf):
     """EWM mean (adjust=False) for spans 7, 14, 28, 91 via the blocked
     affine scan."""
-    return _r(ewm_features(daily_sales(spark, sf), KEYS, "date", "sales", DEFAULT_EWM_SPANS))
+    return _r(ewm_features(daily_sales(spark, sf, shared=True), KEYS, "date", "sales", DEFAULT_EWM_SPANS))
 
 
 def _ewm_gaps_sql(spans):
@@ -95,7 +95,7 @@ FROM tr t JOIN sea s ON t.store = s.store AND t.item = s.item AND t.pos = s.pos
 @register("seasonal_decompose", _decomp_sql())
 def seasonal_decompose(spark, sf):
     """H4: additive weekly decomposition of every series."""
-    return _r(diag.seasonal_decompose(daily_sales(spark, sf), KEYS, "date", "sales", 7))
+    return _r(diag.seasonal_decompose(daily_sales(spark, sf, shared=True), KEYS, "date", "sales", 7))
 
 
 @register("jarque_bera", DS + f"""SELECT store, item, CAST(n AS BIGINT) AS n, {r6('jb')} AS jb_stat,
@@ -135,7 +135,7 @@ SELECT store, item, CAST(n AS BIGINT) AS n, CAST({L} AS BIGINT) AS kpss_lags, {r
 @register("kpss_fixed_lag", _kpss_sql(KPSS_L))
 def kpss_fixed_lag(spark, sf):
     """H3 with a fixed Bartlett lag of 10 (SQL-checkable form)."""
-    return _r(diag.kpss(daily_sales(spark, sf), "sales", "date", KEYS, nlags=KPSS_L))
+    return _r(diag.kpss(daily_sales(spark, sf, shared=True), "sales", "date", KEYS, nlags=KPSS_L))
 
 
 def _kpss_auto_sql(cmax=10):
@@ -175,7 +175,7 @@ SELECT store, item, CAST(n AS BIGINT) AS n, L AS kpss_lags, {r6('stat')} AS kpss
 def kpss_auto(spark, sf):
     """H3 with the per-series automatic lag (Hobijn et al.); the oracle
     spells the Bartlett sum as a bounded self-join."""
-    return _r(diag.kpss(daily_sales(spark, sf), "sales", "date", KEYS))
+    return _r(diag.kpss(daily_sales(spark, sf, shared=True), "sales", "date", KEYS))
 
 
 def _shapiro_sql(max_n=5000):
@@ -215,7 +215,7 @@ SELECT store, item, CAST(n AS BIGINT) AS n, {r6('w')} AS shapiro_stat, {r6('p')}
 def shapiro_wilk(spark, sf):
     """H1: Shapiro-Wilk (Royston 1995) on the first 5,000 values of every
     series; the oracle spells the same published formulas in SQL."""
-    return _r(diag.shapiro_wilk(daily_sales(spark, sf), "sales", "date", KEYS))
+    return _r(diag.shapiro_wilk(daily_sales(spark, sf, shared=True), "sales", "date", KEYS))
 
 
 
@@ -225,7 +225,7 @@ def adf_test(spark, sf):
     moments; rows only (checked against a NumPy brute force in the tests)."""
     from panelcast.operators.adf import adf
 
-    return _r(adf(daily_sales(spark, sf), "sales", "date", KEYS))
+    return _r(adf(daily_sales(spark, sf, shared=True), "sales", "date", KEYS))
 
 
 @register("stationarity_tests")
@@ -233,4 +233,4 @@ def stationarity_tests(spark, sf):
     """H2 + H3 in one row per series (ADF and KPSS side by side)."""
     from panelcast.operators.adf import stationarity
 
-    return _r(stationarity(daily_sales(spark, sf), "sales", "date", KEYS))
+    return _r(stationarity(daily_sales(spark, sf, shared=True), "sales", "date", KEYS))

@@ -235,7 +235,7 @@ def _time_sql():
 def time_features(spark, sf):
     """F1-F13 / F15 exploration path: full cyclical set, business flags,
     days since the frame's first date."""
-    return _r(cal.time_features(daily_sales(spark, sf), "date"))
+    return _r(cal.time_features(daily_sales(spark, sf, shared=True), "date"))
 
 
 @register("holiday_calendar_join", DS + f"""SELECT store, item, date, {holiday_sql('date')} AS is_holiday
@@ -243,8 +243,34 @@ FROM daily_sales""")
 def holiday_calendar_join(spark, sf):
     """Holiday flag by a (size-checked) broadcast join against a
     calendar table derived from the panel's own date extent."""
-    ds = daily_sales(spark, sf)
+    ds = daily_sales(spark, sf, shared=True)
     ext = ds.agg(F.min("date").alias("lo"), F.max("date").alias("hi"))
     days = ext.select(F.explode(F.sequence("lo", "hi")).alias("date"))
     calendar = days.filter(cal.us_federal_holiday("date") == 1)
     return cal.holiday_flag(ds.select("store", "item", "date"), "date", calendar)
+
+
+ONE_SQL = """, daily_sales_one AS (SELECT date, sales FROM daily_sales WHERE store = 1 AND item = 'STANDARD')"""
+
+
+def _one(spark, sf):
+    """FIXTURES' single-series view: store 1, item STANDARD (keys = [])."""
+    return daily_sales(spark, sf).filter((F.col("store") == 1) & (F.col("item") == "STANDARD")).select("date", "sales")
+
+
+@register("single_series_features", DS + ONE_SQL + """SELECT date, sales,
+  """ + ",\n  ".join(
+    [f"lag(sales, {k}) OVER (ORDER BY date) AS sales_lag_{k}" for k in SINGLE_LAGS]
+    + [f"{trailing_roll_sql('sales', n, s_, '1', 'date')} AS sales_rolling_{n}_{s_}"
+       for n in [3, 7, 14, 30] for s_ in ["mean", "std", "min", "max"]]
+    + [f"CAST(sales - lag(sales, {p}) OVER (ORDER BY date) AS DOUBLE) AS sales_diff_{p}" for p in DIFF_P]
+    + [f"{r6(f'ff / NULLIF(lag(ff, {p}) OVER (ORDER BY date), 0) - 1')} AS sales_pct_change_{p}" for p in DIFF_P])
+    + """ FROM (SELECT *, CAST(last_value(sales IGNORE NULLS) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) AS DOUBLE)
+       AS ff FROM daily_sales_one)""")
+def single_series_features(spark, sf):
+    """E2/E4/E8/E9 single-series helpers (keys = []): lags 1..30, trailing
+    rolling 3..30 (mean, std, min, max), differences and percent change."""
+    f = win.lag_features(_one(spark, sf), [], "date", "sales", SINGLE_LAGS)
+    f = win.trailing_rolling(f, [], "date", "sales", [3, 7, 14, 30], ["mean", "std", "min", "max"])
+    f = win.difference_features(f, [], "date", "sales", DIFF_P)
+    return _r(f)

@@ -23,8 +23,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def daily_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keyed daily panel ``store INT, item STRING, date DATE, sales BIGINT``."""
+def daily_sales(spark: SparkSession, sf_dir: str, shared: bool = False) -> DataFrame:
+    """Keyed daily panel ``store INT, item STRING, date DATE, sales BIGINT``.
+
+    ``shared=True`` returns a reliable checkpoint of the panel (written once
+    to ``spark.checkpoint.dir``): for plans that reference the panel more than
+    once (statistics joined back, densify), so the fact-table joins and the
+    aggregation run once instead of once per reference."""
+    if shared:
+        from panelcast.session import ensure_checkpoint_dir
+
+        ensure_checkpoint_dir(spark)
+        return daily_sales(spark, sf_dir).checkpoint(eager=True)
     li = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_shipdate", "l_quantity")
     sup = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     nat = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
@@ -58,7 +68,7 @@ def daily_sales_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every day from first to last date of each series; ``sales`` null where absent."""
     from panelcast.operators.relational import densify_daily
 
-    return densify_daily(daily_sales(spark, sf_dir), keys=["store", "item"], date_col="date")
+    return densify_daily(daily_sales(spark, sf_dir, shared=True), keys=["store", "item"], date_col="date")
 
 
 DAILY_SALES_DENSE_SQL = """spine AS (
