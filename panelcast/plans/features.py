@@ -8,6 +8,9 @@ from panelcast.functions import calendar as cal
 from panelcast.operators import windows as win
 from panelcast.spec import FeatureConfig, SeriesSpec
 
+AUTO_SPLIT_THRESHOLD = 2_000_000   # rows in one series before windows are chunked
+AUTO_CHUNK_ROWS = 1_000_000
+
 
 def build_features(df: DataFrame, spec: SeriesSpec, cfg: FeatureConfig) -> DataFrame:
     """date -> lag -> rolling -> EWM -> interaction, each by switch.
@@ -30,10 +33,16 @@ def build_features(df: DataFrame, spec: SeriesSpec, cfg: FeatureConfig) -> DataF
             d = win.shifted_rolling(d, k, o, t, windows, cfg.rolling_aggs)
         return d
 
-    if cfg.split_rows and (lags or windows):
+    split = cfg.split_rows
+    if split == "auto" and (lags or windows):
+        # one small job: split only when some series is longer than the threshold
+        from panelcast.operators.ewm import max_series_length
+
+        split = AUTO_CHUNK_ROWS if max_series_length(out, keys) > AUTO_SPLIT_THRESHOLD else None
+    if split and (lags or windows):
         from panelcast.operators.longseries import chunked, lookback_of
 
-        out = chunked(out, keys, order, bounded, lookback_of(lags, windows), 0, cfg.split_rows)
+        out = chunked(out, keys, order, bounded, lookback_of(lags, windows), 0, int(split))
     else:
         out = bounded(out, keys, order)
     # fills look back without bound: run on whole series

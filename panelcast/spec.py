@@ -73,8 +73,9 @@ class FeatureConfig:
     create_interactions: bool = False
     categorical: list[str] = field(default_factory=lambda: list(DEFAULT_CATEGORICAL))
     # split series into chunks of this many rows (with look-back halos) for the
-    # lag/rolling windows, so one very long series runs as many tasks
-    split_rows: int | None = None
+    # lag/rolling windows, so one very long series runs as many tasks; "auto"
+    # splits only when the longest series exceeds a threshold
+    split_rows: int | str | None = None
 
     def feature_names(self, spec: SeriesSpec, available: list[str] | None = None) -> list[str]:
         """Feature list assembly (B11): names by switch, keys added,

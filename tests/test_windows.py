@@ -158,3 +158,22 @@ def test_chunked_long_series_equals_plain(spark):
     assert len(split) == len(plain)
     for c in plain.columns:
         _close(plain[c].astype(float), split[c].astype(float), 1e-9)
+
+
+def test_feature_build_auto_split(spark, monkeypatch):
+    import panelcast.plans.features as feat
+    from panelcast.spec import FeatureConfig, SeriesSpec
+
+    pdf = _panel(n=150, keys=2, null_frac=0.0)
+    df = _spark(spark, pdf).withColumnRenamed("k", "store").withColumnRenamed("t", "date")
+    spec = SeriesSpec(keys=("store",), order_col="date", value_col="v")
+    cfg = FeatureConfig(date_features=False, lags=[2, 5], rolling_windows=[4, 10], rolling_aggs=["mean", "max"])
+    plain = feat.build_features(df, spec, cfg).toPandas().sort_values(["store", "date"]).reset_index(drop=True)
+    monkeypatch.setattr(feat, "AUTO_SPLIT_THRESHOLD", 100)
+    monkeypatch.setattr(feat, "AUTO_CHUNK_ROWS", 40)
+    cfg.split_rows = "auto"
+    auto = feat.build_features(df, spec, cfg)
+    assert "__chunk" not in auto.columns
+    auto = auto.toPandas().sort_values(["store", "date"]).reset_index(drop=True)
+    for c in plain.columns:
+        _close(plain[c].astype(float), auto[c].astype(float), 1e-9)
