@@ -105,3 +105,11 @@ def test_flag_all_fused_equals_single_methods(spark):
         for m in methods:
             single = out.METHODS[m](df, "v", keys).toPandas().sort_values(["k", "t"]).reset_index(drop=True)
             assert fused[f"is_outlier_{m}"].tolist() == single.is_outlier.tolist()
+
+
+def test_kde_prebinned_close_to_exact(spark):
+    pdf, df = _vals(spark, seed=5)
+    exact = prof.kde_grid(df, "v", ["k"], 50).toPandas().sort_values(["k", "point"])
+    binned = prof.kde_grid(df, "v", ["k"], 50, bins=2000).toPandas().sort_values(["k", "point"])
+    assert np.allclose(exact.x.to_numpy(), binned.x.to_numpy())
+    assert np.max(np.abs(exact.density.to_numpy() - binned.density.to_numpy())) < 1e-3
