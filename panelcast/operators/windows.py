@@ -182,7 +182,8 @@ def frame_stats(df: DataFrame, keys, order_col: str, value: str, specs: list[Fra
     named: list[tuple[str, Column]] = []
     tmp: list[str] = []
 
-    # rows-in-frame counts are needed for the ``count`` aggregate's validity
+    # running (centred) sums, counts and row numbers shared by the prefix and
+    # table paths (row numbers give the ``count`` aggregate's rows in frame)
     if pref or blk:
         run = w.rowsBetween(UNB, 0)
         # a rounded centre keeps every partial sum exact for integer data
@@ -200,8 +201,6 @@ def frame_stats(df: DataFrame, keys, order_col: str, value: str, specs: list[Fra
         tmp += ["__c", "__rn", "__s1", "__s2", "__n"]
 
     if blk:
-        # power-of-two doubling table on the existing order: M_k(i) = extreme
-        # over rows [i - 2^k + 1, i]; one lag per level, no re-sort
         # base-4 table: M_k(i) = extreme over rows [i - 4^k + 1, i]; level k
         # combines four level-(k-1) values, one window operator per level
         top = 0
