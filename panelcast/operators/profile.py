@@ -304,3 +304,17 @@ def qq_points(df: DataFrame, col: str, keys=()) -> DataFrame:
            .when(F.col("rank") == F.col("__n"), F.pow(F.lit(0.5), 1 / n))
            .otherwise((i - 0.3175) / (n + 0.365)))
     return ranks.select(*keys, "rank", "value", norm_ppf(pos).alias("theoretical")).drop("__n")
+
+
+def advanced_statistics(df: DataFrame, col: str, order_col: str, keys=()) -> DataFrame:
+    """The reference's one-call statistics: moments (D5), Shapiro-Wilk on the
+    first 5,000 values (H1) and the percentile set (D6), one row per series."""
+    from panelcast.operators.diagnostics import shapiro_wilk
+
+    keys = list(keys)
+    m = moments(df, col, keys)
+    sw = shapiro_wilk(df, col, order_col, keys).drop("n")
+    pc = percentile_set(df, col, keys)
+    if keys:
+        return m.join(sw, keys, "left").join(pc, keys, "left")
+    return m.crossJoin(sw).crossJoin(pc)

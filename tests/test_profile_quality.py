@@ -113,3 +113,12 @@ def test_kde_prebinned_close_to_exact(spark):
     binned = prof.kde_grid(df, "v", ["k"], 50, bins=2000).toPandas().sort_values(["k", "point"])
     assert np.allclose(exact.x.to_numpy(), binned.x.to_numpy())
     assert np.max(np.abs(exact.density.to_numpy() - binned.density.to_numpy())) < 1e-3
+
+
+def test_advanced_statistics(spark):
+    pdf, df = _vals(spark)
+    a = {r["k"]: r for r in prof.advanced_statistics(df, "v", "t", ["k"]).collect()}
+    g = prof.advanced_statistics(df, "v", "t", []).first()
+    x = pdf.v.dropna().to_numpy()
+    assert np.isclose(g["p90"], np.percentile(x, 90)) and np.isclose(g["median"], np.median(x))
+    assert set(a) == {0, 1} and 0 < a[0]["shapiro_stat"] < 1 and not a[0]["is_normal"]
