@@ -2,9 +2,9 @@
 
 All fitting is ``pyspark.ml``: each fit is a set of distributed jobs; the
 driver only loops over folds / candidates and receives one metric row per
-fit.  The feature table is written once to the shared checkpoint folder and
-read back, so the CV loop neither recomputes the windows nor depends on a
-long lineage (and survives executor loss).
+fit.  The fold index checkpoints the sorted feature table once in the shared
+checkpoint folder, so the CV loop neither recomputes the windows nor depends
+on a long lineage (and survives executor loss).
 """
 
 from __future__ import annotations
@@ -113,7 +113,8 @@ def train_pipeline(spark: SparkSession, df: DataFrame, spec: SeriesSpec = Series
     if not names:
         raise ValueError("no features available")
     table = table.withColumn(t, F.col(t).cast("double"))
-    folded = materialize(spark, val.time_series_folds(table, [d] + keys, tcfg.n_splits), "cv_features")
+    # the fold index checkpoints the sorted feature table once (lineage cut)
+    folded = val.time_series_folds(table, [d] + keys, tcfg.n_splits)
     cats = [c for c in tcfg.categorical if c in names]
     bins = _max_bins(folded, cats)
     def run_fold(i):
@@ -186,7 +187,7 @@ def random_search(spark: SparkSession, df: DataFrame, features, target: str, mod
                   order_cols, n_iter: int = 20, cv_splits: int = 5, seed: int = 42, parallelism: int = 4):
     """Randomised search with time-series CV scored by MAE, best refit,
     in-sample MAE/RMSE/MAPE (L12, L13).  Returns (results dict, cv table)."""
-    folded = materialize(spark, val.time_series_folds(df, order_cols, cv_splits), "search_features")
+    folded = val.time_series_folds(df, order_cols, cv_splits)
     results, cv_rows = {}, []
     for name, est in models.items():
         grid = grids.get(name, {})
