@@ -56,14 +56,14 @@ def _ols(xtx, xty, yty, nobs):
     return beta, ssr
 
 
-def _solve_series(n: int, P: int, G: np.ndarray, head: list) -> dict:
+def _solve_series(n: int, P: int, G: np.ndarray, head: list, fixed: bool = False) -> dict:
     """G: cross products of [1, x_{t-1}, dx_{t-1..t-P}, dx_t] over t >= P+2;
-    head: rows (t, vector) for 2 <= t <= P+1."""
-    k = P + 2  # regressors incl. constant at index 0, level at 1
+    head: rows (t, vector) for 2 <= t <= P+1.  ``fixed``: use lag P as given
+    (no AIC search)."""
     y_idx = G.shape[0] - 1
     nobs = n - 1 - P
-    best = None
-    for p in range(P + 1):
+    best = (0.0, P) if fixed else None
+    for p in ([] if fixed else range(P + 1)):
         cols = list(range(0, 2 + p))
         xtx = G[np.ix_(cols, cols)]
         xty = G[cols, y_idx]
@@ -92,13 +92,14 @@ def _solve_series(n: int, P: int, G: np.ndarray, head: list) -> dict:
     sigma2 = ssr / (nobs2 - len(cols))
     cov = np.linalg.inv(xtx) * sigma2
     stat = float(beta[1] / math.sqrt(cov[1, 1]))
-    del k
     return {"adf_stat": stat, "adf_p": mackinnon_p(stat), "adf_lags": p, "adf_nobs": nobs2}
 
 
 def adf(df: DataFrame, value: str, order_col: str, keys=(), min_rows: int = 10,
-        max_len: int | None = None) -> DataFrame:
-    """ADF per series on the non-null values in order (one row per key)."""
+        max_len: int | None = None, lags: int | None = None) -> DataFrame:
+    """ADF per series on the non-null values in order (one row per key).
+    ``lags=None`` chooses the lag by AIC; an integer fixes it (``lags=0`` is
+    the plain Dickey-Fuller regression)."""
     from panelcast.operators.ewm import max_series_length
 
     keys = list(keys)
@@ -106,15 +107,19 @@ def adf(df: DataFrame, value: str, order_col: str, keys=(), min_rows: int = 10,
     d = df.filter(x.isNotNull()).select(*keys, order_col, x.alias("__x"))
     d = with_group_stat(d, keys, F.count(F.lit(1)).alias("__n"), F.avg("__x").alias("__mu"))
     d = d.filter(F.col("__n") >= min_rows)
-    n_max = max_len if max_len is not None else max_series_length(d, keys)
-    pmax = max(adf_maxlag(max(n_max, min_rows)), 0)
+    if lags is not None:
+        pmax = int(lags)
+    else:
+        n_max = max_len if max_len is not None else max_series_length(d, keys)
+        pmax = max(adf_maxlag(max(n_max, min_rows)), 0)
     w = wspec(keys, order_col)
     d = d.select(*keys, "__n", F.row_number().over(w).alias("__t"),
                  (F.col("__x") - F.lag("__x", 1).over(w)).alias("__dx"),
                  (F.lag("__x", 1).over(w) - F.col("__mu")).alias("__lvl"))
     d = d.select("*", *[F.lag("__dx", i).over(wspec(keys, "__t")).alias(f"__d{i}") for i in range(1, pmax + 1)])
     d = d.filter(F.col("__t") >= 2)
-    pcol = F.least(F.ceil(12.0 * F.pow(F.col("__n") / 100.0, 0.25)), F.floor(F.col("__n") / 2) - 2)
+    pcol = F.lit(int(lags)) if lags is not None else \
+        F.least(F.ceil(12.0 * F.pow(F.col("__n") / 100.0, 0.25)), F.floor(F.col("__n") / 2) - 2)
     d = d.withColumn("__P", pcol.cast("int"))
     vec = F.array(F.lit(1.0), F.col("__lvl"), *[F.col(f"__d{i}") for i in range(1, pmax + 1)], F.col("__dx"))
     rows = d.select(*keys, "__n", "__P", "__t", vec.alias("__v"))
@@ -190,7 +195,7 @@ def adf(df: DataFrame, value: str, order_col: str, keys=(), min_rows: int = 10,
                 for e in hs:
                     v = np.asarray(e["__g"], dtype=float)[sel]
                     head.append((int(e["__tag"]), v))
-                res = _solve_series(n, P, Gs, head)
+                res = _solve_series(n, P, Gs, head, fixed=lags is not None)
                 rec = {k: r[k] for k in keys}
                 rec.update({"n": n, "adf_stat": res.get("adf_stat"), "adf_p": res.get("adf_p"),
                             "adf_lags": res.get("adf_lags"), "adf_nobs": res.get("adf_nobs")})

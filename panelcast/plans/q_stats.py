@@ -228,6 +228,24 @@ def adf_test(spark, sf):
     return _r(adf(daily_sales(spark, sf, shared=True), "sales", "date", KEYS))
 
 
+@register("dickey_fuller_lag0", DS + f""", c AS (SELECT store, item, CAST(sales AS DOUBLE) AS x,
+    lag(CAST(sales AS DOUBLE)) OVER (PARTITION BY {PART} ORDER BY date) AS xl,
+    COUNT(*) OVER (PARTITION BY {PART}) AS n FROM daily_sales),
+r AS (SELECT store, item, MIN(n) AS n, REGR_SLOPE(x - xl, xl) AS b, REGR_SXX(x - xl, xl) AS sxx,
+        REGR_SYY(x - xl, xl) AS syy, REGR_SXY(x - xl, xl) AS sxy, REGR_COUNT(x - xl, xl) AS m
+      FROM c WHERE xl IS NOT NULL GROUP BY store, item HAVING MIN(n) >= 10)
+SELECT store, item, CAST(n AS BIGINT) AS n, {r6('b / SQRT((syy - b * sxy) / (m - 2) / sxx)')} AS adf_stat,
+  CAST(0 AS INTEGER) AS adf_lags, CAST(m AS BIGINT) AS adf_nobs FROM r""")
+def dickey_fuller_lag0(spark, sf):
+    """H2 with the lag fixed at 0 (plain Dickey-Fuller t statistic): the
+    distributed moment-matrix regression checked against a SQL simple
+    regression; the p-value is in ``adf_test``."""
+    from panelcast.operators.adf import adf
+
+    res = adf(daily_sales(spark, sf, shared=True), "sales", "date", KEYS, lags=0)
+    return _r(res.select(*KEYS, "n", "adf_stat", "adf_lags", "adf_nobs"))
+
+
 @register("stationarity_tests")
 def stationarity_tests(spark, sf):
     """H2 + H3 in one row per series (ADF and KPSS side by side)."""
