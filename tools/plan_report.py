@@ -37,7 +37,7 @@ def main(argv):
         df = all_queries.QUERIES[n](spark, sf)
         df.foreach(lambda _: None)      # run through this Dataset, so AQE shows its final plan
         qe = df._jdf.queryExecution()
-        plan = qe.executedPlan().toString()
+        plan = qe.executedPlan().toString().split("== Initial Plan ==")[0]   # final AQE plan only
         reused = plan.count("ReusedExchange") + plan.count("ReusedQueryStage")
         s = summarise(plan)
         print(f"{n}: exchanges={s['shuffle_exchanges']} broadcasts={s['broadcasts']} sorts={s['sorts']} "
