@@ -25,7 +25,7 @@ def _r(df):
 
 def trained(spark, sf):
     """Train once per scale factor and session; later queries reuse the result."""
-    key = (id(spark), sf)
+    key = (spark.sparkContext.applicationId, sf)   # unique per context
     if key not in _TRAINED:
         model_dir = scratch_table_path(spark, "models")
         res = tr.train_pipeline(spark, daily_sales(spark, sf), SeriesSpec(), FeatureConfig(), tr.TrainConfig(),
@@ -107,7 +107,7 @@ _SEARCHED: dict = {}
 
 def searched(spark, sf):
     """One seeded search per scale factor and session (two model families)."""
-    key = (id(spark), sf)
+    key = (spark.sparkContext.applicationId, sf)   # unique per context
     if key not in _SEARCHED:
         f = tr.materialize(spark, _imp_frame(spark, sf).na.drop(subset=IMP_FEATURES), "search_input")
         grids = {"linear": {"regParam": [0.0, 0.1, 1.0], "elasticNetParam": [0.0, 0.5]},
