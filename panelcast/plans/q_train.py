@@ -19,13 +19,21 @@ from panelcast.spec import FeatureConfig, SeriesSpec
 _TRAINED: dict = {}
 
 
+def _session_key(spark):
+    """Unique per running context (an object id can be reused after a stop)."""
+    try:
+        return spark.sparkContext.applicationId
+    except Exception:  # noqa: BLE001  (sessions without a local context)
+        return id(spark)
+
+
 def _r(df):
     return round_cols(df, float_cols(df))
 
 
 def trained(spark, sf):
     """Train once per scale factor and session; later queries reuse the result."""
-    key = (spark.sparkContext.applicationId, sf)   # unique per context
+    key = (_session_key(spark), sf)
     if key not in _TRAINED:
         model_dir = scratch_table_path(spark, "models")
         res = tr.train_pipeline(spark, daily_sales(spark, sf), SeriesSpec(), FeatureConfig(), tr.TrainConfig(),
@@ -107,7 +115,7 @@ _SEARCHED: dict = {}
 
 def searched(spark, sf):
     """One seeded search per scale factor and session (two model families)."""
-    key = (spark.sparkContext.applicationId, sf)   # unique per context
+    key = (_session_key(spark), sf)
     if key not in _SEARCHED:
         f = tr.materialize(spark, _imp_frame(spark, sf).na.drop(subset=IMP_FEATURES), "search_input")
         grids = {"linear": {"regParam": [0.0, 0.1, 1.0], "elasticNetParam": [0.0, 0.5]},
