@@ -33,9 +33,12 @@ BLOCK_AGGS = ("min", "max")
 
 
 def wspec(keys, order_col, desc: bool = False, extra_keys=()):
+    """Window by series keys ordered by ``order_col``; a list/tuple of columns
+    adds tie-breakers (rows sharing a date then have a deterministic order)."""
     parts = list(keys) + list(extra_keys)
-    o = F.col(order_col).desc() if desc else F.col(order_col)
-    return (Window.partitionBy(*parts) if parts else Window.partitionBy(F.lit(0))).orderBy(o)
+    cols = [order_col] if isinstance(order_col, str) else list(order_col)
+    order = [F.col(c).desc() if desc else F.col(c) for c in cols]
+    return (Window.partitionBy(*parts) if parts else Window.partitionBy(F.lit(0))).orderBy(*order)
 
 
 def _pspec(keys):

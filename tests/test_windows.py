@@ -177,3 +177,26 @@ def test_feature_build_auto_split(spark, monkeypatch):
     auto = auto.toPandas().sort_values(["store", "date"]).reset_index(drop=True)
     for c in plain.columns:
         _close(plain[c].astype(float), auto[c].astype(float), 1e-9)
+
+
+def test_ties_fixture_with_tiebreak(spark):
+    """Demo frame: every (group, date) occurs twice; a tie-breaker column makes
+    lags and rolling statistics deterministic and equal to a stable sort."""
+    import datetime as dt
+
+    rng = np.random.default_rng(7)
+    rows = []
+    for g in ("A", "B"):
+        for d in range(50):
+            for r in range(2):
+                rows.append((g, dt.date(2023, 1, 1) + dt.timedelta(days=d), r, float(rng.integers(0, 100))))
+    pdf = pd.DataFrame(rows, columns=["group", "date", "seq", "value"])
+    df = spark.createDataFrame(pdf)
+    out = win.lag_features(df, ["group"], ["date", "seq"], "value", [1, 3])
+    out = win.shifted_rolling(out, ["group"], ["date", "seq"], "value", [4], ["mean", "max"]).toPandas()
+    out = out.sort_values(["group", "date", "seq"]).reset_index(drop=True)
+    srt = pdf.sort_values(["group", "date", "seq"], kind="stable").reset_index(drop=True)
+    g = srt.groupby("group")["value"]
+    _close(out["value_lag_3"], g.shift(3))
+    _close(out["value_roll_mean_4d"], g.transform(lambda s: s.shift(1).rolling(4, min_periods=2).mean()))
+    _close(out["value_roll_max_4d"], g.transform(lambda s: s.shift(1).rolling(4, min_periods=2).max()))
