@@ -38,7 +38,8 @@ def chunked(df: DataFrame, keys, order_col: str, build: Callable[[DataFrame, lis
         raise ValueError("chunk_rows must be at least the lookback/lookahead")
     keys = list(keys)
     cols = df.columns
-    g = global_row_index(df, keys + [order_col], out="__g")
+    order_cols = [order_col] if isinstance(order_col, str) else list(order_col)
+    g = global_row_index(df, keys + order_cols, out="__g")
     c = F.floor(F.col("__g") / chunk_rows).cast("long")
     start = c * chunk_rows
     copies = [F.struct(c.alias("__chunk"), F.lit(True).alias("__own"))]

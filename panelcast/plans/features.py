@@ -18,11 +18,12 @@ def build_features(df: DataFrame, spec: SeriesSpec, cfg: FeatureConfig) -> DataF
     All keyed window features share one ``Exchange hashpartitioning(keys)``;
     nothing here triggers a job.
     """
-    keys, order, t = list(spec.keys), spec.order_col, spec.value_col
+    keys, t = list(spec.keys), spec.value_col
     out = df
     if cfg.date_features:
-        out = cal.date_features(out, order, cyclical_features=cfg.cyclical, holidays=cfg.holidays,
+        out = cal.date_features(out, spec.order_col, cyclical_features=cfg.cyclical, holidays=cfg.holidays,
                                 business=cfg.business)
+    order = spec.window_order
     lags = cfg.lags if cfg.create_lags else []
     windows = cfg.rolling_windows if cfg.create_rolling else []
 

@@ -18,9 +18,16 @@ class SeriesSpec:
     keys: tuple[str, ...] = ("store", "item")
     order_col: str = "date"
     value_col: str = "sales"
+    tiebreak: tuple[str, ...] = ()   # extra order columns for rows sharing a date
 
     def __post_init__(self):
         object.__setattr__(self, "keys", tuple(self.keys))
+        object.__setattr__(self, "tiebreak", tuple(self.tiebreak))
+
+    @property
+    def window_order(self):
+        """Order for window operators: the order column plus tie-breakers."""
+        return (self.order_col, *self.tiebreak) if self.tiebreak else self.order_col
 
 
 # Fixed values that must equal the reference's defaults (feature lists,

@@ -200,3 +200,25 @@ def test_ties_fixture_with_tiebreak(spark):
     _close(out["value_lag_3"], g.shift(3))
     _close(out["value_roll_mean_4d"], g.transform(lambda s: s.shift(1).rolling(4, min_periods=2).mean()))
     _close(out["value_roll_max_4d"], g.transform(lambda s: s.shift(1).rolling(4, min_periods=2).max()))
+
+
+def test_build_features_with_tiebreak_and_split(spark):
+    import datetime as dt
+
+    from panelcast.plans.features import build_features
+    from panelcast.spec import FeatureConfig, SeriesSpec
+
+    rng = np.random.default_rng(8)
+    rows = [(g, dt.date(2023, 1, 1) + dt.timedelta(days=d), r, float(rng.integers(0, 50)))
+            for g in ("A", "B") for d in range(60) for r in range(2)]
+    df = spark.createDataFrame(rows, "group STRING, date DATE, seq INT, value DOUBLE")
+    spec = SeriesSpec(("group",), "date", "value", tiebreak=("seq",))
+    cfg = FeatureConfig(lags=[1, 5], rolling_windows=[6], rolling_aggs=["mean", "min"], create_ewm=True,
+                        ewm_spans=[3])
+    a = build_features(df, spec, cfg).toPandas().sort_values(["group", "date", "seq"]).reset_index(drop=True)
+    cfg.split_rows = 30
+    b = build_features(df, spec, cfg).toPandas().sort_values(["group", "date", "seq"]).reset_index(drop=True)
+    for c in ["value_lag_5", "value_roll_mean_6d", "value_roll_min_6d", "value_ewm_3"]:
+        _close(a[c].astype(float), b[c].astype(float), 1e-9)
+    srt = pd.DataFrame(rows, columns=["group", "date", "seq", "value"]).sort_values(["group", "date", "seq"])
+    _close(a["value_lag_5"], srt.groupby("group")["value"].shift(5).reset_index(drop=True))
