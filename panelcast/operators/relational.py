@@ -72,7 +72,10 @@ def timeline(df: DataFrame, features: list[str], date_col: str = "date",
 
 
 def last_n(df: DataFrame, keys: list[str], order_col: str, n: int) -> DataFrame:
-    """Last-N rows of every series."""
+    """Last-N rows of every series (B7); one series (``keys=[]``) is an
+    ordered top-k, not a whole-table window."""
+    if not keys:
+        return df.orderBy(F.col(order_col).desc()).limit(n)
     w = Window.partitionBy(*keys).orderBy(F.col(order_col).desc())
     return df.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") <= n).drop("__rn")
 

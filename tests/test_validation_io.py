@@ -80,3 +80,13 @@ def test_folds_snap_to_dates(spark):
             assert tr.agg(F.max("date")).first()[0] < va.agg(F.min("date")).first()[0]
             # every row before the validation block is trained on
             assert tr.count() == f[f.split_index < va.agg(F.min("split_index")).first()[0]].shape[0]
+
+
+def test_last_n_global_and_keyed(spark):
+    from panelcast.operators.relational import last_n
+
+    rows = [(k, dt.date(2020, 1, 1) + dt.timedelta(days=d)) for k in range(3) for d in range(10)]
+    df = spark.createDataFrame(rows, "k INT, date DATE")
+    assert last_n(df, ["k"], "date", 4).count() == 12
+    g = last_n(df, [], "date", 4).collect()
+    assert len(g) == 4 and min(r["date"] for r in g) == dt.date(2020, 1, 9)
