@@ -11,8 +11,8 @@ frame of ``n`` rows costs O(n) per row.  The default ``method="prefix"``
 computes sum/count/mean/var/std from differences of running (centred) sums
 (O(1) per row whatever the window length) and min/max from a base-4
 doubling table built with lags on the same sort order (O(log w) per row, no
-extra sort or shuffle).  ``method="frame"`` uses plain frames (median, skew,
-kurt always do).
+extra sort or shuffle); skew and kurtosis come from centred power sums the
+same way.  ``method="frame"`` uses plain frames (median always does).
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ UNB = Window.unboundedPreceding
 UNF = Window.unboundedFollowing
 
 KNOWN_AGGS = ("mean", "std", "var", "min", "max", "sum", "count", "median", "skew", "kurt")
-PREFIX_AGGS = ("mean", "std", "var", "sum", "count")
+PREFIX_AGGS = ("mean", "std", "var", "sum", "count", "skew", "kurt")
 BLOCK_AGGS = ("min", "max")
 
 
@@ -194,14 +194,18 @@ def frame_stats(df: DataFrame, keys, order_col: str, value: str, specs: list[Fra
         centre = F.round(F.avg(x).over(_pspec(keys)))
         out = out.select("*", centre.alias("__c"))
         y = x - F.col("__c")
+        higher = any(s.agg in ("skew", "kurt") for s in pref)
+        extra = [F.sum(F.coalesce(y * y * y, F.lit(0.0))).over(run).alias("__s3"),
+                 F.sum(F.coalesce(y * y * y * y, F.lit(0.0))).over(run).alias("__s4")] if higher else []
         out = out.select(
             "*",
             F.row_number().over(w).alias("__rn"),
             F.sum(F.coalesce(y, F.lit(0.0))).over(run).alias("__s1"),
             F.sum(F.coalesce(y * y, F.lit(0.0))).over(run).alias("__s2"),
             F.count(x).over(run).alias("__n"),
+            *extra,
         )
-        tmp += ["__c", "__rn", "__s1", "__s2", "__n"]
+        tmp += ["__c", "__rn", "__s1", "__s2", "__n"] + (["__s3", "__s4"] if higher else [])
 
     if blk:
         # base-4 table: M_k(i) = extreme over rows [i - 4^k + 1, i]; level k
@@ -245,6 +249,22 @@ def frame_stats(df: DataFrame, keys, order_col: str, value: str, specs: list[Fra
             rows = F.least(F.greatest(F.col("__rn") + s.end, F.lit(0)), F.lit(s.length))
             named.append((s.name, F.when(rows >= s.minp, n)))
             continue
+        elif s.agg in ("skew", "kurt"):
+            s3 = _lagged(F.col("__s3"), a, w, 0.0) - _lagged(F.col("__s3"), b, w, 0.0)
+            s4 = _lagged(F.col("__s4"), a, w, 0.0) - _lagged(F.col("__s4"), b, w, 0.0)
+            mu = s1 / n
+            m2 = s2 / n - mu * mu
+            m3 = s3 / n - 3 * mu * s2 / n + 2 * mu * mu * mu
+            m4 = s4 / n - 4 * mu * s3 / n + 6 * mu * mu * s2 / n - 3 * mu * mu * mu * mu
+            # a window of equal values (m2 zero up to rounding) gives pandas' 0 / -3
+            flat = m2 <= F.lit(1e-14) * F.greatest(s2 / n, F.lit(1e-300))
+            if s.agg == "skew":
+                g = F.sqrt(n * (n - 1)) / (n - 2) * m3 / F.pow(m2, 1.5)
+                val = F.when(n < 3, None).when(flat, F.lit(0.0)).otherwise(g)
+            else:
+                g2 = m4 / (m2 * m2) - 3
+                val = F.when(n < 4, None).when(flat, F.lit(-3.0)).otherwise(
+                    ((n + 1) * g2 + 6) * (n - 1) / ((n - 2) * (n - 3)))
         elif s.agg == "var":
             val = F.when(n >= 2, var)
         else:

@@ -222,3 +222,17 @@ def test_build_features_with_tiebreak_and_split(spark):
         _close(a[c].astype(float), b[c].astype(float), 1e-9)
     srt = pd.DataFrame(rows, columns=["group", "date", "seq", "value"]).sort_values(["group", "date", "seq"])
     _close(a["value_lag_5"], srt.groupby("group")["value"].shift(5).reset_index(drop=True))
+
+
+def test_prefix_skew_kurt_match_pandas(spark):
+    pdf = _panel(n=200, keys=3, null_frac=0.15)
+    pdf.loc[(pdf.k == 2) & (pdf.t.between(50, 80)), "v"] = 7.0      # constant stretch
+    df = _spark(spark, pdf)
+    out = win.trailing_rolling(df, ["k"], "t", "v", [5, 12], ["skew", "kurt"]).toPandas().sort_values(["k", "t"])
+    sh = win.shifted_rolling(df, ["k"], "t", "v", [9], ["skew", "kurt"]).toPandas().sort_values(["k", "t"])
+    g = pdf.sort_values(["k", "t"]).groupby("k")["v"]
+    for n in (5, 12):
+        _close(out[f"v_rolling_{n}_skew"], g.transform(lambda s: s.rolling(n).skew()), 1e-7)
+        _close(out[f"v_rolling_{n}_kurt"], g.transform(lambda s: s.rolling(n).kurt()), 1e-7)
+    _close(sh["v_roll_skew_9d"], g.transform(lambda s: s.shift(1).rolling(9, min_periods=4).skew()), 1e-7)
+    _close(sh["v_roll_kurt_9d"], g.transform(lambda s: s.shift(1).rolling(9, min_periods=4).kurt()), 1e-7)
