@@ -90,3 +90,27 @@ def test_last_n_global_and_keyed(spark):
     assert last_n(df, ["k"], "date", 4).count() == 12
     g = last_n(df, [], "date", 4).collect()
     assert len(g) == 4 and min(r["date"] for r in g) == dt.date(2020, 1, 9)
+
+
+def test_model_registry_newest_first(spark):
+    import time as _time
+
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+
+    from panelcast.sources import models as reg
+
+    df = spark.createDataFrame([(float(i), 2.0 * i + 1) for i in range(20)], "x DOUBLE, y DOUBLE")
+    pipe = Pipeline(stages=[VectorAssembler(inputCols=["x"], outputCol="features"), LinearRegression(labelCol="y")])
+    m1, m2 = pipe.fit(df), pipe.fit(df)
+    base = scratch_table_path(spark, "registry")
+    p1 = reg.save_model(spark, m1, base, {"mae": 1.0}, ["x"])
+    _time.sleep(1.1)
+    p2 = reg.save_model(spark, m2, base, {"mae": 0.5}, ["x"])
+    listed = [r["model_path"] for r in reg.list_models(spark, base).collect()]
+    assert listed == [p2, p1] and reg.latest_model_path(spark, base) == p2
+    loaded = reg.load_model(p2)
+    a = [r["prediction"] for r in m2.transform(df).orderBy("x").collect()]
+    b = [r["prediction"] for r in loaded.transform(df).orderBy("x").collect()]
+    assert a == b
