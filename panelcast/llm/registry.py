@@ -37,3 +37,17 @@ def op3_min_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     _, layout = binpack.pack_documents(table(spark, sf_dir, "documents"), vocabulary_path("word_bpe_49k.json"))
     return layout.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@_query
+def op2_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelcast.llm import simhash
+
+    return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id", "n_links")
+
+
+@_query
+def op9_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelcast.llm import prefixcount
+
+    return prefixcount.token_counts(table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"), 1024)
