@@ -51,3 +51,10 @@ def op9_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from panelcast.llm import prefixcount
 
     return prefixcount.token_counts(table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"), 1024)
+
+
+@_query
+def op7_regularised_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelcast.llm import qda
+
+    return qda.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
