@@ -40,17 +40,32 @@ _PART = pa.schema([("shard", pa.int32()), ("ordinal", pa.int64()), ("doc_id", pa
                    ("n_tokens", pa.int64()), ("at", pa.int64()), ("crc", pa.int64()), ("part", pa.binary())])
 
 
+def _turn_bits(x: np.ndarray) -> np.ndarray:
+    """Each 64-bit word as eight bytes of eight bits, rows and columns exchanged."""
+    for keep, swap, by in _TURNS:
+        x = (x & keep) | ((x & swap) << by) | ((x >> by) & swap)
+    return x
+
+
+#: bits (1, 2, 4 apart) that stay, those that move, and how far
+_TURNS = [tuple(map(np.uint64, t)) for t in ((0xAA55AA55AA55AA55, 0x00AA00AA00AA00AA, 7),
+                                             (0xCCCC3333CCCC3333, 0x0000CCCC0000CCCC, 14),
+                                             (0xF0F0F0F00F0F0F0F, 0x00000000F0F0F0F0, 28))]
+
+
 def split_planes(ids: np.ndarray, kind: str = "bit") -> list[bytes]:
     """The planes of a block of ids, compressed; all-zero high planes are left out."""
-    raw = np.ascontiguousarray(ids, "<u4").view(np.uint8).reshape(-1, 4)
+    if kind not in ("bit", "byte"):
+        raise ValueError(f"kind must be bit or byte, not {kind!r}")
     top = int(ids.max()).bit_length() if len(ids) else 0
+    raw = np.ascontiguousarray(ids, "<u4").view(np.uint8).reshape(-1, 4)
+    rows: list[np.ndarray] = [np.ascontiguousarray(raw[:, k]) for k in range(-(-top // 8))]
     if kind == "bit":
-        bits = np.unpackbits(raw[:, : -(-top // 8)], axis=1, bitorder="little")[:, :top]
-        rows = np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little")
-    elif kind == "byte":
-        rows = np.ascontiguousarray(raw[:, : -(-top // 8)].T)
-    else:
-        raise ValueError(f"kind must be bit or byte, not {kind!r}")
+        planes = []
+        for row in rows:
+            words = _turn_bits(np.pad(row, (0, -len(row) % 8)).view("<u8"))
+            planes += list(np.ascontiguousarray(words.view(np.uint8).reshape(-1, 8).T))
+        rows = planes[:top]
     pack = zstandard.ZstdCompressor(level=LEVEL).compress
     return [pack(row.tobytes()) for row in rows]
 
@@ -59,14 +74,13 @@ def join_planes(planes: list[bytes], n_ids: int, kind: str = "bit") -> np.ndarra
     """The ids that :func:`split_planes` was given."""
     unpack = zstandard.ZstdDecompressor().decompress
     raw = np.zeros((n_ids, 4), np.uint8)
-    if planes and n_ids:
-        rows = np.stack([np.frombuffer(unpack(p), np.uint8) for p in planes])
-        if kind == "bit":
-            bits = np.unpackbits(rows, axis=1, count=n_ids, bitorder="little")
-            packed = np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little")
-            raw[:, : packed.shape[1]] = packed
-        else:
-            raw[:, : len(rows)] = rows.T
+    rows = [np.frombuffer(unpack(p), np.uint8) for p in planes]
+    if kind == "bit":
+        none = np.zeros(-(-n_ids // 8), np.uint8)
+        eights = [rows[k:k + 8] for k in range(0, len(rows), 8)]
+        rows = [_turn_bits(np.stack([*e, *[none] * (8 - len(e))], axis=1).view("<u8").ravel()).view(np.uint8)[:n_ids] for e in eights]
+    for k, row in enumerate(rows):
+        raw[:, k] = row
     return raw.view("<u4").ravel()
 
 

@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.llm.tokens import BYTE_LETTERS, LONGEST, MEMO, segments, vocabulary
+from panelcast.llm.tokens import BYTE_LETTERS, LONGEST, segments, vocabulary
 from panelcast.session import ship_package, stored
 
 #: Fixed value: how byte-level vocabularies of this kind cut a text.
@@ -34,6 +34,7 @@ PRE_TOKENS = regex.compile(
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
     r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
 _NEVER = 1 << 60
+MEMO = 700_000          # segments, and beginnings of words, that a worker remembers
 HEAD = 12               # beginnings of up to so many bytes are remembered
 PREFIXES = "doc_id long, n_bytes long, n_tokens long, prefix binary"
 

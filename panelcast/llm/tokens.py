@@ -11,13 +11,13 @@ from __future__ import annotations
 
 import os
 import re
-import unicodedata
 
 import numpy as np
 
-MEMO = 700_000          # segments remembered by a worker
+MEMO = 1_000_000          # segments remembered by a worker
 LONGEST = 48            # longer segments are not remembered
 _ODD = re.compile(r"\s | \s")
+_CLOSING = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -71,18 +71,20 @@ class Coder:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _word(self, word: str) -> bytes:
-        """Ids of a space and ``word``."""
-        if word.isascii() or max(word) < "ɐ":
-            if word.isalpha():
-                # one run of letters is one pre-token: straight to the merges
-                if self.lower:
-                    word = unicodedata.normalize("NFC", word).lower()
-                else:
-                    word = " " + word
-                shown = word.encode().decode("latin-1").translate(BYTE_LETTERS)
-                return np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
-            if word[-1:] in (".", ",") and word[:-1].isalpha():
-                return self.later[word[:-1]] + self.first[word[-1]]
+        """Ids of a space and ``word``, put together from parts already met
+        where a cut between them is one for every such text."""
+        above, line, below = word.rpartition("\n")
+        if line and above and below and not above[-1].isspace() and not below[0].isspace():
+            return self.later[above] + self.first[line] + self.first[below]
+        stem = word.rstrip(_CLOSING)
+        if stem.isalpha() and (stem.isascii() or max(stem) < "ɐ"):
+            if len(stem) < len(word):
+                return self.later[stem] + self.first[word[len(stem):]]
+            # one run of letters is one pre-token: straight to the merges
+            shown = word.lower() if self.lower else " " + word
+            if self.lower and not shown.isalpha():
+                return self._library(word)
+            return np.array([t.id for t in self.model.tokenize(shown.encode().decode("latin-1").translate(BYTE_LETTERS))], "<u4").tobytes()
         return self._library(" " + word)
 
     def encode(self, text: str | None) -> bytes:
