@@ -58,3 +58,10 @@ def op7_regularised_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
     from panelcast.llm import qda
 
     return qda.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@_query
+def op10_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelcast.llm import mcd
+
+    return mcd.quality_rules(table(spark, sf_dir, "documents"))

@@ -77,13 +77,11 @@ class Coder:
         if line and above and below and not above[-1].isspace() and not below[0].isspace():
             return self.later[above] + self.first[line] + self.first[below]
         stem = word.rstrip(_CLOSING)
-        if stem.isalpha() and (stem.isascii() or max(stem) < "ɐ"):
+        if stem.isalpha() and (stem.isascii() or max(stem) < "ɐ" and stem.lower().isalpha()):
             if len(stem) < len(word):
                 return self.later[stem] + self.first[word[len(stem):]]
             # one run of letters is one pre-token: straight to the merges
             shown = word.lower() if self.lower else " " + word
-            if self.lower and not shown.isalpha():
-                return self._library(word)
             return np.array([t.id for t in self.model.tokenize(shown.encode().decode("latin-1").translate(BYTE_LETTERS))], "<u4").tobytes()
         return self._library(" " + word)
 
