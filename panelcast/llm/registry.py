@@ -89,3 +89,10 @@ scored AS (
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
 WHERE rank <= 20"""
+
+
+@_query
+def op8_suffix_array_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelcast.llm import suffixpieces
+
+    return suffixpieces.round_trip(table(spark, sf_dir, "documents"), vocabulary_path("piece_bpe_32k.model"))
