@@ -14,7 +14,7 @@ import re
 
 import numpy as np
 
-MEMO = 1_000_000          # segments remembered by a worker
+MEMO = 800_000          # segments remembered by a worker
 LONGEST = 48            # longer segments are not remembered
 _ODD = re.compile(r"\s | \s")
 _CLOSING = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
