@@ -96,3 +96,40 @@ def op8_suffix_array_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     from panelcast.llm import suffixpieces
 
     return suffixpieces.round_trip(table(spark, sf_dir, "documents"), vocabulary_path("piece_bpe_32k.model"))
+
+
+@_query
+def op5_segment_edit_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelcast.llm import linededup
+
+    return linededup.line_classes(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op5_segment_edit_join"] = """
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+cut AS (SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM docs),
+occ AS (
+  SELECT doc_id, CAST(unnest(range(len(parts))) AS INTEGER) AS line_no, unnest(parts) AS line FROM cut),
+lines AS (
+  SELECT * FROM occ
+  WHERE length(replace(replace(replace(replace(replace(line, ' ', ''), chr(9), ''), chr(13), ''), chr(11), ''), chr(12), '')) > 0),
+firsts AS (SELECT line, min({'d': doc_id, 'l': line_no}) AS first FROM lines GROUP BY line),
+long_lines AS (SELECT line, first, length(line) AS n FROM firsts WHERE length(line) >= 40),
+links AS (
+  SELECT a.line, b.first < a.first AS later
+  FROM long_lines a JOIN long_lines b
+    ON b.n BETWEEN a.n - 2 AND a.n + 2 AND a.line <> b.line
+   AND (substr(a.line, 1, 12) = substr(b.line, 1, 12) OR substr(a.line, a.n - 11) = substr(b.line, b.n - 11)
+        OR levenshtein(substr(a.line, 1, 14), substr(b.line, 1, 14)) <= 4)
+   AND levenshtein(a.line, b.line) <= 2),
+near AS (SELECT line, count(*) AS links, bool_or(later) AS near FROM links GROUP BY line),
+judged AS (
+  SELECT l.doc_id, l.line_no, {'d': l.doc_id, 'l': l.line_no} > f.first AS is_exact, coalesce(n.near, false) AS is_near,
+         coalesce(n.links, 0) AS links
+  FROM lines l JOIN firsts f ON l.line = f.line LEFT JOIN near n ON l.line = n.line)
+SELECT d.doc_id, count(j.line_no) AS n_lines,
+       count(*) FILTER (j.is_exact) AS n_exact, count(*) FILTER (NOT j.is_exact AND j.is_near) AS n_near,
+       CAST(coalesce(sum(j.links), 0) AS BIGINT) AS n_links,
+       coalesce(string_agg(CAST(j.line_no AS VARCHAR), ',' ORDER BY j.line_no) FILTER (j.is_exact OR j.is_near), '') AS removed
+FROM docs d LEFT JOIN judged j ON d.doc_id = j.doc_id
+GROUP BY d.doc_id"""
