@@ -150,7 +150,8 @@ def near_links(lines: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MI
     two = texts.select(F.col("h1").alias("b"), F.col("h2").alias("b2"), F.col("line").alias("y"))
     # lines of equal length find each other both ways
     once = pairs.join(one, "a").join(two, "b").where((F.length("x") > F.length("y")) | (F.length("x") == F.length("y")) & (F.col("a") < F.col("b")))
-    apart = edit_distance(F.split("x", ""), F.split("y", ""), max_edits)
+    # one split of x for all steps
+    apart = F.transform(F.array(F.split("x", "")), lambda a: edit_distance(a, F.split("y", ""), max_edits))[0]
     return once.where(apart <= max_edits).select(F.col("a").alias("a1"), "a2", F.col("b").alias("b1"), "b2")
 
 

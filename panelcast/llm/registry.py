@@ -133,3 +133,19 @@ SELECT d.doc_id, count(j.line_no) AS n_lines,
        coalesce(string_agg(CAST(j.line_no AS VARCHAR), ',' ORDER BY j.line_no) FILTER (j.is_exact OR j.is_near), '') AS removed
 FROM docs d LEFT JOIN judged j ON d.doc_id = j.doc_id
 GROUP BY d.doc_id"""
+
+
+@_query
+def op4_dice_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelcast.llm import licences
+
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
+def _licence_oracle() -> str:
+    from panelcast.llm import licences
+
+    return licences.oracle()
+
+
+ORACLE["op4_dice_templates"] = _licence_oracle()
