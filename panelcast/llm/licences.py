@@ -118,8 +118,15 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float =
     text = F.col(text_col).cast("string")
     most = max(high for _, high in bounds)
     anchors = anchor_words(templates, least)
+    short = "|".join(w for w in anchors if len(w) < 4)
+
+    def may_match(t):
+        """Some anchor in the lower-cased text; short ones as whole words."""
+        tests = [F.contains(t, F.lit(w)) for w in anchors if len(w) >= 4]
+        return reduce(Column.__or__, tests + [F.rlike(t, F.lit(f"(?<![a-z0-9])({short})(?![a-z0-9])"))] * bool(short), F.lit(False))
+
     # lower once for all words
-    found_word = F.transform(F.array(F.lower(text)), lambda t: reduce(Column.__or__, [F.contains(t, F.lit(w)) for w in anchors]))[0]
+    found_word = F.transform(F.array(F.lower(text)), may_match)[0]
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.monotonically_increasing_id().alias("row"),
                        found_word.alias("may")).where("may")
     lines = F.transform(F.split("text", "\n", -1), lambda x: F.filter(_words(x), lambda w: w != ""))
