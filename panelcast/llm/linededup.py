@@ -179,7 +179,8 @@ def removals(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_C
         F.array_sort(F.collect_set(F.when(exact_hit | near_hit, F.col("line_no")))).alias("removed"),
         F.count_distinct(F.when(exact_hit, F.col("line_no"))).alias("n_exact"),
         F.count_distinct(F.when(~exact_hit & near_hit, F.col("line_no"))).alias("n_near"),
-        F.sum(F.coalesce("links", F.lit(0))).alias("n_links")))
+        F.aggregate(F.collect_set(F.struct("line_no", F.coalesce("links", F.lit(0)).alias("links"))), F.lit(0).cast("long"),
+                    lambda n, x: n + x["links"]).alias("n_links")))
 
 
 def line_classes(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

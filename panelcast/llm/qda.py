@@ -39,11 +39,7 @@ def transform(stats: list[int]) -> list[float]:
 
     return [float(np.log1p(words)), float(np.log(max(chars, 1) / w)), share(symbols, w), share(dup, max(lines, 1), 0.05),
             share(repeats, w, 0.05), share(upper, c), share(digits, c), share(punct, c), float(np.log(max(distinct, 1) / w ** 0.8)),
-            float(np.log1p(w / max(lines, 1))), float(np.log1p(longest)), share(len_non_ascii(n_chars, ascii_), c)]
-
-
-def len_non_ascii(n_chars: int, ascii_: int) -> int:
-    return max(n_chars - ascii_, 0)
+            float(np.log1p(w / max(lines, 1))), float(np.log1p(longest)), share(max(n_chars - ascii_, 0), c)]
 
 
 def with_features(docs: DataFrame, feature_col: str, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -119,9 +115,8 @@ def fit(sums: dict[int, tuple[float, np.ndarray, np.ndarray]], pooled: float = 0
 
 
 def class_sums(rows: DataFrame, feature_col: str, label_col: str) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
-    """Each class's moments over all ``rows``: one partial sum per task and
-    class comes to the driver, ``d * d`` numbers each, merged in threes of
-    tasks by Spark's own aggregation first."""
+    """Each class's moments over all ``rows``: every task adds up its own, and
+    Spark adds those; ``2 * (1 + d + d * d)`` numbers come to the driver."""
     d = len(FEATURES)
 
     def partial(batches):
@@ -185,11 +180,13 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, i
         "doc_id", held_out_fold().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose score is at least ``threshold``."""
+def keep_good(docs: DataFrame, labels: DataFrame, learn_from: DataFrame, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose score is at least ``threshold``, by a model
+    of the labelled rows of ``learn_from`` (``doc_id`` and ``text``)."""
     vector, chance = fresh(docs, "__features"), fresh(docs, "__score")
+    known = learn_from.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    model = train(stored(with_features(known, "features").drop("text"), "quality-features"), labels, "features")
     held = stored(with_features(docs, vector, text_col), "quality-documents")
-    model = train(held, labels, vector)
     return score(held, model, vector, chance).where(F.col(chance) >= threshold).select(*docs.columns)
 
 
