@@ -21,9 +21,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored under 0.3 go; the model learns from the labelled ones
-    outside the held-out fold among those still there."""
-    return qda.keep_good(docs, table(spark, sf_dir, "labels"))
+    """Documents scored under 0.3 go; the model learns from all labelled rows
+    of ``documents`` outside the held-out fold (the first stage leaves hardly
+    any of the bad ones to learn from)."""
+    return qda.keep_good(docs, table(spark, sf_dir, "labels"), table(spark, sf_dir, "documents"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
