@@ -16,12 +16,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelcast.llm.joins import few
 from panelcast.llm.qda import fresh
 from panelcast.session import stored
 
 MAX_EDITS = 2
 MIN_CHARS = 40          # shorter lines are compared for equality only
-BROADCAST_ROWS = 500_000  # ids (two longs each) that may be sent to all executors: 8 MB
 
 
 def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -129,11 +129,6 @@ def near_pairs(lines: DataFrame, max_edits: int = MAX_EDITS) -> DataFrame:
     return probe.join(index, (F.col("probe") == F.col("key")) & (F.col("a") != F.col("b"))).select("a", "b").distinct()
 
 
-def _few(df: DataFrame) -> DataFrame:
-    """``df``, to be broadcast if it has few enough rows; any join else."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def near_links(lines: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """Pairs ``a1, a2, b1, b2`` (hashes) of different lines of at least
     ``min_chars`` characters within ``max_edits`` edits, each pair once."""
@@ -143,7 +138,7 @@ def near_links(lines: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MI
     distinct = long_lines.groupBy("line").agg(F.count("*").alias("n")).withColumn("h1", F.xxhash64("line"))
     pairs = stored(near_pairs(distinct, max_edits), "line-candidates")
     asked = stored(pairs.select(F.col("a").alias("asked")).union(pairs.select("b")).distinct(), "line-candidate-ids")
-    texts = stored(long_lines.join(_few(asked), F.col("h1") == F.col("asked"), "left_semi")
+    texts = stored(long_lines.join(few(asked), F.col("h1") == F.col("asked"), "left_semi")
                    .groupBy("line").agg(F.count("*").alias("n")).select("line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2")),
                    "line-texts")
     one = texts.select(F.col("h1").alias("a"), F.col("h2").alias("a2"), F.col("line").alias("x"))

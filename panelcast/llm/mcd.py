@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelcast.llm.joins import few
 from panelcast.llm.qda import fresh
 from panelcast.llm.textstats import BASE, base_stats
 from panelcast.session import ship_package, stored
@@ -34,6 +35,7 @@ PARTS = ["word_length", "symbols", "repeats", "dup_lines"]
 FLOORS = [0.08, 0.25, 0.35, 0.35]
 SHARE = 0.75            # h: the share of a group that the estimate rests on
 STEPS = 4               # concentration steps
+GROUPS = 50_000         # groups whose estimates (15 numbers each) may be sent to all executors
 MIN_GROUP = 50          # smaller groups are estimated with others of their language, then with all
 CUTOFF = 55.0           # squared distance; far in the chi-square tail of clean documents
 CLASSES = 64            # distance classes to a factor of two
@@ -145,7 +147,7 @@ def _start(rows: DataFrame) -> DataFrame:
         mid = m if mid is None else mid.join(m, "key")
     mid = stored(mid, "group-medians")
     spread = mid
-    far = rows.join(mid, "key")
+    far = rows.join(few(mid, GROUPS), "key")
     for i, p in enumerate(PARTS):
         s = _quantile_class(far, F.abs(F.col(p) - F.col(f"m{i}")), 0.5).select(
             "key", F.pow(F.lit(2.0), (F.col("cls") + 0.5) / CLASSES).alias(f"d{i}"))
@@ -161,9 +163,9 @@ def estimates(rows: DataFrame, share: float = SHARE, steps: int = STEPS) -> Data
     x = [F.col(p) for p in PARTS]
     now = stored(_start(rows), "group-estimates")
     for step in range(steps):
-        at = rows.join(now, "key").select("key", *PARTS, _distance(x).alias("d2"))
+        at = rows.join(few(now, GROUPS), "key").select("key", *PARTS, _distance(x).alias("d2"))
         limit = _quantile_class(at, F.col("d2"), share).select("key", F.pow(F.lit(2.0), (F.col("cls") + 1.0) / CLASSES).alias("limit"))
-        core = at.join(limit, "key").where(F.col("d2") < F.col("limit"))
+        core = at.join(few(stored(limit, "group-limits"), GROUPS), "key").where(F.col("d2") < F.col("limit"))
         # the core of a Gaussian looks narrower than it is: the usual consistency factor for this share
         now = stored(_whitened(_moments(core, _consistency(share, len(PARTS)))), "group-estimates")
     return now
@@ -199,12 +201,12 @@ def verdicts(rows: DataFrame, cutoff: float = CUTOFF, min_group: int = MIN_GROUP
     keys = stored(group_keys(rows, min_group), "group-keys")
 
     def with_key(df):
-        k = keys.select(F.col("lang").alias("__lang"), F.col("source").alias("__source"), "key")
+        k = few(keys, GROUPS).select(F.col("lang").alias("__lang"), F.col("source").alias("__source"), "key")
         return df.join(k, F.col("lang").eqNullSafe(F.col("__lang")) & F.col("source").eqNullSafe(F.col("__source"))).drop("__lang", "__source")
 
     found = estimates(with_key(rows).select("key", *PARTS))
     names = [c for c in found.columns if c != "key"]
-    at = with_key(rows).join(found, "key")
+    at = with_key(rows).join(few(found, GROUPS), "key")
     failed = base_failed(F.col("n_words"), F.col("n_repeat_words"))
     return (at.withColumn("distance2", _distance([F.col(p) for p in PARTS])).drop("key", *names)
             .withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("distance2") <= cutoff)))
