@@ -28,7 +28,8 @@ LONGEST = 48            # longer segments are not remembered
 MEMO = 600_000          # segments that a worker remembers
 _CLOSING = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
 PAIRS = 1_500_000       # piece pairs that a worker remembers
-BATCH = 400_000         # characters to one suffix array, and a segment more at most
+BATCH = 200_000         # characters to one suffix array, and a segment more at most
+TEXTS = 2_000_000       # characters of texts held cut at a time, and a text more at most
 
 
 def read_model(proto: bytes) -> tuple[list[str], list[float], list[int]]:
@@ -265,7 +266,14 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     def run(batches):
         own = pieces(model.value)
         for batch in batches:
-            ids = own.encode_batch(batch.column(1).to_pylist())
+            ids, texts, size = [], [], 0
+            for text in batch.column(1):
+                texts.append(text.as_py())
+                size += len(texts[-1] or "")
+                if size >= TEXTS:
+                    ids += own.encode_batch(texts)
+                    texts, size = [], 0
+            ids += own.encode_batch(texts)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary())], names=["doc_id", "text", "ids"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
