@@ -7,12 +7,14 @@ are rows, not days (parity with the reference); run ``densify_daily`` first
 for calendar offsets.
 
 Rolling frames.  Spark re-aggregates a sliding ROWS frame for every row, so a
-frame of ``n`` rows costs O(n) per row.  The default ``method="prefix"``
-computes sum/count/mean/var/std from differences of running (centred) sums
-(O(1) per row whatever the window length) and min/max from a base-4
-doubling table built with lags on the same sort order (O(log w) per row, no
-extra sort or shuffle); skew and kurtosis come from centred power sums the
-same way.  ``method="frame"`` uses plain frames (median always does).
+frame of ``n`` rows costs O(n) per row.  The default ``method="table"`` builds,
+on the same sort order (no extra sort or shuffle), base-4 tables: level k holds
+the extremes or the moments (count, mean, second to fourth central moment) of
+the 4^k rows up to each row, four of level k - 1 put together.  A frame is a
+few such blocks.  Moments are merged about the merged mean, never by
+differences of running sums, so a level shift elsewhere in the series does not
+touch them.  ``method="frame"`` uses plain frames (median always does).
+NaN counts as null.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ UNB = Window.unboundedPreceding
 UNF = Window.unboundedFollowing
 
 KNOWN_AGGS = ("mean", "std", "var", "min", "max", "sum", "count", "median", "skew", "kurt")
-PREFIX_AGGS = ("mean", "std", "var", "sum", "count", "skew", "kurt")
+MOMENT_AGGS = ("mean", "std", "var", "sum", "count", "skew", "kurt")
 BLOCK_AGGS = ("min", "max")
 
 
@@ -162,6 +164,12 @@ class FrameSpec:
         return self.end - self.start + 1
 
 
+def numeric(value: str) -> Column:
+    """The column as double, NaN as null."""
+    x = F.col(value).cast("double")
+    return F.when(~F.isnan(x), x)
+
+
 def _lagged(c: Column, offset: int, w, default=None) -> Column:
     """Value of ``c`` ``offset`` rows back (offset 0 = current row)."""
     if offset == 0:
@@ -171,41 +179,111 @@ def _lagged(c: Column, offset: int, w, default=None) -> Column:
     return F.lag(c, offset, default).over(w) if default is not None else F.lag(c, offset).over(w)
 
 
+class MomentTable:
+    """Base-4 table of moments of a column along a window order.
+
+    ``columns`` are added to the frame level by level; a block ``(k, offset)``
+    is the 4^k rows that end ``offset`` rows before the current one.  A
+    block's mean is held as its difference from a reference, the last value
+    at or before the block's end, so large values lose no digits."""
+
+    def __init__(self, w, order: int):
+        self.w, self.order, self.tmp = w, order, []
+
+    def start(self, df: DataFrame, x: Column) -> DataFrame:
+        self.tmp += ["__k0", "__ref"]
+        return df.select("*", F.when(x.isNotNull(), 1.0).otherwise(0.0).alias("__k0"),
+                         F.coalesce(F.last(x, ignorenulls=True).over(self.w.rowsBetween(UNB, 0)), F.lit(0.0)).alias("__ref"))
+
+    def merged(self, df: DataFrame, wanted: dict[str, list[tuple[int, int]]]) -> DataFrame:
+        """Add each list of blocks' merged moments: count ``__k``, mean
+        ``__v`` from the first block's reference, central moments ``__q``,
+        ``__c``, ``__f``; names end in the list's."""
+        letters = "kvqcf"[: self.order + 1]
+        names, lagged = {}, {}
+        for k, offset in sorted({b for bs in wanted.values() for b in bs}):
+            tag = f"{k}_{str(offset).replace('-', 'm')}"
+            names[k, offset] = {m: f"__b{m}{tag}" for m in (letters if k else "k")}
+            lagged |= {f"__b{m}{tag}": _lagged(F.col(f"__{m}{k}"), offset, self.w, 0.0) for m in names[k, offset]}
+            lagged[f"__bref{offset}"] = _lagged(F.col("__ref"), offset, self.w, 0.0)
+        base = df.columns
+        df = df.select("*", *[c.alias(n) for n, c in lagged.items()])
+
+        def part(block, letter):
+            own = names[block].get(letter)
+            return F.col(own) if own else F.lit(0.0)
+
+        def total(terms):
+            out = terms[0]
+            for t in terms[1:]:
+                out = out + t
+            return out
+
+        def from_first(bs, block):
+            return F.col(f"__bref{block[1]}") - F.col(f"__bref{bs[0][1]}") + part(block, "v")
+
+        df = df.select("*", *[total([part(b, "k") for b in bs]).alias(f"__k{name}") for name, bs in wanted.items()])
+        df = df.select("*", *[
+            F.when(F.col(f"__k{name}") > 0, total([part(b, "k") * from_first(bs, b) for b in bs]) / F.col(f"__k{name}"))
+            .otherwise(0.0).alias(f"__v{name}") for name, bs in wanted.items()])
+        higher = []
+        for name, bs in wanted.items():
+            d = [from_first(bs, b) - F.col(f"__v{name}") for b in bs]
+            n, q, c, f = ([part(b, m) for b in bs] for m in "kqcf")
+            moments = [[q[j] + n[j] * d[j] * d[j] for j in range(len(bs))],
+                       [c[j] + 3 * d[j] * q[j] + n[j] * d[j] * d[j] * d[j] for j in range(len(bs))],
+                       [f[j] + 4 * d[j] * c[j] + 6 * d[j] * d[j] * q[j] + n[j] * d[j] * d[j] * d[j] * d[j] for j in range(len(bs))]]
+            higher += [total(m).alias(f"__{letter}{name}") for letter, m in zip(letters[2:], moments)]
+        made = [f"__{letter}{name}" for name in wanted for letter in "kv"]
+        self.tmp += [f"__{letter}{name}" for name in wanted for letter in letters]
+        return df.select(*base, *made, *higher)
+
+    def build(self, df: DataFrame, levels: int) -> DataFrame:
+        for k in range(1, levels + 1):
+            df = self.merged(df, {str(k): [(k - 1, j * 4 ** (k - 1)) for j in range(4)]})
+        return df
+
+
+def _blocks(start: int, end: int) -> list[tuple[int, int]]:
+    """The frame [t + start, t + end] as blocks, nearest first."""
+    left, offset, out, k = end - start + 1, -end, [], 0
+    sizes = []
+    while left:
+        sizes += [k] * (left % 4)
+        left //= 4
+        k += 1
+    for k in sizes:
+        out.append((k, offset))
+        offset += 4 ** k
+    return out
+
+
 def frame_stats(df: DataFrame, keys, order_col: str, value: str, specs: list[FrameSpec],
-                method: str = "prefix") -> DataFrame:
+                method: str = "table") -> DataFrame:
     """Compute a set of frame statistics over ordered rows of each series."""
     if not specs:
         return df
-    x = F.col(value).cast("double")
+    if method not in ("table", "frame"):
+        raise ValueError(f"method must be table or frame, not {method!r}")
+    x = numeric(value)
     w = wspec(keys, order_col)
-    plain = [s for s in specs if method == "frame" or s.agg not in PREFIX_AGGS + BLOCK_AGGS]
-    pref = [s for s in specs if s not in plain and s.agg in PREFIX_AGGS]
+    plain = [s for s in specs if method == "frame" or s.agg not in MOMENT_AGGS + BLOCK_AGGS]
+    pref = [s for s in specs if s not in plain and s.agg in MOMENT_AGGS]
     blk = [s for s in specs if s not in plain and s.agg in BLOCK_AGGS]
     out = df
     named: list[tuple[str, Column]] = []
     tmp: list[str] = []
 
-    # running (centred) sums, counts and row numbers shared by the prefix and
-    # table paths (row numbers give the ``count`` aggregate's rows in frame)
     if pref or blk:
-        run = w.rowsBetween(UNB, 0)
-        # a rounded centre keeps every partial sum exact for integer data
-        # (counts, quantities): constant windows then give exactly 0 variance
-        centre = F.round(F.avg(x).over(_pspec(keys)))
-        out = out.select("*", centre.alias("__c"))
-        y = x - F.col("__c")
-        higher = any(s.agg in ("skew", "kurt") for s in pref)
-        extra = [F.sum(F.coalesce(y * y * y, F.lit(0.0))).over(run).alias("__s3"),
-                 F.sum(F.coalesce(y * y * y * y, F.lit(0.0))).over(run).alias("__s4")] if higher else []
-        out = out.select(
-            "*",
-            F.row_number().over(w).alias("__rn"),
-            F.sum(F.coalesce(y, F.lit(0.0))).over(run).alias("__s1"),
-            F.sum(F.coalesce(y * y, F.lit(0.0))).over(run).alias("__s2"),
-            F.count(x).over(run).alias("__n"),
-            *extra,
-        )
-        tmp += ["__c", "__rn", "__s1", "__s2", "__n"] + (["__s3", "__s4"] if higher else [])
+        out = out.select("*", F.row_number().over(w).alias("__rn"), F.count(x).over(w.rowsBetween(UNB, 0)).alias("__n"))
+        tmp += ["__rn", "__n"]
+    if pref:
+        order = max({"skew": 3, "kurt": 4, "std": 2, "var": 2}.get(s.agg, 1) for s in pref)
+        table = MomentTable(w, order)
+        frames = {(s.start, s.end): f"_{i}" for i, s in enumerate(pref)}
+        wanted = {name: _blocks(*frame) for frame, name in frames.items()}
+        out = table.merged(table.build(table.start(out, x), max(k for bs in wanted.values() for k, _ in bs)), wanted)
+        tmp += table.tmp
 
     if blk:
         # base-4 table: M_k(i) = extreme over rows [i - 4^k + 1, i]; level k
@@ -236,39 +314,28 @@ def frame_stats(df: DataFrame, keys, order_col: str, value: str, specs: list[Fra
             named.append((s.name, F.when(cnt >= s.minp, val)))
 
     for s in pref:
-        a, b = -s.end, 1 - s.start  # frame = cum(t+end) - cum(t+start-1)
-        s1 = _lagged(F.col("__s1"), a, w, 0.0) - _lagged(F.col("__s1"), b, w, 0.0)
-        s2 = _lagged(F.col("__s2"), a, w, 0.0) - _lagged(F.col("__s2"), b, w, 0.0)
-        n = (_lagged(F.col("__n"), a, w, 0) - _lagged(F.col("__n"), b, w, 0)).cast("double")
-        var = F.greatest((s2 - s1 * s1 / n) / (n - 1), F.lit(0.0))
+        at = frames[s.start, s.end]
+        n, m2, m3, m4 = (F.col(f"__{letter}{at}") for letter in "kqcf")
+        mean = _lagged(F.col("__ref"), -s.end, w, 0.0) + F.col(f"__v{at}")
         if s.agg == "mean":
-            val = s1 / n + F.col("__c")
+            val = mean
         elif s.agg == "sum":
-            val = s1 + n * F.col("__c")
+            val = n * mean
         elif s.agg == "count":
             rows = F.least(F.greatest(F.col("__rn") + s.end, F.lit(0)), F.lit(s.length))
             named.append((s.name, F.when(rows >= s.minp, n)))
             continue
-        elif s.agg in ("skew", "kurt"):
-            s3 = _lagged(F.col("__s3"), a, w, 0.0) - _lagged(F.col("__s3"), b, w, 0.0)
-            s4 = _lagged(F.col("__s4"), a, w, 0.0) - _lagged(F.col("__s4"), b, w, 0.0)
-            mu = s1 / n
-            m2 = s2 / n - mu * mu
-            m3 = s3 / n - 3 * mu * s2 / n + 2 * mu * mu * mu
-            m4 = s4 / n - 4 * mu * s3 / n + 6 * mu * mu * s2 / n - 3 * mu * mu * mu * mu
-            # a window of equal values (m2 zero up to rounding) gives pandas' 0 / -3
-            flat = m2 <= F.lit(1e-14) * F.greatest(s2 / n, F.lit(1e-300))
-            if s.agg == "skew":
-                g = F.sqrt(n * (n - 1)) / (n - 2) * m3 / F.pow(m2, 1.5)
-                val = F.when(n < 3, None).when(flat, F.lit(0.0)).otherwise(g)
-            else:
-                g2 = m4 / (m2 * m2) - 3
-                val = F.when(n < 4, None).when(flat, F.lit(-3.0)).otherwise(
-                    ((n + 1) * g2 + 6) * (n - 1) / ((n - 2) * (n - 3)))
-        elif s.agg == "var":
-            val = F.when(n >= 2, var)
+        elif s.agg == "skew":
+            # a window of equal values gives 0, as pandas does (kurtosis -3)
+            val = F.when(n < 3, None).when(m2 <= 0, F.lit(0.0)).otherwise(
+                F.sqrt(n * (n - 1)) / (n - 2) * (m3 / n) / F.pow(m2 / n, 1.5))
+        elif s.agg == "kurt":
+            g2 = (m4 / n) / ((m2 / n) * (m2 / n)) - 3
+            val = F.when(n < 4, None).when(m2 <= 0, F.lit(-3.0)).otherwise(
+                ((n + 1) * g2 + 6) * (n - 1) / ((n - 2) * (n - 3)))
         else:
-            val = F.when(n >= 2, F.sqrt(var))
+            var = m2 / (n - 1)
+            val = F.when(n >= 2, var if s.agg == "var" else F.sqrt(var))
         named.append((s.name, F.when(n >= F.greatest(F.lit(s.minp), F.lit(1)), val)))
 
     for s in blk:
@@ -302,7 +369,7 @@ def _check_aggs(aggs):
 
 
 def shifted_rolling(df: DataFrame, keys, order_col: str, target: str, windows, aggs,
-                    fill: str | None = None, method: str = "prefix") -> DataFrame:
+                    fill: str | None = None, method: str = "table") -> DataFrame:
     """Leak-free rolling features (E3): ``{t}_roll_{agg}_{n}d`` over the n rows
     before the current one, valid from ``max(1, n // 2)`` values."""
     aggs = _check_aggs(aggs)
@@ -314,7 +381,7 @@ def shifted_rolling(df: DataFrame, keys, order_col: str, target: str, windows, a
 
 
 def trailing_rolling(df: DataFrame, keys, order_col: str, target: str, windows=(3, 7, 14, 30),
-                     stats=("mean", "std", "min", "max"), method: str = "prefix") -> DataFrame:
+                     stats=("mean", "std", "min", "max"), method: str = "table") -> DataFrame:
     """Trailing rolling features including the current row (E4):
     ``{t}_rolling_{n}_{stat}``; a full window of n values is required."""
     stats = _check_aggs(stats)
@@ -326,7 +393,7 @@ def expanding(df: DataFrame, keys, order_col: str, target: str, aggs=("mean",),
     """Expanding statistics including the current row (E5), ``min_periods=1``:
     ``{t}_expanding_{agg}``.  ``shift=1`` excludes the current row (X15)."""
     aggs = _check_aggs(aggs)
-    x = F.col(target).cast("double")
+    x = numeric(target)
     fw = wspec(keys, order_col).rowsBetween(UNB, -shift)
     named = []
     for a in aggs:
@@ -355,7 +422,7 @@ def centered_mean(df: DataFrame, keys, order_col: str, col: str, period: int = 7
     window is inside the series."""
     h = period // 2
     fw = wspec(keys, order_col).rowsBetween(-h, h)
-    x = F.col(col).cast("double")
+    x = numeric(col)
     return df.withColumn(out, F.when(F.count(x).over(fw) == period, F.avg(x).over(fw)))
 
 

@@ -69,7 +69,7 @@ def shifted_rolling(spark, sf):
   {_shifted_sql([7, 30], ['mean', 'std', 'min', 'max', 'sum'])} FROM daily_sales""")
 def shifted_rolling_frames(spark, sf):
     """E3 with plain sliding frames (method="frame"), the cross-check of the
-    prefix-sum / block method."""
+    table method."""
     f = win.shifted_rolling(daily_sales(spark, sf), KEYS, "date", "sales", [7, 30],
                             ["mean", "std", "min", "max", "sum"], method="frame")
     return _r(f)
