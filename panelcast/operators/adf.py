@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelcast.operators.relational import with_group_stat
+from panelcast.operators.relational import join_on_keys, with_group_stat
 from panelcast.operators.windows import wspec
 
 # MacKinnon (1994) approximate p-value coefficients for the
@@ -52,7 +52,9 @@ def adf_maxlag(n: int) -> int:
 
 def _ols(xtx, xty, yty, nobs):
     beta = np.linalg.solve(xtx, xty)
-    ssr = max(float(yty - beta @ xty), 1e-300)
+    ssr = float(yty - beta @ xty)
+    if ssr <= 1e-13 * yty:      # nothing is left but rounding: no test on an exact fit
+        raise np.linalg.LinAlgError("exact fit")
     return beta, ssr
 
 
@@ -88,7 +90,10 @@ def _solve_series(n: int, P: int, G: np.ndarray, head: list, fixed: bool = False
     nobs2 = n - 1 - p
     xtx = Gp[np.ix_(cols, cols)]
     xty = Gp[cols, y_idx]
-    beta, ssr = _ols(xtx, xty, Gp[y_idx, y_idx], nobs2)
+    try:
+        beta, ssr = _ols(xtx, xty, Gp[y_idx, y_idx], nobs2)
+    except np.linalg.LinAlgError:
+        return {}
     sigma2 = ssr / (nobs2 - len(cols))
     cov = np.linalg.inv(xtx) * sigma2
     stat = float(beta[1] / math.sqrt(cov[1, 1]))
@@ -96,7 +101,7 @@ def _solve_series(n: int, P: int, G: np.ndarray, head: list, fixed: bool = False
 
 
 def adf(df: DataFrame, value: str, order_col: str, keys=(), min_rows: int = 10,
-        max_len: int | None = None, lags: int | None = None) -> DataFrame:
+        lags: int | None = None) -> DataFrame:
     """ADF per series on the non-null values in order (one row per key).
     ``lags=None`` chooses the lag by AIC; an integer fixes it (``lags=0`` is
     the plain Dickey-Fuller regression)."""
@@ -110,7 +115,7 @@ def adf(df: DataFrame, value: str, order_col: str, keys=(), min_rows: int = 10,
     if lags is not None:
         pmax = int(lags)
     else:
-        n_max = max_len if max_len is not None else max_series_length(d, keys)
+        n_max = max_series_length(d, keys)
         pmax = max(adf_maxlag(max(n_max, min_rows)), 0)
     w = wspec(keys, order_col)
     d = d.select(*keys, "__n", F.row_number().over(w).alias("__t"),
@@ -166,9 +171,10 @@ def adf(df: DataFrame, value: str, order_col: str, keys=(), min_rows: int = 10,
     body = parts.filter(F.col("__tag") == 0).select(*keys, "__n", "__P", F.posexplode("__g").alias("__i", "__val"))
     body = body.groupBy(*keys, "__n", "__P", "__i").agg(F.sum("__val").alias("__val"))
     body = body.groupBy(*keys, "__n", "__P").agg(F.sort_array(F.collect_list(F.struct("__i", "__val"))).alias("__G"))
-    heads = parts.filter(F.col("__tag") > 0).groupBy(*keys).agg(
+    heads = parts.filter(F.col("__tag") > 0)
+    heads = (heads.groupBy(*keys) if keys else heads.groupBy()).agg(
         F.collect_list(F.struct("__tag", "__g")).alias("__H"))
-    per = body.join(heads, on=keys, how="left")
+    per = join_on_keys(body, heads, keys, "left") if keys else body.crossJoin(F.broadcast(heads))
 
     out_fields = key_fields + [T.StructField("n", T.LongType()), T.StructField("adf_stat", T.DoubleType()),
                                T.StructField("adf_p", T.DoubleType()), T.StructField("adf_lags", T.IntegerType()),
@@ -217,4 +223,4 @@ def stationarity(df: DataFrame, value: str, order_col: str, keys=()) -> DataFram
     keys = list(keys)
     a = adf(df, value, order_col, keys)
     k = kpss(df, value, order_col, keys).drop("n")
-    return a.join(k, on=keys, how="left") if keys else a.crossJoin(k)
+    return join_on_keys(a, k, keys, "left") if keys else a.crossJoin(k)

@@ -8,12 +8,15 @@ the Hobijn et al. 1998 lag rule for KPSS).  ADF lives in ``adf``.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelcast.functions.normal import norm_ppf, norm_sf
+from panelcast.functions.numeric import numeric
 from panelcast.operators import windows as win
-from panelcast.operators.relational import densify_daily, with_group_stat
+from panelcast.operators.relational import densify_daily, join_on_keys, with_group_stat
 
 UNB = Window.unboundedPreceding
 
@@ -51,7 +54,7 @@ def seasonal_decompose(df: DataFrame, keys, date_col: str, value: str, period: i
     means = step.groupBy(*keys, "__pos").agg(F.avg("__det").alias("__pm"))
     mw = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     means = means.withColumn("seasonal", F.col("__pm") - F.avg("__pm").over(mw)).drop("__pm")
-    out = step.join(means, on=keys + ["__pos"], how="left")
+    out = join_on_keys(step, means, [*keys, "__pos"], "left")
     return out.select(*keys, date_col, "observed", "trend", "seasonal",
                       (F.col("observed") - F.col("trend") - F.col("seasonal")).alias("resid"))
 
@@ -88,18 +91,19 @@ def _poly(coefs, x):
     return acc
 
 
-def shapiro_wilk(df: DataFrame, value: str, order_col: str, keys=(), max_n: int = 5000) -> DataFrame:
-    """Shapiro-Wilk W and p per series (H1), on the first ``max_n`` non-null
-    values in ``order_col`` order (the reference's cap).  n < 4 -> null."""
+def shapiro_wilk(df: DataFrame, value: str, keys=()) -> DataFrame:
+    """Shapiro-Wilk W and p per series (H1) over all of its values (null and
+    NaN left out).  Fewer than 3 values give null.  Royston's fit of p was
+    made for up to 5,000 values; beyond that W is exact and p extrapolated."""
     keys = list(keys)
-    x = F.col(value).cast("double")
-    nn = df.filter(x.isNotNull()).select(*keys, order_col, x.alias("__x"))
+    x = numeric(value)
+    nn = df.filter(x.isNotNull()).select(*keys, x.alias("__x"))
     if keys:
-        nn = nn.withColumn("__o", F.row_number().over(_w(keys, order_col))).filter(F.col("__o") <= max_n)
+        nn = nn.withColumn("__i", F.row_number().over(_w(keys, "__x")))
     else:
-        # one series: an ordered top-k (bounded per partition), not a whole-table window
-        nn = nn.orderBy(order_col).limit(max_n)
-    nn = nn.withColumn("__i", F.row_number().over(_w(keys, "__x")))
+        from panelcast.plans.validation import global_row_index
+
+        nn = global_row_index(nn, ["__x"], out="__r").withColumn("__i", F.col("__r") + 1).drop("__r")
     nn = with_group_stat(nn, keys, F.count(F.lit(1)).alias("__n"))
     n = F.col("__n").cast("double")
     i = F.col("__i").cast("double")
@@ -110,13 +114,14 @@ def shapiro_wilk(df: DataFrame, value: str, order_col: str, keys=(), max_n: int
             F.max(F.when(F.col("__i") == F.col("__n") - 1, F.col("__m"))).alias("__mn1")]
     const = nn.groupBy(*keys).agg(*aggs) if keys else nn.agg(*aggs)
     u = 1.0 / F.sqrt(n)
-    const = const.withColumn("__an", F.col("__mn") / F.sqrt("__summ") + _poly(SW_C1, u)) \
-        .withColumn("__an1", F.col("__mn1") / F.sqrt("__summ") + _poly(SW_C2, u))
+    # three values: the exact weights are -1, 0 and 1 over the root of 2
+    const = const.withColumn("__an", F.when(n == 3, F.lit(math.sqrt(0.5))).otherwise(F.try_divide(F.col("__mn"), F.sqrt("__summ")) + _poly(SW_C1, u))) \
+        .withColumn("__an1", F.try_divide(F.col("__mn1"), F.sqrt("__summ")) + _poly(SW_C2, u))
     an, an1, mn, mn1 = F.col("__an"), F.col("__an1"), F.col("__mn"), F.col("__mn1")
     phi = F.when(n > 5, F.try_divide(F.col("__summ") - 2 * mn * mn - 2 * mn1 * mn1, 1 - 2 * an * an - 2 * an1 * an1)) \
         .otherwise(F.try_divide(F.col("__summ") - 2 * mn * mn, 1 - 2 * an * an))
     const = const.withColumn("__phi", phi).select(*keys, "__an", "__an1", "__phi")
-    nn = nn.join(const, on=keys, how="inner") if keys else nn.crossJoin(F.broadcast(const))
+    nn = join_on_keys(nn, const, keys, "inner") if keys else nn.crossJoin(F.broadcast(const))
     ii = F.col("__i")
     a = (F.when(ii == F.col("__n"), an).when(ii == 1, -an)
          .when((n > 5) & (ii == F.col("__n") - 1), an1).when((n > 5) & (ii == 2), -an1)
@@ -126,7 +131,7 @@ def shapiro_wilk(df: DataFrame, value: str, order_col: str, keys=(), max_n: int
     res = nn.groupBy(*keys).agg(*agg) if keys else nn.agg(*agg)
     # zero range (constant values) -> null, like the reference's failure branch
     W = F.when(F.col("__ss") > 0, F.least(F.col("__ax") * F.col("__ax") / F.col("__ss"), F.lit(1.0)))
-    res = res.withColumn("w", F.when(F.col("n") >= 4, W))
+    res = res.withColumn("w", F.when(F.col("n") == 3, F.greatest(W, F.lit(0.75))).when(F.col("n") > 3, W))
     nd = F.col("n").cast("double")
     w1 = F.log(1 - F.col("w"))
     small_gamma = _poly(SW_G, nd)
@@ -134,7 +139,7 @@ def shapiro_wilk(df: DataFrame, value: str, order_col: str, keys=(), max_n: int
     z_small = (y_small - _poly(SW_C3, nd)) / F.exp(_poly(SW_C4, nd))
     ln = F.log(nd)
     z_large = (w1 - _poly(SW_C5, ln)) / F.exp(_poly(SW_C6, ln))
-    p = F.when(F.col("n") <= 11, F.when(w1 >= small_gamma, F.lit(1e-99)).otherwise(norm_sf(z_small))) \
+    p = F.when(F.col("n") == 3, 6 / math.pi * (F.asin(F.sqrt(F.col("w"))) - math.asin(math.sqrt(0.75)))).when(F.col("n") <= 11, F.when(w1 >= small_gamma, F.lit(1e-99)).otherwise(norm_sf(z_small))) \
         .otherwise(norm_sf(z_large))
     p = F.when(F.col("w") >= 1.0, F.lit(1.0)).otherwise(p)
     return res.select(*keys, F.col("n").cast("bigint").alias("n"), F.col("w").alias("shapiro_stat"),
@@ -157,7 +162,7 @@ def _kpss_p(stat):
 
 
 def kpss(df: DataFrame, value: str, order_col: str, keys=(), nlags: int | None = None,
-         max_len: int | None = None, min_rows: int = 10) -> DataFrame:
+         min_rows: int = 10) -> DataFrame:
     """KPSS level test per series (H3) on the non-null values in order.
 
     ``nlags=None`` picks the lag per series with the Hobijn et al. rule; the
@@ -177,9 +182,9 @@ def kpss(df: DataFrame, value: str, order_col: str, keys=(), nlags: int | None =
     run = w.rowsBetween(UNB, 0)
     d = d.select("*", F.sum("__e").over(run).alias("__P"), F.sum(F.col("__t") * F.col("__e")).over(run).alias("__Q"))
     if nlags is None:
-        if max_len is None:
-            from panelcast.operators.ewm import max_series_length
-            max_len = max_series_length(d, keys)
+        from panelcast.operators.ewm import max_series_length
+
+        max_len = max_series_length(d, keys)
         cmax = max(1, int(math.pow(max(max_len, 1), 2.0 / 9.0)))
         # autocovariances for lags 1..cmax (per series only i <= floor(n^(2/9)) count)
         lagged = d.select(*keys, "__n", "__e",
@@ -199,13 +204,13 @@ def kpss(df: DataFrame, value: str, order_col: str, keys=(), nlags: int | None =
         gamma_hat = 1.1447 * F.pow(ratio * ratio, 1.0 / 3.0)
         lag_expr = F.least(F.floor(gamma_hat * F.pow(nn, 1.0 / 3.0)), nn - 1).cast("long")
         lags = cov.select(*keys, lag_expr.alias("__L"))
-        d = d.join(lags, on=keys, how="inner") if keys else d.crossJoin(F.broadcast(lags))
+        d = join_on_keys(d, lags, keys, "inner") if keys else d.crossJoin(F.broadcast(lags))
     else:
         d = d.withColumn("__L", F.lit(int(nlags)).cast("long"))
     # row t-L-1 of the same series: P and Q there (0 before the start)
     back = d.select(*keys, (F.col("__t") + F.col("__L") + 1).alias("__t"),
                     F.col("__P").alias("__Pb"), F.col("__Q").alias("__Qb"))
-    j = d.join(back, on=keys + ["__t"], how="left")
+    j = join_on_keys(d, back, [*keys, "__t"], "left")
     prevP = F.lag("__P", 1, 0.0).over(w)
     prevQ = F.lag("__Q", 1, 0.0).over(w)
     j = j.select("*", prevP.alias("__P1"), prevQ.alias("__Q1"))

@@ -25,6 +25,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelcast.functions.numeric import numeric
+from panelcast.operators.relational import join_on_keys
 from panelcast.operators.windows import UNB, _add, wspec
 
 CLAMP = 40.0
@@ -71,7 +73,7 @@ def _compose_level(tbl: DataFrame, keys, idx: str, maps, n_rows: int, level: int
                              math.ceil(n_rows / GROUP), level + 1)
         ups = ups.select(*keys, (F.col(f"{p}idx") - 1).alias(grp),
                          *[F.col(f"Yin{j}").alias(f"{p}Y{j}") for j in range(k)])
-        carry = comp.join(ups, on=list(keys) + [grp], how="left").select(
+        carry = join_on_keys(comp, ups, [*keys, grp], "left").select(
             *keys, grp, *[F.coalesce(F.col(f"{p}Y{j}"), F.lit(0.0)).alias(f"{p}Y{j}") for j in range(k)], f"{p}out")
     rows = carry.select(*keys, *[f"{p}Y{j}" for j in range(k)], F.explode(f"{p}out").alias("__e"))
     return rows.select(*keys, F.col("__e.i").alias(idx),
@@ -108,7 +110,7 @@ def _scan(df: DataFrame, keys, idx: str, pairs, block: int, max_len: int) -> Dat
     yin = _compose_level(maps, keys, "__bidx", [(f"__A{i}", f"__C{i}") for i in range(len(pairs))], n_blocks, 1)
     yin = yin.select(*keys, (F.col("__bidx") - 1).alias(blk),
                      *[F.col(f"Yin{i}").alias(f"{p}Yin{i}") for i in range(len(pairs))])
-    joined = out.join(yin, on=list(keys) + [blk], how="left")
+    joined = join_on_keys(out, yin, [*keys, blk], "left")
     res = _add(joined, [(o, F.exp(F.col(f"{p}La{i}")) * F.coalesce(F.col(f"{p}Yin{i}"), F.lit(0.0))
                          + F.col(f"{p}loc{i}")) for i, (_, _, o) in enumerate(pairs)])
     return res.drop(*tmp, *[f"{p}Yin{i}" for i in range(len(pairs))])
@@ -130,12 +132,11 @@ def block_size(spans) -> int:
     return max(b, 2)
 
 
-def ewm_features(df: DataFrame, keys, order_col: str, target: str, spans, shift: int = 0,
-                 max_len: int | None = None) -> DataFrame:
+def ewm_features(df: DataFrame, keys, order_col: str, target: str, spans, shift: int = 0) -> DataFrame:
     """``{t}_ewm_{span}`` for each span (E6); ``shift=1`` uses only earlier rows."""
     keys = list(keys)
     w = wspec(keys, order_col)
-    x = F.col(target).cast("double")
+    x = numeric(target)
     if shift:
         x = F.lag(x, shift).over(w)
     base = df.select("*", x.alias("__x"), F.row_number().over(w).alias("__rn"))
@@ -159,7 +160,7 @@ def ewm_features(df: DataFrame, keys, order_col: str, target: str, spans, shift:
         named += [(f"__la{i}", loga), (f"__b{i}", b)]
         pairs.append((f"__la{i}", f"__b{i}", f"__y{i}"))
     base = _add(base, named)
-    n = max_len if max_len is not None else max_series_length(df, keys)
+    n = max_series_length(df, keys)
     scanned = _scan(base, keys, "__rn", pairs, block_size(spans), max(n, 1))
     outs = [(f"{target}_ewm_{s}", F.when(F.col("__seen") > 0, F.col(f"__y{i}"))) for i, s in enumerate(spans)]
     res = _add(scanned, outs)

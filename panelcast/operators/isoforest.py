@@ -1,10 +1,10 @@
 """One-dimensional isolation forest (J4), Liu, Ting & Zhou (2008).
 
-Per series: values are mean-filled; a uniform sample of at most
-``n_trees * sample_size`` rows is drawn by hash rank (after a Bernoulli
-pre-filter, so no full-series sort) and dealt round-robin into ``n_trees``
-samples of at most ``sample_size`` values.  Each tree is grown on its own
-small sample (a per-(key, tree) Python helper on <= 256 values).  A 1-D tree
+Per series: values are mean-filled; every tree draws its own uniform sample
+of ``min(sample_size, n)`` rows, by the rank of a hash of (seed, tree, row)
+after a Bernoulli pre-filter, so no series is sorted whole.  Each tree is
+grown on its own small sample (a per-(key, tree) Python helper on <= 256
+values).  A 1-D tree
 is a step function of the value, so the forest's mean path length is one
 step function per series: the per-tree jumps at every split point are
 summed, and every row is scored with a running sum over the union of its
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelcast.operators.relational import with_group_stat
+from panelcast.operators.relational import join_on_keys, with_group_stat
 
 EULER = 0.5772156649015329
 
@@ -65,19 +65,23 @@ def isolation_forest_scores(df: DataFrame, col: str, keys=(), n_trees: int = 100
                             seed: int = 42, out: str = "anomaly_score", global_scoring: str = "lookup") -> DataFrame:
     keys = list(keys)
     x = F.col(col).cast("double")
-    base = with_group_stat(df, keys, F.avg(x).alias("__mu"), F.count(F.lit(1)).alias("__n"))
+    # a row's identity, so that equal rows are drawn independently
+    own = df.withColumn("__id", F.monotonically_increasing_id())
+    base = with_group_stat(own, keys, F.avg(x).alias("__mu"), F.count(F.lit(1)).alias("__n"))
     base = base.withColumn("__xf", F.coalesce(x, F.col("__mu")))
-    pool = n_trees * sample_size
-    # content hash: the same rows give the same sample on any re-execution
-    h = F.xxhash64(F.lit(seed), *[F.col(c) for c in df.columns])
-    u = (F.abs(h) % F.lit(1 << 52)).cast("double") / float(1 << 52)
-    cand = base.select(*keys, "__xf", "__n", u.alias("__u"))
-    cand = cand.filter(F.col("__u") < F.least(F.lit(1.0), 2.0 * pool / F.col("__n") + 1e-9))
-    wk = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy("__u")
-    cand = cand.withColumn("__r", F.row_number().over(wk)).filter(F.col("__r") <= pool)
-    cand = cand.withColumn("__tree", ((F.col("__r") - 1) % n_trees).cast("int"))
-    psi = F.least(F.col("__n"), F.lit(sample_size))
-    per_tree = cand.withColumn("__psi", psi)
+
+    def draw(tree):
+        h = F.xxhash64(F.lit(seed), tree, F.col("__id"))
+        return F.struct(tree.alias("tree"), (F.pmod(h, F.lit(1 << 52)).cast("double") / float(1 << 52)).alias("u"))
+
+    # twice the sample and more is let through: too few of a sample of 256 is a matter of 11 standard deviations
+    share = F.least(F.lit(1.0), 2.0 * sample_size / F.col("__n") + 1e-9)
+    drawn = F.filter(F.transform(F.sequence(F.lit(0), F.lit(n_trees - 1)), draw), lambda d: d["u"] < share)
+    cand = base.select(*keys, "__xf", "__n", F.explode(drawn).alias("__d")).select(
+        *keys, "__xf", "__n", F.col("__d.tree").alias("__tree"), F.col("__d.u").alias("__u"))
+    wk = Window.partitionBy(*keys, "__tree").orderBy("__u")
+    cand = cand.withColumn("__r", F.row_number().over(wk)).filter(F.col("__r") <= sample_size)
+    per_tree = cand.withColumn("__psi", F.least(F.col("__n"), F.lit(sample_size)))
 
     key_fields = [f for f in df.schema.fields if f.name in keys]
     schema = T.StructType(key_fields + [T.StructField("__b", T.DoubleType()), T.StructField("__delta", T.DoubleType()),
@@ -118,7 +122,7 @@ def isolation_forest_scores(df: DataFrame, col: str, keys=(), n_trees: int = 100
     ws = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))) \
         .orderBy("__v", "__kind").rowsBetween(Window.unboundedPreceding, 0)
     scored = both.withColumn("__cum", F.sum("__d").over(ws)).filter(F.col("__kind") == 0)
-    scored = scored.join(bases, on=keys, how="left") if keys else scored.crossJoin(F.broadcast(bases))
+    scored = join_on_keys(scored, bases, keys, "left") if keys else scored.crossJoin(F.broadcast(bases))
     cpsi = F.when(F.col("__psi") <= 2, F.lit(1.0)).otherwise(
         2.0 * (F.log(F.col("__psi") - 1.0) + EULER) - 2.0 * (F.col("__psi") - 1.0) / F.col("__psi"))
     score = F.pow(F.lit(2.0), -(F.col("__h0") + F.col("__cum")) / cpsi)

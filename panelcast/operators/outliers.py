@@ -109,7 +109,7 @@ def method_comparison(flagged: DataFrame, methods, keys=()) -> DataFrame:
         F.count_if(F.col(f"is_outlier_{m}")).alias(f"__c{i}") for i, m in enumerate(methods)]
     wide = flagged.groupBy(*keys).agg(*aggs) if keys else flagged.agg(*aggs)
     structs = [F.struct(F.lit(m).alias("method"), F.col(f"__c{i}").cast("bigint").alias("outliers_found"),
-                        round_dec(F.col(f"__c{i}") * 100.0 / F.col("__n"), 2).alias("percentage"))
+                        round_dec(F.try_divide(F.col(f"__c{i}") * 100.0, F.col("__n")), 2).alias("percentage"))
                for i, m in enumerate(methods)]
     return wide.select(*keys, F.explode(F.array(*structs)).alias("s")).select(*keys, "s.*")
 

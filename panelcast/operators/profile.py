@@ -19,8 +19,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-from panelcast.functions.numeric import round_dec
-from panelcast.operators.relational import with_group_stat
+from panelcast.functions.numeric import numeric, round_dec
+from panelcast.operators.relational import join_on_keys, with_group_stat
 
 
 def numeric_columns(df: DataFrame, exclude=()) -> list[str]:
@@ -63,7 +63,7 @@ def overview(df: DataFrame, date_col: str | None = "date", keys=()) -> DataFrame
     if date_col:
         aggs.append(F.datediff(F.max(date_col), F.min(date_col)).alias("date_range_days"))
     out = _grouped(df, list(keys), *aggs)
-    pct = round_dec(F.col("null_cells") * 100.0 / (F.col("total_records") * len(cols)), 2)
+    pct = round_dec(F.try_divide(F.col("null_cells") * 100.0, F.col("total_records") * F.lit(len(cols))), 2)
     return out.withColumn("missing_pct", pct)
 
 
@@ -82,7 +82,7 @@ def column_profile(df: DataFrame, cols=None, approx_distinct: bool = False) -> D
                         F.col(f"z{i}").cast("bigint").alias("nulls"),
                         F.col(f"d{i}").cast("bigint").alias("distinct")) for i, c in enumerate(cols)]
     long = wide.select("__rows", F.explode(F.array(*structs)).alias("s")).select("__rows", "s.*")
-    return long.withColumn("null_pct", round_dec(F.col("nulls") * 100.0 / F.col("__rows"), 2)).drop("__rows")
+    return long.withColumn("null_pct", round_dec(F.try_divide(F.col("nulls") * 100.0, F.col("__rows")), 2)).drop("__rows")
 
 
 def missing_summary(df: DataFrame, col: str, keys=()) -> DataFrame:
@@ -90,7 +90,7 @@ def missing_summary(df: DataFrame, col: str, keys=()) -> DataFrame:
     out = _grouped(df, list(keys), F.count(F.lit(1)).alias("__n"),
                    F.count_if(F.col(col).isNull()).cast("bigint").alias("missing_count"))
     return out.select(*keys, "missing_count",
-                      round_dec(F.col("missing_count") * 100.0 / F.col("__n"), 2).alias("missing_pct"),
+                      round_dec(F.try_divide(F.col("missing_count") * 100.0, F.col("__n")), 2).alias("missing_pct"),
                       (F.col("__n") - F.col("missing_count")).cast("bigint").alias("complete_cases"))
 
 
@@ -190,7 +190,9 @@ def strongest_pairs(corr_long: DataFrame, cols, n: int = 5) -> DataFrame:
     pos = {c: i for i, c in enumerate(cols)}
     order = F.create_map(*[x for c, i in pos.items() for x in (F.lit(c), F.lit(i))])
     upper = corr_long.filter(order[F.col("feature_1")] < order[F.col("feature_2")])
-    ranked = upper.withColumn("sign", F.when(F.col("correlation") >= 0, "positive").otherwise("negative"))
+    # no correlation at all is neither positive nor negative
+    ranked = upper.withColumn("sign", F.when(F.col("correlation") > 0, "positive").when(F.col("correlation") < 0, "negative"))
+    ranked = ranked.filter(F.col("sign").isNotNull())
     w = Window.partitionBy("sign").orderBy(F.abs("correlation").desc(), "feature_1", "feature_2")
     return ranked.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
 
@@ -209,7 +211,7 @@ def histogram(df: DataFrame, col: str, keys=(), bins: int = 30) -> DataFrame:
     """Equal-width histogram (D12): bins between min and max of each group;
     the maximum falls in the last bin."""
     keys = list(keys)
-    x = F.col(col).cast("double")
+    x = numeric(col)
     st = with_group_stat(df.filter(x.isNotNull()), keys, F.min(x).alias("__lo"), F.max(x).alias("__hi"))
     width = (F.col("__hi") - F.col("__lo")) / bins
     b = F.when(width == 0, F.lit(0)).otherwise(
@@ -235,12 +237,12 @@ def box_summary(df: DataFrame, col: str, keys=(), approx: bool = False) -> DataF
     q = q.withColumn("iqr", F.col("q3") - F.col("q1")) \
         .withColumn("lower_fence", F.col("q1") - 1.5 * F.col("iqr")) \
         .withColumn("upper_fence", F.col("q3") + 1.5 * F.col("iqr"))
-    joined = df.join(q, on=keys, how="inner") if keys else df.crossJoin(F.broadcast(q))
+    joined = join_on_keys(df, q, keys) if keys else df.crossJoin(F.broadcast(q))
     inside = x.between(F.col("lower_fence"), F.col("upper_fence"))
     agg = _grouped(joined, keys, F.min(F.when(inside, x)).alias("lower_whisker"),
                    F.max(F.when(inside, x)).alias("upper_whisker"),
                    F.count_if(x.isNotNull() & ~inside).cast("bigint").alias("n_outside"))
-    return q.join(agg, on=keys, how="inner") if keys else q.crossJoin(agg)
+    return join_on_keys(q, agg, keys) if keys else q.crossJoin(agg)
 
 
 def kde_grid(df: DataFrame, col: str, keys=(), points: int = 100, bins: int | None = None) -> DataFrame:
@@ -258,7 +260,7 @@ def kde_grid(df: DataFrame, col: str, keys=(), points: int = 100, bins: int | No
                   F.stddev_samp(x).alias("__sd"), F.count(x).alias("__n"))
     if bins:
         j0 = df.filter(x.isNotNull()).select(*keys, x.alias("__v"))
-        j0 = j0.join(st, on=keys, how="inner") if keys else j0.crossJoin(F.broadcast(st))
+        j0 = join_on_keys(j0, st, keys, "inner") if keys else j0.crossJoin(F.broadcast(st))
         w = (F.col("__hi") - F.col("__lo")) / bins
         b = F.when(w == 0, F.lit(0)).otherwise(F.least(F.floor((F.col("__v") - F.col("__lo")) / w), F.lit(bins - 1)))
         centre = F.when(w == 0, F.col("__lo")).otherwise(F.col("__lo") + (b + 0.5) * w)
@@ -266,7 +268,7 @@ def kde_grid(df: DataFrame, col: str, keys=(), points: int = 100, bins: int | No
     else:
         vals = df.filter(x.isNotNull()).groupBy(*keys, x.alias("__x")).agg(F.count(F.lit(1)).alias("__c"))
     st = st.withColumn("__h", F.col("__sd") * F.pow(F.col("__n").cast("double"), -0.2))
-    j = vals.join(st, on=keys, how="inner") if keys else vals.crossJoin(F.broadcast(st))
+    j = join_on_keys(vals, st, keys, "inner") if keys else vals.crossJoin(F.broadcast(st))
     g = j.select(*keys, "__x", "__c", "__lo", "__hi", "__h", "__n",
                  F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"))
     gx = F.col("__lo") + (F.col("__hi") - F.col("__lo")) * F.col("point") / (points - 1)
@@ -307,14 +309,13 @@ def qq_points(df: DataFrame, col: str, keys=()) -> DataFrame:
 
 
 def advanced_statistics(df: DataFrame, col: str, order_col: str, keys=()) -> DataFrame:
-    """The reference's one-call statistics: moments (D5), Shapiro-Wilk on the
-    first 5,000 values (H1) and the percentile set (D6), one row per series."""
+    """The reference's one-call statistics: moments (D5), Shapiro-Wilk (H1) and the percentile set (D6), one row per series."""
     from panelcast.operators.diagnostics import shapiro_wilk
 
     keys = list(keys)
     m = moments(df, col, keys)
-    sw = shapiro_wilk(df, col, order_col, keys).drop("n")
+    sw = shapiro_wilk(df, col, keys).drop("n")
     pc = percentile_set(df, col, keys)
     if keys:
-        return m.join(sw, keys, "left").join(pc, keys, "left")
+        return join_on_keys(join_on_keys(m, sw, keys, "left"), pc, keys, "left")
     return m.crossJoin(sw).crossJoin(pc)

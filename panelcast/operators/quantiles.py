@@ -4,71 +4,57 @@
 Keyed groups use Spark's ``percentile`` aggregate: its buffer is a
 value->count map combined per partition, bounded here by the group size (a
 daily series has at most one row per day).  A global group (``keys=[]``) over
-a fact table has no such bound, so it is computed by rank instead: a
-range-partitioned sort with per-partition offsets gives every value its global
-rank, and only the two ranks around each requested position are picked (a
-join with a table of at most 2 x len(probs) rows).  No task ever holds more
-than its own sorted partition.  ``method="approx"`` uses
-``percentile_approx``; ``method="map"`` forces the aggregate.
+a fact table has no such bound.  There equal values are counted first, with
+map-side combining, so a value that many rows share is one row; the distinct
+values are cut into ranges at approximate quantiles, the ranges' counts tell
+in which range each rank lies, and only those ranges are ordered.  Rows are
+never sorted.  ``method="approx"`` uses ``percentile_approx``;
+``method="map"`` forces the aggregate.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelcast.functions.numeric import numeric
 from panelcast.operators.relational import with_group_stat
 
 
-def _sorted_quantiles(df: DataFrame, x: Column, probs) -> DataFrame:
-    from panelcast.plans.validation import global_row_index
-
-    vals = df.select(x.cast("double").alias("__x")).filter(F.col("__x").isNotNull())
-    idx = global_row_index(vals, ["__x"], out="__r")
-    n = idx.agg(F.count(F.lit(1)).alias("__n"))
-    targets = n.select("__n", F.posexplode(F.array(*[F.lit(float(p)) for p in probs])).alias("__i", "__p"))
-    targets = targets.withColumn("__pos", F.col("__p") * (F.col("__n") - 1))
-    ends = targets.select("__i", "__pos", F.explode(F.array(F.floor("__pos"), F.ceil("__pos"))).alias("__at"))
-    picked = idx.join(F.broadcast(ends), idx["__r"] == ends["__at"])
-    per = picked.groupBy("__i").agg(F.first("__pos").alias("__pos"),
-                                    F.min_by("__x", "__at").alias("__lo"), F.max_by("__x", "__at").alias("__hi"))
-    val = F.col("__lo") + (F.col("__hi") - F.col("__lo")) * (F.col("__pos") - F.floor("__pos"))
-    per = per.select("__i", val.alias("__v"))
-    full = targets.select("__i").join(per, "__i", "left")
-    return full.agg(F.array_sort(F.collect_list(F.struct("__i", "__v"))).alias("__s")) \
-        .select(F.transform("__s", lambda s: s["__v"]).alias("__q"))
+RANGES = 256      # ranges that the distinct values of a column are cut into
 
 
 def multi_column_quantiles(df: DataFrame, cols, probs) -> DataFrame:
-    """Exact global quantiles of several columns with one rank pass: the
-    columns are unpivoted to (feature, value), sorted once by (feature,
-    value); the rank inside a feature is the global rank minus the number of
-    values of the earlier features.  Returns (feature, __q)."""
-    from panelcast.plans.validation import global_row_index
-
+    """Exact global quantiles of several columns: ``(feature, __q)``.  NaN
+    counts as null; a column without values has null quantiles."""
     probs = [float(p) for p in probs]
-    long = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("__f"), F.col(c).cast("double").alias("__x"))
+    cols = list(cols)
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("__f"), numeric(c).alias("__x"))
                                          for i, c in enumerate(cols)])).alias("__s")).select("__s.*")
-    long = long.filter(F.col("__x").isNotNull())
-    idx = global_row_index(long, ["__f", "__x"], out="__g")
-    counts = idx.groupBy("__f").agg(F.count(F.lit(1)).alias("__n"))
-    from pyspark.sql import Window
-    counts = counts.withColumn("__off", F.coalesce(F.sum("__n").over(
-        Window.orderBy("__f").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    targets = counts.select("__f", "__n", "__off",
-                            F.posexplode(F.array(*[F.lit(p) for p in probs])).alias("__i", "__p"))
-    targets = targets.withColumn("__pos", F.col("__p") * (F.col("__n") - 1))
-    ends = targets.select(F.col("__f").alias("__ef"), "__i", "__pos", F.explode(F.array(
-        F.floor("__pos") + F.col("__off"), F.ceil("__pos") + F.col("__off"))).alias("__at"))
+    counts = long.filter(F.col("__x").isNotNull()).groupBy("__f", "__x").agg(F.count(F.lit(1)).alias("__c"))
+    cuts = counts.groupBy("__f").agg(F.percentile_approx("__x", [i / RANGES for i in range(1, RANGES)]).alias("__cuts"))
+    # one row per column
+    cut = counts.join(F.broadcast(cuts), "__f").select(
+        "__f", "__x", "__c", F.size(F.filter("__cuts", lambda b: b < F.col("__x"))).alias("__range"))
+    # at most RANGES rows per column from here to the picks
+    sizes = cut.groupBy("__f", "__range").agg(F.sum("__c").alias("__n"))
+    run = Window.partitionBy("__f").orderBy("__range").rowsBetween(Window.unboundedPreceding, 0)
+    sizes = sizes.select("__f", "__range", F.sum("__n").over(run).alias("__to"), (F.sum("__n").over(run) - F.col("__n")).alias("__from"),
+                         F.sum("__n").over(Window.partitionBy("__f")).alias("__all"))
+    asked = sizes.select("*", F.posexplode(F.array(*[F.lit(p) for p in probs])).alias("__i", "__p"))
+    asked = asked.withColumn("__pos", F.col("__p") * (F.col("__all") - 1))
+    asked = asked.select("__f", "__range", "__from", "__to", "__i", "__pos", F.explode(F.array_distinct(F.array(
+        F.floor("__pos"), F.ceil("__pos")))).alias("__at")).filter((F.col("__from") <= F.col("__at")) & (F.col("__at") < F.col("__to")))
     # at most 2 x len(probs) x len(cols) rows: a proven-small broadcast
-    picked = idx.join(F.broadcast(ends), (F.col("__g") == F.col("__at")) & (F.col("__f") == F.col("__ef")))
-    per = picked.groupBy("__f", "__i").agg(F.first("__pos").alias("__pos"), F.min_by("__x", "__at").alias("__lo"),
-                                           F.max_by("__x", "__at").alias("__hi"))
-    per = per.select("__f", "__i", (F.col("__lo") + (F.col("__hi") - F.col("__lo")) *
-                                    (F.col("__pos") - F.floor("__pos"))).alias("__v"))
-    names = F.create_map(*[x for i, c in enumerate(cols) for x in (F.lit(i), F.lit(c))])
-    arr = per.groupBy("__f").agg(F.array_sort(F.collect_list(F.struct("__i", "__v"))).alias("__s"))
-    return arr.select(names[F.col("__f")].alias("feature"), F.transform("__s", lambda s: s["__v"]).alias("__q"))
+    near = cut.join(F.broadcast(asked.drop("__to")), ["__f", "__range"])
+    order = Window.partitionBy("__f", "__i", "__at").orderBy("__x").rowsBetween(Window.unboundedPreceding, 0)
+    near = near.withColumn("__end", F.col("__from") + F.sum("__c").over(order))
+    picked = near.filter((F.col("__end") > F.col("__at")) & (F.col("__end") - F.col("__c") <= F.col("__at")))
+    per = picked.groupBy("__f", "__i").agg(F.first("__pos").alias("__pos"), F.min_by("__x", "__at").alias("__lo"), F.max_by("__x", "__at").alias("__hi"))
+    per = per.select("__f", "__i", (F.col("__lo") + (F.col("__hi") - F.col("__lo")) * (F.col("__pos") - F.floor("__pos"))).alias("__v"))
+    found = per.groupBy("__f").agg(F.map_from_entries(F.collect_list(F.struct("__i", "__v"))).alias("__m"))
+    names = df.sparkSession.range(1).select(F.posexplode(F.array(*[F.lit(c) for c in cols])).alias("__f", "feature"))
+    return names.join(found, "__f", "left").select("feature", F.array(*[F.col("__m")[i] for i in range(len(probs))]).alias("__q"))
 
 
 def quantile_table(df: DataFrame, x, probs, keys=(), method: str = "auto", out: str = "__q") -> DataFrame:
@@ -81,7 +67,7 @@ def quantile_table(df: DataFrame, x, probs, keys=(), method: str = "auto", out:
     elif keys or method == "map":
         agg = F.percentile(x.cast("double"), probs).alias(out)
     else:
-        return _sorted_quantiles(df, x, probs).withColumnRenamed("__q", out)
+        return multi_column_quantiles(df.select(x.alias("__x")), ["__x"], probs).select(F.col("__q").alias(out))
     return df.groupBy(*keys).agg(agg) if keys else df.agg(agg)
 
 

@@ -10,6 +10,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def join_on_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``keys`` where null matches null; one set of key columns.
+
+    ``right``'s other columns follow ``left``'s.  Null-safe equality is still
+    a hashed join key, so the plan is that of an ordinary equi-join."""
+    renamed = right.select(*[F.col(c).alias(f"__r_{c}") if c in keys else F.col(c) for c in right.columns])
+    cond = [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys]
+    for c in cond[1:]:
+        cond[0] = cond[0] & c
+    return left.join(renamed, cond[0], how).drop(*[f"__r_{k}" for k in keys])
+
+
 def with_group_stat(df: DataFrame, keys: list[str], *stats: Column) -> DataFrame:
     """Scalar broadcast (C3): attach per-key (or global) aggregates to every row.
 
@@ -20,7 +32,7 @@ def with_group_stat(df: DataFrame, keys: list[str], *stats: Column) -> DataFrame
     """
     if keys:
         agg = df.groupBy(*keys).agg(*stats)
-        return df.join(agg, on=keys, how="left")
+        return join_on_keys(df, agg, keys, "left")
     agg = df.agg(*stats)
     return df.crossJoin(F.broadcast(agg))
 
@@ -99,7 +111,11 @@ def drop_incomplete_counts(df: DataFrame, cols: list[str]) -> DataFrame:
 
 def semi_join_keys_dates(df: DataFrame, spine: DataFrame, keys: list[str], date_col: str = "date") -> DataFrame:
     """Membership filter on future (keys, date) pairs."""
-    return df.join(spine.select(*keys, date_col), on=keys + [date_col], how="left_semi")
+    pairs = spine.select(*[F.col(k).alias(f"__r_{k}") for k in [*keys, date_col]])
+    cond = F.col(date_col) == F.col(f"__r_{date_col}")
+    for k in keys:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"__r_{k}"))
+    return df.join(pairs, cond, "left_semi")
 
 
 def format_forecast(pred: Column) -> Column:
@@ -121,7 +137,8 @@ def densify_daily(df: DataFrame, keys: list[str], date_col: str = "date") -> Dat
     """
     ext = df.groupBy(*keys).agg(F.min(date_col).alias("__lo"), F.max(date_col).alias("__hi"))
     spine = ext.select(*keys, F.explode(F.sequence("__lo", "__hi")).alias(date_col))
-    return spine.join(df, on=keys + [date_col], how="left")
+    cols = [*keys, date_col, *[c for c in df.columns if c not in {*keys, date_col}]]
+    return join_on_keys(spine, df, [*keys, date_col], "left").select(*cols)
 
 
 def future_spine(df: DataFrame, keys: list[str], date_col: str = "date", horizon: int = 90) -> DataFrame:

@@ -24,6 +24,8 @@ import logging
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelcast.functions.numeric import numeric
+
 log = logging.getLogger(__name__)
 
 UNB = Window.unboundedPreceding
@@ -164,12 +166,6 @@ class FrameSpec:
         return self.end - self.start + 1
 
 
-def numeric(value: str) -> Column:
-    """The column as double, NaN as null."""
-    x = F.col(value).cast("double")
-    return F.when(~F.isnan(x), x)
-
-
 def _lagged(c: Column, offset: int, w, default=None) -> Column:
     """Value of ``c`` ``offset`` rows back (offset 0 = current row)."""
     if offset == 0:

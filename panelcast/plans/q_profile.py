@@ -132,7 +132,7 @@ def _pairs_sql():
             parts.append(f"SELECT '{a}' AS feature_1, '{b}' AS feature_2, "
                          f"CORR(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)) AS r FROM lineitem")
     return f"""WITH p AS ({' UNION ALL '.join(parts)}),
-s AS (SELECT *, CASE WHEN r >= 0 THEN 'positive' ELSE 'negative' END AS sign FROM p)
+s AS (SELECT *, CASE WHEN r > 0 THEN 'positive' ELSE 'negative' END AS sign FROM p WHERE r <> 0)
 SELECT feature_1, feature_2, {r6('r')} AS correlation, sign, CAST(rank AS INTEGER) AS rank FROM (
   SELECT *, row_number() OVER (PARTITION BY sign ORDER BY abs(r) DESC, feature_1, feature_2) AS rank FROM s)
 WHERE rank <= 5"""

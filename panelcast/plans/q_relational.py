@@ -21,18 +21,26 @@ def csv_roundtrip(spark, sf):
     schema and the presence/type gate."""
     path = io.scratch_table_path(spark, "csv_roundtrip")
     io.write_csv(daily_sales(spark, sf), path)
-    return io.load_panel_csv(spark, path, io.TRAIN_SCHEMA, io.REQUIRED_TRAIN_COLS)
+    return io.load_panel_csv(spark, path, io.COUNT_SCHEMA, io.REQUIRED_TRAIN_COLS)
 
 
-@register("ingest_gate_counts", DS + """SELECT
-  CAST(COUNT(*) AS BIGINT) AS valid_rows, CAST(0 AS BIGINT) AS rejected_rows FROM daily_sales""")
+@register("ingest_gate_counts", DS + """, up AS (SELECT CASE
+    WHEN day(date) = 1 THEN 'invalid date' WHEN day(date) = 2 THEN 'missing store'
+    WHEN day(date) = 3 THEN 'invalid sales' ELSE 'valid' END AS outcome FROM daily_sales)
+SELECT outcome, CAST(COUNT(*) AS BIGINT) AS n_rows FROM up GROUP BY outcome""")
 def ingest_gate_counts(spark, sf):
-    """A3: validate an upload-shaped (all-string) copy of the panel; valid
-    and rejected row counts."""
-    raw = daily_sales(spark, sf, shared=True).select(*[F.col(c).cast("string").alias(c) for c in ["date", "store", "item", "sales"]])
+    """A3: validate an upload-shaped (all-string) copy of the panel in which
+    some days have a bad date, no store, sales that are no number, or sales
+    with decimals (which are fine); rows by outcome."""
+    day = F.dayofmonth("date")
+    raw = daily_sales(spark, sf, shared=True).select(
+        F.when(day == 1, F.lit("first of month")).otherwise(F.col("date").cast("string")).alias("date"),
+        F.when(day != 2, F.col("store").cast("string")).alias("store"), "item",
+        F.when(day == 3, F.lit("lots")).when(day == 4, F.concat(F.col("sales").cast("string"), F.lit(".5")))
+        .otherwise(F.col("sales").cast("string")).alias("sales"))
     valid, rejected = io.ingest_gate(raw)
-    return valid.agg(F.count(F.lit(1)).cast("bigint").alias("valid_rows")).crossJoin(
-        rejected.agg(F.count(F.lit(1)).cast("bigint").alias("rejected_rows")))
+    outcomes = valid.select(F.lit("valid").alias("outcome")).union(rejected.select("reject_reason"))
+    return outcomes.groupBy("outcome").agg(F.count(F.lit(1)).cast("bigint").alias("n_rows"))
 
 
 @register("series_slice", DS + """SELECT store, item, date, sales FROM daily_sales
@@ -181,9 +189,9 @@ def stream_ingest(spark, sf):
 
     drop = io.scratch_table_path(spark, "uploads")
     daily_sales(spark, sf).select(*[F.col(c).cast("string") for c in ["date", "store", "item", "sales"]]) \
-        .repartition(4).write.option("header", True).csv(drop)
+        .write.option("header", True).csv(drop)
     return ingest_available(spark, drop, io.scratch_table_path(spark, "train_table"),
-                            io.scratch_table_path(spark, "rejects"))
+                            io.scratch_table_path(spark, "rejects")).withColumn("sales", F.col("sales").cast("bigint"))
 
 
 @register("forecast_csv_export", with_sql(DAILY_SALES_SQL, FUTURE_SQL) + """

@@ -178,16 +178,15 @@ def kpss_auto(spark, sf):
     return _r(diag.kpss(daily_sales(spark, sf, shared=True), "sales", "date", KEYS))
 
 
-def _shapiro_sql(max_n=5000):
+def _shapiro_sql():
     from panelcast.operators.diagnostics import SW_C1, SW_C2, SW_C3, SW_C4, SW_C5, SW_C6, SW_G
     from panelcast.plans.sqlgen import _poly_sql, norm_ppf_sql, norm_sf_sql
 
     u = "(1.0 / SQRT(CAST(n AS DOUBLE)))"
     nd = "CAST(n AS DOUBLE)"
-    return DS + f""", f AS (SELECT store, item, CAST(sales AS DOUBLE) AS x,
-    row_number() OVER (PARTITION BY {PART} ORDER BY date) AS o FROM daily_sales),
+    return DS + f""", f AS (SELECT store, item, CAST(sales AS DOUBLE) AS x FROM daily_sales),
 k AS (SELECT store, item, x, row_number() OVER (PARTITION BY {PART} ORDER BY x) AS i,
-    COUNT(*) OVER (PARTITION BY {PART}) AS n FROM f WHERE o <= {max_n}),
+    COUNT(*) OVER (PARTITION BY {PART}) AS n FROM f),
 mm AS (SELECT *, (i - 0.375) / (n + 0.25) AS pr FROM k),
 m AS (SELECT *, {norm_ppf_sql('pr')} AS m FROM mm),
 c AS (SELECT store, item, MIN(n) AS n, SUM(m * m) AS summ, MAX(CASE WHEN i = n THEN m END) AS mn,
@@ -215,7 +214,7 @@ SELECT store, item, CAST(n AS BIGINT) AS n, {r6('w')} AS shapiro_stat, {r6('p')}
 def shapiro_wilk(spark, sf):
     """H1: Shapiro-Wilk (Royston 1995) on the first 5,000 values of every
     series; the oracle spells the same published formulas in SQL."""
-    return _r(diag.shapiro_wilk(daily_sales(spark, sf, shared=True), "sales", "date", KEYS))
+    return _r(diag.shapiro_wilk(daily_sales(spark, sf, shared=True), "sales", KEYS))
 
 
 

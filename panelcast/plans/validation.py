@@ -44,21 +44,29 @@ def time_series_folds(df: DataFrame, order_cols, n_splits: int = 5, boundary: st
 
     ``boundary="date"`` snaps fold borders to whole values of the first order
     column: every row takes the index of the first row of its date, so one
-    date never straddles train and validation."""
-    idx = global_row_index(df, order_cols)
-    if boundary == "date":
-        first = idx.groupBy(order_cols[0]).agg(F.min("row_index").alias("split_index"))
-        idx = idx.join(first, order_cols[0])
-    else:
-        idx = idx.withColumn("split_index", F.col("row_index"))
-    total = idx.agg(F.count(F.lit(1)).alias("__n"))
-    j = idx.crossJoin(F.broadcast(total))
+    date never straddles train and validation.
+
+    The index is the count of rows on earlier dates (a running sum over one
+    row per date) plus the place among the rows of the date: one exchange by
+    date, no sort of the whole table."""
+    first, rest = order_cols[0], list(order_cols[1:])
+    # rows before each value of the first order column: a running sum over its counts (one row per date)
+    counts = df.groupBy(first).agg(F.count(F.lit(1)).alias("__c"))
+    run = Window.orderBy(first)
+    before = counts.select(F.col(first).alias("__first"),
+                           F.coalesce(F.sum("__c").over(run.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("split_index"),
+                           F.sum("__c").over(Window.partitionBy()).alias("__n"))
+    j = df.join(before, F.col(first).eqNullSafe(F.col("__first"))).drop("__first")
+    within = Window.partitionBy(first).orderBy(*(rest or [first]))
+    j = j.withColumn("row_index", (F.col("split_index") + F.row_number().over(within) - 1).cast("long"))
+    if boundary != "date":
+        j = j.withColumn("split_index", F.col("row_index"))
     t = F.floor(F.col("__n") / (n_splits + 1))
-    first = F.col("__n") - n_splits * t
-    fold = F.when((t > 0) & (F.col("split_index") >= first),
-                  F.floor((F.col("split_index") - first) / t) + 1)
+    start = F.col("__n") - n_splits * t
+    fold = F.when((t > 0) & (F.col("split_index") >= start),
+                  F.floor((F.col("split_index") - start) / t) + 1)
     return j.withColumn("val_fold", fold.cast("int")).withColumn(
-        "fold_size", t.cast("long")).withColumn("first_val_index", first.cast("long")).drop("__n")
+        "fold_size", t.cast("long")).withColumn("first_val_index", start.cast("long")).drop("__n")
 
 
 def fold_split(folded: DataFrame, fold: int):

@@ -14,7 +14,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import (DateType, IntegerType, LongType, StringType, StructField,
+from pyspark.sql.types import (DateType, DoubleType, IntegerType, LongType, StringType, StructField,
                                StructType)
 
 from panelcast.session import scratch_path
@@ -24,6 +24,9 @@ REQUIRED_TRAIN_COLS = ["date", "store", "item", "sales"]
 REQUIRED_TEST_COLS = ["date", "store", "item", "id"]
 
 TRAIN_SCHEMA = StructType([StructField("date", DateType()), StructField("store", IntegerType()),
+                           StructField("item", StringType()), StructField("sales", DoubleType())])
+# for panels whose sales are counts
+COUNT_SCHEMA = StructType([StructField("date", DateType()), StructField("store", IntegerType()),
                            StructField("item", StringType()), StructField("sales", LongType())])
 TEST_SCHEMA = StructType([StructField("date", DateType()), StructField("store", IntegerType()),
                           StructField("item", StringType()), StructField("id", LongType())])
@@ -49,12 +52,20 @@ def _convert(c: str, field: StructField):
 
 
 def load_panel_csv(spark: SparkSession, path: str, schema: StructType = TRAIN_SCHEMA,
-                   required=REQUIRED_TRAIN_COLS, drop_invalid: bool = True) -> DataFrame:
-    """CSV scan with date parsing and the column/type gate."""
+                   required=REQUIRED_TRAIN_COLS, rejects: str = "raise"):
+    """CSV scan with date parsing and the column/type gate.
+
+    No row is lost: ``rejects="raise"`` fails the job that meets a row the
+    gate rejects, ``rejects="return"`` gives ``(valid, rejected)``."""
+    if rejects not in ("raise", "return"):
+        raise ValueError(f"rejects must be raise or return, not {rejects!r}")
     raw = spark.read.option("header", True).option("mode", "PERMISSIVE").csv(path)
     check_columns(raw, required)
-    valid, _ = ingest_gate(raw, schema, required) if drop_invalid else (convert(raw, schema), None)
-    return valid
+    if rejects == "return":
+        return ingest_gate(raw, schema, required)
+    conv = _judged(raw, schema, required)
+    fail = F.raise_error(F.concat(F.lit("row rejected: "), F.col("reject_reason"))).cast("boolean")
+    return conv.filter(F.when(F.col("reject_reason").isNull(), F.lit(True)).otherwise(fail)).select(*raw.columns)
 
 
 def load_panel_parquet(spark: SparkSession, path: str, required=REQUIRED_TRAIN_COLS) -> DataFrame:
@@ -70,14 +81,9 @@ def convert(raw: DataFrame, schema: StructType) -> DataFrame:
     return raw.select(*[_convert(c, names[c]).alias(c) if c in names else F.col(c) for c in raw.columns])
 
 
-def ingest_gate(raw: DataFrame, schema: StructType = TRAIN_SCHEMA, required=REQUIRED_TRAIN_COLS):
-    """Ingest gate (A3): required columns present, dates and numbers parse.
-
-    Returns ``(valid, rejected)``; ``rejected`` keeps the raw strings plus a
-    ``reject_reason``.  Both come from one conversion projection; nothing is
-    collected.
-    """
-    check_columns(raw, required)
+def _judged(raw: DataFrame, schema: StructType, required) -> DataFrame:
+    """The raw strings (``__raw_*``), the converted columns and the first
+    reason to reject the row (null for none)."""
     names = {f.name: f for f in schema.fields}
     conv = raw.select(*[F.col(c).alias(f"__raw_{c}") for c in raw.columns],
                       *[_convert(c, names[c]).alias(c) if c in names else F.col(c).alias(c) for c in raw.columns])
@@ -88,6 +94,18 @@ def ingest_gate(raw: DataFrame, schema: StructType = TRAIN_SCHEMA, required=REQU
             .when(cond, F.lit(f"invalid {c}"))
         bad = reason if bad is None else F.coalesce(bad, reason)
     conv = conv.withColumn("reject_reason", bad)
+    return conv
+
+
+def ingest_gate(raw: DataFrame, schema: StructType = TRAIN_SCHEMA, required=REQUIRED_TRAIN_COLS):
+    """Ingest gate (A3): required columns present, dates and numbers parse.
+
+    Returns ``(valid, rejected)``; ``rejected`` keeps the raw strings plus a
+    ``reject_reason``.  Both come from one conversion projection; nothing is
+    collected.
+    """
+    check_columns(raw, required)
+    conv = _judged(raw, schema, required)
     valid = conv.filter(F.col("reject_reason").isNull()).select(*raw.columns)
     rejected = conv.filter(F.col("reject_reason").isNotNull()).select(
         *[F.col(f"__raw_{c}").alias(c) for c in raw.columns], "reject_reason")

@@ -28,9 +28,12 @@ def start_ingest(spark: SparkSession, source_dir: str, table_path: str, rejects_
            .option("maxFilesPerTrigger", 64).csv(source_dir))
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
+        # a batch that is run again overwrites its own folder
+        batch.persist()
         valid, rejected = ingest_gate(batch, TRAIN_SCHEMA, REQUIRED_TRAIN_COLS)
-        valid.select(*REQUIRED_TRAIN_COLS).write.mode("append").parquet(table_path)
-        rejected.write.mode("append").parquet(rejects_path)
+        valid.select(*REQUIRED_TRAIN_COLS).write.mode("overwrite").parquet(f"{table_path}/batch={batch_id}")
+        rejected.write.mode("overwrite").parquet(f"{rejects_path}/batch={batch_id}")
+        batch.unpersist()
 
     w = raw.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if trigger == "available_now" else w.trigger(processingTime=interval)
@@ -42,4 +45,4 @@ def ingest_available(spark: SparkSession, source_dir: str, table_path: str, reje
     """Process every file present now and return the ingested table."""
     q = start_ingest(spark, source_dir, table_path, rejects_path, checkpoint, "available_now")
     q.awaitTermination()
-    return spark.read.schema(TRAIN_SCHEMA).parquet(table_path)
+    return spark.read.schema(TRAIN_SCHEMA).parquet(table_path).select(*TRAIN_SCHEMA.names)

@@ -60,7 +60,7 @@ def test_csv_roundtrip(spark):
     df = spark.createDataFrame([(dt.date(2020, 1, 1), 1, "A", 5)], "date DATE, store INT, item STRING, sales BIGINT")
     path = scratch_table_path(spark, "csv")
     io.write_csv(df, path)
-    back = io.load_panel_csv(spark, path)
+    back = io.load_panel_csv(spark, path, io.COUNT_SCHEMA)
     assert back.dtypes == df.dtypes and back.collect() == df.collect()
 
 
@@ -114,3 +114,14 @@ def test_model_registry_newest_first(spark):
     a = [r["prediction"] for r in m2.transform(df).orderBy("x").collect()]
     b = [r["prediction"] for r in loaded.transform(df).orderBy("x").collect()]
     assert a == b
+
+
+def test_csv_load_loses_no_row(spark):
+    path = scratch_table_path(spark, "csv")
+    spark.createDataFrame([("2020-01-01", "1", "A", "12.5"), ("2020-01-02", "1", "A", "7"), ("no date", "1", "A", "3"), ("2020-01-04", "1", "A", None)],
+                          "date STRING, store STRING, item STRING, sales STRING").write.option("header", True).csv(path)
+    valid, rejected = io.load_panel_csv(spark, path, rejects="return")
+    assert sorted(r["sales"] for r in valid.collect()) == [7.0, 12.5]
+    assert sorted(r["reject_reason"] for r in rejected.collect()) == ["invalid date", "missing sales"]
+    with pytest.raises(Exception, match="row rejected"):
+        io.load_panel_csv(spark, path).collect()
