@@ -8,7 +8,8 @@ within that many edits have one of the shorter one's segments in common, at
 places that differ by no more than the edits can move them.  So a line is
 indexed by (length, segment number, segment) and probes, for each length down
 to ``max_edits`` less, the substrings at the possible places.  Pairs found
-are verified with a banded bit-parallel edit distance.
+are compared by letter counts (a bound on their edits) and verified with a banded
+bit-parallel edit distance.
 """
 
 from __future__ import annotations
@@ -24,6 +25,11 @@ MAX_EDITS = 2
 MIN_CHARS = 40          # shorter lines are compared for equality only
 
 
+def not_blank(line: Column) -> Column:
+    """Whether a line has a character other than ASCII white space."""
+    return F.trim(line, F.lit(" \t\r\x0b\x0c")) != ""
+
+
 def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, text_hash, line_no, line, h1, h2``: every line of every text
     that has a character other than ASCII white space.  (h1, h2) is the
@@ -31,43 +37,47 @@ def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"),
                        F.posexplode(F.split(text, "\n", -1)).alias("line_no", "line"))
-    return (rows.where(F.length(F.translate("line", " \t\r\x0b\x0c", "")) > 0)
+    return (rows.where(not_blank(F.col("line")))
             .withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit(1), "line")))
 
 
-def _bounds(length: Column, segment: int, segments: int) -> tuple[Column, Column]:
-    """First place (from 1) and width of a segment of a line so long."""
-    begin = F.floor(length * segment / segments).cast("int")
-    return begin + 1, F.floor(length * (segment + 1) / segments).cast("int") - begin
+#: Letters whose counts make up a line's signature; any would do.
+LETTERS = "etaoinsrhldcumgp"
+
+
+def signature(line: Column) -> Column:
+    """Each letter's count modulo four, as two bits in Gray code: an edit
+    changes at most two counts by one, so at most two bits of the signature."""
+    total = F.octet_length(line)
+    bits = F.lit(0).cast("long")
+    for i, letter in enumerate(LETTERS):
+        n = (total - F.octet_length(F.replace(line, F.lit(letter), F.lit("")))).bitwiseAND(F.lit(3))
+        bits = bits.bitwiseOR(F.shiftleft(n.bitwiseXOR(F.shiftright(n, 1)).cast("long"), 2 * i))
+    return bits
 
 
-def _key(length: Column, segment: int, part: Column) -> Column:
-    return F.xxhash64(length, F.lit(segment), part)
+def index_spots(max_edits: int) -> list[tuple[int, int, int]]:
+    """(characters less, segment, shift) of a line's own segments."""
+    return [(0, segment, 0) for segment in range(max_edits + 1)]
 
 
-def index_keys(line: Column, length: Column, max_edits: int) -> list[Column]:
-    keys = []
-    for segment in range(max_edits + 1):
-        begin, width = _bounds(length, segment, max_edits + 1)
-        keys.append(_key(length, segment, F.substr(line, begin, width)))
-    return keys
+def probe_spots(max_edits: int) -> list[tuple[int, int, int]]:
+    """The same of the substrings that can be a segment of a line as long or
+    up to ``max_edits`` shorter: before the first segment that two lines share
+    come at most ``segment`` edits, after it at most ``max_edits - segment``."""
+    return [(less, segment, shift) for less in range(max_edits + 1) for segment in range(max_edits + 1)
+            for shift in range(max(-segment, less - (max_edits - segment)), min(segment, less + (max_edits - segment)) + 1)]
 
 
-def probe_keys(line: Column, length: Column, max_edits: int) -> list[Column]:
-    """Keys of the substrings that can be a segment of a line as long or up to
-    ``max_edits`` shorter: before the first segment that two lines share come
-    at most ``segment`` edits, after it at most ``max_edits - segment``."""
-    keys = []
-    for less in range(max_edits + 1):
-        other = length - less
-        for segment in range(max_edits + 1):
-            begin, width = _bounds(other, segment, max_edits + 1)
-            low = max(-segment, less - (max_edits - segment))
-            high = min(segment, less + (max_edits - segment))
-            for shift in range(low, high + 1):
-                at = begin + shift
-                keys.append(F.when((at >= 1) & (at + width - 1 <= length), _key(other, segment, F.substr(line, at, width))))
-    return keys
+def _keys(lines: DataFrame, spots: list[tuple[int, int, int]], max_edits: int) -> DataFrame:
+    """``id, sig, key``: a row for each line and spot."""
+    spot = F.explode(F.array(*[F.struct(F.lit(a).alias("less"), F.lit(b).alias("segment"), F.lit(c).alias("shift")) for a, b, c in spots]))
+    each = lines.select("line", "h1", "sig", "length", spot.alias("spot")).select("line", "h1", "sig", "length", "spot.*")
+    other, n = F.col("length") - F.col("less"), max_edits + 1
+    begin = F.expr(f"(length - less) * segment div {n}").cast("int")
+    width = F.expr(f"(length - less) * (segment + 1) div {n}").cast("int") - begin
+    part = F.substr("line", begin + 1 + F.col("shift"), width)
+    return each.select(F.col("h1").alias("id"), "sig", F.xxhash64(other, F.col("segment"), part).alias("key"))
 
 
 def edit_distance(a: Column, b: Column, most: int) -> Column:
@@ -121,21 +131,22 @@ def edit_distance(a: Column, b: Column, most: int) -> Column:
 
 def near_pairs(lines: DataFrame, max_edits: int = MAX_EDITS) -> DataFrame:
     """Candidates ``a, b`` (``h1`` of lines; ``a`` the longer or an equally
-    long one): distinct ``lines`` (``line, h1``) with a segment in common."""
-    length = F.length("line")
-    index = lines.select(F.col("h1").alias("b"), F.explode(F.array(*index_keys(F.col("line"), length, max_edits))).alias("key"))
-    probe = lines.select(F.col("h1").alias("a"), F.explode(F.array_distinct(F.array_compact(F.array(
-        *probe_keys(F.col("line"), length, max_edits))))).alias("probe"))
-    return probe.join(index, (F.col("probe") == F.col("key")) & (F.col("a") != F.col("b"))).select("a", "b").distinct()
+    long one): distinct ``lines`` (``line, h1, sig, length``) with a segment
+    in common and signatures that so few edits can tell apart."""
+    index = _keys(lines, index_spots(max_edits), max_edits).select(F.col("id").alias("b"), F.col("sig").alias("sig_b"), F.col("key").alias("key_b"))
+    probe = _keys(lines, probe_spots(max_edits), max_edits).withColumnRenamed("id", "a")
+    alike = F.bit_count(F.col("sig").bitwiseXOR(F.col("sig_b"))) <= 2 * max_edits
+    return probe.join(index, (F.col("key") == F.col("key_b")) & (F.col("a") != F.col("b")) & alike).select("a", "b").distinct()
 
 
 def near_links(lines: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """Pairs ``a1, a2, b1, b2`` (hashes) of different lines of at least
     ``min_chars`` characters within ``max_edits`` edits, each pair once."""
-    if min_chars <= max_edits:
-        raise ValueError("lines must be longer than the edits allowed")
+    if min_chars < (max_edits + 1) ** 2:
+        raise ValueError("lines must be long enough for segments longer than the edits allowed")
     long_lines = lines.where(F.length("line") >= min_chars)
-    distinct = long_lines.groupBy("line").agg(F.count("*").alias("n")).withColumn("h1", F.xxhash64("line"))
+    distinct = long_lines.groupBy("line").agg(F.count("*").alias("n")).select(
+        "line", F.xxhash64("line").alias("h1"), signature(F.col("line")).alias("sig"), F.length("line").alias("length"))
     pairs = stored(near_pairs(distinct, max_edits), "line-candidates")
     asked = stored(pairs.select(F.col("a").alias("asked")).union(pairs.select("b")).distinct(), "line-candidate-ids")
     texts = stored(long_lines.join(few(asked), F.col("h1") == F.col("asked"), "left_semi")
@@ -157,7 +168,7 @@ def removals(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_C
     lines = occurrences(docs, id_col, text_col)
     links = stored(near_links(lines, max_edits, min_chars), "line-links")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "line_no")
-    at = lines.select("h1", "h2", "doc_id", "text_hash", "line_no")
+    at = stored(lines.select("h1", "h2", "doc_id", "text_hash", "line_no"), "line-places")
     first = at.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n"))
     first = stored(first, "lines")
     both = links.union(links.select(F.col("b1").alias("a1"), F.col("b2").alias("a2"), F.col("a1").alias("b1"), F.col("a2").alias("b2")))
@@ -189,7 +200,7 @@ def line_classes(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = M
     lines are kept or removed alike.  Other columns are ignored."""
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.coalesce(F.size(F.filter(
-        F.split(text, "\n", -1), lambda x: F.length(F.translate(x, " \t\r\x0b\x0c", "")) > 0)), F.lit(0)).alias("n_lines"))
+        F.split(text, "\n", -1), not_blank)), F.lit(0)).alias("n_lines"))
     gone = removals(docs, max_edits, min_chars, id_col, text_col).select(
         F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash"), "removed", "n_exact", "n_near", "n_links")
     zero = F.lit(0).cast("long")
@@ -207,7 +218,7 @@ def dedup_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MI
                   .select(*[F.col(c).alias(n) for c, n in zip(("doc_id", "text_hash", "removed"), names)]), "line-removals")
     text = F.col(text_col).cast("string")
     joined = docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col(names[0])) & (F.xxhash64(text) == F.col(names[1])), "left")
-    blank = F.filter(F.split(text, "\n", -1), lambda x: F.length(F.translate(x, " \t\r\x0b\x0c", "")) > 0)
+    blank = F.filter(F.split(text, "\n", -1), not_blank)
     kept = F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains(F.col(names[2]), i))
     rest = F.when(F.col(names[2]).isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
     return (joined.where(F.col(names[2]).isNull() | (F.size(F.col(names[2])) < F.size(blank)))
