@@ -178,61 +178,76 @@ def _lagged(c: Column, offset: int, w, default=None) -> Column:
 class MomentTable:
     """Base-4 table of moments of a column along a window order.
 
-    ``columns`` are added to the frame level by level; a block ``(k, offset)``
-    is the 4^k rows that end ``offset`` rows before the current one.  A
-    block's mean is held as its difference from a reference, the last value
-    at or before the block's end, so large values lose no digits."""
-
-    def __init__(self, w, order: int):
-        self.w, self.order, self.tmp = w, order, []
+    Columns are added to the frame level by level; a block ``(k, offset)`` is
+    the 4^k rows that end ``offset`` rows before the current one.  A block's
+    mean is held as its difference from a reference, the last value at or
+    before the block's end, so large values lose no digits.  The expressions
+    are SQL text: there are hundreds, and a call to the JVM for each of their
+    parts would take longer than the query."""
+
+    def __init__(self, keys, order_col, order: int):
+        cols = [order_col] if isinstance(order_col, str) else list(order_col)
+        by = ", ".join(f"`{k}`" for k in keys) or "0"
+        self.over = f"OVER (PARTITION BY {by} ORDER BY {', '.join(f'`{c}`' for c in cols)}"
+        self.letters, self.tmp = "kvqcf"[: order + 1], []
+
+    def lagged(self, col: str, offset: int) -> str:
+        if offset == 0:
+            return col
+        return f"{'lag' if offset > 0 else 'lead'}({col}, {abs(offset)}, 0D) {self.over})"
 
     def start(self, df: DataFrame, x: Column) -> DataFrame:
-        self.tmp += ["__k0", "__ref"]
-        return df.select("*", F.when(x.isNotNull(), 1.0).otherwise(0.0).alias("__k0"),
-                         F.coalesce(F.last(x, ignorenulls=True).over(self.w.rowsBetween(UNB, 0)), F.lit(0.0)).alias("__ref"))
+        self.tmp += ["__x", "__k0", "__ref"]
+        return df.withColumn("__x", x).selectExpr(
+            "*", "IF(__x IS NULL, 0D, 1D) AS __k0",
+            f"coalesce(last(__x, true) {self.over} ROWS UNBOUNDED PRECEDING), 0D) AS __ref")
 
     def merged(self, df: DataFrame, wanted: dict[str, list[tuple[int, int]]]) -> DataFrame:
         """Add each list of blocks' merged moments: count ``__k``, mean
         ``__v`` from the first block's reference, central moments ``__q``,
         ``__c``, ``__f``; names end in the list's."""
-        letters = "kvqcf"[: self.order + 1]
         names, lagged = {}, {}
         for k, offset in sorted({b for bs in wanted.values() for b in bs}):
-            tag = f"{k}_{str(offset).replace('-', 'm')}"
-            names[k, offset] = {m: f"__b{m}{tag}" for m in (letters if k else "k")}
-            lagged |= {f"__b{m}{tag}": _lagged(F.col(f"__{m}{k}"), offset, self.w, 0.0) for m in names[k, offset]}
-            lagged[f"__bref{offset}"] = _lagged(F.col("__ref"), offset, self.w, 0.0)
-        base = df.columns
-        df = df.select("*", *[c.alias(n) for n, c in lagged.items()])
+            tag = str(offset).replace("-", "m")
+            names[k, offset] = {m: f"__b{m}{k}_{tag}" for m in (self.letters if k else "k")}
+            lagged |= {n: self.lagged(f"__{m}{k}", offset) for m, n in names[k, offset].items()}
+            lagged[f"__bref{tag}"] = self.lagged("__ref", offset)
+        base = [f"`{c}`" for c in df.columns]
+        df = df.selectExpr("*", *[f"{c} AS {n}" for n, c in lagged.items()])
 
-        def part(block, letter):
-            own = names[block].get(letter)
-            return F.col(own) if own else F.lit(0.0)
+        def ref(block):
+            return f"__bref{str(block[1]).replace('-', 'm')}"
 
         def total(terms):
-            out = terms[0]
-            for t in terms[1:]:
-                out = out + t
-            return out
+            return " + ".join(f"({t})" for t in terms)
 
         def from_first(bs, block):
-            return F.col(f"__bref{block[1]}") - F.col(f"__bref{bs[0][1]}") + part(block, "v")
-
-        df = df.select("*", *[total([part(b, "k") for b in bs]).alias(f"__k{name}") for name, bs in wanted.items()])
-        df = df.select("*", *[
-            F.when(F.col(f"__k{name}") > 0, total([part(b, "k") * from_first(bs, b) for b in bs]) / F.col(f"__k{name}"))
-            .otherwise(0.0).alias(f"__v{name}") for name, bs in wanted.items()])
+            mean = names[block].get("v")
+            return f"({ref(block)} - {ref(bs[0])}{' + ' + mean if mean else ''})"
+
+        df = df.selectExpr("*", *[f"{total([names[b]['k'] for b in bs])} AS __k{name}" for name, bs in wanted.items()])
+        df = df.selectExpr("*", *[
+            f"IF(__k{name} > 0D, ({total([names[b]['k'] + ' * ' + from_first(bs, b) for b in bs])}) / __k{name}, 0D) AS __v{name}"
+            for name, bs in wanted.items()])
+        # each block's mean from the merged one
+        apart = {(name, b): f"__d{name}_{j}" for name, bs in wanted.items() for j, b in enumerate(bs)}
+        if len(self.letters) > 2:
+            df = df.selectExpr("*", *[f"{from_first(bs, b)} - __v{name} AS {apart[name, b]}" for name, bs in wanted.items() for b in bs])
         higher = []
         for name, bs in wanted.items():
-            d = [from_first(bs, b) - F.col(f"__v{name}") for b in bs]
-            n, q, c, f = ([part(b, m) for b in bs] for m in "kqcf")
-            moments = [[q[j] + n[j] * d[j] * d[j] for j in range(len(bs))],
-                       [c[j] + 3 * d[j] * q[j] + n[j] * d[j] * d[j] * d[j] for j in range(len(bs))],
-                       [f[j] + 4 * d[j] * c[j] + 6 * d[j] * d[j] * q[j] + n[j] * d[j] * d[j] * d[j] * d[j] for j in range(len(bs))]]
-            higher += [total(m).alias(f"__{letter}{name}") for letter, m in zip(letters[2:], moments)]
+            for letter in self.letters[2:]:
+                terms = []
+                for b in bs:
+                    d, n = apart[name, b], names[b]["k"]
+                    q, c, f = (names[b].get(m) for m in "qcf")
+                    own = {"q": [q], "c": [c, q and f"3D * {d} * {q}"],
+                           "f": [f, c and f"4D * {d} * {c}", q and f"6D * {d} * {d} * {q}"]}[letter]
+                    power = " * ".join([d] * {"q": 2, "c": 3, "f": 4}[letter])
+                    terms.append(" + ".join([t for t in own if t] + [f"{n} * {power}"]))
+                higher.append(f"{total(terms)} AS __{letter}{name}")
         made = [f"__{letter}{name}" for name in wanted for letter in "kv"]
-        self.tmp += [f"__{letter}{name}" for name in wanted for letter in letters]
-        return df.select(*base, *made, *higher)
+        self.tmp += [f"__{letter}{name}" for name in wanted for letter in self.letters]
+        return df.selectExpr(*base, *made, *higher)
 
     def build(self, df: DataFrame, levels: int) -> DataFrame:
         for k in range(1, levels + 1):
@@ -275,7 +290,7 @@ def frame_stats(df: DataFrame, keys, order_col: str, value: str, specs: list[Fra
         tmp += ["__rn", "__n"]
     if pref:
         order = max({"skew": 3, "kurt": 4, "std": 2, "var": 2}.get(s.agg, 1) for s in pref)
-        table = MomentTable(w, order)
+        table = MomentTable(keys, order_col, order)
         frames = {(s.start, s.end): f"_{i}" for i, s in enumerate(pref)}
         wanted = {name: _blocks(*frame) for frame, name in frames.items()}
         out = table.merged(table.build(table.start(out, x), max(k for bs in wanted.values() for k, _ in bs)), wanted)

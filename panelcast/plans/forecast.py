@@ -11,24 +11,38 @@ from panelcast.plans.features import build_features
 from panelcast.spec import FeatureConfig, SeriesSpec
 
 
-def extend_with_future(history: DataFrame, spec: SeriesSpec, horizon: int = 90) -> DataFrame:
+def extend_with_future(history: DataFrame, spec: SeriesSpec, horizon: int = 90, lookback: int | None = None) -> DataFrame:
     """History plus ``horizon`` future days per series (target null), in one
     pass: the last row of each series (found with ``lead`` on the same
     window order the features use) explodes into itself and the future
-    dates.  No second scan of the history and no join; ``__last`` keeps the
-    series' last history date for the final filter."""
+    dates.  No second scan of the history and no join; ``__is_future`` marks
+    the added rows.  With ``lookback`` only the last so many rows of each
+    series are kept, all that features of bounded reach can see from there."""
     if not 1 <= horizon <= 365:
         raise ValueError("horizon must be between 1 and 365 days")
     keys, d, t = list(spec.keys), spec.order_col, spec.value_col
     w = win.wspec(keys, d)
-    h = history.select(*keys, d, t, F.lead(F.col(d)).over(w).isNull().alias("__is_last"))
+    place = [] if lookback is None else [F.row_number().over(w).alias("__rn"), F.count(F.lit(1)).over(win._pspec(keys)).alias("__n")]
+    h = history.select(*keys, d, t, F.lead(F.col(d)).over(w).isNull().alias("__is_last"), *place)
+    if lookback is not None:
+        h = h.filter(F.col("__rn") > F.col("__n") - lookback)
     dates = F.when(F.col("__is_last"), F.concat(F.array(F.col(d)),
                                                 F.sequence(F.date_add(F.col(d), 1), F.date_add(F.col(d), horizon))))
     dates = dates.otherwise(F.array(F.col(d)))
-    g = h.select(*keys, t, F.col(d).alias("__last0"), F.col("__is_last"), F.explode(dates).alias(d))
-    return g.select(*keys, d, F.when(F.col(d) > F.col("__last0"), F.lit(None)).otherwise(F.col(t))
-                    .cast(history.schema[t].dataType).alias(t),
-                    F.when(F.col("__is_last"), F.col("__last0")).alias("__lastmark"))
+    g = h.select(*keys, t, F.posexplode(dates).alias("__ahead", d))
+    future = F.col("__ahead") > 0
+    return g.select(*keys, d, F.when(~future, F.col(t)).cast(history.schema[t].dataType).alias(t), future.alias("__is_future"))
+
+
+def reach_of(cfg: FeatureConfig) -> int | None:
+    """Rows that the configured features look back, None if without bound."""
+    from panelcast.operators.longseries import lookback_of
+
+    unbounded = (cfg.create_ewm and cfg.ewm_spans) or (cfg.create_lags and cfg.lag_fill) or (cfg.create_rolling and cfg.rolling_fill)
+    if unbounded:
+        return None
+    lags = [*(cfg.lags if cfg.create_lags or cfg.create_interactions else [])]
+    return max(1, lookback_of(lags, cfg.rolling_windows if cfg.create_rolling else []))
 
 
 def prediction_features(history: DataFrame, spec: SeriesSpec, cfg: FeatureConfig, horizon: int = 90,
@@ -36,17 +50,14 @@ def prediction_features(history: DataFrame, spec: SeriesSpec, cfg: FeatureConfig
     """History + future rows (target null) -> full feature build -> future
     rows only (K2), for every series at once.  With an explicit ``spine``
     the future rows are those (keys, date) pairs (semi join, B13); otherwise
-    the single-pass extension above is used and future rows are kept by a
-    filter on the series' last history date."""
+    the single-pass extension above is used."""
     keys, d, t = list(spec.keys), spec.order_col, spec.value_col
     if spine is not None:
         fut = spine.select(*keys, d).withColumn(t, F.lit(None).cast(history.schema[t].dataType))
         both = rel.union_history_future(history, fut, keys + [d, t])
         return rel.semi_join_keys_dates(build_features(both, spec, cfg), spine, keys, d)
-    both = extend_with_future(history, spec, horizon)
-    feats = build_features(both, spec, cfg)
-    last = F.max("__lastmark").over(win._pspec(keys))
-    return feats.withColumn("__last", last).filter(F.col(d) > F.col("__last")).drop("__last", "__lastmark")
+    both = extend_with_future(history, spec, horizon, reach_of(cfg))
+    return build_features(both, spec, cfg).filter("__is_future").drop("__is_future")
 
 
 def carry_forward(df: DataFrame, spec: SeriesSpec, cols) -> DataFrame:
@@ -79,12 +90,11 @@ def forecast(model, history: DataFrame, spec: SeriesSpec, cfg: FeatureConfig, ho
 
 def _future_features(history, spec, cfg, horizon, input_cols):
     keys, d, t = list(spec.keys), spec.order_col, spec.value_col
-    feats = build_features(extend_with_future(history, spec, horizon), spec, cfg)
+    feats = build_features(extend_with_future(history, spec, horizon, None if input_cols else reach_of(cfg)), spec, cfg)
     fill = [c for c in (input_cols or []) if c.startswith(f"{t}_")]
     if fill:
         feats = carry_forward(feats, spec, fill)
-    last = F.max("__lastmark").over(win._pspec(keys))
-    return feats.withColumn("__last", last).filter(F.col(d) > F.col("__last")).drop("__last", "__lastmark")
+    return feats.filter("__is_future").drop("__is_future")
 
 
 def history_and_forecast(history: DataFrame, fc: DataFrame, spec: SeriesSpec, tail: int = 365) -> DataFrame:
