@@ -25,11 +25,11 @@ from panelcast.session import ship_package, stored
 
 SPACE = "\u2581"        # fixed value: how pieces write a space
 LONGEST = 48            # longer segments are not remembered
-MEMO = 600_000          # segments that a worker remembers
+MEMO = 450_000          # segments that a worker remembers
 _CLOSING = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
-PAIRS = 1_500_000       # piece pairs that a worker remembers
-BATCH = 200_000         # characters to one suffix array, and a segment more at most
-TEXTS = 2_000_000       # characters of texts held cut at a time, and a text more at most
+PAIRS = 600_000         # piece pairs that a worker remembers
+BATCH = 120_000         # characters to one suffix array, and a segment more at most
+TEXTS = 1_500_000       # characters of texts held cut at a time, and a text more at most
 
 
 def read_model(proto: bytes) -> tuple[list[str], list[float], list[int]]:
@@ -256,9 +256,10 @@ def pieces(proto: bytes) -> Pieces:
 
 
 def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, text, ids``: every whole text's ids as little-endian unsigned
-    32-bit integers.  A null text has no ids; rows that share an id get a row
-    each; other columns are ignored."""
+    """``doc_id, ids, n_chars, text_crc32``: every whole text's ids as
+    little-endian unsigned 32-bit integers, its length and checksum.  A null
+    text is an empty one; rows that share an id get a row each; other columns
+    are ignored."""
     spark = docs.sparkSession
     ship_package(spark)
     model = vocabulary(spark, model_path)
@@ -267,17 +268,20 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
         own = pieces(model.value)
         for batch in batches:
             ids, texts, size = [], [], 0
-            for text in batch.column(1):
+            for text in batch.column(3):
                 texts.append(text.as_py())
-                size += len(texts[-1] or "")
+                size += len(texts[-1])
                 if size >= TEXTS:
                     ids += own.encode_batch(texts)
                     texts, size = [], 0
             ids += own.encode_batch(texts)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary())], names=["doc_id", "text", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), batch.column(1), batch.column(2)],
+                                             names=["doc_id", "ids", "n_chars", "text_crc32"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-        run, "doc_id long, text string, ids binary")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.length(text).cast("long").alias("n_chars"),
+                       F.crc32(text.cast("binary")).alias("text_crc32"), text.alias("text"))
+    return rows.mapInArrow(run, "doc_id long, ids binary, n_chars long, text_crc32 long")
 
 
 def decode(encoded: DataFrame, model_path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -298,11 +302,13 @@ def decode(encoded: DataFrame, model_path: str, ids_col: str = "ids", out_col: s
 
 
 def round_trip(docs: DataFrame, model_path: str) -> DataFrame:
-    """Encode and decode every whole text: ``doc_id, n_ids, ids_crc32,
-    n_chars, decoded_crc32, same`` (whether decoding gave the text again; a
-    space mark in a text comes back as a space)."""
-    back = decode(encode(docs, model_path), model_path)
-    text = F.coalesce("text", F.lit(""))
-    return back.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_ids"), F.crc32("ids").alias("ids_crc32"),
-                       F.length(text).cast("long").alias("n_chars"), F.crc32(F.col("decoded").cast("binary")).alias("decoded_crc32"),
-                       (F.col("decoded") == text).alias("same"))
+    """Encode every whole text, store the ids, read them back and decode:
+    ``doc_id, n_ids, ids_crc32, n_chars, decoded_crc32, same`` (whether
+    decoding gave the text again; a space mark in a text comes back as a
+    space)."""
+    # stored in between, so that a task runs one Python worker at a time
+    back = decode(stored(encode(docs, model_path), "piece-ids"), model_path)
+    decoded = F.crc32(F.col("decoded").cast("binary"))
+    return back.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_ids"), F.crc32("ids").alias("ids_crc32"), "n_chars",
+                       decoded.alias("decoded_crc32"),
+                       ((decoded == F.col("text_crc32")) & (F.length("decoded") == F.col("n_chars"))).alias("same"))
