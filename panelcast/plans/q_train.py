@@ -36,7 +36,7 @@ def trained(spark, sf):
     key = (_session_key(spark), sf)
     if key not in _TRAINED:
         model_dir = scratch_table_path(spark, "models")
-        res = tr.train_pipeline(spark, daily_sales(spark, sf), SeriesSpec(), FeatureConfig(), tr.TrainConfig(),
+        res = tr.train_pipeline(spark, daily_sales(spark, sf), SeriesSpec(), FeatureConfig(), tr.TrainConfig(max_iter=20),
                                 model_dir=model_dir)
         _TRAINED[key] = (res, model_dir)
     return _TRAINED[key]
@@ -107,7 +107,7 @@ def _imp_frame(spark, sf):
 @register("rf_importance")
 def rf_importance(spark, sf):
     """Random-forest importances (100 trees, seed 42) on mean-filled features."""
-    return _r(tr.rf_importance(spark, _imp_frame(spark, sf), "sales", IMP_FEATURES))
+    return _r(tr.rf_importance(spark, _imp_frame(spark, sf), "sales", IMP_FEATURES, max_depth=10))
 
 
 _SEARCHED: dict = {}

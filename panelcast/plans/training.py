@@ -12,6 +12,7 @@ from __future__ import annotations
 import itertools
 import json
 import random
+import statistics
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
@@ -24,21 +25,23 @@ from pyspark.sql import functions as F
 from panelcast.plans import validation as val
 from panelcast.plans.features import build_features
 from panelcast.sources.io import scratch_table_path
-from panelcast.spec import FeatureConfig, SeriesSpec
+from panelcast.spec import BOOSTING_PARAMS, FeatureConfig, SeriesSpec
 
 
 @dataclass
 class TrainConfig:
-    """Boosting settings mapped from the reference's parameters (n_estimators
-    with early stopping -> ``max_iter`` + ``validation_tol``)."""
+    """Boosting settings mapped from the reference's parameters: up to
+    ``max_iter`` trees, stopped early where a tree gains less than
+    ``validation_tol`` on the fold's validation rows.  Every tree is a
+    distributed job, so callers with little time set fewer."""
 
     n_splits: int = 5
-    max_iter: int = 20
-    step_size: float = 0.05
+    max_iter: int = BOOSTING_PARAMS["n_estimators"]
+    step_size: float = BOOSTING_PARAMS["learning_rate"]
     max_depth: int = 5
-    subsampling_rate: float = 0.8
-    feature_subset: str = "0.8"
-    seed: int = 42
+    subsampling_rate: float = BOOSTING_PARAMS["bagging_fraction"]
+    feature_subset: str = str(BOOSTING_PARAMS["feature_fraction"])
+    seed: int = BOOSTING_PARAMS["seed"]
     validation_tol: float = 0.01
     retrain_on_full: bool = True
     parallelism: int = 5
@@ -165,9 +168,10 @@ def top_importances(spark: SparkSession, model: PipelineModel, n: int = 20) -> D
 
 
 def rf_importance(spark: SparkSession, df: DataFrame, target: str, features, num_trees: int = 100,
-                  seed: int = 42, max_depth: int = 10) -> DataFrame:
+                  seed: int = 42, max_depth: int = 30) -> DataFrame:
     """Random-forest importances (L15): mean-filled features and target, at
-    least 10 rows, sorted descending; otherwise an empty frame."""
+    least 10 rows, sorted descending; otherwise an empty frame.  Trees grow to
+    ``max_depth`` (30 is the most that Spark allows)."""
     from panelcast.operators.impute import mean_fill
 
     cols = list(features) + [target]
@@ -202,13 +206,14 @@ def random_search(spark: SparkSession, df: DataFrame, features, target: str, mod
                 pipe = make_pipeline(list(features), [], est.copy(_param_map(est, params)), scale=True)
                 m = pipe.fit(tr)
                 maes.append(float(val.metrics(m.transform(va), target, "prediction").first()["mae"]))
-            return sum(maes) / len(maes)
+            return maes
 
         with ThreadPoolExecutor(max_workers=parallelism) as pool:
-            scores = list(pool.map(score, combos))
+            by_split = list(pool.map(score, combos))
+        scores = [sum(m) / len(m) for m in by_split]
         ranked = sorted(range(len(combos)), key=lambda j: scores[j])
         for rank, j in enumerate(ranked, start=1):
-            cv_rows.append((name, json.dumps(combos[j], sort_keys=True), scores[j], rank))
+            cv_rows.append((name, json.dumps(combos[j], sort_keys=True), scores[j], statistics.pstdev(by_split[j]), by_split[j], rank))
         best = combos[ranked[0]]
         final = make_pipeline(list(features), [], est.copy(_param_map(est, best)), scale=True).fit(folded)
         m = val.metrics(final.transform(folded), target, "prediction").first()
@@ -218,7 +223,7 @@ def random_search(spark: SparkSession, df: DataFrame, features, target: str, mod
         if hasattr(last, "featureImportances"):
             res["feature_importances"] = last.featureImportances.toArray().tolist()
         results[name] = res
-    cv = spark.createDataFrame(cv_rows, "model STRING, params STRING, mean_mae DOUBLE, rank INT")
+    cv = spark.createDataFrame(cv_rows, "model STRING, params STRING, mean_mae DOUBLE, std_mae DOUBLE, split_mae ARRAY<DOUBLE>, rank INT")
     return results, cv
 
 

@@ -40,11 +40,6 @@ DEFAULT_CATEGORICAL = ["store", "item", "month", "dayofweek", "quarter", "is_hol
 DEFAULT_CV_FOLDS = 5
 DEFAULT_HORIZON = 90
 MAX_HORIZON = 365
-SINGLE_SERIES_LAGS = [1, 2, 3, 7, 14, 30]
-SINGLE_SERIES_WINDOWS = [3, 7, 14, 30]
-SINGLE_SERIES_STATS = ["mean", "std", "min", "max"]
-DIFFERENCE_PERIODS = [1, 7, 30]
-PERCENTILE_SET = [5, 10, 25, 50, 75, 90, 95]
 BOOSTING_PARAMS = {
     "objective": "regression_l1",
     "n_estimators": 1000,
