@@ -42,7 +42,7 @@ def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 #: Letters whose counts make up a line's signature; any would do.
-LETTERS = "etaoinsrhldcumgp"
+LETTERS = "rsdlumcghb"
 
 
 def signature(line: Column) -> Column:

@@ -223,14 +223,20 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return verdicts(held, cutoff).select("doc_id", *BASE, "distance2", "base_failed", "kept")
 
 
-def keep_regular(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", cutoff: float = CUTOFF) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with their columns."""
-    prefix = "__q_"
-    while any(c.lower().startswith(prefix) for c in docs.columns):
-        prefix += "_"
-    row = fresh(docs, "__row")
-    held = stored(with_stats(docs, prefix, text_col).withColumn(row, F.monotonically_increasing_id()), "rule-documents")
-    narrow = held.select(F.col(row).alias("row"), F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"),
-                         *[F.col(prefix + n).alias(n) for n in [*BASE, *PARTS]])
-    rejected = verdicts(narrow, cutoff).where(~F.col("kept")).select(F.col("row").alias(row))
-    return held.join(rejected, row, "left_anti").select(*docs.columns)
+def keep_regular(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source",
+                 cutoff: float = CUTOFF) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with their columns.
+
+    Only statistics are stored, with each row's id, text hash, language and
+    source; rows alike in these have one verdict, and ``docs`` is filtered by
+    the rejected ones."""
+    names = ["__id", "__hash", "__lang", "__source"]
+    values = [F.col(id_col).cast("long"), F.xxhash64(F.col(text_col).cast("string")), F.col(lang_col).cast("string"), F.col(source_col).cast("string")]
+    rows = docs.select(F.col(text_col).cast("string").alias("text"), *[v.alias(n) for v, n in zip(values, names)])
+    held = stored(with_stats(rows, "").drop("text").withColumnsRenamed({"__lang": "lang", "__source": "source"}), "text-statistics")
+    rejected = stored(verdicts(held, cutoff).where(~F.col("kept")).select("__id", "__hash", F.col("lang").alias("__lang"), F.col("source").alias("__source"))
+                      .distinct(), "rejected-rows")
+    own, theirs = ([fresh(docs, side + n) for n in names] for side in ("__own", "__rejected"))
+    rejected = rejected.withColumnsRenamed(dict(zip(names, theirs)))
+    same = reduce(Column.__and__, [F.col(a).eqNullSafe(F.col(b)) for a, b in zip(own, theirs)])
+    return (docs.withColumns(dict(zip(own, values))).join(few(rejected), same, "left_anti").select(*docs.columns))

@@ -186,8 +186,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, learn_from: DataFrame, thresho
     vector, chance = fresh(docs, "__features"), fresh(docs, "__score")
     known = learn_from.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     model = train(stored(with_features(known, "features").drop("text"), "quality-features"), labels, "features")
-    held = stored(with_features(docs, vector, text_col), "quality-documents")
-    return score(held, model, vector, chance).where(F.col(chance) >= threshold).select(*docs.columns)
+    return score(with_features(docs, vector, text_col), model, vector, chance).where(F.col(chance) >= threshold).select(*docs.columns)
 
 
 def fresh(df: DataFrame, name: str) -> str:

@@ -20,10 +20,11 @@ import itertools
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelcast.llm.components import components
+from panelcast.llm.qda import fresh
 from panelcast.session import ship_package, stored
 
 SEED = 42
@@ -139,13 +140,12 @@ def near_duplicates(docs: DataFrame, words: int = 4, max_bits: int = 4, id_col:
 def keep_one(docs: DataFrame, words: int = 4, max_bits: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each component: the one with the smallest
     (id, text hash), nulls last; of rows equal in both, any one."""
-    from pyspark.sql import Window
-
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    own_id, own_hash, kept_id, kept_hash, row = (fresh(docs, n) for n in ("__own_id", "__own_hash", "__kept_id", "__kept_hash", "__place"))
     kept = (near_duplicates(docs, words, max_bits, id_col, text_col).groupBy("root").agg(F.min(first).alias("k"))
-            .select(F.col("k.doc_id").alias("__kept_id"), F.col("k.text_hash").alias("__kept_hash")))
+            .select(F.col("k.doc_id").alias(kept_id), F.col("k.text_hash").alias(kept_hash)))
     kept = stored(kept, "kept-documents")
-    own = docs.withColumn("__id", F.col(id_col).cast("long")).withColumn("__hash", F.xxhash64(F.col(text_col).cast("string")))
-    joined = own.join(kept, F.col("__id").eqNullSafe(F.col("__kept_id")) & F.col("__hash").eqNullSafe(F.col("__kept_hash")))
-    one = Window.partitionBy("__id", "__hash").orderBy("__hash")
-    return joined.withColumn("__row", F.row_number().over(one)).where("__row = 1").select(*docs.columns)
+    own = docs.withColumn(own_id, F.col(id_col).cast("long")).withColumn(own_hash, F.xxhash64(F.col(text_col).cast("string")))
+    joined = own.join(kept, F.col(own_id).eqNullSafe(F.col(kept_id)) & F.col(own_hash).eqNullSafe(F.col(kept_hash)))
+    one = Window.partitionBy(own_id, own_hash).orderBy(own_hash)
+    return joined.withColumn(row, F.row_number().over(one)).where(F.col(row) == 1).select(*docs.columns)
