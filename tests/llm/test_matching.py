@@ -224,6 +224,26 @@ def test_licence_scan(spark, edge, empty):
     assert tagged.count() == edge.count() and tagged.columns == [*edge.columns, "licences_"]
 
 
+def test_licence_lines_written_apart_from_the_templates(spark):
+    lines = {"All rights reserved.": "all-rights-reserved", "all rights reserved": "all-rights-reserved",
+             "Released under the MIT License": "mit-notice", "Licensed under the Apache License, Version 2.0": "apache-2.0-notice",
+             "Licensed under CC BY-NC 4.0": "cc-by-nc-4.0-notice",
+             "This work is licensed under the GNU General Public License, version 3": "gpl-3.0-notice",
+             "Licensed under the Mozilla Public License, version 2.0": "mpl-2.0-notice", "Released under the BSD license": "bsd-notice",
+             "// This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
+             "distributed with this file, you can obtain one at https://mozilla.org/MPL/2.0/.": "mpl-2.0"}
+    full = {"bsd-2-clause": "disclaimer in the documentation and/or other materials provided with the distribution",
+            "bsd-3-clause": "endorse or promote products derived from this software without specific prior written permission",
+            "lgpl-2.1": "either version 2.1 of the License", "lgpl-3.0": "GNU Lesser General Public License", "agpl-3.0": "GNU Affero",
+            "gpl-2.0": "either version 2 of the License", "unlicense": "free and unencumbered software released into the public domain"}
+    flat = {name: " ".join(text.split()) for name, text in licences.TEMPLATES.items()}
+    assert all(part in flat[name] for name, part in full.items())
+    texts = [*lines, *(flat[name] for name in full)]
+    docs = spark.createDataFrame([(i, f"Some prose here.\n{t}\nMore of it.") for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {(r.doc_id, r.template) for r in licences.scan(docs).collect()}
+    assert not set(enumerate([*lines.values(), *full])) - got
+
+
 # ------------------------------------------------------------ vector search
 
 
