@@ -1,11 +1,14 @@
 """Licence scan in DataFrame operations only.
 
-A document's units are its lines and its whole text.  A unit is normalised to
+A document's units are its lines, its whole text and passages: runs of words
+that may cross lines or lie within one.  A unit is normalised to
 lower-case ASCII words and compared to each licence template by the Dice
 coefficient over word bigrams, counted with repeats.  Sizes alone bound that
 coefficient, so a template is a candidate only for units whose bigram count
 is within its bounds, only bigrams that a candidate has are counted, and
 texts without any of a few words that no match can do without are passed over.
+A passage is worth a look only if its first and last bigram are the
+template's, and only where enough of the template's bigrams lie close by.
 """
 
 from __future__ import annotations
@@ -14,10 +17,11 @@ import math
 import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelcast.llm.qda import fresh
+from panelcast.session import stored
 
 BSD_GRANT = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
         following conditions are met: Redistributions of source code must retain the above copyright notice, this list of
@@ -159,8 +163,14 @@ def _words(text: Column) -> Column:
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float = DICE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document row and template found: ``doc_id, template, dice``
-    (the best unit's), ``line_no`` (the first such line from 0, -1 for the
-    whole text of more than one line), ``n_units`` (units that match).
+    (the best unit's), ``line_no`` (the first such line from 0, for a passage
+    the line where it begins, -1 for the whole text of more than one line),
+    ``n_units`` (units that match).
+
+    A passage counts unless it overlaps a line or whole text that matches the
+    same template, or one with as many of another template's bigrams, or a
+    passage with more of its template's (then the higher coefficient, the
+    earlier begin, the first template by name).
 
     Null and blank texts match nothing; rows that share an id are scanned each
     on its own; other columns are ignored.  The templates' bigrams are a fixed
@@ -182,7 +192,8 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float =
     # lower once for all words
     found_word = F.transform(F.array(F.lower(text)), may_match)[0]
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.monotonically_increasing_id().alias("row"),
-                       found_word.alias("may")).where("may")
+                       found_word.alias("may")).where("may").select("doc_id", "row", "text")
+    base = stored(base, "licence-texts")
     lines = F.transform(F.split("text", "\n", -1), lambda x: F.filter(_words(x), lambda w: w != ""))
 
     def units(words):
@@ -204,12 +215,62 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float =
               .groupBy("doc_id", "row", "line_no", "n", "template", "size", "bigram").agg(F.least(F.count("*"), F.max("times")).alias("both"))
               .groupBy("doc_id", "row", "line_no", "n", "template", "size").agg(F.sum("both").alias("both")))
     dice = (2 * F.col("both") / (F.col("n") + F.col("size"))).alias("dice")
-    found = shared.select("doc_id", "row", "line_no", "template", dice).where(F.col("dice") >= least)
+    found = stored(shared.select("doc_id", "row", "line_no", "template", "both", dice).where(F.col("dice") >= least), "licence-units")
+    more = _passages(base.select("doc_id", "row", lines.alias("lines")), known, found, least, most)
     best = F.max(F.struct("dice", (-F.col("line_no")).alias("order")))
-    return (found.groupBy("doc_id", "row", "template").agg(best.alias("best"), F.count("*").alias("n_units"))
+    return (found.unionByName(more).groupBy("doc_id", "row", "template").agg(best.alias("best"), F.count("*").alias("n_units"))
             .select("doc_id", "template", F.col("best.dice").alias("dice"), (-F.col("best.order")).cast("int").alias("line_no"), "n_units"))
 
 
+def _passages(texts: DataFrame, known: DataFrame, found: DataFrame, least: float, most: int) -> DataFrame:
+    """``found``'s columns for the passages of ``texts`` (``doc_id, row,
+    lines``: words by line) that count beside the units ``found``.
+
+    ``hits`` are the places of templates' bigrams.  A best passage begins and
+    ends with one, as it only gains by leaving others out there."""
+    words = F.flatten(F.transform("lines", lambda line, k: F.transform(line, lambda w: F.struct(w.alias("w"), k.alias("k")))))
+    flat = texts.select("doc_id", "row", words.alias("words")).where(F.size("words") > 1)
+    pairs = F.transform(F.sequence(F.lit(1), F.size("words") - 1), lambda i: F.struct(
+        F.concat_ws(" ", F.get("words", i - 1)["w"], F.get("words", i)["w"]).alias("pair"),
+        F.get("words", i - 1)["k"].alias("k"), F.get("words", i)["k"].alias("k_end")))
+    placed = flat.select("doc_id", "row", F.posexplode(pairs).alias("at", "x")).select("doc_id", "row", "at", "x.*")
+    hits = placed.join(F.broadcast(known), F.col("pair") == F.col("bigram")).select(
+        "doc_id", "row", "template", "at", "k", "k_end", "bigram", "times", "size", "low", "high")
+    # a passage of n bigrams needs half of least * (n + size) of the template's, and n is at least low
+    need = F.ceil(0.5 * least * (F.col("low") + F.col("size")) - 1e-9)
+    order = Window.partitionBy("row", "template").orderBy("at")
+    ahead = F.count("*").over(order.rangeBetween(0, most - 1))
+    around = F.count("*").over(order.rangeBetween(1 - most, most - 1))
+    dense = stored(hits.withColumn("ahead", ahead).withColumn("around", around).where(F.col("around") >= need), "licence-hits")
+    # a begin and each hit that its passage can reach, by buckets of the longest passage
+    begin = dense.where(F.col("ahead") >= need).select("row", "template", F.col("at").alias("begin"), F.col("k").alias("line_no"),
+                                                       F.explode(F.array(F.expr(f"at div {most}"), F.expr(f"at div {most} + 1"))).alias("bucket"))
+    reached = begin.join(dense.withColumn("bucket", F.expr(f"at div {most}")), ["row", "template", "bucket"]).where(
+        F.col("at").between(F.col("begin"), F.col("begin") + F.col("high") - 1))
+    nth = F.row_number().over(Window.partitionBy("row", "template", "begin", "bigram").orderBy("at"))
+    so_far = Window.partitionBy("row", "template", "begin").orderBy("at")
+    n = F.col("at") - F.col("begin") + 1
+    cut = (reached.withColumn("nth", nth).withColumn("both", F.sum(F.when(F.col("nth") <= F.col("times"), 1).otherwise(0)).over(so_far))
+           .withColumn("dice", 2 * F.col("both") / (n + F.col("size"))).where((n >= F.col("low")) & (F.col("dice") >= least)))
+    key = ["row", "template", "begin", "at"]
+    cut = stored(cut.select("doc_id", *key, "line_no", "k_end", "both", "dice"), "licence-cuts")
+    unit = found.select("row", F.col("line_no").alias("k"), F.col("template").alias("t2"), F.col("both").alias("both2"))
+    lost = (F.col("t2") == F.col("template")) | (F.col("both2") >= F.col("both"))
+    in_line = cut.select(*key, "both", F.explode(F.sequence("line_no", "k_end")).alias("k")).join(unit, ["row", "k"]).where(lost).select(*key)
+    in_whole = cut.select(*key, "both").join(unit.where("k = -1"), "row").where(lost).select(*key)
+    cut = cut.join(in_line.union(in_whole).distinct(), key, "left_anti")
+    value = F.struct("both", "dice", (-F.col("begin")).alias("early"))
+    by_begin = stored(cut.groupBy("doc_id", "row", "template", "begin").agg(F.max(F.struct("both", "dice", "at", "line_no")).alias("x"))
+                      .select("doc_id", "row", "template", "begin", "x.*").withColumn("value", value), "licence-passages")
+    reach = F.explode(F.sequence(F.expr(f"begin div {most}"), F.expr(f"(at + 1) div {most}"))).alias("bucket")
+    other = by_begin.select("row", F.col("template").alias("t2"), F.col("begin").alias("b2"), F.col("at").alias("a2"), F.col("value").alias("v2"), reach)
+    beaten = (by_begin.select("*", reach).join(other, ["row", "bucket"])
+              .where((F.col("b2") <= F.col("at") + 1) & (F.col("begin") <= F.col("a2") + 1)
+                     & ((F.col("v2") > F.col("value")) | (F.col("v2") == F.col("value")) & (F.col("t2") < F.col("template"))))
+              .select("row", "template", "begin").distinct())
+    return by_begin.join(beaten, ["row", "template", "begin"], "left_anti").select("doc_id", "row", "line_no", "template", "both", "dice")
+
+
 def with_licences(docs: DataFrame, **options) -> DataFrame:
     """``docs`` rows and an array of the templates found, as ``licences`` (a
     longer name if there is such a column)."""

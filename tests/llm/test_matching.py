@@ -244,6 +244,26 @@ def test_licence_lines_written_apart_from_the_templates(spark):
     assert not set(enumerate([*lines.values(), *full])) - got
 
 
+def test_licence_passages_across_and_within_lines(spark):
+    flat = {name: text.split() for name, text in licences.TEMPLATES.items()}
+    prose = [f"filler{i} word{i % 7} and more{i}" for i in range(400)]
+
+    def wrapped(name, width=9):
+        return ["# " + " ".join(flat[name][i:i + width]) for i in range(0, len(flat[name]), width)]
+
+    mit = wrapped("mit")
+    texts = ["\n".join(prose + mit + prose[:50]),
+             "\n".join(prose[:3] + wrapped("apache-2.0") + prose + wrapped("apache-2.0", 13) + wrapped("apache-2.0")),
+             " ".join(prose[:90]) + " All of it. Licensed under the Apache License, Version 2.0. Then " + " ".join(prose[90:180]),
+             "\n".join(prose + ["Some text. Released under the", "MIT License. It goes on with", "ordinary words."] + prose),
+             "\n".join(prose + mit[:6] + prose),
+             "\n".join(prose + ["Released under the MIT License.", "a filler line", "Released under the MIT", "License, and so on and on"])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.template): (round(r.dice, 6), r.line_no, r.n_units) for r in licences.scan(docs).collect()}
+    assert got == {(0, "mit"): (1.0, 400, 1), (1, "apache-2.0"): (1.0, 3, 3), (1, "apache-2.0-notice"): (0.875, 3, 2), (2, "apache-2.0-notice"): (1.0, 0, 1),
+                   (3, "mit-notice"): (1.0, 400, 1), (5, "mit-notice"): (1.0, 400, 2)}
+
+
 # ------------------------------------------------------------ vector search
 
 
