@@ -31,8 +31,8 @@ from panelcast.spec import BOOSTING_PARAMS, FeatureConfig, SeriesSpec
 @dataclass
 class TrainConfig:
     """Boosting settings mapped from the reference's parameters: up to
-    ``max_iter`` trees, stopped early where a tree gains less than
-    ``validation_tol`` on the fold's validation rows.  Every tree is a
+    ``max_iter`` trees; a fold keeps the trees up to its lowest error on the
+    validation rows, looking ``patience`` trees beyond it.  Every tree is a
     distributed job, so callers with little time set fewer."""
 
     n_splits: int = 5
@@ -42,7 +42,7 @@ class TrainConfig:
     subsampling_rate: float = BOOSTING_PARAMS["bagging_fraction"]
     feature_subset: str = str(BOOSTING_PARAMS["feature_fraction"])
     seed: int = BOOSTING_PARAMS["seed"]
-    validation_tol: float = 0.01
+    patience: int = BOOSTING_PARAMS["early_stopping_rounds"]
     retrain_on_full: bool = True
     parallelism: int = 5
     categorical: list[str] = field(default_factory=lambda: list(FeatureConfig().categorical))
@@ -82,11 +82,35 @@ def make_pipeline(features, categorical, estimator, scale: bool = False) -> Pipe
     return Pipeline(stages=stages)
 
 
-def _gbt(cfg: TrainConfig, target: str, max_bins: int, with_validation: bool) -> GBTRegressor:
-    extra = {"validationIndicatorCol": "__is_val", "validationTol": cfg.validation_tol} if with_validation else {}
-    return GBTRegressor(featuresCol="features", labelCol=target, lossType="absolute", maxIter=cfg.max_iter,
+def _gbt(cfg: TrainConfig, target: str, max_bins: int, trees: int | None = None) -> GBTRegressor:
+    return GBTRegressor(featuresCol="features", labelCol=target, lossType="absolute", maxIter=trees or cfg.max_iter,
                         stepSize=cfg.step_size, maxDepth=cfg.max_depth, subsamplingRate=cfg.subsampling_rate,
-                        featureSubsetStrategy=cfg.feature_subset, seed=cfg.seed, maxBins=max_bins, **extra)
+                        featureSubsetStrategy=cfg.feature_subset, seed=cfg.seed, maxBins=max_bins)
+
+
+def best_round(errors: list[float], patience: int) -> tuple[int, bool]:
+    """Trees up to the lowest error so far, and whether ``patience`` trees
+    without a lower one follow it."""
+    best = 0
+    for i, e in enumerate(errors):
+        if e < errors[best]:
+            best = i
+        elif i - best >= patience:
+            return best + 1, True
+    return best + 1, False
+
+
+def fit_with_patience(train: DataFrame, valid: DataFrame, cfg: TrainConfig, target: str, max_bins: int):
+    """Boosted trees up to the lowest validation error.  Spark's own stop has
+    no patience, so more trees are fitted (a seed's first trees are the same
+    whatever their number) until the errors by tree tell where to stop."""
+    trees = min(cfg.max_iter, 2 * cfg.patience)
+    while True:
+        model = _gbt(cfg, target, max_bins, trees).fit(train)
+        best, over = best_round(list(model.evaluateEachIteration(valid, "absolute")), cfg.patience)
+        if over or trees >= cfg.max_iter:
+            return model if best == trees else _gbt(cfg, target, max_bins, best).fit(train)
+        trees = min(cfg.max_iter, 2 * trees)
 
 
 def _max_bins(df: DataFrame, cats) -> int:
@@ -122,8 +146,9 @@ def train_pipeline(spark: SparkSession, df: DataFrame, spec: SeriesSpec = Series
     bins = _max_bins(folded, cats)
     def run_fold(i):
         train, valid = val.fold_split(folded, i)
-        fit_df = train.withColumn("__is_val", F.lit(False)).unionByName(valid.withColumn("__is_val", F.lit(True)))
-        model = make_pipeline(names, cats, _gbt(tcfg, t, bins, True)).fit(fit_df)
+        encoded = Pipeline(stages=make_pipeline(names, cats, _gbt(tcfg, t, bins)).getStages()[:-1]).fit(train.unionByName(valid))
+        boosted = fit_with_patience(encoded.transform(train), encoded.transform(valid), tcfg, t, bins)
+        model = PipelineModel(stages=[*encoded.stages, boosted])
         pred = model.transform(valid).select(*keys, d, "row_index", F.lit(i).alias("fold"), t, "prediction")
         m = val.metrics(pred, t, "prediction").first()
         return (i, float(m["mae"]), float(m["rmse"]), float(m["smape"]), int(m["n"])), pred, model
@@ -141,7 +166,7 @@ def train_pipeline(spark: SparkSession, df: DataFrame, spec: SeriesSpec = Series
     for o in oofs[1:]:
         oof = oof.unionByName(o)
     if tcfg.retrain_on_full:
-        final = make_pipeline(names, cats, _gbt(tcfg, t, bins, False)).fit(folded)
+        final = make_pipeline(names, cats, _gbt(tcfg, t, bins)).fit(folded)
     else:
         final = models[-1]
     if model_dir:
