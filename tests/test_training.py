@@ -81,3 +81,17 @@ def test_boosting_queries_run_the_default_and_stop_with_patience(spark, monkeypa
     data = tr.make_pipeline(["x"], [], tr._gbt(tr.TrainConfig(), "y", 32)).getStages()[0].transform(df)
     cfg = tr.TrainConfig(max_iter=12, max_depth=1, patience=4, subsampling_rate=1.0, feature_subset="all")
     assert tr.fit_with_patience(data, data, cfg, "y", 32).getNumTrees >= 10
+
+
+def test_forest_query_grows_to_the_library_depth(spark, monkeypatch):
+    import inspect
+
+    from panelcast.plans import q_train
+
+    asked, signature = [], inspect.signature(tr.rf_importance)
+    monkeypatch.setattr(q_train, "_imp_frame", lambda *a: None)
+    monkeypatch.setattr(q_train, "_r", lambda df: df)
+    monkeypatch.setattr(q_train.tr, "rf_importance", lambda *a, **k: asked.append(signature.bind(*a, **k)))
+    q_train.rf_importance(spark, "sf")
+    asked[0].apply_defaults()
+    assert asked[0].arguments["max_depth"] == 30 and asked[0].arguments["num_trees"] == 100
