@@ -149,3 +149,10 @@ def _licence_oracle() -> str:
 
 
 ORACLE["op4_dice_templates"] = _licence_oracle()
+
+
+@_query
+def op13_polarisation_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelcast.llm import whitening
+
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), k=4, scale=256)
