@@ -156,3 +156,64 @@ def op13_polarisation_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     from panelcast.llm import whitening
 
     return whitening.whiten(table(spark, sf_dir, "embeddings"), k=4, scale=256)
+
+
+@_query
+def op11_butterfly_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from panelcast.llm import merkle
+
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, F.col("n_chars") + 1).otherwise(F.col("n_chars"))
+    return merkle.verified(table(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "n_chars", "text"], "lang", "doc_id",
+                           {"n_chars": tampered})
+
+
+def _field(expr: str) -> str:
+    return f"coalesce(strlen(CAST({expr} AS VARCHAR)) || ':' || CAST({expr} AS VARCHAR), '-')"
+
+
+def _leaf(n_chars: str) -> str:
+    return "sha256(" + " || ".join(map(_field, ["doc_id", "source", "lang", n_chars, "text"])) + ")"
+
+
+#: No crc32 in DuckDB: eight steps a byte of the decimal id.
+_CRC = ("xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ascii(c)::BIGINT)), "
+        "lambda crc, b: list_reduce(list_concat([xor(crc, b)], range(8)), lambda r, k: xor(r >> 1, (r & 1) * 3988292384))), 4294967295)")
+
+ORACLE["op11_butterfly_merkle"] = f"""
+WITH RECURSIVE rows_ AS (
+  SELECT doc_id, lang, {_leaf('n_chars')} AS leaf, {_leaf('CASE WHEN ' + _CRC + ' % 7 = 0 THEN n_chars + 1 ELSE n_chars END')} AS now
+  FROM documents),
+leaves AS (
+  SELECT *, coalesce('=' || lang, '') AS g, row_number() OVER () AS id,
+         row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos
+  FROM rows_),
+tree AS (
+  SELECT g, 0::BIGINT AS level, pos, leaf AS digest, count(*) OVER (PARTITION BY g) AS n FROM leaves
+  UNION ALL
+  SELECT g, level + 1, pos // 2, sha256(string_agg(digest, '' ORDER BY pos)), (n + 1) // 2
+  FROM tree WHERE n > 1 GROUP BY g, level, pos // 2, n),
+subs AS (SELECT g, digest AS subroot, level AS height, row_number() OVER (ORDER BY g) - 1 AS pos FROM tree WHERE n = 1),
+top AS (
+  SELECT 0::BIGINT AS level, pos, subroot AS digest, count(*) OVER () AS n FROM subs
+  UNION ALL
+  SELECT level + 1, pos // 2, sha256(string_agg(digest, '' ORDER BY pos)), (n + 1) // 2
+  FROM top WHERE n > 1 GROUP BY level, pos // 2, n),
+root AS (SELECT digest AS root, level AS height FROM top WHERE n = 1),
+siblings AS (
+  SELECT l.id, t.level, t.pos < (l.pos >> t.level) AS before, t.digest
+  FROM leaves l JOIN tree t ON t.g = l.g AND t.n > 1 AND t.pos = xor(l.pos >> t.level, 1)
+  UNION ALL
+  SELECT l.id, s.height + t.level, t.pos < (s.pos >> t.level), t.digest
+  FROM leaves l JOIN subs s ON s.g = l.g JOIN top t ON t.n > 1 AND t.pos = xor(s.pos >> t.level, 1)),
+folded AS (
+  SELECT l.id, 0::BIGINT AS level, l.now AS digest, s.height + r.height AS height
+  FROM leaves l JOIN subs s ON s.g = l.g, root r
+  UNION ALL
+  SELECT f.id, f.level + 1, sha256(CASE WHEN s.before THEN s.digest || f.digest ELSE f.digest || coalesce(s.digest, '') END), f.height
+  FROM folded f LEFT JOIN siblings s ON s.id = f.id AND s.level = f.level WHERE f.level < f.height),
+proofs AS (SELECT id, string_agg(digest, '' ORDER BY level) AS proof FROM siblings GROUP BY id)
+SELECT l.doc_id, l.leaf, s.subroot, r.root, sha256(coalesce(p.proof, '')) AS proof_sha256, f.digest AS folded_root,
+       f.digest = r.root AS verified
+FROM leaves l JOIN subs s ON s.g = l.g JOIN folded f ON f.id = l.id AND f.level = f.height LEFT JOIN proofs p ON p.id = l.id, root r"""
