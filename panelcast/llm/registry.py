@@ -217,3 +217,36 @@ proofs AS (SELECT id, string_agg(digest, '' ORDER BY level) AS proof FROM siblin
 SELECT l.doc_id, l.leaf, s.subroot, r.root, sha256(coalesce(p.proof, '')) AS proof_sha256, f.digest AS folded_root,
        f.digest = r.root AS verified
 FROM leaves l JOIN subs s ON s.g = l.g JOIN folded f ON f.id = l.id AND f.level = f.height LEFT JOIN proofs p ON p.id = l.id, root r"""
+
+
+@_query
+def op12_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from panelcast.llm import decontaminate
+
+    hits = decontaminate.document_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return hits.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                       decontaminate.items_digest(F.col("items")).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+_WORDS = (r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+          r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')")
+
+ORACLE["op12_suffix_decontamination"] = f"""
+WITH doc AS (SELECT row_number() OVER () AS id, doc_id, coalesce({_WORDS}, []) AS w FROM documents),
+item AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark),
+starts AS (SELECT item, w, least(10, len(w)) AS k, unnest(range(len(w) - least(10, len(w)) + 1)) AS i FROM item WHERE len(w) > 0),
+windows AS (SELECT DISTINCT item, k, array_to_string(w[i + 1:i + k], ' ') AS win FROM starts),
+sizes AS (SELECT DISTINCT k FROM windows),
+places AS (SELECT id, w, k, unnest(range(len(w) - k + 1)) AS i FROM doc, sizes WHERE len(w) >= k),
+found AS (
+  SELECT id, k, i, win FROM (SELECT id, k, i, array_to_string(w[i + 1:i + k], ' ') AS win FROM places)
+  WHERE (k, win) IN (SELECT (k, win) FROM windows)),
+hit AS (SELECT id, count(*) AS n_hit FROM (SELECT DISTINCT id, unnest(range(i, i + k)) AS word FROM found) GROUP BY id),
+named AS (
+  SELECT id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT f.id, n.item FROM found f JOIN windows n ON n.k = f.k AND n.win = f.win WHERE n.item IS NOT NULL) GROUP BY id)
+SELECT d.doc_id, len(d.w) AS n_words, coalesce(h.n_hit, 0) AS n_hit, coalesce(n.n_items, 0) AS n_items,
+       sha256(coalesce(n.items, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated
+FROM doc d LEFT JOIN hit h ON h.id = d.id LEFT JOIN named n ON n.id = d.id"""
