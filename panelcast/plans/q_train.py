@@ -1,6 +1,7 @@
 """Catalog: model training, search, importances, persistence and forecasts
 (L1, L3, L4, L8-L13, L15, L16, A8-A10, K3-K5).  Rows-only checks: model
-fits have no SQL equivalent."""
+fits have no SQL equivalent; ``tests/test_boosting.py`` compares them with
+plain versions."""
 
 from __future__ import annotations
 
@@ -13,7 +14,7 @@ from panelcast.plans import training as tr
 from panelcast.plans.catalog import KEYS, float_cols, register, round_cols
 from panelcast.sources import models as reg
 from panelcast.sources.io import scratch_table_path
-from panelcast.sources.tables import daily_sales
+from panelcast.sources.tables import DAILY_SALES_SQL, daily_sales, with_sql
 from panelcast.spec import FeatureConfig, SeriesSpec
 
 _TRAINED: dict = {}
@@ -31,13 +32,18 @@ def _r(df):
     return round_cols(df, float_cols(df))
 
 
+#: Trees that the queries grow at most (the library's default is 1000): folds reach their patience before, the
+#: model of all rows stops here.  README gives seconds and errors by tree.
+QUERY_TREES = 100
+
+
 def trained(spark, sf):
     """Train once per scale factor and session; later queries reuse the result."""
     key = (_session_key(spark), sf)
     if key not in _TRAINED:
         model_dir = scratch_table_path(spark, "models")
-        res = tr.train_pipeline(spark, daily_sales(spark, sf), SeriesSpec(), FeatureConfig(), tr.TrainConfig(),
-                                model_dir=model_dir)
+        res = tr.train_pipeline(spark, daily_sales(spark, sf), SeriesSpec(), FeatureConfig(),
+                                tr.TrainConfig(max_iter=QUERY_TREES), model_dir=model_dir)
         _TRAINED[key] = (res, model_dir)
     return _TRAINED[key]
 
@@ -57,6 +63,23 @@ def oof_predictions(spark, sf):
     return _r(res.oof)
 
 
+_OOF_ROWS_SQL = with_sql(DAILY_SALES_SQL) + """,
+placed AS (SELECT *, row_number() OVER (PARTITION BY store, item ORDER BY date) AS rn FROM daily_sales),
+kept AS (SELECT store, item, date, sales, row_number() OVER (ORDER BY date, store, item) - 1 AS row_index, count(*) OVER () AS n
+         FROM placed WHERE rn > 728),
+folds AS (SELECT *, n // 6 AS size FROM kept)
+SELECT store, item, date, row_index, CAST((row_index - (n - 5 * size)) // size + 1 AS INTEGER) AS fold, CAST(sales AS DOUBLE) AS sales
+FROM folds WHERE row_index >= n - 5 * size"""
+
+
+@register("oof_rows", _OOF_ROWS_SQL)
+def oof_rows(spark, sf):
+    """L2/L4: which rows the out-of-fold predictions cover, with their folds
+    (the longest look-back is a lag of 728 rows)."""
+    res, _ = trained(spark, sf)
+    return res.oof.where("prediction is not null").select("store", "item", "date", "row_index", "fold", "sales")
+
+
 @register("model_registry")
 def model_registry(spark, sf):
     """The trained model saved with a timestamped name, registry
@@ -75,6 +98,20 @@ def forecast_90d(spark, sf):
                        input_cols=tr.model_input_columns(model))
 
 
+_FORECAST_SPAN_SQL = with_sql(DAILY_SALES_SQL) + """
+SELECT store, item, 90 AS days, CAST(max(date) + INTERVAL 1 DAY AS DATE) AS first_day, CAST(max(date) + INTERVAL 90 DAY AS DATE) AS last_day,
+       90 AS not_negative
+FROM daily_sales GROUP BY store, item"""
+
+
+@register("forecast_span", _FORECAST_SPAN_SQL)
+def forecast_span(spark, sf):
+    """K1/K4: days, span and non-negative whole values of every series' forecast."""
+    return forecast_90d(spark, sf).groupBy("store", "item").agg(
+        F.count_distinct("date").alias("days"), F.min("date").alias("first_day"), F.max("date").alias("last_day"),
+        F.count_if(F.col("forecast") >= 0).alias("not_negative"))
+
+
 @register("history_and_forecast")
 def history_and_forecast(spark, sf):
     """K5: last 365 history rows and the forecast of every series with a kind column."""

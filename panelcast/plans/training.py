@@ -1,10 +1,8 @@
 """Training, time-ordered cross-validation, search and importances.
 
-All fitting is ``pyspark.ml``: each fit is a set of distributed jobs; the
-driver only loops over folds / candidates and receives one metric row per
-fit.  The fold index checkpoints the sorted feature table once in the shared
-checkpoint folder, so the CV loop neither recomputes the windows nor depends
-on a long lineage (and survives executor loss).
+Boosted trees come from :mod:`panelcast.plans.boosting`: the feature table is
+built once, stored with its folds, and all folds and the final model grow
+together over its blocks.
 """
 
 from __future__ import annotations
@@ -18,35 +16,42 @@ from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelcast.plans import validation as val
+from panelcast.plans.boosting import BoostedModel, BoostParams, boost, predictor
 from panelcast.plans.features import build_features
+from panelcast.session import stored
 from panelcast.sources.io import scratch_table_path
 from panelcast.spec import BOOSTING_PARAMS, FeatureConfig, SeriesSpec
 
 
 @dataclass
 class TrainConfig:
-    """Boosting settings mapped from the reference's parameters: up to
-    ``max_iter`` trees; a fold keeps the trees up to its lowest error on the
-    validation rows, looking ``patience`` trees beyond it.  Every tree is a
-    distributed job, so callers with little time set fewer."""
+    """Boosting settings, the reference's by default: up to ``max_iter`` trees;
+    a fold keeps the trees up to its lowest error on the validation rows,
+    looking ``patience`` trees beyond it."""
 
     n_splits: int = 5
     max_iter: int = BOOSTING_PARAMS["n_estimators"]
     step_size: float = BOOSTING_PARAMS["learning_rate"]
-    max_depth: int = 5
-    subsampling_rate: float = BOOSTING_PARAMS["bagging_fraction"]
-    feature_subset: str = str(BOOSTING_PARAMS["feature_fraction"])
+    num_leaves: int = BOOSTING_PARAMS["num_leaves"]
+    lambda_l1: float = BOOSTING_PARAMS["lambda_l1"]
+    lambda_l2: float = BOOSTING_PARAMS["lambda_l2"]
+    row_share: float = BOOSTING_PARAMS["bagging_fraction"]
+    row_share_every: int = BOOSTING_PARAMS["bagging_freq"]
+    feature_share: float = BOOSTING_PARAMS["feature_fraction"]
     seed: int = BOOSTING_PARAMS["seed"]
     patience: int = BOOSTING_PARAMS["early_stopping_rounds"]
     retrain_on_full: bool = True
-    parallelism: int = 5
     categorical: list[str] = field(default_factory=lambda: list(FeatureConfig().categorical))
 
+    def boosting(self) -> BoostParams:
+        return BoostParams(rounds=self.max_iter, step=self.step_size, leaves=self.num_leaves, l1=self.lambda_l1, l2=self.lambda_l2,
+                           row_share=self.row_share, row_share_every=self.row_share_every, feature_share=self.feature_share,
+                           patience=self.patience, seed=self.seed)
+
 
 def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write to the shared checkpoint folder and read back (lineage cut)."""
@@ -82,134 +87,76 @@ def make_pipeline(features, categorical, estimator, scale: bool = False) -> Pipe
     return Pipeline(stages=stages)
 
 
-def _gbt(cfg: TrainConfig, target: str, max_bins: int, trees: int | None = None) -> GBTRegressor:
-    return GBTRegressor(featuresCol="features", labelCol=target, lossType="absolute", maxIter=trees or cfg.max_iter,
-                        stepSize=cfg.step_size, maxDepth=cfg.max_depth, subsamplingRate=cfg.subsampling_rate,
-                        featureSubsetStrategy=cfg.feature_subset, seed=cfg.seed, maxBins=max_bins)
-
-
-def best_round(errors: list[float], patience: int) -> tuple[int, bool]:
-    """Trees up to the lowest error so far, and whether ``patience`` trees
-    without a lower one follow it."""
-    best = 0
-    for i, e in enumerate(errors):
-        if e < errors[best]:
-            best = i
-        elif i - best >= patience:
-            return best + 1, True
-    return best + 1, False
-
-
-def fit_with_patience(train: DataFrame, valid: DataFrame, cfg: TrainConfig, target: str, max_bins: int):
-    """Boosted trees up to the lowest validation error.  Spark's own stop has
-    no patience, so more trees are fitted (a seed's first trees are the same
-    whatever their number) until the errors by tree tell where to stop."""
-    trees = min(cfg.max_iter, 2 * cfg.patience)
-    while True:
-        model = _gbt(cfg, target, max_bins, trees).fit(train)
-        best, over = best_round(list(model.evaluateEachIteration(valid, "absolute")), cfg.patience)
-        if over or trees >= cfg.max_iter:
-            return model if best == trees else _gbt(cfg, target, max_bins, best).fit(train)
-        trees = min(cfg.max_iter, 2 * trees)
-
-
-def _max_bins(df: DataFrame, cats) -> int:
-    if not cats:
-        return 32
-    row = df.agg(*[F.count_distinct(c).alias(c) for c in cats]).first()
-    return max(32, max(int(row[c]) for c in cats) + 2)
-
-
 @dataclass
 class TrainResult:
-    model: PipelineModel
+    model: BoostedModel
     features: list[str]
     cv_metrics: DataFrame
     oof: DataFrame
     scores: dict
+    fold_models: dict[int, BoostedModel]
 
 
 def train_pipeline(spark: SparkSession, df: DataFrame, spec: SeriesSpec = SeriesSpec(),
                    cfg: FeatureConfig = FeatureConfig(), tcfg: TrainConfig = TrainConfig(),
                    model_dir: str | None = None) -> TrainResult:
     """Full training flow (L9): features -> list -> null drop -> date order ->
-    encode -> time-series CV with early stopping (L3) -> out-of-fold
-    predictions (L4) -> per-fold/average metrics (L8) -> refit (L10) -> save."""
+    time-series CV with early stopping (L3) -> out-of-fold predictions (L4) ->
+    per-fold/average metrics (L8) -> model of all rows (L10) -> save.
+
+    Categories (L1) are coded inside the model; unseen ones have a code of
+    their own.  Folds without rows are skipped."""
     keys, d, t = list(spec.keys), spec.order_col, spec.value_col
     table, names = feature_table(df, spec, cfg)
     if not names:
         raise ValueError("no features available")
-    table = table.withColumn(t, F.col(t).cast("double"))
-    # the fold index checkpoints the sorted feature table once (lineage cut)
-    folded = val.time_series_folds(table, [d] + keys, tcfg.n_splits)
-    cats = [c for c in tcfg.categorical if c in names]
-    bins = _max_bins(folded, cats)
-    def run_fold(i):
-        train, valid = val.fold_split(folded, i)
-        encoded = Pipeline(stages=make_pipeline(names, cats, _gbt(tcfg, t, bins)).getStages()[:-1]).fit(train.unionByName(valid))
-        boosted = fit_with_patience(encoded.transform(train), encoded.transform(valid), tcfg, t, bins)
-        model = PipelineModel(stages=[*encoded.stages, boosted])
-        pred = model.transform(valid).select(*keys, d, "row_index", F.lit(i).alias("fold"), t, "prediction")
-        m = val.metrics(pred, t, "prediction").first()
-        return (i, float(m["mae"]), float(m["rmse"]), float(m["smape"]), int(m["n"])), pred, model
-
-    # folds are independent: submit their jobs concurrently from a small pool
-    with ThreadPoolExecutor(max_workers=max(1, min(tcfg.parallelism, tcfg.n_splits))) as pool:
-        done = list(pool.map(run_fold, range(1, tcfg.n_splits + 1)))
-    fold_rows = [r for r, _, _ in done]
-    oofs = [p for _, p, _ in done]
-    models = [m for _, _, m in done]
-    avg = {k: sum(r[j] for r in fold_rows) / len(fold_rows) for j, k in ((1, "mae"), (2, "rmse"), (3, "smape"))}
-    cv = spark.createDataFrame(fold_rows + [(0, avg["mae"], avg["rmse"], avg["smape"], sum(r[4] for r in fold_rows))],
-                               "fold INT, mae DOUBLE, rmse DOUBLE, smape DOUBLE, n BIGINT")
-    oof = oofs[0]
-    for o in oofs[1:]:
-        oof = oof.unionByName(o)
-    if tcfg.retrain_on_full:
-        final = make_pipeline(names, cats, _gbt(tcfg, t, bins)).fit(folded)
-    else:
-        final = models[-1]
+    folded = val.time_series_folds(table.withColumn(t, F.col(t).cast("double")), [d] + keys, tcfg.n_splits)
+    folded = stored(folded.select(*dict.fromkeys([*keys, d, t, *names, "row_index", "val_fold"])), "folds")
+    models = boost(folded, names, tcfg.categorical, t, "row_index", "val_fold", tcfg.boosting(), whole=tcfg.retrain_on_full)
+    folds = {i: m for i, m in models.items() if i}
+    if not folds:
+        raise ValueError(f"too few rows for {tcfg.n_splits} time-ordered folds")
+    oof = stored(folded.where("val_fold is not null").select(
+        *keys, d, "row_index", F.col("val_fold").alias("fold"), t, predictor(spark, folds)(F.col("val_fold")).alias("prediction")), "oof")
+    cv = stored(val.fold_metrics(oof, t, "prediction", "fold"), "cv")
+    avg = cv.where("fold = 0").select("mae", "rmse", "smape").first().asDict()
+    final = models[0] if tcfg.retrain_on_full else folds[max(folds)]
     if model_dir:
         from panelcast.sources.models import save_model
 
         save_model(spark, final, model_dir, avg, names)
-    return TrainResult(final, names, cv, oof, avg)
+    return TrainResult(final, names, cv, oof, avg, folds)
 
 
-def model_input_columns(model: PipelineModel) -> list[str]:
+def model_input_columns(model: BoostedModel | PipelineModel) -> list[str]:
     """Names the model expects (K3), mapped back from indexed columns."""
+    if isinstance(model, BoostedModel):
+        return list(model.features)
     for st in model.stages:
         if isinstance(st, VectorAssembler) or type(st).__name__ == "VectorAssembler":
             return [c[:-5] if c.endswith("__idx") else c for c in st.getInputCols()]
     raise ValueError("model has no assembler stage")
 
 
-def top_importances(spark: SparkSession, model: PipelineModel, n: int = 20) -> DataFrame:
-    """Top-n feature importances of a fitted tree model."""
-    names = model_input_columns(model)
-    imp = model.stages[-1].featureImportances.toArray().tolist()
+def top_importances(spark: SparkSession, model: BoostedModel, n: int = 20) -> DataFrame:
+    """Top-n feature importances of a boosted model (L16): shares of its splits."""
+    names, imp = model.features, model.importances()
     df = spark.createDataFrame(list(zip(names, [float(v) for v in imp])), "feature STRING, importance DOUBLE")
     return df.orderBy(F.col("importance").desc(), "feature").limit(n)
 
 
-def rf_importance(spark: SparkSession, df: DataFrame, target: str, features, num_trees: int = 100,
-                  seed: int = 42, max_depth: int = 30) -> DataFrame:
+def rf_importance(spark: SparkSession, df: DataFrame, target: str, features, num_trees: int = 100, seed: int = 42) -> DataFrame:
     """Random-forest importances (L15): mean-filled features and target, at
-    least 10 rows, sorted descending; otherwise an empty frame.  Trees grow to
-    ``max_depth`` (30 is the most that Spark allows)."""
+    least 10 rows, trees of unlimited depth, sorted descending; otherwise an
+    empty frame."""
     from panelcast.operators.impute import mean_fill
+    from panelcast.plans import forest
 
     cols = list(features) + [target]
     filled = mean_fill(df.select(*cols), cols)
-    schema = "feature STRING, importance DOUBLE"
     if filled.limit(10).count() < 10:
-        return spark.createDataFrame([], schema)
-    rf = RandomForestRegressor(featuresCol="features", labelCol=target, numTrees=num_trees, seed=seed,
-                               maxDepth=max_depth, featureSubsetStrategy="all")
-    model = Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features"), rf]).fit(filled)
-    imp = model.stages[-1].featureImportances.toArray().tolist()
-    out = spark.createDataFrame(list(zip(features, [float(v) for v in imp])), schema)
-    return out.orderBy(F.col("importance").desc(), "feature")
+        return spark.createDataFrame([], "feature STRING, importance DOUBLE")
+    return forest.importances(filled, list(features), target, num_trees, seed).orderBy(F.col("importance").desc(), "feature")
 
 
 def random_search(spark: SparkSession, df: DataFrame, features, target: str, models: dict, grids: dict,

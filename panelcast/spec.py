@@ -46,6 +46,9 @@ BOOSTING_PARAMS = {
     "learning_rate": 0.05,
     "feature_fraction": 0.8,
     "bagging_fraction": 0.8,
+    "bagging_freq": 1,
+    "lambda_l1": 0.1,
+    "lambda_l2": 0.1,
     "num_leaves": 31,
     "seed": 42,
     "early_stopping_rounds": 50,

@@ -62,36 +62,3 @@ def test_category_indexer_reused(spark):
     m = pipe.fit(df.withColumn("sales", F.col("sales").cast("double")))
     unseen = spark.createDataFrame([(9, "Z", dt.date(2020, 1, 1), 0.0)], "store INT, item STRING, date DATE, sales DOUBLE")
     assert m.transform(unseen).count() == 1       # handleInvalid="keep"
-
-
-def test_boosting_queries_run_the_default_and_stop_with_patience(spark, monkeypatch):
-    from panelcast.plans import q_train
-    from panelcast.spec import BOOSTING_PARAMS
-
-    asked = []
-    monkeypatch.setattr(q_train.tr, "train_pipeline", lambda *a, **k: asked.append(a[4]))
-    monkeypatch.setattr(q_train, "daily_sales", lambda *a, **k: None)
-    monkeypatch.setattr(q_train, "_TRAINED", {})
-    q_train.trained(spark, "sf")
-    assert asked[0].max_iter == BOOSTING_PARAMS["n_estimators"] and asked[0].patience == BOOSTING_PARAMS["early_stopping_rounds"]
-    assert tr.best_round([3, 2, 2.5, 2.4, 1, 1, 1], 3) == (5, False)
-    assert tr.best_round([3, 2, 2.5, 2.4, 2.2, 1], 3) == (2, True)
-    # small steps that gain less than a hundredth each still go on
-    df = spark.createDataFrame([(float(x), float(x)) for x in range(100)], "x double, y double")
-    data = tr.make_pipeline(["x"], [], tr._gbt(tr.TrainConfig(), "y", 32)).getStages()[0].transform(df)
-    cfg = tr.TrainConfig(max_iter=12, max_depth=1, patience=4, subsampling_rate=1.0, feature_subset="all")
-    assert tr.fit_with_patience(data, data, cfg, "y", 32).getNumTrees >= 10
-
-
-def test_forest_query_grows_to_the_library_depth(spark, monkeypatch):
-    import inspect
-
-    from panelcast.plans import q_train
-
-    asked, signature = [], inspect.signature(tr.rf_importance)
-    monkeypatch.setattr(q_train, "_imp_frame", lambda *a: None)
-    monkeypatch.setattr(q_train, "_r", lambda df: df)
-    monkeypatch.setattr(q_train.tr, "rf_importance", lambda *a, **k: asked.append(signature.bind(*a, **k)))
-    q_train.rf_importance(spark, "sf")
-    asked[0].apply_defaults()
-    assert asked[0].arguments["max_depth"] == 30 and asked[0].arguments["num_trees"] == 100
