@@ -24,9 +24,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from panelcast.functions.numeric import numeric
 from panelcast.operators.relational import join_on_keys, with_group_stat
 from panelcast.operators.windows import wspec
+from panelcast.session import ship_package
 
+# MacKinnon (2010) critical values of the same regression, as
+# polynomials in 1 / observations, lowest order first.
+TAU_CRIT = {"1": [-3.43035, -6.5393, -16.786, -79.433],
+            "5": [-2.86154, -2.8903, -4.234, -40.040],
+            "10": [-2.56677, -1.5384, -2.809, 0.0]}
 # MacKinnon (1994) approximate p-value coefficients for the
 # constant-only Dickey-Fuller regression with one variable.
 TAU_MAX = 2.74
@@ -101,14 +108,16 @@ def _solve_series(n: int, P: int, G: np.ndarray, head: list, fixed: bool = False
 
 
 def adf(df: DataFrame, value: str, order_col: str, keys=(), min_rows: int = 10,
-        lags: int | None = None) -> DataFrame:
-    """ADF per series on the non-null values in order (one row per key).
+        lags: int | None = None, critical_values: bool = False) -> DataFrame:
+    """ADF per series on the values in order (null and NaN left out), one row
+    per key; ``critical_values`` adds ``adf_crit_1, _5, _10``.
     ``lags=None`` chooses the lag by AIC; an integer fixes it (``lags=0`` is
     the plain Dickey-Fuller regression)."""
     from panelcast.operators.ewm import max_series_length
 
+    ship_package(df.sparkSession)
     keys = list(keys)
-    x = F.col(value).cast("double")
+    x = numeric(value)
     d = df.filter(x.isNotNull()).select(*keys, order_col, x.alias("__x"))
     d = with_group_stat(d, keys, F.count(F.lit(1)).alias("__n"), F.avg("__x").alias("__mu"))
     d = d.filter(F.col("__n") >= min_rows)
@@ -213,7 +222,12 @@ def adf(df: DataFrame, value: str, order_col: str, keys=(), min_rows: int = 10,
                 out["adf_nobs"] = out["adf_nobs"].astype("Int64")
                 yield out[[f.name for f in out_schema.fields]]
 
-    return per.mapInPandas(solve, out_schema)
+    solved = per.mapInPandas(solve, out_schema)
+    if not critical_values:
+        return solved
+    inverse = 1.0 / F.col("adf_nobs")
+    return solved.select("*", *[sum((F.lit(c) * F.pow(inverse, F.lit(float(i))) for i, c in enumerate(coefs)), F.lit(0.0)).alias(f"adf_crit_{name}")
+                                for name, coefs in TAU_CRIT.items()])
 
 
 def stationarity(df: DataFrame, value: str, order_col: str, keys=()) -> DataFrame:
@@ -221,6 +235,6 @@ def stationarity(df: DataFrame, value: str, order_col: str, keys=()) -> DataFram
     from panelcast.operators.diagnostics import kpss
 
     keys = list(keys)
-    a = adf(df, value, order_col, keys)
-    k = kpss(df, value, order_col, keys).drop("n")
+    a = adf(df, value, order_col, keys, critical_values=True)
+    k = kpss(df, value, order_col, keys, critical_values=True).drop("n")
     return join_on_keys(a, k, keys, "left") if keys else a.crossJoin(k)

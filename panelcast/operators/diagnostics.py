@@ -64,7 +64,7 @@ def seasonal_decompose(df: DataFrame, keys, date_col: str, value: str, period: i
 def jarque_bera(df: DataFrame, value: str, keys=()) -> DataFrame:
     """JB = n/6 (S^2 + K^2/4) from the biased moments, p = exp(-JB/2)."""
     keys = list(keys)
-    x = F.col(value).cast("double")
+    x = numeric(value)
     aggs = [F.count(x).alias("n"), F.skewness(x).alias("__s"), F.kurtosis(x).alias("__k")]
     out = df.groupBy(*keys).agg(*aggs) if keys else df.agg(*aggs)
     jb = F.col("n") / 6.0 * (F.col("__s") * F.col("__s") + F.col("__k") * F.col("__k") / 4.0)
@@ -162,8 +162,9 @@ def _kpss_p(stat):
 
 
 def kpss(df: DataFrame, value: str, order_col: str, keys=(), nlags: int | None = None,
-         min_rows: int = 10) -> DataFrame:
-    """KPSS level test per series (H3) on the non-null values in order.
+         min_rows: int = 10, critical_values: bool = False) -> DataFrame:
+    """KPSS level test per series (H3) on the values in order (null and NaN
+    left out); ``critical_values`` adds ``kpss_crit_10, _5, _2_5, _1``.
 
     ``nlags=None`` picks the lag per series with the Hobijn et al. rule; the
     Bartlett-weighted autocovariance sum for any per-series lag L is computed
@@ -173,7 +174,7 @@ def kpss(df: DataFrame, value: str, order_col: str, keys=(), nlags: int | None =
     import math
 
     keys = list(keys)
-    x = F.col(value).cast("double")
+    x = numeric(value)
     d = df.filter(x.isNotNull()).select(*keys, order_col, x.alias("__x"))
     d = d.withColumn("__t", F.row_number().over(_w(keys, order_col)))
     d = with_group_stat(d, keys, F.count(F.lit(1)).alias("__n"), F.avg("__x").alias("__mu"))
@@ -226,5 +227,6 @@ def kpss(df: DataFrame, value: str, order_col: str, keys=(), nlags: int | None =
     nd = F.col("n").cast("double")
     s2 = (F.col("__see") + 2 * F.col("__bart")) / nd
     stat = F.try_divide(F.col("__eta") / (nd * nd), s2)
+    crit = [F.lit(c).alias(f"kpss_crit_{name}") for c, name in zip(KPSS_CRIT, ("10", "5", "2_5", "1"))] if critical_values else []
     return r.select(*keys, F.col("n").cast("bigint").alias("n"), F.col("lags").cast("bigint").alias("kpss_lags"),
-                    stat.alias("kpss_stat"), _kpss_p(stat).alias("kpss_p"), (_kpss_p(stat) > 0.05).alias("kpss_stationary"))
+                    stat.alias("kpss_stat"), _kpss_p(stat).alias("kpss_p"), (_kpss_p(stat) > 0.05).alias("kpss_stationary"), *crit)

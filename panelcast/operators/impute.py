@@ -3,7 +3,7 @@
 Group statistics are computed with a keyed aggregate and attached with a join
 on the keys (C3); the aggregate pre-combines per partition, and AQE's skew
 join splits a hot key on the large side.  Fills along time (I5-I7) are the
-window operators of ``windows``.
+window operators of ``windows``.  NaN counts as null.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
+from panelcast.functions.numeric import numeric
 from panelcast.operators import windows as win
 from panelcast.operators.relational import with_group_stat
 
@@ -24,10 +25,10 @@ def _fill_with(df: DataFrame, cols, keys, stat_fn) -> DataFrame:
     cols = [c for c in cols if _is_numeric(df, c)]
     if not cols:
         return df
-    stats = [stat_fn(F.col(c).cast("double")).alias(f"__s_{i}") for i, c in enumerate(cols)]
+    stats = [stat_fn(numeric(c)).alias(f"__s_{i}") for i, c in enumerate(cols)]
     joined = with_group_stat(df, list(keys), *stats)
     idx = {c: i for i, c in enumerate(cols)}
-    out = [F.coalesce(F.col(c).cast("double"), F.col(f"__s_{idx[c]}")).alias(c) if c in idx else F.col(c)
+    out = [F.coalesce(numeric(c), F.col(f"__s_{idx[c]}")).alias(c) if c in idx else F.col(c)
            for c in df.columns]
     return joined.select(*out)
 
@@ -52,7 +53,7 @@ def median_fill(df: DataFrame, cols, keys=()) -> DataFrame:
     out = df
     for c in [c for c in cols if _is_numeric(df, c)]:
         out = attach_quantiles(out, c, [0.5], [], out="__medq")
-        out = out.withColumn(c, F.coalesce(F.col(c).cast("double"), F.col("__medq")[0])).drop("__medq")
+        out = out.withColumn(c, F.coalesce(numeric(c), F.col("__medq")[0])).drop("__medq")
     return out
 
 
@@ -64,7 +65,7 @@ def mode_fill(df: DataFrame, cols, keys=()) -> DataFrame:
         return _fill_with(df, cols, keys, lambda x: F.mode(x, deterministic=True))
     out = df
     for c in [c for c in cols if _is_numeric(df, c)]:
-        x = F.col(c).cast("double")
+        x = numeric(c)
         counts = df.filter(x.isNotNull()).groupBy(x.alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
         top = counts.orderBy(F.col("__c").desc(), F.col("__v").asc()).limit(1).select(F.col("__v").alias("__mode"))
         one = df.sparkSession.range(1).join(top, F.lit(True), "left").drop("id")   # exactly one row
@@ -99,10 +100,10 @@ def standard_scale(df: DataFrame, cols, keys=(), suffix: str = "_scaled") -> Dat
     zero std divides by 1."""
     stats = []
     for i, c in enumerate(cols):
-        x = F.col(c).cast("double")
+        x = numeric(c)
         stats += [F.avg(x).alias(f"__m{i}"), F.stddev_pop(x).alias(f"__s{i}")]
     joined = with_group_stat(df, list(keys), *stats)
-    scaled = [((F.col(c).cast("double") - F.col(f"__m{i}")) /
+    scaled = [((numeric(c) - F.col(f"__m{i}")) /
                F.coalesce(F.nullif(F.col(f"__s{i}"), F.lit(0.0)), F.lit(1.0))).alias(f"{c}{suffix}")
               for i, c in enumerate(cols)]
     return joined.select(*[F.col(c) for c in df.columns], *scaled)

@@ -1,8 +1,10 @@
 """One-dimensional isolation forest (J4), Liu, Ting & Zhou (2008).
 
-Per series: values are mean-filled; every tree draws its own uniform sample
-of ``min(sample_size, n)`` rows, by the rank of a hash of (seed, tree, row)
-after a Bernoulli pre-filter, so no series is sorted whole.  Each tree is
+Per series: values are mean-filled (NaN counts as null); every tree draws its
+own uniform sample of ``min(sample_size, n)`` rows, by the rank of a hash of
+(seed, tree, key, value, occurrence) after a Bernoulli pre-filter, so no series
+is sorted whole.  Rows with the same value are the same to a tree: they are
+counted, and their occurrences numbered in pieces of ``PIECE``.  Each tree is
 grown on its own small sample (a per-(key, tree) Python helper on <= 256
 values).  A 1-D tree
 is a step function of the value, so the forest's mean path length is one
@@ -10,8 +12,9 @@ step function per series: the per-tree jumps at every split point are
 summed, and every row is scored with a running sum over the union of its
 series' split points and values (sorted once).  The anomaly score is
 ``2^(-E[h]/c(psi))``; rows above the series' ``1 - contamination`` score
-quantile are flagged.  Randomness is seeded, so results are deterministic
-(they do not reproduce another library's random stream).
+quantile are flagged.  Results depend on the seed and the values, not on
+partitions or retried tasks (they do not reproduce another library's random
+stream).
 """
 
 from __future__ import annotations
@@ -25,7 +28,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from panelcast.functions.numeric import numeric
 from panelcast.operators.relational import join_on_keys, with_group_stat
+from panelcast.session import ship_package
+
+PIECE = 10_000          # occurrences of one value that a task numbers at a time
 
 EULER = 0.5772156649015329
 
@@ -63,23 +70,26 @@ def _grow(values: np.ndarray, rng: np.random.Generator, limit: int):
 
 def isolation_forest_scores(df: DataFrame, col: str, keys=(), n_trees: int = 100, sample_size: int = 256,
                             seed: int = 42, out: str = "anomaly_score", global_scoring: str = "lookup") -> DataFrame:
+    ship_package(df.sparkSession)
     keys = list(keys)
-    x = F.col(col).cast("double")
-    # a row's identity, so that equal rows are drawn independently
-    own = df.withColumn("__id", F.monotonically_increasing_id())
-    base = with_group_stat(own, keys, F.avg(x).alias("__mu"), F.count(F.lit(1)).alias("__n"))
+    x = numeric(col)
+    base = with_group_stat(df, keys, F.avg(x).alias("__mu"), F.count(F.lit(1)).alias("__n"))
     base = base.withColumn("__xf", F.coalesce(x, F.col("__mu")))
 
     def draw(tree):
-        h = F.xxhash64(F.lit(seed), tree, F.col("__id"))
+        h = F.xxhash64(F.lit(seed), tree, *keys, F.col("__xf"), F.col("__occ"))
         return F.struct(tree.alias("tree"), (F.pmod(h, F.lit(1 << 52)).cast("double") / float(1 << 52)).alias("u"))
 
     # twice the sample and more is let through: too few of a sample of 256 is a matter of 11 standard deviations
     share = F.least(F.lit(1.0), 2.0 * sample_size / F.col("__n") + 1e-9)
     drawn = F.filter(F.transform(F.sequence(F.lit(0), F.lit(n_trees - 1)), draw), lambda d: d["u"] < share)
-    cand = base.select(*keys, "__xf", "__n", F.explode(drawn).alias("__d")).select(
+    counted = base.groupBy(*keys, "__xf").agg(F.first("__n").alias("__n"), F.count(F.lit(1)).alias("__c"))
+    pieces = counted.select("*", F.explode(F.sequence(F.lit(0), F.floor((F.col("__c") - 1) / PIECE))).alias("__piece")).repartition(*keys, "__xf", "__piece")
+    from_ = F.col("__piece") * PIECE
+    occ = pieces.select(*keys, "__xf", "__n", F.explode(F.sequence(from_, F.least(F.col("__c"), from_ + PIECE) - 1)).alias("__occ"))
+    cand = occ.select(*keys, "__xf", "__n", F.explode(drawn).alias("__d")).select(
         *keys, "__xf", "__n", F.col("__d.tree").alias("__tree"), F.col("__d.u").alias("__u"))
-    wk = Window.partitionBy(*keys, "__tree").orderBy("__u")
+    wk = Window.partitionBy(*keys, "__tree").orderBy("__u", "__xf")
     cand = cand.withColumn("__r", F.row_number().over(wk)).filter(F.col("__r") <= sample_size)
     per_tree = cand.withColumn("__psi", F.least(F.col("__n"), F.lit(sample_size)))
 
@@ -126,7 +136,12 @@ def isolation_forest_scores(df: DataFrame, col: str, keys=(), n_trees: int = 100
     cpsi = F.when(F.col("__psi") <= 2, F.lit(1.0)).otherwise(
         2.0 * (F.log(F.col("__psi") - 1.0) + EULER) - 2.0 * (F.col("__psi") - 1.0) / F.col("__psi"))
     score = F.pow(F.lit(2.0), -(F.col("__h0") + F.col("__cum")) / cpsi)
-    return scored.select("__row.*", score.alias(out))
+    return scored.select("__row.*", _settled(score).alias(out))
+
+
+def _settled(score):
+    """Without the last digits, which follow the order of a sum over trees."""
+    return F.round(score, 12)
 
 
 def _score_global(base: DataFrame, steps: DataFrame, bases: DataFrame, n_trees: int, out: str,
@@ -147,6 +162,8 @@ def _score_global(base: DataFrame, steps: DataFrame, bases: DataFrame, n_trees:
     for r in jumps:
         cum.append(cum[-1] + float(r["__d"]))
     m = len(b)
+    if not m:                   # no row, or all of one value
+        return base.select(*cols, F.lit(round(2.0 ** -(h0 / (1.0 if psi <= 2 else c_factor(psi))), 12)).alias(out))
     # bucket k of -x  <->  exactly m - k split points lie strictly below x
     splits = [float("-inf")] + [-v for v in reversed(b)] + [float("inf")]
     lookup = spark.createDataFrame([(k, h0 + cum[m - k]) for k in range(m + 1)], "__k INT, __eh DOUBLE")
@@ -156,7 +173,7 @@ def _score_global(base: DataFrame, steps: DataFrame, bases: DataFrame, n_trees:
     scored = bucket.join(F.broadcast(lookup), "__k", "left")
     cpsi = 1.0 if psi <= 2 else c_factor(psi)
     score = F.pow(F.lit(2.0), -F.col("__eh") / cpsi)
-    return scored.select(*cols, score.alias(out))
+    return scored.select(*cols, _settled(score).alias(out))
 
 
 def isolation_forest_outliers(df: DataFrame, col: str, keys=(), contamination: float = 0.1,

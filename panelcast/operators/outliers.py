@@ -1,7 +1,7 @@
 """Outlier detection.
 
 Each detector returns the input rows with a boolean mask column (null
-values are never flagged) plus the per-group bounds it used.  Group
+values and NaN are never flagged) plus the per-group bounds it used.  Group
 statistics are keyed aggregates joined back on the keys (C3).
 """
 
@@ -10,14 +10,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.functions.numeric import round_dec
+from panelcast.functions.numeric import numeric, round_dec
 from panelcast.operators.quantiles import attach_quantiles
 from panelcast.operators.relational import with_group_stat
 
 
 def iqr_outliers(df: DataFrame, col: str, keys=(), k: float = 1.5, out: str = "is_outlier") -> DataFrame:
     """IQR rule (J1): x < Q1 - k*IQR or x > Q3 + k*IQR (strict)."""
-    x = F.col(col).cast("double")
+    x = numeric(col)
     j = attach_quantiles(df, x, [0.25, 0.75], list(keys))
     q1, q3 = F.col("__q")[0], F.col("__q")[1]
     lo, hi = q1 - k * (q3 - q1), q3 + k * (q3 - q1)
@@ -30,7 +30,7 @@ def zscore_outliers(df: DataFrame, col: str, keys=(), threshold: float = 3.0, ou
     """Z-score rule (J2): |x - mean| / population std > threshold."""
     if not 2.0 <= threshold <= 4.0:
         raise ValueError("threshold must be within [2.0, 4.0]")
-    x = F.col(col).cast("double")
+    x = numeric(col)
     j = with_group_stat(df, list(keys), F.avg(x).alias("__m"), F.stddev_pop(x).alias("__s"))
     z = F.abs(x - F.col("__m")) / F.nullif(F.col("__s"), F.lit(0.0))
     return j.withColumn("zscore", z).withColumn(out, F.coalesce(z > threshold, F.lit(False))).drop("__m", "__s")
@@ -43,7 +43,7 @@ def modified_zscore_outliers(df: DataFrame, col: str, keys=(), threshold: float
     if not 2.0 <= threshold <= 4.0:
         raise ValueError("threshold must be within [2.0, 4.0]")
     keys = list(keys)
-    x = F.col(col).cast("double")
+    x = numeric(col)
     j = attach_quantiles(df, x, [0.5], keys, out="__medq").withColumn("__med", F.col("__medq")[0]).drop("__medq")
     j = attach_quantiles(j, F.abs(x - F.col("__med")), [0.5], keys, out="__madq") \
         .withColumn("__mad", F.col("__madq")[0]).drop("__madq")
@@ -61,7 +61,7 @@ def _flag_keyed_fused(df: DataFrame, col: str, keys, methods) -> DataFrame:
     """IQR, z-score and modified z-score masks from two keyed aggregate
     passes (quartiles + median + mean + population std, then MAD) instead of
     one pass per method; same formulas as the single-method operators."""
-    x = F.col(col).cast("double")
+    x = numeric(col)
     j = with_group_stat(df, keys, F.percentile(x, [0.25, 0.5, 0.75]).alias("__q"), F.avg(x).alias("__m"),
                         F.stddev_pop(x).alias("__s"))
     j = j.withColumn("__med", F.col("__q")[1])

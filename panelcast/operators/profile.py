@@ -119,7 +119,7 @@ def describe(df: DataFrame, cols, keys=(), approx: bool = False) -> DataFrame:
     keyed = bool(keys) or approx
     aggs = []
     for i, c in enumerate(cols):
-        x = F.col(c).cast("double")
+        x = numeric(c)
         aggs += [F.count(x).alias(f"c{i}"), F.avg(x).alias(f"m{i}"), F.stddev_samp(x).alias(f"s{i}"),
                  F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
         if keyed:
@@ -141,8 +141,8 @@ def describe(df: DataFrame, cols, keys=(), approx: bool = False) -> DataFrame:
 
 def moments(df: DataFrame, col: str, keys=(), approx: bool = False) -> DataFrame:
     """Extended moments (D5): mean, median, std, variance, skewness and
-    excess kurtosis (biased, as SciPy's defaults)."""
-    x = F.col(col).cast("double")
+    excess kurtosis (biased, as SciPy's defaults); NaN counts as null."""
+    x = numeric(col)
     keyed = bool(keys) or approx
     aggs = [F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.var_samp(x).alias("variance"),
             F.skewness(x).alias("skewness"), F.kurtosis(x).alias("kurtosis")]
@@ -157,7 +157,7 @@ PCTS = [5, 10, 25, 50, 75, 90, 95]
 
 def percentile_set(df: DataFrame, col: str, keys=(), approx: bool = False) -> DataFrame:
     """Percentiles 5, 10, 25, 50, 75, 90, 95 (D6), linear interpolation."""
-    x = F.col(col).cast("double")
+    x = numeric(col)
     probs = [p / 100 for p in PCTS]
     if keys or approx:
         out = _grouped(df, list(keys), quantiles(x, probs, approx).alias("__q"))
@@ -174,7 +174,7 @@ def correlation_long(df: DataFrame, cols) -> DataFrame:
     One aggregate computes the upper triangle; the mirror and the diagonal
     are added on the tiny result."""
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    wide = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"r{i}")
+    wide = df.agg(*[F.corr(numeric(a), numeric(b)).alias(f"r{i}")
                     for i, (a, b) in enumerate(pairs)])
     structs = []
     for i, (a, b) in enumerate(pairs):
@@ -199,7 +199,7 @@ def strongest_pairs(corr_long: DataFrame, cols, n: int = 5) -> DataFrame:
 
 def ols_trend(df: DataFrame, y: str, x: str, keys=()) -> DataFrame:
     """OLS trend line y ~ x (D11): slope, intercept, R^2."""
-    yy, xx = F.col(y).cast("double"), F.col(x).cast("double")
+    yy, xx = numeric(y), numeric(x)
     return _grouped(df, list(keys), F.regr_slope(yy, xx).alias("slope"),
                     F.regr_intercept(yy, xx).alias("intercept"), F.regr_r2(yy, xx).alias("r2"),
                     F.regr_count(yy, xx).cast("bigint").alias("n"))
@@ -227,7 +227,7 @@ def box_summary(df: DataFrame, col: str, keys=(), approx: bool = False) -> DataF
     """Box summary (D13): quartiles, 1.5 IQR fences, whiskers at the most
     extreme values inside the fences, number of points outside."""
     keys = list(keys)
-    x = F.col(col).cast("double")
+    x = numeric(col)
     if keys or approx:
         q = _grouped(df, keys, quantiles(x, [0.25, 0.5, 0.75], approx).alias("__q"))
     else:
@@ -255,7 +255,7 @@ def kde_grid(df: DataFrame, col: str, keys=(), points: int = 100, bins: int | No
     bin's count placed at its centre), which bounds the work per series by
     ``N * points`` however many distinct values there are (approximate)."""
     keys = list(keys)
-    x = F.col(col).cast("double")
+    x = numeric(col)
     st = _grouped(df.filter(x.isNotNull()), keys, F.min(x).alias("__lo"), F.max(x).alias("__hi"),
                   F.stddev_samp(x).alias("__sd"), F.count(x).alias("__n"))
     if bins:
@@ -285,7 +285,7 @@ def qq_points(df: DataFrame, col: str, keys=()) -> DataFrame:
     from panelcast.functions.normal import norm_ppf
 
     keys = list(keys)
-    x = F.col(col).cast("double")
+    x = numeric(col)
     if not keys:
         # one global ranking: range-partitioned sort + partition offsets
         from panelcast.plans.validation import global_row_index

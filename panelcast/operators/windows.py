@@ -79,8 +79,15 @@ def bfill(col: str, keys, order_col: str) -> Column:
     return F.last(F.col(col), ignorenulls=True).over(wspec(keys, order_col, desc=True).rowsBetween(UNB, 0))
 
 
+def _no_nan(df: DataFrame, cols) -> DataFrame:
+    """NaN to null in the ``cols`` that can hold it; the others are not touched."""
+    floats = [c for c, t in df.dtypes if c in set(cols) and t in ("double", "float")]
+    return df.select(*[F.when(~F.isnan(c), F.col(c)).alias(c) if c in floats else F.col(c) for c in df.columns]) if floats else df
+
+
 def fill_columns(df: DataFrame, keys, order_col: str, cols, method: str) -> DataFrame:
     """Forward (E10) / backward (E11) fill of ``cols`` within each series."""
+    df = _no_nan(df, cols)
     if method in ("ffill", "pad"):
         return _add(df, [(c, ffill(c, keys, order_col)) for c in cols])
     if method in ("bfill", "backfill"):
@@ -99,6 +106,7 @@ def interpolate_linear(df: DataFrame, keys, order_col: str, col: str, out: str |
     between the neighbouring values, leading nulls stay null, trailing nulls
     take the last value."""
     out = out or col
+    df = _no_nan(df, [col])
     w = wspec(keys, order_col)
     rn = F.row_number().over(w)
     step1 = df.withColumn("__rn", rn)
@@ -445,9 +453,9 @@ def interaction_features(df: DataFrame, keys, order_col: str, target: str, lags)
     need = [k for k in lags if f"{target}_lag_{k}" not in df.columns]
     base = lag_features(df, keys, order_col, target, need) if need else df
     named = []
-    t = F.col(target).cast("double")
+    t = numeric(target)
     for k in lags:
-        lg = F.col(f"{target}_lag_{k}").cast("double")
+        lg = numeric(f"{target}_lag_{k}")
         named.append((f"{target}_diff_{k}", t - lg))
         named.append((f"{target}_ratio_{k}", t / F.nullif(lg, F.lit(0.0))))
     out = _add(base, named)
@@ -458,7 +466,7 @@ def difference_features(df: DataFrame, keys, order_col: str, target: str, period
     """``{t}_diff_{p}`` = x - x[-p] (E8) and ``{t}_pct_change_{p}`` on the
     forward-filled series with a zero base giving null (E9, X4)."""
     w = wspec(keys, order_col)
-    x = F.col(target).cast("double")
+    x = numeric(target)
     filled = df.withColumn("__ff", F.last(x, True).over(w.rowsBetween(UNB, 0)))
     named = []
     for p in periods:

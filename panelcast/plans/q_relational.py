@@ -195,18 +195,41 @@ def stream_ingest(spark, sf):
 
 
 @register("forecast_csv_export", with_sql(DAILY_SALES_SQL, FUTURE_SQL) + """
-SELECT store, item, COUNT(*) AS n_rows, MIN(date) AS first_date, MAX(date) AS last_date FROM future GROUP BY store, item""")
+SELECT store, item, COUNT(*) AS n_rows, MIN(date) AS first_date, MAX(date) AS last_date, COUNT(*) AS n_whole,
+  store || '_' || item || '_' || strftime(MIN(date), '%Y%m%d') || '_' || strftime(MAX(date), '%Y%m%d') AS name
+FROM future GROUP BY store, item""")
 def forecast_csv_export(spark, sf):
-    """Future rows exported as CSV partitioned by (store, item), read back
-    and summarised per file partition (first and last date carry the range)."""
-    ds = daily_sales(spark, sf)
-    fut = rel.future_spine(ds, KEYS, "date", 90).withColumn("forecast", F.lit(0).cast("bigint"))
+    """The model's forecast exported as CSV, one folder per series named
+    by store, item, first and last date, read back and summarised."""
+    from panelcast.plans.q_train import forecast_90d
+
     path = io.scratch_table_path(spark, "forecast_export")
-    io.write_csv(fut, path, partition_by=["store", "item"])
-    back = spark.read.option("header", True).csv(path)
-    return back.groupBy(F.col("store").cast("int").alias("store"), F.col("item")).agg(
+    io.write_forecast_csv(forecast_90d(spark, sf), path, KEYS, "date")
+    back = spark.read.option("header", True).option("inferSchema", False).csv(path)
+    return back.groupBy(F.col("store").cast("int").alias("store"), F.col("item"), F.col("name")).agg(
         F.count(F.lit(1)).alias("n_rows"), F.min(F.to_date("date")).alias("first_date"),
-        F.max(F.to_date("date")).alias("last_date"))
+        F.max(F.to_date("date")).alias("last_date"), F.count_if(F.col("forecast").rlike("^[0-9]+$")).alias("n_whole"))
+
+
+_EXPORT_LAGS = [7, 28]
+
+
+@register("feature_csv_export", DS + f"""SELECT store, item, COUNT(*) AS n_rows, {", ".join(
+    f"COUNT(l{k}) AS n_lag_{k}, CAST(SUM(l{k}) AS BIGINT) AS sum_lag_{k}" for k in _EXPORT_LAGS)} FROM (
+  SELECT store, item, {", ".join(f"lag(sales, {k}) OVER (PARTITION BY store, item ORDER BY date) AS l{k}" for k in _EXPORT_LAGS)}
+  FROM daily_sales) GROUP BY store, item""")
+def feature_csv_export(spark, sf):
+    """A5: the feature frame exported as CSV, read back and summed up by series."""
+    from panelcast.plans.features import build_features
+    from panelcast.spec import FeatureConfig, SeriesSpec
+
+    path = io.scratch_table_path(spark, "feature_export")
+    io.write_csv(build_features(daily_sales(spark, sf), SeriesSpec(), FeatureConfig(lags=_EXPORT_LAGS, rolling_windows=[7])), path)
+    back = spark.read.option("header", True).csv(path)
+    return back.groupBy(F.col("store").cast("int").alias("store"), "item").agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        *[a for k in _EXPORT_LAGS for a in (F.count(f"sales_lag_{k}").alias(f"n_lag_{k}"),
+                                            F.sum(F.col(f"sales_lag_{k}").cast("bigint")).alias(f"sum_lag_{k}"))])
 
 
 @register("grain_check", """SELECT CAST(n_regionkey AS INTEGER) AS store, p_type AS item,

@@ -224,7 +224,7 @@ def adf_test(spark, sf):
     moments; rows only (checked against a NumPy brute force in the tests)."""
     from panelcast.operators.adf import adf
 
-    return _r(adf(daily_sales(spark, sf, shared=True), "sales", "date", KEYS))
+    return _r(adf(daily_sales(spark, sf, shared=True), "sales", "date", KEYS, critical_values=True))
 
 
 @register("dickey_fuller_lag0", DS + f""", c AS (SELECT store, item, CAST(sales AS DOUBLE) AS x,

@@ -120,6 +120,18 @@ def write_csv(df: DataFrame, path: str, partition_by=None) -> None:
     w.csv(path)
 
 
+def write_forecast_csv(df: DataFrame, path: str, keys, date_col: str) -> None:
+    """Forecast export (A6): one folder per series, whose ``name`` carries the
+    keys, the first and the last date."""
+    from panelcast.operators.relational import join_on_keys
+
+    span = df.groupBy(*keys).agg(F.min(date_col).alias("__lo"), F.max(date_col).alias("__hi"))
+    day = lambda c: F.date_format(c, "yyyyMMdd")
+    name = F.concat_ws("_", *[F.col(k).cast("string") for k in keys], day("__lo"), day("__hi"))
+    named = join_on_keys(df, span, list(keys), "left").withColumn("name", name).drop("__lo", "__hi")
+    write_csv(named, path, partition_by=["name"])
+
+
 def write_table(df: DataFrame, path: str, partition_by=None, mode: str = "overwrite") -> None:
     """Parquet table sink (overwrite of the training table after ingest, X13)."""
     w = df.write.mode(mode)
