@@ -45,17 +45,75 @@ def reach_of(cfg: FeatureConfig) -> int | None:
     return max(1, lookback_of(lags, cfg.rolling_windows if cfg.create_rolling else []))
 
 
+#: Rolling statistics that :func:`future_rows` works out from a series' last values.
+TAIL_AGGS = ("mean", "std", "min", "max")
+
+
+def _squares_about(values, mean):
+    return F.aggregate(F.transform(values, lambda v: (v - mean) * (v - mean)), F.lit(0.0), lambda s, v: s + v)
+
+
+def future_rows(history: DataFrame, spec: SeriesSpec, cfg: FeatureConfig, horizon: int) -> DataFrame | None:
+    """The prediction features of lags and shifted rolling windows from one
+    row per series, its last values in order: no window runs over history.
+
+    A future row sees the history only (targets of future rows are null): a
+    lag is one of the last values, a frame a suffix of them.  None where the
+    configuration asks for more."""
+    reach, windows = reach_of(cfg), cfg.rolling_windows if cfg.create_rolling else []
+    aggs = list(cfg.rolling_aggs)
+    if reach is None or cfg.create_interactions or spec.tiebreak or (windows and not set(aggs) <= set(TAIL_AGGS)):
+        return None
+    keys, d, t = list(spec.keys), spec.order_col, spec.value_col
+    floats = history.schema[t].dataType.simpleString() in ("double", "float")
+    held = F.when(~F.isnan(t), F.col(t)) if floats else F.col(t)
+    newest = win.wspec(keys, d, desc=True)
+    tail = (history.select(*keys, F.col(d).alias("__d"), held.alias("__t"), F.row_number().over(newest).alias("__back"))
+            .where(F.col("__back") <= reach))                  # Spark cuts a series to that before the shuffle
+    last = tail.groupBy(*keys).agg(F.max("__d").alias("__end"), F.sort_array(F.collect_list(F.struct(-F.col("__back"), "__t")))["__t"].alias("__v"))
+    rows = last.select(*keys, "__end", "__v", F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("__h"))
+    size, h = F.size("__v"), F.col("__h")
+    lags = [F.get("__v", size + h - 1 - k).alias(f"{t}_lag_{k}") if k >= 1 else F.lit(None).alias(f"{t}_lag_{k}")
+            for k in (cfg.lags if cfg.create_lags else [])]
+    # F.get counts from 0 and gives null outside; places from size on are future rows
+    out = rows.select(*keys, F.date_add("__end", h).alias(d), F.lit(None).cast(history.schema[t].dataType).alias(t), "__v", "__h", *lags)
+    for n in windows:
+        seen = F.filter(F.slice("__v", F.greatest(F.lit(1), size + h - n), F.greatest(F.lit(0), F.least(size, n - h + 1))), lambda v: v.isNotNull())
+        out = out.withColumn(f"__w{n}", F.transform(seen, lambda v: v.cast("double")))
+    means = [F.try_divide(F.aggregate(f"__w{n}", F.lit(0.0), lambda s, v: s + v), F.size(f"__w{n}")).alias(f"__m{n}") for n in windows]
+    out = out.select("*", *means)
+    named = []
+    for n in windows:
+        w, m, count = F.col(f"__w{n}"), F.col(f"__m{n}"), F.size(f"__w{n}")
+        ssd = _squares_about(w, m)
+        stat = {"mean": m, "min": F.array_min(w), "max": F.array_max(w), "std": F.when(count >= 2, F.sqrt(ssd / (count - 1)))}
+        named += [F.when(count >= max(1, n // 2), stat[a]).alias(f"{t}_roll_{a}_{n}d") for a in aggs]
+    drop = ["__v", "__h", *[f"__w{n}" for n in windows], *[f"__m{n}" for n in windows]]
+    out = out.select("*", *named).drop(*drop)
+    if not cfg.date_features:
+        return out
+    from panelcast.functions import calendar as cal
+
+    return cal.date_features(out, d, cyclical_features=cfg.cyclical, holidays=cfg.holidays, business=cfg.business)
+
+
 def prediction_features(history: DataFrame, spec: SeriesSpec, cfg: FeatureConfig, horizon: int = 90,
                         spine: DataFrame | None = None) -> DataFrame:
-    """History + future rows (target null) -> full feature build -> future
-    rows only (K2), for every series at once.  With an explicit ``spine``
-    the future rows are those (keys, date) pairs (semi join, B13); otherwise
-    the single-pass extension above is used."""
+    """History + future rows (target null) -> feature build -> future rows
+    only (K2), for every series at once.  With an explicit ``spine`` the
+    future rows are those (keys, date) pairs (semi join, B13); otherwise
+    lags and rolling windows come from each series' last values
+    (:func:`future_rows`), other features from the whole build."""
     keys, d, t = list(spec.keys), spec.order_col, spec.value_col
+    if not 1 <= horizon <= 365:
+        raise ValueError("horizon must be between 1 and 365 days")
     if spine is not None:
         fut = spine.select(*keys, d).withColumn(t, F.lit(None).cast(history.schema[t].dataType))
         both = rel.union_history_future(history, fut, keys + [d, t])
         return rel.semi_join_keys_dates(build_features(both, spec, cfg), spine, keys, d)
+    direct = future_rows(history, spec, cfg, horizon)
+    if direct is not None:
+        return direct
     both = extend_with_future(history, spec, horizon, reach_of(cfg))
     return build_features(both, spec, cfg).filter("__is_future").drop("__is_future")
 

@@ -100,3 +100,34 @@ print("rows", adf(df, "v", "t").count(), isolation_forest_scores(df, "v").count(
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     out = subprocess.run([sys.executable, "-c", code, str(Path(__file__).parent.parent)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
     assert "rows 1 40" in out.stdout, out.stderr[-2000:]
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 50, 30_000])
+def test_bracketed_quantiles(spark, n):
+    from panelcast.operators.quantiles import multi_column_quantiles
+
+    rng = np.random.default_rng(n)
+    probs = [0.0, 0.05, 0.25, 0.5, 0.751, 0.99, 1.0]
+    a, b = rng.normal(size=n), rng.integers(0, 3, n).astype(float)
+    rows = [(float(x), float(y), None) for x, y in zip(a, b)] + [(None, float("nan"), None)] * 7
+    got = {r.feature: r["__q"] for r in multi_column_quantiles(spark.createDataFrame(rows, "a double, b double, c double"), ["a", "b", "c"], probs).collect()}
+    assert np.allclose(got["a"], np.quantile(a, probs), atol=1e-12) and np.allclose(got["b"], np.quantile(b, probs), atol=1e-12)
+    assert got["c"] == [None] * len(probs)
+
+
+def test_prediction_features_equal_the_whole_build(spark):
+    import datetime as dt
+
+    from panelcast.plans import forecast as fc
+    from panelcast.plans.features import build_features
+    from panelcast.spec import FeatureConfig, SeriesSpec
+
+    rng = np.random.default_rng(3)
+    rows = [(k, dt.date(2020, 1, 1) + dt.timedelta(days=i * 2), None if rng.random() < 0.1 else float(rng.integers(0, 50)))
+            for k, n in (("a", 60), ("b", 9), ("c", 1)) for i in range(n)]
+    df = spark.createDataFrame(rows, "k string, date date, v double")
+    spec = SeriesSpec(("k",), "date", "v")
+    cfg = FeatureConfig(lags=[1, 5, 20, 64], rolling_windows=[3, 10, 40], categorical=[])
+    direct = fc.prediction_features(df, spec, cfg, 30)
+    whole = build_features(fc.extend_with_future(df, spec, 30), spec, cfg).filter("__is_future").select(*direct.columns)
+    assert values(direct) == values(whole) and direct.count() == 90
