@@ -66,6 +66,7 @@ class Pieces:
         self.touching = {a + b for p in self.id_of for a, b in zip(p, p[1:])}     # neighbours in some piece
         self.follows: dict[tuple[int, int], bool] = {}
         self.alone: dict[int, bool] = {}
+        self.made_of: dict[str, tuple[str, str]] = {}
         self.memo: dict[str, bytes] = {}
         plain = {i: p.replace(SPACE, " ").encode() for p, i in self.id_of.items()}
         back = {i: b for b, i in self.bytes_ids.items()}
@@ -90,8 +91,42 @@ class Pieces:
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
+    def _halves(self, part: str) -> tuple[str, str]:
+        """The two parts that a piece's own encoding merges last."""
+        known = self.made_of.get(part)
+        if known is None:
+            parts, rank = list(part), self.rank
+            while len(parts) > 2:
+                best, at = min((rank.get(a + b, np.inf), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
+                if best == np.inf:
+                    break
+                parts[at:at + 2] = [parts[at] + parts[at + 1]]
+            known = self.made_of[part] = (parts[0], parts[-1])
+        return known
+
     def _may_follow(self, a: int, b: int) -> bool:
-        known = self._merge(self.text[a] + self.text[b]) == [self.text[a], self.text[b]]
+        """Whether the text of ``a`` then ``b`` is encoded as ``a, b``.
+
+        Merging runs by rank, a part's own parts ranking before it, so the two
+        histories are walked back together: at each time one part of ``a``
+        touches one of ``b`` across the border.  The pair fails if those two
+        merge before either is taken up by its own next merge (of equal ranks
+        the left one comes first)."""
+        known = self._stands_alone(b)
+        x, y, rank = self.text[a], self.text[b], self.rank
+        x_until = y_until = np.inf
+        while known:
+            meet = rank.get(x + y, np.inf)
+            if meet < x_until and meet <= y_until:
+                known = False
+                break
+            x_born, y_born = rank[x] if len(x) > 1 else -np.inf, rank[y] if len(y) > 1 else -np.inf
+            if x_born == y_born == -np.inf:
+                break
+            if x_born > y_born:
+                x, x_until = self._halves(x)[1], x_born
+            else:
+                y, y_until = self._halves(y)[0], y_born
         if len(self.follows) < PAIRS:
             self.follows[a, b] = known
         return known
