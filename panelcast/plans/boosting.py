@@ -425,7 +425,8 @@ def histograms(blocks, now: Progress, asked: list[tuple[int, int]], feats: np.nd
 
 
 def _gain(g, n, l1, l2):
-    return np.square(np.maximum(np.abs(g) - l1, 0.0)) / (n + l2)
+    with np.errstate(invalid="ignore"):          # no rows and no penalty: never allowed as a side
+        return np.square(np.maximum(np.abs(g) - l1, 0.0)) / (n + l2)
 
 
 def best_splits(hist: np.ndarray, feats: np.ndarray, offsets: np.ndarray, is_cat: np.ndarray, params: BoostParams) -> list:
@@ -673,6 +674,10 @@ class _Trainer:
                 reach(end)
         return order, unknown if len(order) + 1 < self.params.leaves else []
 
+    def results(self) -> list[tuple]:
+        """Per model: fold, base, trees, errors."""
+        return list(zip(self.folds, self.base, self.trees, self.errors))
+
     def run_all(self) -> None:
         everyone = list(range(len(self.folds)))
         nothing: list[Tree | None] = [None] * len(self.folds)
@@ -694,18 +699,19 @@ def _add(a, b):
     return a + b
 
 
-def _one_task_each(rdd: RDD, bins: Binning, folds: list[int], params: BoostParams) -> list[tuple]:
-    """A table whose blocks are one task's: the models do not need each other,
-    so each goes through the same loop in a task of its own."""
+def one_task_each(rdd: RDD, bins: Binning, jobs: list[tuple[list[int], BoostParams]]) -> list[tuple]:
+    """A table whose blocks are one task's: models do not need each other, so
+    each (folds, settings) goes through the same loop in a task of its own."""
 
     def train(given):
-        fold, blocks = given
-        trainer = _Trainer(_Here(blocks), bins, [fold], params)
+        k, blocks = given
+        trainer = _Trainer(_Here(list(blocks)), bins, *jobs[k])
         trainer.run_all()
-        return fold, trainer.base[0], trainer.trees[0], trainer.errors[0]
+        return k, trainer.results()
 
-    return (rdd.flatMap(lambda block: [(f, block) for f in folds]).groupByKey(len(folds)).mapValues(list)
-            .partitionBy(len(folds), lambda f: folds.index(f)).map(train).collect())
+    n = len(jobs)
+    dealt = rdd.flatMap(lambda block: [(k, block) for k in range(n)]).groupByKey(n, lambda k: k)
+    return [r for _, found in sorted(dealt.map(train).collect(), key=lambda x: x[0]) for r in found]
 
 
 def best_round(errors: list[float], patience: int) -> tuple[int, bool]:
@@ -739,7 +745,7 @@ def boost(df: DataFrame, features: list[str], categorical: list[str], target: st
     wanted = [*(int(f) for f in folds if f), *([0] if whole else [])]
     rdd, tasks = cached_blocks(spark, blocks, len(features))
     if tasks == 1:
-        trained = _one_task_each(rdd, bins, wanted, params)
+        trained = one_task_each(rdd, bins, [([f], params) for f in wanted])
     else:
         trainer = _Trainer(_Spread(rdd, tasks), bins, wanted, params)
         try:
@@ -748,7 +754,7 @@ def boost(df: DataFrame, features: list[str], categorical: list[str], target: st
             rdd.unpersist()
             for kept in trainer.older:
                 kept.destroy()
-        trained = list(zip(trainer.folds, trainer.base, trainer.trees, trainer.errors))
+        trained = trainer.results()
     out = {}
     for f, base, trees, errors in trained:
         keep = best_round(errors[1:], params.patience)[0] if f else len(trees)

@@ -5,13 +5,14 @@ plain versions."""
 
 from __future__ import annotations
 
-from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression
 from pyspark.sql import functions as F
 
 from panelcast.operators import windows as win
 from panelcast.plans import forecast as fc
 from panelcast.plans import training as tr
 from panelcast.plans.catalog import KEYS, float_cols, register, round_cols
+from panelcast.plans.sqlgen import r6
+from panelcast.session import stored
 from panelcast.sources import models as reg
 from panelcast.sources.io import scratch_table_path
 from panelcast.sources.tables import DAILY_SALES_SQL, daily_sales, with_sql
@@ -155,11 +156,9 @@ def searched(spark, sf):
     key = (_session_key(spark), sf)
     if key not in _SEARCHED:
         f = tr.materialize(spark, _imp_frame(spark, sf).na.drop(subset=IMP_FEATURES), "search_input")
-        grids = {"linear": {"regParam": [0.0, 0.1, 1.0], "elasticNetParam": [0.0, 0.5]},
-                 "tree": {"maxDepth": [3, 5, 8], "minInstancesPerNode": [1, 20]}}
-        models = {"linear": LinearRegression(featuresCol="features", labelCol="sales"),
-                  "tree": DecisionTreeRegressor(featuresCol="features", labelCol="sales", seed=42)}
-        results, cv = tr.random_search(spark, f, IMP_FEATURES, "sales", models, grids, ["date", "store", "item"])
+        grids = {"linear": {"reg": [0.0, 0.01, 0.1, 0.3, 1.0, 3.0], "l1_share": [0.0, 0.25, 0.5, 0.75, 1.0]},
+                 "tree": {"leaves": [4, 8, 16, 31, 64], "min_rows": [1, 5, 20, 50, 100]}}
+        results, cv = tr.random_search(spark, f, IMP_FEATURES, "sales", {"linear": "elastic_net", "tree": "tree"}, grids, ["date", "store", "item"])
         _SEARCHED[key] = (results, cv, f)
     return _SEARCHED[key]
 
@@ -172,6 +171,36 @@ def random_search_cv(spark, sf):
     return _r(cv)
 
 
+_LINEAR_SQL = with_sql(DAILY_SALES_SQL) + f""",
+lagged AS (SELECT store, item, date, CAST(sales AS DOUBLE) AS y, CAST(lag(sales, 7) OVER (PARTITION BY store, item ORDER BY date) AS DOUBLE) AS x
+           FROM daily_sales),
+kept AS (SELECT *, row_number() OVER (ORDER BY date, store, item) - 1 AS i, count(*) OVER () AS n FROM lagged WHERE x IS NOT NULL),
+fold AS (SELECT unnest(range(1, 6)) AS fold),
+fits AS (SELECT fold, regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept FROM fold, kept WHERE i < n - (6 - fold) * (n // 6) GROUP BY fold)
+SELECT CAST(f.fold AS INTEGER) AS fold, {r6('f.slope')} AS slope, {r6('f.intercept')} AS intercept,
+  {r6('avg(abs(k.y - (f.intercept + f.slope * k.x)))')} AS mae
+FROM fits f JOIN kept k ON (k.i - (k.n - 5 * (k.n // 6))) >= (f.fold - 1) * (k.n // 6) AND (k.i - (k.n - 5 * (k.n // 6))) < f.fold * (k.n // 6)
+GROUP BY f.fold, f.slope, f.intercept"""
+
+
+@register("linear_fold_fits", _LINEAR_SQL)
+def linear_fold_fits(spark, sf):
+    """The search's linear part without penalty, one feature: fits of
+    all folds from the blocks' Gram matrices, errors on the rows they validate."""
+    from panelcast.plans import search
+    from panelcast.plans import validation as val
+
+    f = win.lag_features(daily_sales(spark, sf), KEYS, "date", "sales", [7]).na.drop(subset=["sales_lag_7"])
+    rows = stored(val.time_series_folds(f, ["date", *KEYS], 5).select("sales", "sales_lag_7", "val_fold"), "linear-folds")
+    centre, grams = search.block_grams(rows, ["sales_lag_7"], "sales", "val_fold")
+    folds = [b for b in sorted(grams) if b]
+    train = search.training_grams(grams, folds)
+    fits = {b: [search.elastic_net(train[b], centre, 0.0, 0.0)] for b in folds}
+    errors = search.linear_errors(rows, ["sales_lag_7"], "sales", "val_fold", fits)
+    out = [(b, float(fits[b][0][0][0]), fits[b][0][1], errors[b][0]) for b in folds]
+    return _r(spark.createDataFrame(out, "fold INT, slope DOUBLE, intercept DOUBLE, mae DOUBLE"))
+
+
 @register("search_best_metrics")
 def search_best_metrics(spark, sf):
     """Best parameters and in-sample MAE, RMSE, MAPE of each model family."""

@@ -7,11 +7,6 @@ together over its blocks.
 
 from __future__ import annotations
 
-import itertools
-import json
-import random
-import statistics
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -22,6 +17,7 @@ from pyspark.sql import functions as F
 from panelcast.plans import validation as val
 from panelcast.plans.boosting import BoostedModel, BoostParams, boost, predictor
 from panelcast.plans.features import build_features
+from panelcast.plans.search import random_search  # noqa: F401
 from panelcast.session import stored
 from panelcast.sources.io import scratch_table_path
 from panelcast.spec import BOOSTING_PARAMS, FeatureConfig, SeriesSpec
@@ -159,50 +155,6 @@ def rf_importance(spark: SparkSession, df: DataFrame, target: str, features, num
     return forest.importances(filled, list(features), target, num_trees, seed).orderBy(F.col("importance").desc(), "feature")
 
 
-def random_search(spark: SparkSession, df: DataFrame, features, target: str, models: dict, grids: dict,
-                  order_cols, n_iter: int = 20, cv_splits: int = 5, seed: int = 42, parallelism: int = 4):
-    """Randomised search with time-series CV scored by MAE, best refit,
-    in-sample MAE/RMSE/MAPE (L12, L13).  Returns (results dict, cv table)."""
-    folded = val.time_series_folds(df, order_cols, cv_splits)
-    results, cv_rows = {}, []
-    for name, est in models.items():
-        grid = grids.get(name, {})
-        combos = [dict(zip(grid, vals)) for vals in itertools.product(*grid.values())] if grid else [{}]
-        if len(combos) > n_iter:
-            combos = random.Random(seed).sample(combos, n_iter)
-
-        def score(params, est=est):
-            maes = []
-            for i in range(1, cv_splits + 1):
-                tr, va = val.fold_split(folded, i)
-                pipe = make_pipeline(list(features), [], est.copy(_param_map(est, params)), scale=True)
-                m = pipe.fit(tr)
-                maes.append(float(val.metrics(m.transform(va), target, "prediction").first()["mae"]))
-            return maes
-
-        with ThreadPoolExecutor(max_workers=parallelism) as pool:
-            by_split = list(pool.map(score, combos))
-        scores = [sum(m) / len(m) for m in by_split]
-        ranked = sorted(range(len(combos)), key=lambda j: scores[j])
-        for rank, j in enumerate(ranked, start=1):
-            cv_rows.append((name, json.dumps(combos[j], sort_keys=True), scores[j], statistics.pstdev(by_split[j]), by_split[j], rank))
-        best = combos[ranked[0]]
-        final = make_pipeline(list(features), [], est.copy(_param_map(est, best)), scale=True).fit(folded)
-        m = val.metrics(final.transform(folded), target, "prediction").first()
-        res = {"best_model": final, "best_params": best, "MAE": float(m["mae"]), "RMSE": float(m["rmse"]),
-               "MAPE": float(m["mape"])}
-        last = final.stages[-1]
-        if hasattr(last, "featureImportances"):
-            res["feature_importances"] = last.featureImportances.toArray().tolist()
-        results[name] = res
-    cv = spark.createDataFrame(cv_rows, "model STRING, params STRING, mean_mae DOUBLE, std_mae DOUBLE, split_mae ARRAY<DOUBLE>, rank INT")
-    return results, cv
-
-
-def _param_map(est, params: dict):
-    return {est.getParam(k): v for k, v in params.items()}
-
-
 def ensemble_predict(results: dict, df: DataFrame, weights: dict | None = None) -> DataFrame:
     """Weighted ensemble of the best models (L14): chained ``transform``s on
     the same rows, one prediction column per model."""

@@ -269,3 +269,46 @@ def test_training_queries_on_their_registered_settings(spark):
     imp = q_train.top_importances(spark, sf).collect()
     assert len(imp) == 20 and sum(r.importance for r in imp) <= 1 + 1e-6
     assert tr.model_input_columns(q_train.trained(spark, sf)[0].model) == sorted(tr.model_input_columns(q_train.trained(spark, sf)[0].model))
+
+
+def test_search_scores_equal_separate_fits(spark):
+    """Every candidate's error by fold against a fit of its own rows."""
+    from panelcast.plans import search
+
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(360, 3)) * [1, 10, 0.1] + [5, -100, 3]
+    y = x @ [2, 0.3, 0] + rng.normal(size=360)
+    rows = [(i, *map(float, v), float(t)) for i, (v, t) in enumerate(zip(x, y))] + [(999, None, 1.0, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "i int, a double, b double, c double, y double")
+    grids = {"line": {"reg": [0.0, 0.05, 0.5, 1.0, 2.0, 4.0], "l1_share": [0.0, 0.3, 0.6, 1.0]}, "tree": {"leaves": [2, 4, 8], "min_rows": [5, 20]}}
+    results, cv = search.random_search(spark, df, ["a", "b", "c"], "y", {"line": "elastic_net", "tree": "tree"}, grids, ["i"], n_iter=20)
+    got = cv.collect()
+    line = [r for r in got if r.model == "line"]
+    assert len(line) == 20 and len(got) == 26 and [r.rank for r in line] == list(range(1, 21))     # the draw happens
+    import json
+
+    start = 360 - 5 * 60
+    for r in line:
+        p = json.loads(r.params)
+        for fold in range(1, 6):
+            n = start + (fold - 1) * 60
+            mu, sd = x[:n].mean(0), x[:n].std(0)
+            z, t = (x[:n] - mu) / sd, y[:n] - y[:n].mean()
+            w = np.zeros(3)
+            for _ in range(3000):                       # proximal gradient, another way to the same minimum
+                g = z.T @ (z @ w - t) / n + p["reg"] * (1 - p["l1_share"]) * w
+                s = w - g / 8
+                w = np.sign(s) * np.maximum(np.abs(s) - p["reg"] * p["l1_share"] / 8, 0)
+            v = slice(n, n + 60)
+            mae = np.abs(y[v] - ((x[v] - mu) / sd @ w + y[:n].mean())).mean()
+            assert math.isclose(mae, r.split_mae[fold - 1], rel_tol=1e-6)
+    best = results["line"]
+    pred = best["best_model"].transform(df.where("a is not null")).orderBy("i").toPandas()["prediction"].to_numpy()
+    assert math.isclose(np.abs(pred - y).mean(), best["MAE"], rel_tol=1e-9)
+    tree = next(r for r in got if r.model == "tree" and r.rank == 1)
+    folded = val.time_series_folds(df.na.drop(), ["i"], 5)
+    p = json.loads(tree.params)
+    alone = bo.boost(folded, ["a", "b", "c"], [], "y", "row_index", "val_fold",
+                     bo.BoostParams(rounds=1, step=1.0, row_share=1.0, feature_share=1.0, l1=0.0, l2=0.0, **p))
+    assert np.allclose([alone[i].errors[1] for i in range(1, 6)], tree.split_mae)
+    assert math.isclose(sum(results["tree"]["feature_importances"]), 1)
