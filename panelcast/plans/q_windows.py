@@ -42,6 +42,27 @@ def lag_ffill(spark, sf):
     return win.lag_features(daily_sales_dense(spark, sf), KEYS, "date", "sales", [1], fill="ffill")
 
 
+@register("shifted_rolling_ffill", DSD + f"""SELECT store, item, date, sales,
+  last_value(r IGNORE NULLS) OVER {RUN} AS sales_roll_mean_7d FROM (
+  SELECT *, {shifted_roll_sql('sales', 7, 'mean', PART, 'date')} AS r FROM daily_sales_dense)""")
+def shifted_rolling_ffill(spark, sf):
+    """E3f: shifted rolling mean on the densified panel, forward-filled within each series."""
+    cfg = FeatureConfig(date_features=False, create_lags=False, rolling_windows=[7], rolling_aggs=["mean"], rolling_fill="ffill")
+    return _r(build_features(daily_sales_dense(spark, sf), SeriesSpec(), cfg))
+
+
+_INTER_LAGS = [7, 28]
+
+
+@register("feature_build_interactions", DS + "SELECT store, item, date, sales,\n  " + ",\n  ".join(
+    f"l{k} AS sales_lag_{k}, CAST(sales - l{k} AS DOUBLE) AS sales_diff_{k}, {r6(f'sales / nullif(CAST(l{k} AS DOUBLE), 0)')} AS sales_ratio_{k}"
+    for k in _INTER_LAGS) + " FROM (SELECT *, " + ", ".join(f"lag(sales, {k}) OVER {W} AS l{k}" for k in _INTER_LAGS) + " FROM daily_sales)")
+def feature_build_interactions(spark, sf):
+    """E16 with the interaction switch on (lags, differences, ratios)."""
+    cfg = FeatureConfig(date_features=False, lags=_INTER_LAGS, create_rolling=False, create_interactions=True)
+    return _r(build_features(daily_sales(spark, sf), SeriesSpec(), cfg))
+
+
 SINGLE_LAGS = [1, 2, 3, 7, 14, 30]
 
 
