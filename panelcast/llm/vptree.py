@@ -1,7 +1,8 @@
 """Maximum inner product search with vantage-point trees, one per shard.
 
-Vectors are lengthened by one component so that all have the largest norm;
-the largest inner product is then the smallest Euclidean distance.  A shard's
+Vectors are lengthened by one component so that all of a shard have its
+largest norm; the largest inner product is then the smallest Euclidean distance.
+Both sides are first scaled by powers of two, so that no square overflows.  A shard's
 tree splits its vectors by their distance from a vantage point at the median.
 A branch is left out when the triangle inequality puts all of it farther away
 than the k-th neighbour found so far; ``factor`` scales that neighbour's
@@ -26,23 +27,28 @@ from panelcast.session import ship_package, stored
 SHARD_ROWS = 65_536     # rows of a shard, at most about
 LEAF = 256
 QUERY_BLOCK = 8_192
-SLACK = 1e-9            # rounding allowance in comparisons of distances and scores
 
 _FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
 
 class Tree:
-    """A vantage-point tree over the distinct rows of ``x`` (original vectors)."""
+    """A vantage-point tree over the distinct rows of ``x`` (original vectors),
+    lengthened to ``longest`` (their largest norm, if not given)."""
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray, longest: float, seed: int = 7, leaf: int = LEAF):
+    def __init__(self, ids: np.ndarray, x: np.ndarray, longest: float | None = None, seed: int = 7, leaf: int = LEAF):
         order = np.lexsort((ids, *x.T[::-1]))
         ids, x = ids[order], x[order]
         new = np.ones(len(x), bool)
         new[1:] = (x[1:] != x[:-1]).any(1)
         self.ids, self.first = ids, np.append(np.flatnonzero(new), len(x))
         self.x = x[new]
-        extra = np.sqrt(np.maximum(longest ** 2 - (self.x ** 2).sum(1), 0))
-        self.points = np.column_stack([self.x, extra])
+        top = np.abs(self.x).max(initial=0.0)
+        small = _scaled(self.x, top)
+        norms = (small ** 2).sum(1)
+        most = max(norms.max(initial=0.0), 0.0 if longest is None else float(_scaled(longest, top)) ** 2)
+        self.points = np.column_stack([small, np.sqrt(np.maximum(most - norms, 0))])
+        # what rounding can add to a distance, given as the root of an error of squares up to the largest
+        self.slack = float(np.sqrt(8 * (x.shape[1] + 4) * np.finfo(float).eps * max(most, 1.0) * 4))
         self.square = (self.points ** 2).sum(1)
         self.leaf, self.compared = leaf, 0
         self.root = self._build(np.arange(len(self.x)), np.random.default_rng(seed))
@@ -63,7 +69,9 @@ class Tree:
         """For each query: ids and scores of the ``k`` best rows other than
         its own, ties to smaller ids."""
         n = len(queries)
-        q = np.column_stack([queries, np.zeros(n)])
+        # a query's own scale changes no order of its inner products: it is taken to the points' size
+        small = _scaled(queries, np.abs(queries).max(axis=1, initial=0.0, keepdims=True))
+        q = np.column_stack([small, np.zeros(n)])
         q_square = (q ** 2).sum(1)
         # one point more than asked, as a query's own may be among them
         best = np.full((n, k + 1), np.inf)
@@ -77,7 +85,7 @@ class Tree:
         def take(active, rows, d):
             both = np.concatenate([best[active], d], axis=1)
             best[active] = np.partition(both, k, axis=1)[:, : k + 1]
-            near = d <= best[active].max(1)[:, None] + SLACK
+            near = d <= best[active].max(1)[:, None] + self.slack
             for i in np.flatnonzero(near.any(1)):
                 seen[active[i]].append((rows[near[i]], d[i, near[i]]))
 
@@ -95,7 +103,7 @@ class Tree:
             inside = d < border
             visit(inner, active[inside])
             visit(outer, active[~inside])
-            reach = factor * best[active].max(1) + SLACK
+            reach = factor * best[active].max(1) + self.slack
             visit(outer, active[inside & (border - d <= reach)])
             visit(inner, active[~inside & (d - border <= reach)])
 
@@ -105,8 +113,9 @@ class Tree:
         for i in range(n):
             rows = np.concatenate([r for r, _ in seen[i]] or [np.zeros(0, np.int64)])
             d = np.concatenate([v for _, v in seen[i]] or [np.zeros(0)])
-            rows = rows[d <= best[i].max() + SLACK]
-            score = (self.x[rows] * queries[i]).sum(1)
+            rows = rows[d <= best[i].max() + self.slack]
+            with np.errstate(over="ignore", invalid="ignore"):
+                score = (self.x[rows] * queries[i]).sum(1)
             members = [self.ids[self.first[r]: self.first[r + 1]][: k + 1] for r in rows]
             ids = np.concatenate(members) if members else np.zeros(0, np.int64)
             score = np.repeat(score, [len(m) for m in members])
@@ -117,6 +126,11 @@ class Tree:
         return out
 
 
+def _scaled(x: np.ndarray, top) -> np.ndarray:
+    """``x`` times the power of two that brings ``top`` to between a half and one."""
+    return np.ldexp(x, -np.frexp(top)[1])
+
+
 def usable(vector: Column) -> Column:
     """Whether a vector takes part: no null in it, all finite, not all zero."""
     fine = F.forall(vector, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
@@ -141,16 +155,15 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, factor: float = 1
     shards = max(1, math.ceil(total / shard_rows), min(total // 1024, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     asked = rows.where("asks")
     blocks = max(1, math.ceil(asked.count() / QUERY_BLOCK))
-    norms = rows.groupBy("dim").agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).alias("longest"))
-    dealt = rows.select("dim", F.pmod(F.xxhash64("id", "v"), F.lit(shards)).alias("shard"), "id", "v").join(norms, "dim")
+    dealt = rows.select("dim", F.pmod(F.xxhash64("id", "v"), F.lit(shards)).alias("shard"), "id", "v")
 
-    tree_schema = "dim int, shard long, longest double, ids binary, vectors binary"
+    tree_schema = "dim int, shard long, ids binary, vectors binary"
 
     def gather(key, table):
         x = np.asarray(table.column("v").combine_chunks().flatten(), np.float64)
         ids = np.asarray(table.column("id"), np.int64)
         return pa.table({"dim": pa.array([key[0].as_py()], pa.int32()), "shard": pa.array([key[1].as_py()], pa.int64()),
-                         "longest": table.column("longest")[:1], "ids": [ids.tobytes()], "vectors": [x.tobytes()]})
+                         "ids": [ids.tobytes()], "vectors": [x.tobytes()]})
 
     index = stored(dealt.groupBy("dim", "shard").applyInArrow(gather, tree_schema), "vector-shards")
     index = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
@@ -162,7 +175,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, factor: float = 1
         if left.num_rows and right.num_rows:
             dim = key[0].as_py()
             x = np.frombuffer(left.column("vectors")[0].as_py()).reshape(-1, dim)
-            tree = Tree(np.frombuffer(left.column("ids")[0].as_py(), np.int64), x, left.column("longest")[0].as_py())
+            tree = Tree(np.frombuffer(left.column("ids")[0].as_py(), np.int64), x)
             own = np.asarray(right.column("id"), np.int64)
             q = np.asarray(right.column("v").combine_chunks().flatten(), np.float64).reshape(-1, dim)
             for at in range(0, len(own), 512):

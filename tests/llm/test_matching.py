@@ -319,3 +319,18 @@ def test_oracle(spark, name):
         return tuple(round(v, 9) if isinstance(v, float) else v for v in row)
 
     assert Counter(map(tidy, df.select(*cols).collect())) == Counter(map(tidy, cur.fetchall()))
+
+
+@pytest.mark.parametrize("size", [1e200, 1e-200, 3e7])
+def test_one_vector_of_another_size(spark, size):
+    """A finite vector that is very long or short takes no others' places away."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(200, 8))
+    x[7] *= size / np.linalg.norm(x[7])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {(r.query_id, r.rank): r.vec_id for r in vptree.nearest(df, F.col("vec_id") % 20 == 0, k=5).collect()}
+    assert len(got) == 50
+    for q in range(0, 200, 20):
+        score = (x * x[q]).sum(1)
+        order = [i for i in np.lexsort((np.arange(200), -score)) if i != q][:5]
+        assert [got[q, r] for r in range(1, 6)] == order
