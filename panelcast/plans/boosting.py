@@ -742,7 +742,7 @@ def boost(df: DataFrame, features: list[str], categorical: list[str], target: st
     folds = [r[0] for r in df.where(F.col(target).isNotNull()).groupBy(F.coalesce(F.col(fold_col), F.lit(0)).alias("f")).count().orderBy("f").collect()]
     if not folds:
         raise ValueError("no rows to learn from")
-    wanted = [*(int(f) for f in folds if f), *([0] if whole else [])]
+    wanted = [*(int(f) for f in folds if f), *([0] if whole or not any(folds) else [])]
     rdd, tasks = cached_blocks(spark, blocks, len(features))
     if tasks == 1:
         trained = one_task_each(rdd, bins, [([f], params) for f in wanted])

@@ -7,6 +7,7 @@ together over its blocks.
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -15,13 +16,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelcast.plans import validation as val
-from panelcast.plans.boosting import BoostedModel, BoostParams, boost, predictor
+from panelcast.plans.boosting import Binning, BoostedModel, BoostParams, boost, predictor
 from panelcast.plans.features import build_features
 from panelcast.plans.search import random_search  # noqa: F401
 from panelcast.session import stored
 from panelcast.sources.io import scratch_table_path
 from panelcast.spec import BOOSTING_PARAMS, FeatureConfig, SeriesSpec
 
+log = logging.getLogger(__name__)
+
 
 @dataclass
 class TrainConfig:
@@ -93,6 +96,10 @@ class TrainResult:
     fold_models: dict[int, BoostedModel]
 
 
+def _blank_model(names: list[str], categorical: list[str]) -> BoostedModel:
+    return BoostedModel(Binning(names, {f: [] for f in names if f not in categorical}, {f: [] for f in names if f in categorical}), 0.0, [])
+
+
 def train_pipeline(spark: SparkSession, df: DataFrame, spec: SeriesSpec = SeriesSpec(),
                    cfg: FeatureConfig = FeatureConfig(), tcfg: TrainConfig = TrainConfig(),
                    model_dir: str | None = None) -> TrainResult:
@@ -101,22 +108,27 @@ def train_pipeline(spark: SparkSession, df: DataFrame, spec: SeriesSpec = Series
     per-fold/average metrics (L8) -> model of all rows (L10) -> save.
 
     Categories (L1) are coded inside the model; unseen ones have a code of
-    their own.  Folds without rows are skipped."""
+    their own.  Folds without rows are skipped.  Without any complete row
+    (series shorter than the longest look-back) there is nothing to learn: no
+    folds, and a model without trees that predicts 0."""
     keys, d, t = list(spec.keys), spec.order_col, spec.value_col
     table, names = feature_table(df, spec, cfg)
     if not names:
         raise ValueError("no features available")
     folded = val.time_series_folds(table.withColumn(t, F.col(t).cast("double")), [d] + keys, tcfg.n_splits)
     folded = stored(folded.select(*dict.fromkeys([*keys, d, t, *names, "row_index", "val_fold"])), "folds")
-    models = boost(folded, names, tcfg.categorical, t, "row_index", "val_fold", tcfg.boosting(), whole=tcfg.retrain_on_full)
+    if folded.isEmpty():
+        log.warning("no complete rows to learn from: the model predicts 0")
+        models = {0: _blank_model(names, tcfg.categorical)}
+    else:
+        models = boost(folded, names, tcfg.categorical, t, "row_index", "val_fold", tcfg.boosting(), whole=tcfg.retrain_on_full)
     folds = {i: m for i, m in models.items() if i}
-    if not folds:
-        raise ValueError(f"too few rows for {tcfg.n_splits} time-ordered folds")
+    predicted = predictor(spark, folds)(F.col("val_fold")) if folds else F.lit(None).cast("double")
     oof = stored(folded.where("val_fold is not null").select(
-        *keys, d, "row_index", F.col("val_fold").alias("fold"), t, predictor(spark, folds)(F.col("val_fold")).alias("prediction")), "oof")
+        *keys, d, "row_index", F.col("val_fold").alias("fold"), t, predicted.alias("prediction")), "oof")
     cv = stored(val.fold_metrics(oof, t, "prediction", "fold"), "cv")
     avg = cv.where("fold = 0").select("mae", "rmse", "smape").first().asDict()
-    final = models[0] if tcfg.retrain_on_full else folds[max(folds)]
+    final = folds[max(folds)] if folds and not tcfg.retrain_on_full else models[0]
     if model_dir:
         from panelcast.sources.models import save_model
 
