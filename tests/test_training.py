@@ -28,7 +28,8 @@ def _seasonal_panel(spark, days=400):
 def test_train_beats_naive_and_roundtrip(spark):
     df = _seasonal_panel(spark)
     cfg = FeatureConfig(lags=[7, 14], rolling_windows=[7, 28], rolling_aggs=["mean", "std"])
-    tcfg = tr.TrainConfig(max_iter=15, n_splits=3)
+    # every tree is shrunk by the step, the first one too: 15 steps of 0.05 would go half of the way only
+    tcfg = tr.TrainConfig(max_iter=15, n_splits=3, step_size=0.2)
     model_dir = scratch_table_path(spark, "models-test")
     res = tr.train_pipeline(spark, df, SeriesSpec(), cfg, tcfg, model_dir=model_dir)
     cv = {r["fold"]: r for r in res.cv_metrics.collect()}
