@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from panelcast.llm.tokens import coder, vocabulary
 from panelcast.session import ship_package, stored
 
+#: Bytes of ids that a task hands on at a time.
+HANDED = 4 << 20
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()),
                      ("ids", pa.binary())])
@@ -39,15 +41,22 @@ def encode_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, max_tok
 
     def encode(batches):
         encoder = coder(vocab.value.decode())
+
+        def ready(rows):
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _PIECES)], schema=_PIECES)
+
+        rows, held = [], 0
         for batch in batches:
-            cols: list[list] = [[], [], [], [], []]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 ids = encoder.encode(text.as_py()) + end
-                for piece, at in enumerate(range(0, len(ids), 4 * max_tokens)):
-                    part = ids[at: at + 4 * max_tokens]
-                    for col, v in zip(cols, (doc_id, piece, at // 4, len(part) // 4, part)):
-                        col.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _PIECES)], schema=_PIECES)
+                rows += [(doc_id, piece, at // 4, len(ids[at:at + 4 * max_tokens]) // 4, ids[at:at + 4 * max_tokens])
+                         for piece, at in enumerate(range(0, len(ids), 4 * max_tokens))]
+                held += len(ids)
+                if held >= HANDED:
+                    yield ready(rows)
+                    rows, held = [], 0
+        if rows:
+            yield ready(rows)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(encode, PIECES)
 
@@ -118,8 +127,8 @@ def _places(plan: list[tuple[dict[int, int], int]]) -> dict[str, np.ndarray]:
 def assign_sequences(pieces: DataFrame, max_tokens: int = 4096, length_col: str = "length") -> DataFrame:
     """``pieces`` with ``sequence_id`` and ``offset``.
 
-    All columns pass through (so keep ids out: join or compute what is needed
-    from them before).  Lengths must be from 1 to ``max_tokens``; an empty
+    All columns pass through, whatever their names (so keep ids out: join or compute what is needed
+    from them before); columns named like the two new ones are replaced.  Lengths must be from 1 to ``max_tokens``; an empty
     table gives an empty one.  The rank of a piece among those of its length
     is counted within (length, hash bucket) and the buckets' counts are
     summed up, so one length may hold any share of the rows.
@@ -127,8 +136,11 @@ def assign_sequences(pieces: DataFrame, max_tokens: int = 4096, length_col: str
     spark = pieces.sparkSession
     ship_package(spark)
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    given = pieces.schema
+    # names of its own inside, so that columns of any name pass through
+    pieces = pieces.toDF(*[f"_p{i}" for i in range(len(given))])
     cols = pieces.columns
-    length = F.col(length_col)
+    length = F.col(cols[given.names.index(length_col)])
     dealt = pieces.withColumn("__bucket", F.pmod(F.xxhash64(*cols), F.lit(buckets)).cast("int"))
     counts = stored(dealt.groupBy(length.cast("long").alias("__length"), "__bucket").agg(F.count("*").alias("__n")), "piece-counts")
     by_length = {r["__length"]: r["n"] for r in counts.groupBy("__length").agg(F.sum("__n").alias("n")).collect()}
@@ -154,7 +166,9 @@ def assign_sequences(pieces: DataFrame, max_tokens: int = 4096, length_col: str
                                              names=[*cols, "sequence_id", "offset"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    return ranked.mapInArrow(place, f"{fields}, sequence_id long, offset long")
+    placed = ranked.mapInArrow(place, f"{fields}, sequence_id long, offset long")
+    keep = [(c, f.name) for c, f in zip(cols, given) if f.name not in ("sequence_id", "offset")]
+    return placed.select(*(F.col(c).alias(n) for c, n in keep), "sequence_id", "offset")
 
 
 def packed_sequences(pieces: DataFrame, layout: DataFrame, keys=("doc_id", "piece")) -> DataFrame:
@@ -168,7 +182,11 @@ def packed_sequences(pieces: DataFrame, layout: DataFrame, keys=("doc_id", "piec
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, max_tokens: int = 4096) -> tuple[DataFrame, DataFrame]:
     """``(pieces, layout)``: the stored id pieces of all documents, and for
-    each piece its checksum, sequence and offset."""
+    each piece its checksum, sequence and offset.
+
+    A null or empty text is one piece that holds the end id; a text of any
+    length is cut into full pieces; repeated rows and equal ids are documents
+    of their own; an empty table gives empty ones; other columns are ignored."""
     pieces = stored(encode_pieces(docs, tokenizer_path, end_id, max_tokens), "id-pieces")
     narrow = stored(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), "piece-digests")
     return pieces, assign_sequences(narrow, max_tokens)

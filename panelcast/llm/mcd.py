@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from panelcast.llm.joins import few
 from panelcast.llm.qda import fresh
-from panelcast.llm.textstats import BASE, base_stats
+from panelcast.llm.textstats import BASE, base_stats, slices
 from panelcast.session import ship_package, stored
 
 #: The vector's parts, see ``transform``; a group's spread in a part counts as
@@ -51,22 +51,24 @@ def transform(stats: list[int]) -> list[float]:
 
 def with_stats(docs: DataFrame, prefix: str, text_col: str = "text") -> DataFrame:
     """``docs`` with the base counts (one long column each) and the vector
-    (``PARTS``, doubles), names starting with ``prefix``, row by row."""
+    (``PARTS``, doubles), names starting with ``prefix``, in the place of the
+    text, row by row."""
     ship_package(docs.sparkSession)
     at = docs.columns.index(text_col)
+    rest = [i for i in range(len(docs.columns)) if i != at]
     names = [prefix + n for n in [*BASE, *PARTS]]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema if f.name != text_col)
     kinds = ", ".join(f"`{n}` {'long' if i < len(BASE) else 'double'}" for i, n in enumerate(names))
 
     def add(batches):
-        for batch in batches:
+        for batch in slices(batches):
             stats = [base_stats(t.as_py()) for t in batch.column(at)]
             s = np.array(stats, np.int64).reshape(-1, len(BASE))
             v = np.array([transform(x) for x in stats], np.float64).reshape(-1, len(PARTS))
-            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, s.T), *map(pa.array, v.T)],
-                                             names=[*batch.schema.names, *names])
+            yield pa.RecordBatch.from_arrays([*map(batch.column, rest), *map(pa.array, s.T), *map(pa.array, v.T)],
+                                             names=[*(batch.schema.names[i] for i in rest), *names])
 
-    return docs.mapInArrow(add, f"{fields}, {kinds}")
+    return docs.mapInArrow(add, f"{fields}{kinds}")
 
 
 def base_failed(words: Column, repeat_words: Column) -> Column:
@@ -219,7 +221,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     share an id are judged each by its own text; other columns are ignored."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
                        F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"))
-    held = stored(with_stats(rows, "").drop("text"), "text-statistics")
+    held = stored(with_stats(rows, ""), "text-statistics")
     return verdicts(held, cutoff).select("doc_id", *BASE, "distance2", "base_failed", "kept")
 
 
@@ -233,7 +235,7 @@ def keep_regular(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     names = ["__id", "__hash", "__lang", "__source"]
     values = [F.col(id_col).cast("long"), F.xxhash64(F.col(text_col).cast("string")), F.col(lang_col).cast("string"), F.col(source_col).cast("string")]
     rows = docs.select(F.col(text_col).cast("string").alias("text"), *[v.alias(n) for v, n in zip(values, names)])
-    held = stored(with_stats(rows, "").drop("text").withColumnsRenamed({"__lang": "lang", "__source": "source"}), "text-statistics")
+    held = stored(with_stats(rows, "").withColumnsRenamed({"__lang": "lang", "__source": "source"}), "text-statistics")
     rejected = stored(verdicts(held, cutoff).where(~F.col("kept")).select("__id", "__hash", F.col("lang").alias("__lang"), F.col("source").alias("__source"))
                       .distinct(), "rejected-rows")
     own, theirs = ([fresh(docs, side + n) for n in names] for side in ("__own", "__rejected"))

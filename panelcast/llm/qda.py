@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.llm.textstats import base_stats
+from panelcast.llm.textstats import base_stats, slices
 from panelcast.session import ship_package, stored
 
 #: The vector's parts, see ``transform``.
@@ -43,19 +43,20 @@ def transform(stats: list[int]) -> list[float]:
 
 
 def with_features(docs: DataFrame, feature_col: str, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """``docs`` with its vector (array of doubles) as one more column, row by
-    row; a null text has the vector of an empty one."""
+    """``docs`` with its vector (array of doubles) in the place of the text,
+    row by row; a null text has the vector of an empty one."""
     ship_package(docs.sparkSession)
     at = docs.columns.index(text_col)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    rest = [i for i in range(len(docs.columns)) if i != at]
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema if f.name != text_col)
 
     def add(batches):
-        for batch in batches:
+        for batch in slices(batches):
             vectors = [transform(base_stats(t.as_py(), shape=True)) for t in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(vectors, pa.list_(pa.float64()))],
-                                             names=[*batch.schema.names, feature_col])
+            yield pa.RecordBatch.from_arrays([*map(batch.column, rest), pa.array(vectors, pa.list_(pa.float64()))],
+                                             names=[*(batch.schema.names[i] for i in rest), feature_col])
 
-    return docs.mapInArrow(add, f"{fields}, `{feature_col}` array<double>")
+    return docs.mapInArrow(add, f"{fields}`{feature_col}` array<double>")
 
 
 def held_out_fold(doc_id: str = "doc_id"):
@@ -174,7 +175,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, i
     as empty ones; rows that share an id are scored each by its own text; a
     null id is never held out."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    held = stored(with_features(rows, "features").drop("text"), "quality-features")
+    held = stored(with_features(rows, "features"), "quality-features")
     model = train(held, labels, "features")
     return score(held, model, "features", "score").select(
         "doc_id", held_out_fold().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
@@ -182,11 +183,22 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, i
 
 def keep_good(docs: DataFrame, labels: DataFrame, learn_from: DataFrame, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose score is at least ``threshold``, by a model
-    of the labelled rows of ``learn_from`` (``doc_id`` and ``text``)."""
-    vector, chance = fresh(docs, "__features"), fresh(docs, "__score")
+    of the labelled rows of ``learn_from`` (``doc_id`` and ``text``).
+
+    Every row is judged by its own text, a null one as an empty one; repeated
+    rows and equal ids alike; all columns pass through, whatever their names;
+    an empty table stays empty, and without labels every score is one half."""
+    ship_package(docs.sparkSession)
     known = learn_from.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    model = train(stored(with_features(known, "features").drop("text"), "quality-features"), labels, "features")
-    return score(with_features(docs, vector, text_col), model, vector, chance).where(F.col(chance) >= threshold).select(*docs.columns)
+    model = train(stored(with_features(known, "features"), "quality-features"), labels, "features")
+    at = docs.columns.index(text_col)
+
+    def judge(batches):
+        for batch in slices(batches):
+            vectors = np.array([transform(base_stats(t.as_py(), shape=True)) for t in batch.column(at)], np.float64)
+            yield batch.filter(pa.array(model.scores(vectors.reshape(-1, len(FEATURES))) >= threshold))
+
+    return docs.mapInArrow(judge, docs.schema)
 
 
 def fresh(df: DataFrame, name: str) -> str:

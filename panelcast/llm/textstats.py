@@ -13,6 +13,13 @@ BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 SHAPE = ["n_chars", "n_upper", "n_digits", "n_punct", "n_space", "n_lines", "n_distinct_words", "longest_word", "n_ascii"]
 
 
+def slices(batches, rows: int = 1024):
+    """The batches in pieces of few rows, so that a task holds little at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _repeat_words(ids: np.ndarray, distinct: int) -> int:
     """Words in windows of ``WINDOW`` words that occur twice or more."""
     n = len(ids) - WINDOW + 1

@@ -3,7 +3,7 @@
 Both public vocabularies cut a text before a space that has a non-space on
 either side, so a text is encoded as the concatenation of its space-separated
 segments.  Words repeat, so each Python worker remembers the ids of the
-segments it has met (``MEMO`` entries at most; beyond that a segment is simply
+segments it has met (``MEMO_BYTES`` at most; beyond that a segment is simply
 encoded again).
 """
 
@@ -14,7 +14,8 @@ import re
 
 import numpy as np
 
-MEMO = 800_000          # segments remembered by a worker
+MEMO_BYTES = 96 << 20   # of segments remembered by a worker, with what a dictionary entry takes
+ENTRY = 200
 LONGEST = 48            # longer segments are not remembered
 _ODD = re.compile(r"\s | \s")
 _CLOSING = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
@@ -39,15 +40,23 @@ def _byte_letters() -> dict[int, str]:
 BYTE_LETTERS = _byte_letters()
 
 
+class _Room:
+    """Bytes that memos which share it may still take."""
+
+    def __init__(self):
+        self.left = MEMO_BYTES
+
+
 class _Memo(dict):
-    def __init__(self, encode):
+    def __init__(self, encode, room):
         super().__init__()
-        self.encode = encode
+        self.encode, self.room = encode, room
 
     def __missing__(self, segment):
         ids = self.encode(segment)
-        if len(segment) <= LONGEST and len(self) < MEMO:
+        if len(segment) <= LONGEST and self.room.left > 0:
             self[segment] = ids
+            self.room.left -= ENTRY + len(segment) + len(ids)
         return ids
 
 
@@ -62,10 +71,10 @@ class Coder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.model = self.tokenizer.model
-        self.special = tuple(self.tokenizer.get_added_tokens_decoder())
         self.lower = self.tokenizer.normalizer is not None
-        self.first = _Memo(lambda s: self._library(s))
-        self.later = _Memo(lambda s: self._word(s))
+        room = _Room()
+        self.first = _Memo(lambda s: self._library(s), room)
+        self.later = _Memo(lambda s: self._word(s), room)
 
     def _library(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()

@@ -214,3 +214,37 @@ def test_queries_cover_whole_tables(spark):
         (i, len(t.encode()), len(lib(t)), len(lib(t)) > 1024) for i, t in docs)
     rows = q["op8_suffix_array_pieces"](spark, SF).collect()
     assert len(rows) == len(docs) and all(r.same for r in rows)
+
+
+def test_pieces_with_clashing_columns(spark):
+    from panelcast.llm import binpack
+
+    rows = [(i, 0, 1 + i % 50, 7, 8, 9, "x") for i in range(300)]
+    df = spark.createDataFrame(rows, "__rank long, __bucket int, length int, sequence_id long, offset long, __length long, __before string")
+    got = binpack.assign_sequences(df, 64)
+    assert sorted(got.columns) == sorted(df.columns) and got.count() == 300
+    ends = {}
+    for r in got.collect():
+        ends.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in ends.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 64
+
+
+def test_history_walk_equals_merging_afresh():
+    """Which piece may follow which, by the walk and by the definition."""
+    import random
+
+    from panelcast.llm import suffixpieces
+    from panelcast.llm.registry import vocabulary_path
+
+    with open(vocabulary_path("piece_bpe_32k.model"), "rb") as fh:
+        model = suffixpieces.Pieces(fh.read())
+    rnd, ids = random.Random(2), sorted(model.id_of.values())
+    ids = [i for i in ids if model._stands_alone(i)]
+    for _ in range(20_000):
+        a, b = rnd.choice(ids), rnd.choice(ids if rnd.random() < 0.5 else ids[:600])
+        assert model._may_follow(a, b) == (model._merge(model.text[a] + model.text[b]) == [model.text[a], model.text[b]])
