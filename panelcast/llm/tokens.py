@@ -14,7 +14,7 @@ import re
 
 import numpy as np
 
-MEMO_BYTES = 96 << 20   # of segments remembered by a worker, with what a dictionary entry takes
+MEMO_BYTES = 192 << 20  # of segments remembered by a worker, with what a dictionary entry takes
 ENTRY = 200
 LONGEST = 48            # longer segments are not remembered
 _ODD = re.compile(r"\s | \s")
