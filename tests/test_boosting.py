@@ -150,6 +150,51 @@ def test_all_models_equal_the_plain_booster(spark, dealt):
                 [s[1:] for _, s in sorted(splits, key=lambda t: t[0])]
 
 
+def test_the_work_of_a_job_follows_cores_not_rows(spark, monkeypatch):
+    """Tasks (each sends a histogram per node) and what the driver gets: no
+    more with more rows; the smaller sibling is counted only; predictions that
+    blocks carry along change nothing."""
+    df = panel(spark)
+    p = bo.BoostParams(rounds=9, leaves=3, min_rows=8, step=0.3, patience=50)
+    want = bo.boost(df, ["a", "b", "c"], ["c"], "y", "row", "fold", p)           # one task
+    monkeypatch.setattr(bo, "BLOCK_ROWS", 10)
+    monkeypatch.setattr(bo, "BLOCKS_PER_TASK", 1)
+    tasks, sent, carried, counted = [], [], [], []
+    cached, run, carry, grown = bo.cached_blocks, bo._Spread.run, bo._Spread.carry, bo._Spread.grown
+
+    def spy_cached(*args):
+        out = cached(*args)
+        tasks.append((out[1], out[0].getNumPartitions()))
+        return out
+
+    def spy_run(self, *args):
+        out = run(self, *args)
+        sent.extend(out.values())
+        return out
+
+    def spy_carry(self, now):
+        carry(self, now)
+        carried.append(self.rdd is not self.stored)
+
+    def spy_grown(self, emit, pairs, *args):
+        out = grown(self, emit, pairs, *args)
+        counted.append((len(pairs), sum(1 for k in out if k[0] != "error" and k[1])))
+        return out
+
+    monkeypatch.setattr(bo, "MEMO_BYTES", 0)
+    monkeypatch.setattr(bo, "cached_blocks", spy_cached)
+    monkeypatch.setattr(bo._Spread, "run", spy_run)
+    monkeypatch.setattr(bo._Spread, "carry", spy_carry)
+    monkeypatch.setattr(bo._Spread, "grown", spy_grown)
+    got = bo.boost(df, ["a", "b", "c"], ["c"], "y", "row", "fold", p)
+    assert tasks == [(spark.sparkContext.defaultParallelism,) * 2]
+    assert all(len(v) == 3 and not isinstance(v[1], (list, np.ndarray)) for v in sent)        # a median, not residuals
+    assert carried == [True]
+    assert all(2 * pairs == ends for pairs, ends in counted) and any(pairs for pairs, _ in counted)
+    for k in want:
+        assert got[k].trees == want[k].trees and got[k].base == want[k].base and np.allclose(got[k].errors, want[k].errors)
+
+
 def test_patience_is_state_and_keeps_the_best(spark):
     p = bo.BoostParams(rounds=40, leaves=8, min_rows=5, patience=3, step=0.9)
     models = bo.boost(panel(spark, 300), ["a", "b", "c"], ["c"], "y", "row", "fold", p)

@@ -63,3 +63,18 @@ def test_category_indexer_reused(spark):
     m = pipe.fit(df.withColumn("sales", F.col("sales").cast("double")))
     unseen = spark.createDataFrame([(9, "Z", dt.date(2020, 1, 1), 0.0)], "store INT, item STRING, date DATE, sales DOUBLE")
     assert m.transform(unseen).count() == 1       # handleInvalid="keep"
+
+
+def test_features_are_worked_out_once(spark, monkeypatch):
+    """Folds read their table twice: it holds finished features, no windows."""
+    seen, folds = [], val.time_series_folds
+
+    def spy(df, *args):
+        seen.append(df._jdf.queryExecution().toString())
+        return folds(df, *args)
+
+    monkeypatch.setattr(val, "time_series_folds", spy)
+    cfg = FeatureConfig(lags=[7], rolling_windows=[7], rolling_aggs=["mean"])
+    res = tr.train_pipeline(spark, _seasonal_panel(spark, 60), SeriesSpec(), cfg, tr.TrainConfig(max_iter=1, n_splits=2))
+    assert len(seen) == 1 and "Window" not in seen[0]
+    assert res.oof.count() == 2 * (4 * 53 // 3)
