@@ -7,9 +7,11 @@ The edit join partitions a line into ``max_edits + 1`` segments: two lines
 within that many edits have one of the shorter one's segments in common, at
 places that differ by no more than the edits can move them.  So a line is
 indexed by (length, segment number, segment) and probes, for each length down
-to ``max_edits`` less, the substrings at the possible places.  Pairs found
-are compared by letter counts (a bound on their edits) and verified with a banded
-bit-parallel edit distance.
+to ``max_edits`` less, the substrings at the possible places.  Keys are counted
+first; only lines at a key that different lines have go on.  Pairs of those
+must agree in letter counts and in which characters stand side by side, as far
+as so few edits leave them alike, to come out of the join at all; they are
+verified with a banded bit-parallel edit distance.
 """
 
 from __future__ import annotations
@@ -41,8 +43,7 @@ def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             .withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit(1), "line")))
 
 
-#: Letters whose counts make up a line's signature; any would do.
-LETTERS = "rsdlumcghb"
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 
 def signature(line: Column) -> Column:
@@ -56,6 +57,21 @@ def signature(line: Column) -> Column:
     return bits
 
 
+def neighbours(line: Column) -> Column:
+    """128 bits (``lo, hi``), one for each hash of two characters in a row: set
+    if an odd number of the line's places has it.  An edit takes away at most
+    two such places and makes at most two, so it changes at most four bits."""
+    chars = F.split(line, "")
+    hashes = F.zip_with(chars, F.slice(chars, 2, 1 << 30), lambda a, b: F.pmod(F.xxhash64(a, b), F.lit(128)).cast("int"))
+    none, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+
+    def turn(bits: Column, h: Column, low: Column) -> Column:
+        return bits.bitwiseXOR(F.when(low, F.call_function("shiftleft", one, h)).otherwise(none))
+
+    return F.aggregate(hashes, F.struct(none.alias("lo"), none.alias("hi")), lambda s, h: F.struct(
+        turn(s["lo"], h, h < 64).alias("lo"), turn(s["hi"], h, h >= 64).alias("hi")))
+
+
 def index_spots(max_edits: int) -> list[tuple[int, int, int]]:
     """(characters less, segment, shift) of a line's own segments."""
     return [(0, segment, 0) for segment in range(max_edits + 1)]
@@ -69,15 +85,18 @@ def probe_spots(max_edits: int) -> list[tuple[int, int, int]]:
             for shift in range(max(-segment, less - (max_edits - segment)), min(segment, less + (max_edits - segment)) + 1)]
 
 
-def _keys(lines: DataFrame, spots: list[tuple[int, int, int]], max_edits: int) -> DataFrame:
-    """``id, sig, key``: a row for each line and spot."""
-    spot = F.explode(F.array(*[F.struct(F.lit(a).alias("less"), F.lit(b).alias("segment"), F.lit(c).alias("shift")) for a, b, c in spots]))
-    each = lines.select("line", "h1", "sig", "length", spot.alias("spot")).select("line", "h1", "sig", "length", "spot.*")
-    other, n = F.col("length") - F.col("less"), max_edits + 1
-    begin = F.expr(f"(length - less) * segment div {n}").cast("int")
-    width = F.expr(f"(length - less) * (segment + 1) div {n}").cast("int") - begin
-    part = F.substr("line", begin + 1 + F.col("shift"), width)
-    return each.select(F.col("h1").alias("id"), "sig", F.xxhash64(other, F.col("segment"), part).alias("key"))
+def spots(max_edits: int) -> list[tuple[int, int, int]]:
+    """All places of a line that are looked up, its own segments first (a line
+    looks those up too)."""
+    own = index_spots(max_edits)
+    return own + [spot for spot in probe_spots(max_edits) if spot not in own]
+
+
+def _key(line: Column, spot: tuple[int, int, int], max_edits: int) -> Column:
+    less, segment, shift = spot
+    other, n = F.length(line) - less, max_edits + 1
+    begin, end = (F.floor(other * k / n).cast("int") for k in (segment, segment + 1))
+    return F.xxhash64(other, F.lit(segment), F.substr(line, begin + 1 + shift, end - begin))
 
 
 def edit_distance(a: Column, b: Column, most: int) -> Column:
@@ -129,14 +148,36 @@ def edit_distance(a: Column, b: Column, most: int) -> Column:
     return F.aggregate(b, start, lambda s, c: F.when(s["d"] > 3 * most, s).otherwise(step(s, c)), lambda s: s["d"])
 
 
-def near_pairs(lines: DataFrame, max_edits: int = MAX_EDITS) -> DataFrame:
-    """Candidates ``a, b`` (``h1`` of lines; ``a`` the longer or an equally
-    long one): distinct ``lines`` (``line, h1, sig, length``) with a segment
-    in common and signatures that so few edits can tell apart."""
-    index = _keys(lines, index_spots(max_edits), max_edits).select(F.col("id").alias("b"), F.col("sig").alias("sig_b"), F.col("key").alias("key_b"))
-    probe = _keys(lines, probe_spots(max_edits), max_edits).withColumnRenamed("id", "a")
-    alike = F.bit_count(F.col("sig").bitwiseXOR(F.col("sig_b"))) <= 2 * max_edits
-    return probe.join(index, (F.col("key") == F.col("key_b")) & (F.col("a") != F.col("b")) & alike).select("a", "b").distinct()
+def shared_keys(lines: DataFrame, max_edits: int = MAX_EDITS) -> DataFrame:
+    """``key, id, own`` (stored): the rows of the index that lines (``line``; equal
+    ones may come repeatedly) have at keys of different lines, a segment's own
+    line among them.  ``own``: the key is of a segment of the line itself.
+
+    Keys are counted first, so that lines without a neighbour, nearly all,
+    take no part in a join."""
+    at = spots(max_edits)
+    keyed = stored(lines.select(F.xxhash64("line").alias("id"), F.array(*[_key(F.col("line"), spot, max_edits) for spot in at]).alias("keys")), "line-keys")
+    rows = keyed.select("id", F.posexplode("keys").alias("spot", "key"))
+    own = F.min("spot") < len(index_spots(max_edits))
+    shared = stored(rows.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b"), own.alias("own"))
+                    .where("a < b and own").select("key"), "line-shared-keys")
+    return stored(rows.join(few(shared), "key", "left_semi").groupBy("key", "id").agg(own.alias("own")), "line-shared")
+
+
+def near_pairs(rows: DataFrame, lines: DataFrame, max_edits: int = MAX_EDITS) -> DataFrame:
+    """Candidates ``a, b`` (``id`` of lines; ``a`` the longer or an equally
+    long one): those of ``rows`` (:func:`shared_keys`) that have a segment in
+    common and whose ``lines`` (``id, sig, lo, hi``) so few edits can tell apart."""
+    marked = rows.join(lines, "id")
+    probe = marked.select("key", *[F.col(c).alias(f"{c}_a") for c in ("id", "sig", "lo", "hi")])
+    index = marked.where("own").select("key", *[F.col(c).alias(f"{c}_b") for c in ("id", "sig", "lo", "hi")])
+
+    def apart(c: str) -> Column:
+        return F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b")))
+
+    alike = (apart("sig") <= 2 * max_edits) & (apart("lo") + apart("hi") <= 4 * max_edits)
+    met = (probe.key == index.key) & (F.col("id_a") != F.col("id_b")) & alike
+    return probe.join(index, met).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
 
 
 def near_links(lines: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -145,13 +186,13 @@ def near_links(lines: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MI
     if min_chars < (max_edits + 1) ** 2:
         raise ValueError("lines must be long enough for segments longer than the edits allowed")
     long_lines = lines.where(F.length("line") >= min_chars)
-    distinct = long_lines.groupBy("line").agg(F.count("*").alias("n")).select(
-        "line", F.xxhash64("line").alias("h1"), signature(F.col("line")).alias("sig"), F.length("line").alias("length"))
-    pairs = stored(near_pairs(distinct, max_edits), "line-candidates")
-    asked = stored(pairs.select(F.col("a").alias("asked")).union(pairs.select("b")).distinct(), "line-candidate-ids")
+    rows = shared_keys(long_lines.select("line"), max_edits)
+    asked = stored(rows.select(F.col("id").alias("asked")).distinct(), "line-candidate-ids")
     texts = stored(long_lines.join(few(asked), F.col("h1") == F.col("asked"), "left_semi")
-                   .groupBy("line").agg(F.count("*").alias("n")).select("line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2")),
+                   .groupBy("line").agg(F.count("*").alias("n")).select("line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"),
+                                                                        signature(F.col("line")).alias("sig"), neighbours(F.col("line")).alias("two")),
                    "line-texts")
+    pairs = stored(near_pairs(rows, texts.select(F.col("h1").alias("id"), "sig", "two.lo", "two.hi"), max_edits), "line-candidates")
     one = texts.select(F.col("h1").alias("a"), F.col("h2").alias("a2"), F.col("line").alias("x"))
     two = texts.select(F.col("h1").alias("b"), F.col("h2").alias("b2"), F.col("line").alias("y"))
     # lines of equal length find each other both ways

@@ -190,6 +190,45 @@ def test_line_dedup_on_odd_rows(spark, edge, empty):
     assert linededup.line_classes(empty).collect() == [] and linededup.dedup_lines(empty).collect() == []
 
 
+def test_line_candidates_do_not_grow_with_the_square_of_a_family(spark, monkeypatch):
+    """Lines of one family share segments; only pairs that may be links come out of the join."""
+    rng = np.random.default_rng(5)
+    words = ["".join(rng.choice(list("aeinotvwk"), 5)) for _ in range(12)]
+
+    def with_word(k):
+        word = "".join(rng.choice(list("aeinotvwkxyzfpjq"), 5, replace=False))
+        return " ".join([*words[:k], word, *words[k + 1:]])
+
+    family = [with_word(int(rng.integers(12))) for _ in range(40)]
+    near = [family[0] + "z", family[1][1:], family[2].replace(words[-1], words[-1][:3] + "é" + words[-1][3:]), family[3], family[0] + "z"]
+    docs = spark.createDataFrame(list(enumerate(family + near)), "doc_id long, text string")
+    kept, plain = {}, linededup.stored
+    monkeypatch.setattr(linededup, "stored", lambda df, name: kept.setdefault(name, plain(df, name)))
+    rows = linededup.line_classes(docs).collect()
+    assert kept["line-candidates"].count() < 60              # of 780 pairs
+    hashes = {r.text: r.h for r in docs.select("text", F.xxhash64("text").alias("h")).collect()}
+    want = plain_lines(texts_of(docs), hashes, 2, 40)
+    assert {r.doc_id: (r.n_exact, r.n_near, r.n_links) for r in rows} == {i: tuple(want[i, t][:3]) for i, t in texts_of(docs)}
+    assert sum(r.n_links for r in rows) >= 6
+
+
+@pytest.mark.parametrize("edits", [1, 2])
+def test_signatures_bound_edits(spark, edits):
+    rng, rows = np.random.default_rng(edits), []
+    for _ in range(200):
+        a = list(rng.choice(list("abcé z日"), int(rng.integers(9, 40))))
+        b = list(a)
+        for _ in range(edits):
+            at, kind = int(rng.integers(len(b))), rng.integers(3)
+            b[at:at + (kind != 0)] = [] if kind == 1 else list(rng.choice(list("abcé z日"), 1))
+        rows.append(("".join(a), "".join(b)))
+    df = spark.createDataFrame(rows, "a string, b string").select(*[f(F.col(c)).alias(f"{n}{c}") for c in "ab" for n, f in (
+        ("s", linededup.signature), ("n", linededup.neighbours))])
+    for r in df.collect():
+        assert ((r.sa ^ r.sb) & (2 ** 64 - 1)).bit_count() <= 2 * edits
+        assert sum(((r.na[c] ^ r.nb[c]) & (2 ** 64 - 1)).bit_count() for c in ("lo", "hi")) <= 4 * edits
+
+
 # ---------------------------------------------------------------- licences
 
 
