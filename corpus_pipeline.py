@@ -39,8 +39,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Places of all id pieces in sequences of at most 4096 tokens."""
-    return binpack.pack_documents(docs, vocabulary_path("word_bpe_49k.json"))[1]
+    """Places of all id pieces in sequences of at most 4096 tokens.  Workers
+    that serve the other stages too keep no coder."""
+    return binpack.pack_documents(docs, vocabulary_path("word_bpe_49k.json"), keep_coder=False)[1]
 
 
 STAGES = [("quality rules", quality_rules), ("quality classifier", quality_classifier), ("line dedup", line_dedup),

@@ -19,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelcast.llm.tokens import coder, vocabulary
+from panelcast.llm.textstats import slices
+from panelcast.llm.tokens import coder, forget, vocabulary
 from panelcast.session import ship_package, stored
 
 #: Bytes of ids that a task hands on at a time.
@@ -30,10 +31,12 @@ _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa
 
 
 def encode_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, max_tokens: int = 4096,
-                  id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                  id_col: str = "doc_id", text_col: str = "text", keep_coder: bool = True) -> DataFrame:
     """``doc_id, piece, start, length, ids``: every whole text (null: empty)
     encoded, ``end_id`` appended, cut every ``max_tokens`` ids.  ``ids`` holds
-    little-endian unsigned 32-bit integers."""
+    little-endian unsigned 32-bit integers.  Without ``keep_coder`` a task
+    leaves its worker no remembered segments: slower, for jobs where others
+    need the room."""
     spark = docs.sparkSession
     ship_package(spark)
     vocab = vocabulary(spark, tokenizer_path)
@@ -46,7 +49,7 @@ def encode_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, max_tok
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _PIECES)], schema=_PIECES)
 
         rows, held = [], 0
-        for batch in batches:
+        for batch in slices(batches):
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 ids = encoder.encode(text.as_py()) + end
                 rows += [(doc_id, piece, at // 4, len(ids[at:at + 4 * max_tokens]) // 4, ids[at:at + 4 * max_tokens])
@@ -57,6 +60,9 @@ def encode_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, max_tok
                     rows, held = [], 0
         if rows:
             yield ready(rows)
+        if not keep_coder:
+            del encoder
+            forget()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(encode, PIECES)
 
@@ -180,13 +186,14 @@ def packed_sequences(pieces: DataFrame, layout: DataFrame, keys=("doc_id", "piec
     return placed.groupBy("sequence_id").agg(F.sum("length").alias("length"), ids.alias("ids"))
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, max_tokens: int = 4096) -> tuple[DataFrame, DataFrame]:
+def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, max_tokens: int = 4096,
+                   keep_coder: bool = True) -> tuple[DataFrame, DataFrame]:
     """``(pieces, layout)``: the stored id pieces of all documents, and for
     each piece its checksum, sequence and offset.
 
     A null or empty text is one piece that holds the end id; a text of any
     length is cut into full pieces; repeated rows and equal ids are documents
     of their own; an empty table gives empty ones; other columns are ignored."""
-    pieces = stored(encode_pieces(docs, tokenizer_path, end_id, max_tokens), "id-pieces")
+    pieces = stored(encode_pieces(docs, tokenizer_path, end_id, max_tokens, keep_coder=keep_coder), "id-pieces")
     narrow = stored(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), "piece-digests")
     return pieces, assign_sequences(narrow, max_tokens)

@@ -190,7 +190,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, learn_from: DataFrame, thresho
     an empty table stays empty, and without labels every score is one half."""
     ship_package(docs.sparkSession)
     known = learn_from.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    model = train(stored(with_features(known, "features"), "quality-features"), labels, "features")
+    model = train(with_features(known, "features"), labels, "features")      # read once: nothing to store
     at = docs.columns.index(text_col)
 
     def judge(batches):

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from panelcast.llm.components import components
 from panelcast.llm.qda import fresh
+from panelcast.llm.textstats import slices
 from panelcast.session import ship_package, stored
 
 SEED = 42
@@ -57,7 +58,7 @@ def fingerprints(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_c
     ship_package(docs.sparkSession)
 
     def hash_texts(batches):
-        for batch in batches:
+        for batch in slices(batches):
             fps = np.array([fingerprint(t.as_py(), words) for t in batch.column(2)], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))],
                                              names=["doc_id", "text_hash", "fp"])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 
 #: Fixed value: characters counted as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -14,10 +15,14 @@ SHAPE = ["n_chars", "n_upper", "n_digits", "n_punct", "n_space", "n_lines", "n_d
 
 
 def slices(batches, rows: int = 1024):
-    """The batches in pieces of few rows, so that a task holds little at a time."""
+    """The batches in pieces of few rows, so that a task holds little at a time.
+
+    Arrow keeps the room of batches that are done for later ones; a reused
+    worker would hold the most it ever had, so it goes back after each batch."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+        pa.default_memory_pool().release_unused()
 
 
 def _repeat_words(ids: np.ndarray, distinct: int) -> int:

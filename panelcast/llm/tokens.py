@@ -9,6 +9,7 @@ encoded again).
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 
@@ -115,6 +116,12 @@ def coder(tokenizer_json: str) -> Coder:
     return _coders[key]
 
 
+def forget() -> None:
+    """Lets the worker's coders go, with the segments they remember."""
+    _coders.clear()
+    gc.collect()            # a coder and its memos refer to each other
+
+
 def vocabulary(spark, path: str):
     """A tokenizer file's content as a broadcast (a few MB by its nature), so
     executors need no copy of the file."""

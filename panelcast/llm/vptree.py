@@ -46,6 +46,7 @@ class Tree:
         small = _scaled(self.x, top)
         norms = (small ** 2).sum(1)
         most = max(norms.max(initial=0.0), 0.0 if longest is None else float(_scaled(longest, top)) ** 2)
+        self.norm = math.sqrt(most)
         self.points = np.column_stack([small, np.sqrt(np.maximum(most - norms, 0))])
         # what rounding can add to a distance, given as the root of an error of squares up to the largest
         self.slack = float(np.sqrt(8 * (x.shape[1] + 4) * np.finfo(float).eps * max(most, 1.0) * 4))
@@ -69,8 +70,11 @@ class Tree:
         """For each query: ids and scores of the ``k`` best rows other than
         its own, ties to smaller ids."""
         n = len(queries)
-        # a query's own scale changes no order of its inner products: it is taken to the points' size
+        # a query's own scale changes no order of its inner products: it is taken as near to the points' norm as powers of two allow
         small = _scaled(queries, np.abs(queries).max(axis=1, initial=0.0, keepdims=True))
+        norm = np.sqrt((small ** 2).sum(1, keepdims=True))
+        if self.norm > 0:
+            small = np.ldexp(small, np.rint(np.log2(np.where(norm > 0, self.norm / np.where(norm > 0, norm, 1), 1))).astype(int))
         q = np.column_stack([small, np.zeros(n)])
         q_square = (q ** 2).sum(1)
         # one point more than asked, as a query's own may be among them

@@ -347,7 +347,7 @@ def test_search_on_odd_rows(spark):
 @pytest.mark.parametrize("name", sorted(registry.ORACLE))
 def test_oracle(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "labels"):
+    for t in ("documents", "embeddings", "labels", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     df = entry.queries()[name](spark, SF)
     cur = con.execute(registry.ORACLE[name])
